@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # WGS84 flattening and equatorial radius in metres.
 FLATTENING = 1 / 298.257223563
@@ -50,34 +50,42 @@ GEOMETRY_DEPTH = {
     "MultiPolygon": 4,
 }
 
-# The coordinates member of a geometry text: only digits, signs, commas and brackets.
-_COORDINATES = r'(?s)^(.*?"coordinates"\s*:\s*)(\[[-+0-9.eE,\[\]\s]*\])(.*)$'
-
-
 def coordinates_of(geometry: Column, geometry_type: str) -> Column:
     """Coordinates of a geometry text as nested DOUBLE arrays."""
     depth = GEOMETRY_DEPTH[geometry_type]
     return F.from_json(F.get_json_object(geometry, "$.coordinates"), "array<" * depth + "double" + ">" * depth)
 
 
-def round_geometry(geometry: Column, digits: int = COORDINATE_DECIMALS) -> Column:
-    """Geometry text with rounded coordinates; other members stay as they are.
+# The coordinates member of a geometry text: digits, signs, commas and brackets.
+_COORDINATES = r'"coordinates"\s*:\s*\[[-+0-9.eE,\[\]\s]*\]'
+
 
-    NULL, geometry collections and geometries without coordinates pass unchanged.
+def round_geometry(df: DataFrame, geometry: str = "geometry", digits: int = COORDINATE_DECIMALS) -> DataFrame:
+    """``df`` with the coordinates of its geometry texts rounded; other members stay as they are.
+
+    NULL, geometry collections and geometries without coordinates pass unchanged. The steps are
+    columns of their own so that each is computed once per row.
     """
-    kind = F.get_json_object(geometry, "$.type")
-    result = None
+    coordinates, rounded = F.col("_coordinates"), None
     for depth in sorted(set(GEOMETRY_DEPTH.values())):
         names = [n for n, d in GEOMETRY_DEPTH.items() if d == depth]
-        parsed = F.from_json(F.regexp_extract(geometry, _COORDINATES, 2), "array<" * depth + "double" + ">" * depth)
-        rounded = F.concat(
-            F.regexp_extract(geometry, _COORDINATES, 1),
-            F.to_json(round_nested(parsed, depth, digits)),
-            F.regexp_extract(geometry, _COORDINATES, 3),
+        numbers = F.from_json(coordinates, "array<" * depth + "double" + ">" * depth)
+        text = F.to_json(round_nested(numbers, depth, digits))
+        test = F.col("_type").isin(*names)
+        rounded = F.when(test, text) if rounded is None else rounded.when(test, text)
+    return (
+        df.withColumn("_type", F.get_json_object(geometry, "$.type"))
+        .withColumn("_member", F.regexp_extract(geometry, _COORDINATES, 0))
+        .withColumn("_coordinates", F.substring("_member", F.instr("_member", "["), F.length("_member")))
+        .withColumn("_rounded", F.when(F.col("_member") != "", rounded))
+        .withColumn(
+            geometry,
+            F.when(F.col("_rounded").isNull(), F.col(geometry)).otherwise(
+                F.replace(geometry, F.col("_member"), F.concat(F.lit('"coordinates":'), "_rounded"))
+            ),
         )
-        test = kind.isin(*names) & parsed.isNotNull()
-        result = F.when(test, rounded) if result is None else result.when(test, rounded)
-    return result.otherwise(geometry)
+        .drop("_type", "_member", "_coordinates", "_rounded")
+    )
 
 
 def polygons_of(geometry: Column) -> Column:
@@ -125,20 +133,23 @@ def strictly_inside(x: Column, y: Column, edges: Column) -> Column:
     ``edges`` comes from :func:`polygon_edges`, so holes are further rings of their polygon.
     """
 
-    def touches(e: Column) -> Column:
-        cross = (x - e["x1"]) * (y - e["y2"]) - (x - e["x2"]) * (y - e["y1"])
+    # One pass per polygon: 0 outside so far, 1 inside so far, 2 on an edge. Most edges neither
+    # straddle the point's latitude nor end there, and are done after one comparison.
+    def step(state: Column, e: Column) -> Column:
+        straddles = (e["y1"] > y) != (e["y2"] > y)
+        level = (e["y1"] == y) | (e["y2"] == y)
         between = ((x - e["x1"]) * (x - e["x2"]) <= 0) & ((y - e["y1"]) * (y - e["y2"]) <= 0)
-        return (cross == 0) & between
-
-    def crosses(e: Column) -> Column:
+        cross = (x - e["x1"]) * (y - e["y2"]) - (x - e["x2"]) * (y - e["y1"])
         rise = F.nullif(e["y2"] - e["y1"], F.lit(0.0))
         at = (e["x2"] - e["x1"]) * (y - e["y1"]) / rise + e["x1"]
-        return ((e["y1"] > y) != (e["y2"] > y)) & F.coalesce(x < at, F.lit(False))
+        return (
+            F.when(~straddles & ~level, state)
+            .when((state == 2) | (between & (cross == 0)), F.lit(2))
+            .when(straddles & (x < at), 1 - state)
+            .otherwise(state)
+        )
 
-    return F.exists(
-        edges,
-        lambda part: ~F.exists(part, touches) & (F.size(F.filter(part, crosses)) % 2 == 1),
-    )
+    return F.exists(edges, lambda part: F.aggregate(part, F.lit(0), step) == 1)
 
 
 def mercator_x(lon: Column) -> Column:

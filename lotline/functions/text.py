@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from lotline.functions.values import text_of, trim_all
+from lotline.functions.values import text_of, trim_all, truthy
 
 # Fixed value: the earliest construction year that is accepted.
 FIRST_VALID_YEAR = 1600
@@ -39,6 +39,11 @@ def parse_year(value: Column, kind: str = "string") -> Column:
     return F.regexp_extract(kept, "^-?[0-9]+", 0).try_cast("bigint")
 
 
+def year_of(value: Column, kind: str = "string") -> Column:
+    """Parsed year of a present value; a falsy one has none."""
+    return F.when(truthy(value, kind), parse_year(value, kind))
+
+
 def is_valid_year(year: Column, as_of_year: int) -> Column:
     """Never NULL."""
     return F.coalesce(year.between(FIRST_VALID_YEAR, as_of_year), F.lit(False))

@@ -37,11 +37,15 @@ def band_of_year(year: Column, bands: list[Band] = DEFAULT_BANDS) -> Column:
     if years > MAX_TABLE_YEARS:
         return _band_case(year, bands)
     # Position 0 is every earlier year, the last position every later one, NULL stays NULL.
-    entries = F.array(*[F.lit(_band_of(y, bands)) for y in range(low - 1, high + 2)])
+    entries = F.expr("array(" + ", ".join(_sql_text(_band_of(y, bands)) for y in range(low - 1, high + 2)) + ")")
     position = F.width_bucket(year.cast("double"), F.lit(float(low)), F.lit(float(high + 1)), F.lit(years))
     return F.coalesce(F.get(entries, position.cast("int")), F.lit(UNKNOWN))
 
 
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _band_case(year: Column, bands: list[Band]) -> Column:
     result = F.when(year.isNull(), UNKNOWN)
     for band in bands:

@@ -2,12 +2,12 @@
 
 Inputs are plain columns (see :mod:`lotline.plans.building_age` for where they come from):
 
-properties  ``ord, gis_id, address, year_text, property_class, zoning``
+properties  ``ord, gis_id, address, year, property_class, zoning``
 points      ``ord, ml, bldg_id``
 buildings   ``building_ord, bldg_id`` and anything else, e.g. ``geometry``
 
-Ids are normalized and may be ``''``; the other texts are NULL when falsy. ``ord`` may have any
-orderable type. Every "first per group" is an aggregate, so a key that holds much of the data is
+Ids are normalized and may be ``''``; the other values are NULL when falsy, and ``year`` is parsed.
+``ord`` may have any orderable type. Every "first per group" is an aggregate, so a key that holds much of the data is
 combined before it is shuffled and never gathered in one task.
 """
 
@@ -15,12 +15,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lotline.functions.text import is_valid_year, parse_year, street_number
+from lotline.functions.text import is_valid_year, street_number
 from lotline.functions.values import trim_all
 from lotline.operators.bands import band_of_year
-from lotline.sources.bands import DEFAULT_BANDS, UNKNOWN, Band
+from lotline.sources.bands import DEFAULT_BANDS, Band
 
-PROPERTY_COLUMNS = ["gis_id", "address", "year_text", "property_class", "zoning"]
+PROPERTY_COLUMNS = ["gis_id", "address", "year", "property_class", "zoning"]
 
 
 def drop_blank_keys(df: DataFrame, key: str) -> DataFrame:
@@ -28,24 +28,23 @@ def drop_blank_keys(df: DataFrame, key: str) -> DataFrame:
     return df.filter(F.col(key) != "")
 
 
-def _address_key(address: str, ord: str) -> Column:
-    """Sort key of an address: street number, then locale order, then input order."""
+def _with_address_key(df: DataFrame, address: str, ord: str) -> DataFrame:
+    """Add ``_key``, which sorts addresses by street number, locale order and input order."""
     text = F.col(address)
-    return F.struct(
+    key = F.struct(
         text.isNull().alias("missing"),
         street_number(text).alias("number"),
         F.collate(text, "UNICODE").alias("text"),
         F.col(ord).alias("ord"),
     )
+    return df.withColumn("_key", key)
 
 
 def lowest_address(df: DataFrame, keys: list[str], address: str = "address", ord: str = "ord") -> DataFrame:
     """Per group the address with the lowest street number; NULL when all are missing."""
-    truthy = F.when(F.col(address) != "", F.col(address))
-    return (
-        df.withColumn("_address", truthy)
-        .groupBy(*keys)
-        .agg(F.min_by("_address", _address_key("_address", ord)).alias("lowest_address"))
+    truthy = df.withColumn("_address", F.when(F.col(address) != "", F.col(address)))
+    return _with_address_key(truthy, "_address", ord).groupBy(*keys).agg(
+        F.min_by("_address", "_key").alias("lowest_address")
     )
 
 
@@ -90,13 +89,12 @@ def representative_property(matches: DataFrame) -> DataFrame:
     """
     first_row = F.struct("ord", *PROPERTY_COLUMNS)
     per_address = (
-        matches.withColumn("trimmed", trim_all(F.col("address")))
+        _with_address_key(matches, "address", "ord")
+        .withColumn("trimmed", trim_all(F.col("address")))
         .groupBy("bldg_id", "trimmed")
         .agg(
-            F.min_by(
-                F.struct(F.col("address").alias("winner"), _address_key("address", "ord").alias("key")),
-                _address_key("address", "ord"),
-            ).alias("best"),
+            F.min_by("address", "_key").alias("winner"),
+            F.min("_key").alias("_key"),
             F.min_by(first_row, "ord").alias("first"),
             F.count(F.lit(1)).alias("n"),
             F.bool_or("ambiguous").alias("ambiguous"),
@@ -105,7 +103,7 @@ def representative_property(matches: DataFrame) -> DataFrame:
     return (
         per_address.groupBy("bldg_id")
         .agg(
-            F.min_by(F.struct(F.col("best.winner").alias("address"), "first"), F.col("best.key")).alias("chosen"),
+            F.min_by(F.struct(F.col("winner").alias("address"), "first"), "_key").alias("chosen"),
             F.sum("n").alias("n_matches"),
             F.bool_or("ambiguous").alias("any_ambiguous"),
         )
@@ -133,15 +131,14 @@ def building_age(
     matched = representatives.withColumnRenamed("bldg_id", "_key")
     joined = keyed.join(matched, "_key", "left").drop("_key")
 
-    year = parse_year(F.col("year_text"))
-    valid = F.col("year_text").isNotNull() & is_valid_year(year, as_of_year)
+    valid = F.col("n_matches").isNotNull() & is_valid_year(F.col("year"), as_of_year)
     status = (
-        F.when(F.col("n_matches").isNull(), "unmatched").when(~F.col("_valid"), "invalid_year").otherwise("matched")
+        F.when(F.col("n_matches").isNull(), "unmatched").when(F.col("_valid"), "matched").otherwise("invalid_year")
     )
     kept = [c for c in buildings.columns if c != "bldg_id"]
     return (
-        joined.withColumn("_valid", F.col("n_matches").isNotNull() & valid)
-        .withColumn("_year", F.when(F.col("_valid"), year.cast("int")))
+        joined.withColumn("_valid", valid)
+        .withColumn("_year", F.when(F.col("_valid"), F.col("year").cast("int")))
         .select(
             *kept,
             F.col("gis_id").alias("GISID"),
@@ -150,7 +147,7 @@ def building_age(
             F.col("property_class").alias("PropertyClass"),
             F.col("zoning").alias("Zoning"),
             (F.lit(as_of_year) - F.col("_year")).alias("age"),
-            F.when(F.col("_valid"), band_of_year(F.col("_year"), bands)).otherwise(UNKNOWN).alias("age_band"),
+            band_of_year(F.col("_year"), bands).alias("age_band"),
             status.alias("join_status"),
             F.coalesce("ambiguous", F.lit(False)).alias("join_ambiguous"),
         )

@@ -1,71 +1,134 @@
 """Exact nearest target for every point, in metres.
 
-Both sides are reduced to distinct places first, so copies cost nothing. Targets are counted in
-ever finer grids over their own extent until no cell holds more than ``CELL_CAPACITY`` places.
-Every probe then descends through the grids. At each step it knows an upper bound of its distance
-(the nearest place that represents a cell) and drops the cells whose box lies farther away. Cells
-of no more than ``CELL_CAPACITY`` places are compared place by place at the end.
-
-Nothing is compared with everything: a probe keeps a handful of cells whatever the density, and
-the result is exact because a cell is only dropped when it cannot hold the nearest place.
+Both sides are reduced to distinct places first, so copies cost nothing. Targets are counted in a
+grid over their extent that is fine enough for no cell to hold more than ``CELL_CAPACITY`` places,
+and in the coarser grids above it. Points are grouped by cells of the same finest grid. Groups
+descend from the whole extent to the finest cells; at each grid a group knows how far its nearest
+target can be at most, and drops cells that are farther away at least. At the end only the places
+of the remaining cells are compared with the points of the group.
+
+Nothing is compared with everything: a group keeps the few cells around it whatever the density.
+The result is exact, because a cell is dropped only when it cannot hold the nearest place.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lotline.functions.geo import metres_per_degree, planar_metres, wrap_degrees
 from lotline.storage import keep
 
 CELL_CAPACITY = 32
-# Each step splits a cell into 2**STEP x 2**STEP.
-STEP = 3
+# Each step down splits a cell into 2**STEP x 2**STEP.
+STEP = 2
 MAX_LEVEL = 30
 # Grids up to this level have at most 4**6 = 4096 cells: safe to broadcast.
 BROADCAST_LEVEL = 6
+# Bounds are computed from box corners: leave room for rounding.
+SLACK = 1 + 1e-9
 
 
-def _cells(places: DataFrame, level: int) -> DataFrame:
-    """Occupied cells of one grid: key, parent key, count, tight box and a representative."""
-    up = 2**STEP
-    ix, iy = F.col("ix"), F.col("iy")
-    return (
-        _with_cell(places, level)
-        .groupBy("ix", "iy")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("tx").alias("x0"),
-            F.max("tx").alias("x1"),
-            F.min("ty").alias("y0"),
-            F.max("ty").alias("y1"),
-            F.min_by("ty", "tx").alias("ry"),
-        )
-        .withColumn("parent_x", F.floor(ix / up).cast("bigint"))
-        .withColumn("parent_y", F.floor(iy / up).cast("bigint"))
+def _cell(column: str, level: int) -> Column:
+    return F.floor(F.col(column) * float(2**level)).cast("bigint")
+
+
+def _finest_grid(places: DataFrame, level: int) -> DataFrame:
+    """Occupied cells: count, tight box, and one place ``(x0, ry)`` of the cell."""
+    return places.groupBy(_cell("ux", level).alias("ix"), _cell("uy", level).alias("iy")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("tx").alias("x0"),
+        F.max("tx").alias("x1"),
+        F.min("ty").alias("y0"),
+        F.max("ty").alias("y1"),
+        F.min_by("ty", "tx").alias("ry"),
     )
 
 
-def _with_cell(places: DataFrame, level: int) -> DataFrame:
-    top = F.lit(2**level - 1)
-    return places.withColumn("ix", F.least(F.floor(F.col("ux") * float(2**level)), top).cast("bigint")).withColumn(
-        "iy", F.least(F.floor(F.col("uy") * float(2**level)), top).cast("bigint")
+def _coarser_grid(grid: DataFrame) -> DataFrame:
+    up = 2**STEP
+    return grid.groupBy(F.floor(F.col("ix") / up).alias("ix"), F.floor(F.col("iy") / up).alias("iy")).agg(
+        F.sum("n").alias("n"),
+        F.min("x0").alias("x0"),
+        F.max("x1").alias("x1"),
+        F.min("y0").alias("y0"),
+        F.max("y1").alias("y1"),
+        F.min_by("ry", "x0").alias("ry"),
     )
 
 
-def _distance(x: Column, y: Column) -> Column:
-    return planar_metres(F.col("kx"), F.col("ky"), F.col("px") - x, F.col("py") - y)
+def _least_metres() -> Column:
+    """No point of the group is nearer to any place of the cell."""
+    gx0, gx1, x0, x1 = (F.col(c) for c in ("gx0", "gx1", "x0", "x1"))
+    ends = F.least(F.abs(wrap_degrees(gx0 - x1)), F.abs(wrap_degrees(gx1 - x0)))
+    dx = F.when((gx0 <= x1) & (x0 <= gx1), F.lit(0.0)).otherwise(ends) * F.col("kx_min")
+    dy = F.greatest(F.col("y0") - F.col("gy1"), F.col("gy0") - F.col("y1"), F.lit(0.0)) * F.col("ky_min")
+    return F.sqrt(dx * dx + dy * dy)
 
 
-def _box_distance() -> Column:
-    """Least distance of the probe from the cell's box, longitudes wrapping around."""
-    px, py = F.col("px"), F.col("py")
-    x0, x1, y0, y1 = (F.col(c) for c in ("x0", "x1", "y0", "y1"))
-    side = F.least(F.abs(wrap_degrees(px - x0)), F.abs(wrap_degrees(px - x1)))
-    dx = F.when((px >= x0) & (px <= x1), F.lit(0.0)).otherwise(side) * F.col("kx")
-    dy = F.greatest(y0 - py, py - y1, F.lit(0.0)) * F.col("ky")
+def _most_metres() -> Column:
+    """No point of the group is farther from the cell's representative place."""
+    side = F.abs(wrap_degrees(F.col("gx0") - F.col("x0"))) + (F.col("gx1") - F.col("gx0"))
+    dx = F.least(side, F.lit(180.0)) * F.col("kx_max")
+    dy = F.greatest(F.abs(F.col("gy0") - F.col("ry")), F.abs(F.col("gy1") - F.col("ry"))) * F.col("ky_max")
     return F.sqrt(dx * dx + dy * dy)
 
 
+def _groups(probes: DataFrame) -> DataFrame:
+    """Boxes of the point groups, with the range of metres per degree within each."""
+    boxes = probes.groupBy("gx", "gy").agg(
+        F.min("px").alias("gx0"), F.max("px").alias("gx1"), F.min("py").alias("gy0"), F.max("py").alias("gy1")
+    )
+    near_pole = F.greatest(F.abs("gy0"), F.abs("gy1"))
+    near_equator = F.when((F.col("gy0") <= 0) & (F.col("gy1") >= 0), F.lit(0.0)).otherwise(
+        F.least(F.abs("gy0"), F.abs("gy1"))
+    )
+    # East-west degrees shrink towards the poles, north-south degrees grow.
+    kx_min, ky_max = metres_per_degree(near_pole)
+    kx_max, ky_min = metres_per_degree(near_equator)
+    return boxes.select(
+        "*", kx_min.alias("kx_min"), kx_max.alias("kx_max"), ky_min.alias("ky_min"), ky_max.alias("ky_max")
+    )
+
+
+def _place_targets(targets: DataFrame, target_id: str, lon: str, lat: str) -> tuple[DataFrame, Column, Column] | None:
+    """Distinct target places with their position in the extent, and that position for points."""
+    located = targets.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
+    west, east, south, north = located.agg(F.min(lon), F.max(lon), F.min(lat), F.max(lat)).first()
+    if west is None:
+        return None
+    # A little more than the extent, so that the last place is inside the last cell.
+    width, height = (east - west or 1.0) * (1 + 1e-9), (north - south or 1.0) * (1 + 1e-9)
+
+    def position(x: str, y: str) -> tuple[Column, Column]:
+        return (F.col(x) - west) / width, (F.col(y) - south) / height
+
+    ux, uy = position("tx", "ty")
+    places = (
+        located.groupBy(F.col(lon).alias("tx"), F.col(lat).alias("ty"))
+        .agg(F.min(target_id).alias("target_id"))
+        .withColumn("ux", ux)
+        .withColumn("uy", uy)
+    )
+    return keep(places), *position("px", "py")
+
+
+def _grids(places: DataFrame) -> list[tuple[int, DataFrame]]:
+    """Grids from coarse to fine. The finest one starts at the level that suits even data."""
+    even = math.log(max(places.count() / CELL_CAPACITY, 1), 4)
+    level = min(STEP * max(1, math.ceil(even / STEP)), MAX_LEVEL)
+    while True:
+        finest = keep(_finest_grid(places, level))
+        if level >= MAX_LEVEL or finest.agg(F.max("n")).first()[0] <= CELL_CAPACITY:
+            break
+        level += STEP
+    grids = [(level, finest)]
+    while grids[0][0] > STEP:
+        grids.insert(0, (grids[0][0] - STEP, _coarser_grid(grids[0][1])))
+    return grids
+
+
 def nearest(
     points: DataFrame,
     targets: DataFrame,
@@ -78,74 +141,57 @@ def nearest(
 
     Distances are planar at the point's latitude on the WGS84 ellipsoid.
     """
-    located = targets.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
-    extent = located.agg(F.min(lon), F.max(lon), F.min(lat), F.max(lat)).first()
-    west, east, south, north = extent
-    if west is None:
-        schema = targets.schema[target_id].dataType.simpleString()
+    placed = _place_targets(targets, target_id, lon, lat)
+    if placed is None:
+        kind = targets.schema[target_id].dataType.simpleString()
         return points.selectExpr(
-            f"`{point_id}` as point_id", f"cast(null as {schema}) as target_id", "cast(null as double) as metres"
+            f"`{point_id}` as point_id", f"cast(null as {kind}) as target_id", "cast(null as double) as metres"
         )
-    width, height = (east - west) or 1.0, (north - south) or 1.0
-    places = keep(
-        located.groupBy(F.col(lon).alias("tx"), F.col(lat).alias("ty"))
-        .agg(F.min(target_id).alias("target_id"))
-        .withColumn("ux", (F.col("tx") - west) / width)
-        .withColumn("uy", (F.col("ty") - south) / height)
-    )
-
-    grids: list[tuple[int, DataFrame]] = []
-    for level in range(STEP, MAX_LEVEL + 1, STEP):
-        cells = keep(_cells(places, level))
-        grids.append((level, cells))
-        if cells.agg(F.max("n")).first()[0] <= CELL_CAPACITY:
-            break
+    places, ux, uy = placed
+    grids = _grids(places)
+    finest_level = grids[-1][0]
 
-    kx, ky = metres_per_degree(F.col("py"))
     probes = (
         points.select(F.col(lon).alias("px"), F.col(lat).alias("py"))
         .filter("px is not null and py is not null")
         .distinct()
-        .withColumn("kx", kx)
-        .withColumn("ky", ky)
+        .withColumn("ux", ux)
+        .withColumn("uy", uy)
+        .withColumn("gx", _cell("ux", finest_level))
+        .withColumn("gy", _cell("uy", finest_level))
+        .drop("ux", "uy")
     )
-    # Start: the one cell of grid 0, with no bound yet.
-    frontier = probes.selectExpr("*", "0L as parent_x", "0L as parent_y", "double('Infinity') as bound")
-    by_probe = Window.partitionBy("px", "py")
-    probe_columns = ["px", "py", "kx", "ky"]
-    compared = []
-    for position, (level, cells) in enumerate(grids):
-        side = F.broadcast(cells) if level <= BROADCAST_LEVEL else cells
-        near = (
-            frontier.join(side, ["parent_x", "parent_y"])
-            .withColumn("far", _distance(F.col("x0"), F.col("ry")))
-            .withColumn("bound", F.min(F.least("far", "bound")).over(by_probe))
-            .filter(_box_distance() <= F.col("bound"))
-        )
-        last = position == len(grids) - 1
-        final = near if last else near.filter(F.col("n") <= CELL_CAPACITY)
-        # Each place is compared at the first grid whose cell is small enough.
-        members = _with_cell(places, level).select("ix", "iy", "tx", "ty", "target_id")
-        metres = _distance(F.col("tx"), F.col("ty"))
-        compared.append(
-            final.join(members, ["ix", "iy"])
-            .withColumn("metres", metres)
-            .groupBy("px", "py")
-            .agg(
-                F.min("metres").alias("metres"),
-                F.min_by("target_id", F.struct("metres", "target_id")).alias("target_id"),
-            )
+    groups = _groups(probes)
+    group_columns = groups.columns
+    frontier = groups.selectExpr("*", "0L as parent_x", "0L as parent_y", "double('Infinity') as bound")
+    by_group = Window.partitionBy("gx", "gy")
+    up = 2**STEP
+    for level, grid in grids:
+        cells = grid.withColumn("parent_x", F.floor(F.col("ix") / up)).withColumn("parent_y", F.floor(F.col("iy") / up))
+        if level <= BROADCAST_LEVEL:
+            cells = F.broadcast(cells)
+        frontier = (
+            frontier.join(cells, ["parent_x", "parent_y"])
+            .withColumn("least", _least_metres())
+            .withColumn("bound", F.min(F.least(_most_metres() * SLACK, "bound")).over(by_group))
+            .filter("least <= bound")
+            .select(*group_columns, F.col("ix").alias("parent_x"), F.col("iy").alias("parent_y"), "bound")
         )
-        if not last:
-            frontier = near.filter(F.col("n") > CELL_CAPACITY).select(
-                *probe_columns, F.col("ix").alias("parent_x"), F.col("iy").alias("parent_y"), "bound"
-            )
-    best = compared[0]
-    for more in compared[1:]:
-        best = best.unionByName(more)
-    best = best.groupBy("px", "py").agg(
-        F.min("metres").alias("metres"), F.min_by("target_id", F.struct("metres", "target_id")).alias("target_id")
+
+    members = places.select(
+        _cell("ux", finest_level).alias("parent_x"), _cell("uy", finest_level).alias("parent_y"), "tx", "ty", "target_id"
+    )
+    candidates = frontier.join(members, ["parent_x", "parent_y"]).select("gx", "gy", "tx", "ty", "target_id")
+    kx, ky = metres_per_degree(F.col("py"))
+    metres = planar_metres(F.col("kx"), F.col("ky"), F.col("px") - F.col("tx"), F.col("py") - F.col("ty"))
+    best = (
+        probes.withColumn("kx", kx)
+        .withColumn("ky", ky)
+        .join(candidates, ["gx", "gy"])
+        .select("px", "py", "target_id", metres.alias("metres"))
+        .groupBy("px", "py")
+        .agg(F.min(F.struct("metres", "target_id")).alias("best"))
+    )
+    return points.join(best, (F.col(lon) == F.col("px")) & (F.col(lat) == F.col("py")), "left").select(
+        F.col(point_id).alias("point_id"), "best.target_id", "best.metres"
     )
-    return points.join(
-        best, (F.col(lon) == F.col("px")) & (F.col(lat) == F.col("py")), "left"
-    ).select(F.col(point_id).alias("point_id"), "target_id", "metres")

@@ -10,7 +10,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lotline.functions.text import normalize_id
+from lotline.functions.text import normalize_id, year_of
 from lotline.functions.values import bag_value, truthy_coalesce, truthy_text
 from lotline.operators.columns import resolve_property_keys
 from lotline.operators.matching import building_age, link_properties, representative_property
@@ -36,7 +36,7 @@ def properties_from(features: DataFrame, keys: dict[str, str]) -> DataFrame:
         "ord",
         normalize_id(bag_value(F.col("properties"), keys["lot"]), "variant").alias("gis_id"),
         truthy_text(*_values([keys["address"]]), kind="variant").alias("address"),
-        truthy_text(*_values([keys["year"]]), kind="variant").alias("year_text"),
+        year_of(bag_value(F.col("properties"), keys["year"]), "variant").alias("year"),
         truthy_text(*_values(CLASS_KEYS), kind="variant").alias("property_class"),
         truthy_text(*_values(ZONING_KEYS), kind="variant").alias("zoning"),
     )

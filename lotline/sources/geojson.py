@@ -133,8 +133,8 @@ def feature_json(geometry: Column, properties: list[Column]) -> Column:
 
 def output_features(df: DataFrame, ord: str = "building_ord", columns: list[str] = OUTPUT_PROPERTIES) -> DataFrame:
     """Output rows as ``(ord, feature)`` with rounded coordinates."""
-    text = feature_json(round_geometry(F.col("geometry")), [F.col(c) for c in columns])
-    return df.select(F.col(ord).alias("ord"), text.alias("feature"))
+    text = feature_json(F.col("geometry"), [F.col(c) for c in columns])
+    return round_geometry(df).select(F.col(ord).alias("ord"), text.alias("feature"))
 
 
 def write_features(df: DataFrame, path: str, layout: str = "parquet", ord: str = "building_ord") -> None:
@@ -146,8 +146,7 @@ def write_features(df: DataFrame, path: str, layout: str = "parquet", ord: str =
                     document with one feature per line.
     """
     if layout == "parquet":
-        rounded = df.withColumn("geometry", round_geometry(F.col("geometry")))
-        rounded.write.mode("overwrite").parquet(path)
+        round_geometry(df).write.mode("overwrite").parquet(path)
         return
     features = output_features(df, ord)
     if layout == "collection":

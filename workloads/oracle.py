@@ -128,7 +128,7 @@ ORACLE: dict[str, str] = {
     "building_semi": f"""WITH {_BRIDGE} SELECT gis_id, bldg_id, ambiguous FROM matches
         WHERE bldg_id IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders)""",
     "representative_property": f"""WITH {_BRIDGE} SELECT bldg_id, n_matches, amb AS ambiguous, address, gis_id,
-        CAST(y AS VARCHAR) AS year_text, p_type AS property_class, p_brand AS zoning FROM reps""",
+        CAST(y AS BIGINT) AS year, p_type AS property_class, p_brand AS zoning FROM reps""",
     "drop_blank_keys": f"WITH {_BRIDGE} SELECT ml, bldg_id FROM points WHERE bldg_id IS NOT NULL",
     "lowest_address": """SELECT p_brand, p_type, arg_min(p_size || ' ' || p_name, (p_size, p_name)) AS lowest_address
         FROM part GROUP BY p_brand, p_type""",

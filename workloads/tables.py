@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lotline.functions.text import normalize_id
+from lotline.functions.text import normalize_id, year_of
 from lotline.functions.values import truthy_text
 
 AS_OF_YEAR = 2026
 
 
+# Known schemas spare a job per table that would read file footers.
+SCHEMAS = {
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "events": "event_id long, user_id long, event_type string, value double, props string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text(column: str) -> Column:
@@ -42,7 +54,7 @@ def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("ord"),
         normalize_id(raw_lot_id()).alias("gis_id"),
         truthy_text(raw_address()).alias("address"),
-        truthy_text(raw_year()).alias("year_text"),
+        year_of(raw_year()).alias("year"),
         truthy_text(F.col("p_type")).alias("property_class"),
         truthy_text(F.col("p_brand")).alias("zoning"),
     )
