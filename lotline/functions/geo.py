@@ -106,50 +106,45 @@ class Box:
     max_y: Column
 
 
+def rings_box(rings: Column) -> Box:
+    """Bounding box of one polygon: its outer ring's."""
+    return _corners_box(F.get(rings, 0))
+
+
 def polygons_box(polygons: Column) -> Box:
-    """Bounding box of a polygon list; the outer ring bounds each polygon."""
-    corners = F.flatten(F.transform(polygons, lambda rings: rings[0]))
+    """Bounding box of a polygon list."""
+    return _corners_box(F.flatten(F.transform(polygons, lambda rings: F.get(rings, 0))))
+
+
+def _corners_box(corners: Column) -> Box:
     xs = F.transform(corners, lambda p: p[0])
     ys = F.transform(corners, lambda p: p[1])
     return Box(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
 
 
-def polygon_edges(polygons: Column) -> Column:
-    """Edges per polygon: ``array<array<struct<x1,y1,x2,y2>>>``, all rings of a polygon together."""
-
-    def ring_edges(ring: Column) -> Column:
-        return F.zip_with(
-            F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))),
-            F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))),
-            lambda a, b: F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2")),
-        )
-
-    return F.transform(polygons, lambda rings: F.flatten(F.transform(rings, ring_edges)))
+def ring_edges(ring: Column) -> Column:
+    """Edges of a closed ring: ``array<struct<x1,y1,x2,y2>>``."""
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    return F.zip_with(
+        F.slice(ring, F.lit(1), n),
+        F.slice(ring, F.lit(2), n),
+        lambda a, b: F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2")),
+    )
 
 
-def strictly_inside(x: Column, y: Column, edges: Column) -> Column:
-    """Even-odd test against any of several polygons; a point on an edge is outside.
+def crosses_ray(x: Column, y: Column, edge: Column) -> Column:
+    """Whether a ray from the point towards growing x crosses the edge."""
+    straddles = (edge["y1"] > y) != (edge["y2"] > y)
+    # An edge that does not rise has no crossing; it never straddles either.
+    rise = F.nullif(edge["y2"] - edge["y1"], F.lit(0.0))
+    at = (edge["x2"] - edge["x1"]) * (y - edge["y1"]) / rise + edge["x1"]
+    return straddles & (x < at)
 
-    ``edges`` comes from :func:`polygon_edges`, so holes are further rings of their polygon.
-    """
-
-    # One pass per polygon: 0 outside so far, 1 inside so far, 2 on an edge. Most edges neither
-    # straddle the point's latitude nor end there, and are done after one comparison.
-    def step(state: Column, e: Column) -> Column:
-        straddles = (e["y1"] > y) != (e["y2"] > y)
-        level = (e["y1"] == y) | (e["y2"] == y)
-        between = ((x - e["x1"]) * (x - e["x2"]) <= 0) & ((y - e["y1"]) * (y - e["y2"]) <= 0)
-        cross = (x - e["x1"]) * (y - e["y2"]) - (x - e["x2"]) * (y - e["y1"])
-        rise = F.nullif(e["y2"] - e["y1"], F.lit(0.0))
-        at = (e["x2"] - e["x1"]) * (y - e["y1"]) / rise + e["x1"]
-        return (
-            F.when(~straddles & ~level, state)
-            .when((state == 2) | (between & (cross == 0)), F.lit(2))
-            .when(straddles & (x < at), 1 - state)
-            .otherwise(state)
-        )
 
-    return F.exists(edges, lambda part: F.aggregate(part, F.lit(0), step) == 1)
+def on_edge(x: Column, y: Column, edge: Column) -> Column:
+    """Whether the point lies on the edge."""
+    dx1, dy1, dx2, dy2 = x - edge["x1"], y - edge["y1"], x - edge["x2"], y - edge["y2"]
+    return (dx1 * dy2 - dx2 * dy1 == 0) & (dx1 * dx2 <= 0) & (dy1 * dy2 <= 0)
 
 
 def mercator_x(lon: Column) -> Column:

@@ -164,6 +164,7 @@ def nearest(
     groups = _groups(probes)
     group_columns = groups.columns
     frontier = groups.selectExpr("*", "0L as parent_x", "0L as parent_y", "double('Infinity') as bound")
+    # The bound holds for every point of the group; "known" is a place that is about as near.
     by_group = Window.partitionBy("gx", "gy")
     up = 2**STEP
     for level, grid in grids:
@@ -171,24 +172,38 @@ def nearest(
         if level <= BROADCAST_LEVEL:
             cells = F.broadcast(cells)
         frontier = (
-            frontier.join(cells, ["parent_x", "parent_y"])
+            frontier.drop("known").join(cells, ["parent_x", "parent_y"])
             .withColumn("least", _least_metres())
-            .withColumn("bound", F.min(F.least(_most_metres() * SLACK, "bound")).over(by_group))
+            .withColumn("most", _most_metres() * SLACK)
+            .withColumn("bound", F.min(F.least("most", "bound")).over(by_group))
+            .withColumn("known", F.min_by(F.struct("x0", "ry"), "most").over(by_group))
             .filter("least <= bound")
-            .select(*group_columns, F.col("ix").alias("parent_x"), F.col("iy").alias("parent_y"), "bound")
+            .select(*group_columns, F.col("ix").alias("parent_x"), F.col("iy").alias("parent_y"), "bound", "known")
         )
 
     members = places.select(
         _cell("ux", finest_level).alias("parent_x"), _cell("uy", finest_level).alias("parent_y"), "tx", "ty", "target_id"
     )
-    candidates = frontier.join(members, ["parent_x", "parent_y"]).select("gx", "gy", "tx", "ty", "target_id")
+    # Few groups fan out to many points. Partitions are fixed, since merging small ones here would
+    # leave all that work to one task.
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    candidates = (
+        frontier.repartition(tasks, "gx", "gy", "parent_x", "parent_y")
+        .join(members, ["parent_x", "parent_y"])
+        .select("gx", "gy", "known", "tx", "ty", "target_id")
+    )
+
+    def metres_to(x: Column, y: Column) -> Column:
+        return planar_metres(F.col("kx"), F.col("ky"), F.col("px") - x, F.col("py") - y)
+
     kx, ky = metres_per_degree(F.col("py"))
-    metres = planar_metres(F.col("kx"), F.col("ky"), F.col("px") - F.col("tx"), F.col("py") - F.col("ty"))
     best = (
         probes.withColumn("kx", kx)
         .withColumn("ky", ky)
         .join(candidates, ["gx", "gy"])
-        .select("px", "py", "target_id", metres.alias("metres"))
+        .withColumn("metres", metres_to(F.col("tx"), F.col("ty")))
+        # Most candidates are farther than the known place and never reach the aggregate.
+        .filter(F.col("metres") <= metres_to(F.col("known.x0"), F.col("known.ry")))
         .groupBy("px", "py")
         .agg(F.min(F.struct("metres", "target_id")).alias("best"))
     )

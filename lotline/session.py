@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -10,6 +10,8 @@ SETTINGS = {
     # Join keys follow the data: one map-lot or building may hold much of it.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Recording a Python stack for every column slows down building plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Leave the number of shuffle partitions to the cluster; AQE merges small ones.
 }
 
@@ -19,3 +21,13 @@ def session(app_name: str = "lotline", **settings: str) -> SparkSession:
     for key, value in {**SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than there are cores, spread over all of them.
+
+    For input to work that fans out. Tables with enough splits are left alone, so large ones are
+    never shuffled for this. Meant for scans: counting the splits of a plan with shuffles runs it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

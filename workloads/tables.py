@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lotline.functions.text import normalize_id, year_of
 from lotline.functions.values import truthy_text
+from lotline.session import spread
 
 AS_OF_YEAR = 2026
 
@@ -79,7 +80,7 @@ def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a place in a box of about 0.16 degrees."""
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders")).select(
         F.col("o_orderkey").alias("point_id"),
         "o_orderstatus",
         (F.lit(-71.19) + F.col("o_totalprice") * 0.000000312345679).alias("lon"),
