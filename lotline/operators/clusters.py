@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lotline.functions.geo import inverse_mercator_lat, inverse_mercator_lon, mercator_x, mercator_y
+from lotline.operators.skew import join_lookup
 
 # Cluster radius in pixels, tile extent in pixels, smallest cluster.
 RADIUS = 40
@@ -76,10 +77,10 @@ def cluster_rollup(
     result = groups.filter(merged | alone).select(*columns)
     if min_points <= 2:
         return result
-    # Groups below the threshold are small, so joining their points back meets no skew.
+    # The points of large groups find no partner here, but they are shuffled all the same.
     small = groups.filter(~merged & ~alone).select("_cx", "_cy")
     rest = (
-        placed.join(small, ["_cx", "_cy"], "left_semi")
+        join_lookup(placed, small, ["_cx", "_cy"], "left_semi")
         .groupBy(F.col(id).alias("first_id"), "_x", "_y", "_n")
         .agg(*[column.alias(name) for name, column in extra.items()], F.count(F.lit(1)).alias("_rows"))
         .select(

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
+from lotline.sources.geojson import has_bag, key_list
+
 # How the three logical columns are recognised, and preferred address columns.
 YEAR_PATTERN = r"condition.*year|yearofbuilt|year[_ ]?built|condition_yearbuilt"
 LOT_PATTERN = r"gisid|map[_ ]?lot|maplot|gis_id"
@@ -16,13 +18,9 @@ ADDRESS_COLUMNS = ["dedupe_selected_address", "dedupe_selected", "address", "add
 
 def first_keys(features: DataFrame) -> list[str]:
     """Keys, in document order, of the first row that has properties. One row reaches the driver."""
-    keys = F.json_object_keys("properties_raw")
-    row = (
-        features.filter(F.startswith(F.ltrim("properties_raw"), F.lit("{")))
-        .agg(F.min_by(keys, "ord").alias("keys"))
-        .first()
-    )
-    return list(row["keys"] or [])
+    # Keys are listed for the one row that is left, not for every row.
+    first = features.filter(has_bag()).agg(F.min_by("properties_raw", "ord").alias("raw"))
+    return list(first.select(key_list(F.col("raw")).alias("keys")).first()["keys"] or [])
 
 
 def resolve_key(keys: Iterable[str], pattern: str) -> str | None:

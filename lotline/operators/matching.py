@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lotline.functions.text import is_valid_year, street_number
 from lotline.functions.values import trim_all
 from lotline.operators.bands import band_of_year
+from lotline.operators.skew import join_lookup
 from lotline.sources.bands import DEFAULT_BANDS, Band
 
 PROPERTY_COLUMNS = ["gis_id", "address", "year", "property_class", "zoning"]
@@ -69,9 +70,10 @@ def link_properties(properties: DataFrame, points: DataFrame) -> DataFrame:
     The lookup has one row per map-lot, so this never fans out. Points without a building id
     cannot contribute and are dropped before the shuffle.
     """
-    lookup = point_lookup(drop_blank_keys(points, "bldg_id")).select("ml", "bldg_id", "ambiguous")
-    usable = drop_blank_keys(properties, "gis_id")
-    return usable.join(lookup, usable.gis_id == lookup.ml, "inner").drop("ml")
+    lookup = point_lookup(drop_blank_keys(points, "bldg_id")).select(
+        F.col("ml").alias("gis_id"), "bldg_id", "ambiguous"
+    )
+    return join_lookup(drop_blank_keys(properties, "gis_id"), lookup, ["gis_id"])
 
 
 def keep_existing(matches: DataFrame, buildings: DataFrame) -> DataFrame:
@@ -128,8 +130,7 @@ def building_age(
     # equals them, and do not pile up in one partition.
     own_key = F.concat(F.lit("blank-"), F.xxhash64("building_ord").cast("string"))
     keyed = buildings.withColumn("_key", F.when(F.col("bldg_id") != "", F.col("bldg_id")).otherwise(own_key))
-    matched = representatives.withColumnRenamed("bldg_id", "_key")
-    joined = keyed.join(matched, "_key", "left").drop("_key")
+    joined = join_lookup(keyed.drop("bldg_id"), representatives.withColumnRenamed("bldg_id", "_key"), ["_key"], "left")
 
     valid = F.col("n_matches").isNotNull() & is_valid_year(F.col("year"), as_of_year)
     status = (

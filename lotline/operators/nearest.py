@@ -18,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lotline.functions.geo import metres_per_degree, planar_metres, wrap_degrees
+from lotline.operators.skew import join_lookup
 from lotline.storage import keep
 
 CELL_CAPACITY = 32
@@ -26,6 +27,7 @@ STEP = 2
 MAX_LEVEL = 30
 # Grids up to this level have at most 4**6 = 4096 cells: safe to broadcast.
 BROADCAST_LEVEL = 6
+GRID_COLUMNS = ["ix", "iy", "n", "x0", "x1", "y0", "y1", "ry"]
 # Bounds are computed from box corners: leave room for rounding.
 SLACK = 1 + 1e-9
 
@@ -92,11 +94,16 @@ def _groups(probes: DataFrame) -> DataFrame:
     )
 
 
-def _place_targets(targets: DataFrame, target_id: str, lon: str, lat: str) -> tuple[DataFrame, Column, Column] | None:
-    """Distinct target places with their position in the extent, and that position for points."""
+def _place_targets(
+    targets: DataFrame, target_id: str, lon: str, lat: str
+) -> tuple[DataFrame, int, Column, Column] | None:
+    """Distinct target places with their position in the extent, how many targets there are, and
+    the position of points."""
     located = targets.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
-    west, east, south, north = located.agg(F.min(lon), F.max(lon), F.min(lat), F.max(lat)).first()
-    if west is None:
+    n, west, east, south, north = located.agg(
+        F.count(F.lit(1)), F.min(lon), F.max(lon), F.min(lat), F.max(lat)
+    ).first()
+    if not n:
         return None
     # A little more than the extent, so that the last place is inside the last cell.
     width, height = (east - west or 1.0) * (1 + 1e-9), (north - south or 1.0) * (1 + 1e-9)
@@ -111,12 +118,12 @@ def _place_targets(targets: DataFrame, target_id: str, lon: str, lat: str) -> tu
         .withColumn("ux", ux)
         .withColumn("uy", uy)
     )
-    return keep(places), *position("px", "py")
+    return keep(places), n, *position("px", "py")
 
 
-def _grids(places: DataFrame) -> list[tuple[int, DataFrame]]:
-    """Grids from coarse to fine. The finest one starts at the level that suits even data."""
-    even = math.log(max(places.count() / CELL_CAPACITY, 1), 4)
+def _grids(places: DataFrame, n: int) -> list[tuple[int, DataFrame]]:
+    """Grids from coarse to fine. The finest is at least as fine as ``n`` even places need."""
+    even = math.log(max(n / CELL_CAPACITY, 1), 4)
     level = min(STEP * max(1, math.ceil(even / STEP)), MAX_LEVEL)
     while True:
         finest = keep(_finest_grid(places, level))
@@ -147,8 +154,8 @@ def nearest(
         return points.selectExpr(
             f"`{point_id}` as point_id", f"cast(null as {kind}) as target_id", "cast(null as double) as metres"
         )
-    places, ux, uy = placed
-    grids = _grids(places)
+    places, n, ux, uy = placed
+    grids = _grids(places, n)
     finest_level = grids[-1][0]
 
     probes = (
@@ -163,17 +170,16 @@ def nearest(
     )
     groups = _groups(probes)
     group_columns = groups.columns
-    frontier = groups.selectExpr("*", "0L as parent_x", "0L as parent_y", "double('Infinity') as bound")
-    # The bound holds for every point of the group; "known" is a place that is about as near.
     by_group = Window.partitionBy("gx", "gy")
     up = 2**STEP
-    for level, grid in grids:
-        cells = grid.withColumn("parent_x", F.floor(F.col("ix") / up)).withColumn("parent_y", F.floor(F.col("iy") / up))
-        if level <= BROADCAST_LEVEL:
-            cells = F.broadcast(cells)
-        frontier = (
-            frontier.drop("known").join(cells, ["parent_x", "parent_y"])
-            .withColumn("least", _least_metres())
+
+    def descend(pairs: DataFrame) -> DataFrame:
+        """Groups with the cells that may hold a nearest place, out of groups with cells.
+
+        The bound holds for every point of the group; "known" is a place that is about as near.
+        """
+        return (
+            pairs.withColumn("least", _least_metres())
             .withColumn("most", _most_metres() * SLACK)
             .withColumn("bound", F.min(F.least("most", "bound")).over(by_group))
             .withColumn("known", F.min_by(F.struct("x0", "ry"), "most").over(by_group))
@@ -181,6 +187,16 @@ def nearest(
             .select(*group_columns, F.col("ix").alias("parent_x"), F.col("iy").alias("parent_y"), "bound", "known")
         )
 
+    # The coarsest grid has at most 4**STEP cells: one small value that every group looks at.
+    first_cells = grids[0][1].agg(F.collect_list(F.struct(*GRID_COLUMNS))).scalar()
+    start = groups.withColumn("_cells", first_cells).select("*", F.inline("_cells")).drop("_cells")
+    frontier = descend(start.withColumn("bound", F.lit(float("inf"))))
+    for level, grid in grids[1:]:
+        cells = grid.withColumn("parent_x", F.floor(F.col("ix") / up)).withColumn("parent_y", F.floor(F.col("iy") / up))
+        if level <= BROADCAST_LEVEL:
+            cells = F.broadcast(cells)
+        frontier = descend(frontier.drop("known").join(cells, ["parent_x", "parent_y"]))
+
     members = places.select(
         _cell("ux", finest_level).alias("parent_x"), _cell("uy", finest_level).alias("parent_y"), "tx", "ty", "target_id"
     )
@@ -207,6 +223,5 @@ def nearest(
         .groupBy("px", "py")
         .agg(F.min(F.struct("metres", "target_id")).alias("best"))
     )
-    return points.join(best, (F.col(lon) == F.col("px")) & (F.col(lat) == F.col("py")), "left").select(
-        F.col(point_id).alias("point_id"), "best.target_id", "best.metres"
-    )
+    located = points.select(F.col(point_id).alias("point_id"), F.col(lon).alias("px"), F.col(lat).alias("py"))
+    return join_lookup(located, best, ["px", "py"], "left").select("point_id", "best.target_id", "best.metres")

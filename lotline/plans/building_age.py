@@ -17,7 +17,7 @@ from lotline.operators.matching import building_age, link_properties, representa
 from lotline.operators.report import band_counts, quality_report
 from lotline.session import session
 from lotline.sources.bands import DEFAULT_BANDS, Band, bands_frame, load_bands
-from lotline.sources.geojson import read_features, require_path, write_features
+from lotline.sources.geojson import has_bag, read_features, require_path, write_features
 
 # The names under which ids and attributes may be stored, by preference.
 POINT_LOT_KEYS = ["ml", "ML"]
@@ -32,7 +32,7 @@ def _values(keys: list[str]) -> list:
 
 
 def properties_from(features: DataFrame, keys: dict[str, str]) -> DataFrame:
-    return features.filter("properties is not null").select(
+    return features.filter(has_bag()).select(
         "ord",
         normalize_id(bag_value(F.col("properties"), keys["lot"]), "variant").alias("gis_id"),
         truthy_text(*_values([keys["address"]]), kind="variant").alias("address"),
@@ -43,7 +43,7 @@ def properties_from(features: DataFrame, keys: dict[str, str]) -> DataFrame:
 
 
 def points_from(features: DataFrame) -> DataFrame:
-    return features.filter("properties is not null").select(
+    return features.filter(has_bag()).select(
         "ord",
         normalize_id(truthy_coalesce(*_values(POINT_LOT_KEYS), kind="variant"), "variant").alias("ml"),
         normalize_id(bag_value(F.col("properties"), POINT_BUILDING_KEY), "variant").alias("bldg_id"),

@@ -40,9 +40,14 @@ def read_features(spark: SparkSession, path: str | list[str], layout: str = "doc
     return with_bag(features)
 
 
+def has_bag() -> Column:
+    """Whether the feature has properties, told from the text without parsing it."""
+    return F.startswith(F.ltrim("properties_raw"), F.lit("{"))
+
+
 def with_bag(features: DataFrame) -> DataFrame:
     """Add the parsed property bag; null features and bags give a NULL bag."""
-    bag = F.when(F.startswith(F.ltrim("properties_raw"), F.lit("{")), F.parse_json("properties_raw"))
+    bag = F.when(has_bag(), F.parse_json("properties_raw"))
     return features.select("ord", "geometry", "properties_raw", bag.alias("properties"))
 
 

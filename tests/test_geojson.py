@@ -1,0 +1,226 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from lotline.operators.columns import resolve_address_key, resolve_key, resolve_property_keys
+from lotline.plans.building_age import building_age_from_files, main
+from lotline.plans.key_check import key_check
+from lotline.sources.geojson import read_features, write_features
+
+SQUARE = {"type": "Polygon", "coordinates": [[[0, 0], [1.00000049, 0], [1, 1], [0, 0]]]}
+
+
+def feature(properties, geometry=None, **more):
+    return {"type": "Feature", "geometry": geometry, "properties": properties, **more}
+
+
+def collection(*features):
+    return {"type": "FeatureCollection", "features": list(features)}
+
+
+def write(path, document, **style):
+    path.write_text(json.dumps(document, **style))
+    return str(path)
+
+
+FEATURES = [
+    feature({"zz_year_built": 1890.0, "address": "1 a"}, SQUARE, id=7, bbox=[0, 0, 1, 1]),
+    None,
+    feature(None),
+    feature({"Zoning": "R", "zoning": "r", "ünï": "é\"}{,"}),
+]
+
+
+def rows_of(df):
+    return [(r.geometry and json.loads(r.geometry), r.properties_raw and json.loads(r.properties_raw)) for r in df.orderBy("ord").collect()]
+
+
+WANT = [(SQUARE, {"zz_year_built": 1890.0, "address": "1 a"}), (None, None), (None, None), (None, {"Zoning": "R", "zoning": "r", "ünï": "é\"}{,"})]
+
+
+def test_documents(spark, tmp_path):
+    path = write(tmp_path / "a.geojson", collection(*FEATURES), indent=1)
+    df = read_features(spark, path)
+    assert rows_of(df) == WANT
+    assert df.filter("properties is null").count() == 2
+    keys = df.filter("properties is not null").orderBy("ord").select(F.json_object_keys("properties_raw").alias("k"))
+    assert keys.first().k == ["zz_year_built", "address"]
+
+
+def test_lines(spark, tmp_path):
+    bare = tmp_path / "bare.jsonl"
+    bare.write_text("\n".join(json.dumps(f) for f in FEATURES))
+    assert rows_of(read_features(spark, str(bare), "lines")) == WANT
+    framed = tmp_path / "framed.geojson"
+    body = ",\n".join(json.dumps(f) for f in FEATURES)
+    framed.write_text('{\n"type": "FeatureCollection",\n"name": "x",\n"crs": { "type": "name" },\n"features": [\n' + body + "\n]\n}\n")
+    assert rows_of(read_features(spark, str(framed), "lines")) == WANT
+    empty = write(tmp_path / "empty.geojson", collection())
+    assert read_features(spark, empty, "lines").count() == 0
+
+
+def test_compact(spark, tmp_path):
+    features = [f for f in FEATURES if f]
+    path = write(tmp_path / "c.geojson", collection(*features), separators=(",", ":"))
+    assert rows_of(read_features(spark, path, "compact")) == [w for f, w in zip(FEATURES, WANT) if f]
+
+
+def test_compact_splits_into_tasks_in_order(spark, tmp_path):
+    features = [feature({"n": i, "pad": "x" * 50}) for i in range(3000)]
+    path = write(tmp_path / "c.geojson", collection(*features), separators=(",", ":"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = read_features(spark, path, "compact").select("ord", F.variant_get("properties", "$.n", "int").alias("n"))
+        assert df.rdd.getNumPartitions() > 5
+        assert [r.n for r in df.orderBy("ord").collect()] == list(range(3000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_not_a_collection(spark, tmp_path):
+    for document in ({"type": "Feature"}, {"type": "FeatureCollection"}, {"features": []}):
+        path = write(tmp_path / "bad.geojson", document)
+        with pytest.raises(Exception, match="Expected a GeoJSON FeatureCollection"):
+            read_features(spark, path).collect()
+
+
+def test_repeated_keys_are_an_error(spark, tmp_path):
+    path = tmp_path / "twice.jsonl"
+    path.write_text('{"type":"Feature","geometry":null,"properties":{"a":1,"a":2}}')
+    with pytest.raises(Exception, match="VARIANT_DUPLICATE_KEY"):
+        read_features(spark, str(path), "lines").collect()
+
+
+# --- finding columns ------------------------------------------------------------------------
+
+
+def test_resolve_keys():
+    keys = ["x", "My_Year_Built", "yearofbuilt", "Map Lot", "ADDRESS_2", "dedupe_selected"]
+    assert resolve_key(keys, r"yearofbuilt|year[_ ]?built") == "My_Year_Built"
+    assert resolve_key(keys, r"map[_ ]?lot") == "Map Lot"
+    assert resolve_key(keys, "zip") is None
+    assert resolve_address_key(keys) == "dedupe_selected"
+    assert resolve_address_key(["b_addr", "Address"]) == "b_addr"
+    assert resolve_address_key(["Full_Addr", "addr"]) == "addr"
+
+
+@pytest.mark.parametrize("missing", ["year", "address", "lot"])
+def test_missing_column(spark, tmp_path, missing):
+    bag = {"year": {"condition_YearBuilt": 1}, "address": {"address": None}, "lot": {"gisid": "1"}}
+    given = {k: v for role, part in bag.items() if role != missing for k, v in part.items()}
+    # Only the first row with properties is looked at.
+    path = write(tmp_path / "p.geojson", collection(feature(None), feature(given), feature({**bag[missing]})))
+    with pytest.raises(ValueError, match=f"Missing expected {missing}"):
+        resolve_property_keys(read_features(spark, path))
+
+
+# --- whole jobs -----------------------------------------------------------------------------
+
+
+@pytest.fixture
+def inputs(tmp_path):
+    properties = collection(
+        feature({"GISID": "1-1.0", "condition_YearBuilt": "1890.0", "dedupe_selected_address": "12 main ", "PropertyClass": "", "propertyclass": "R1", "Zoning": "A", "zoning": "b"}),
+        feature({"GISID": "1-1", "condition_YearBuilt": 1900, "dedupe_selected_address": "9 main", "PropertyClass": 0}),
+        feature({"GISID": 22.0, "condition_YearBuilt": 0, "dedupe_selected_address": None, "PropertyClass": "C"}),
+        None,
+        feature(None),
+    )
+    points = collection(
+        feature({"ml": "", "ML": " 1-1", "BldgID": None}),
+        feature({"ml": "1-1", "BldgID": "b2.0"}),
+        feature({"ml": "1-1", "BldgID": "b1"}),
+        feature({"ml": 22, "BldgID": 5}),
+        feature(None),
+    )
+    buildings = collection(
+        feature({"BldgID": "B2"}, SQUARE),
+        feature({"BLDGID": "b1"}, None),
+        feature({"bldgID": "5"}, {"type": "MultiPolygon", "coordinates": [[[[0, 0, 9.99999999], [1, 0, 1], [0, 0, 1]]]]}),
+        feature({}),
+        feature(None),
+        feature({"BldgID": " b2 "}),
+    )
+    return {
+        "properties": write(tmp_path / "properties.geojson", properties),
+        "points": write(tmp_path / "points.geojson", points),
+        "buildings": write(tmp_path / "buildings.geojson", buildings),
+    }
+
+
+def test_job(spark, inputs):
+    rows = building_age_from_files(spark, inputs["properties"], inputs["points"], inputs["buildings"], 2026).orderBy("building_ord").collect()
+    first = rows[0].asDict()
+    assert {k: first[k] for k in first if k not in ("building_ord", "geometry")} == {
+        "GISID": "1-1",
+        "Address": "9 main",
+        "Condition_YearBuilt": 1900,
+        "PropertyClass": None,
+        "Zoning": None,
+        "age": 126,
+        "age_band": "1900-1930",
+        "join_status": "matched",
+        "join_ambiguous": True,
+    }
+    assert [r.join_status for r in rows] == ["matched", "unmatched", "invalid_year", "unmatched", "unmatched", "matched"]
+    assert (rows[2].GISID, rows[2].PropertyClass, rows[2].join_ambiguous) == ("22", "C", False)
+
+
+def test_job_from_the_command_line(spark, inputs, tmp_path, capsys):
+    for layout in ("parquet", "collection", "lines"):
+        out = str(tmp_path / layout)
+        main([inputs["properties"], inputs["points"], inputs["buildings"], out, "--out-layout", layout, "--as-of-year", "2026"])
+    assert "match_pct" in capsys.readouterr().out
+    assert spark.read.parquet(str(tmp_path / "parquet")).count() == 6
+
+    parts = sorted((tmp_path / "collection").glob("part-*"))
+    document = json.loads("".join(p.read_text() for p in parts))
+    assert document["type"] == "FeatureCollection" and len(document["features"]) == 6
+    first = document["features"][0]
+    assert list(first) == ["type", "geometry", "properties"]
+    assert first["geometry"]["coordinates"][0][1] == [1.0, 0.0]
+    assert list(first["properties"]) == [
+        "GISID", "Address", "Condition_YearBuilt", "PropertyClass", "Zoning", "age", "age_band", "join_status", "join_ambiguous",
+    ]
+    assert document["features"][2]["geometry"]["coordinates"][0][0][0] == [0.0, 0.0, 10.0]
+    assert document["features"][3]["geometry"] is None
+
+    again = read_features(spark, str(tmp_path / "collection"), "lines")
+    assert rows_of(again) == rows_of(read_features(spark, str(tmp_path / "lines"), "lines"))
+    assert again.count() == 6
+
+
+def test_writing_many_parts_keeps_the_order(spark, tmp_path):
+    df = spark.range(5000).select(
+        F.col("id").alias("building_ord"),
+        F.lit(None).cast("string").alias("geometry"),
+        F.col("id").cast("string").alias("GISID"),
+        *[F.lit(None).cast("string").alias(c) for c in ("Address", "PropertyClass", "Zoning")],
+        *[F.lit(None).cast("int").alias(c) for c in ("Condition_YearBuilt", "age")],
+        F.lit("unknown").alias("age_band"),
+        F.lit("unmatched").alias("join_status"),
+        F.lit(False).alias("join_ambiguous"),
+    )
+    write_features(df.repartition(7), str(tmp_path / "out"), "collection")
+    parts = sorted((tmp_path / "out").glob("part-*"))
+    document = json.loads("".join(p.read_text() for p in parts))
+    assert [f["properties"]["GISID"] for f in document["features"]] == [str(i) for i in range(5000)]
+
+
+def test_unusable_inputs(spark, inputs, tmp_path):
+    with pytest.raises(ValueError, match="Missing file"):
+        building_age_from_files(spark, str(tmp_path / "none.geojson"), inputs["points"], inputs["buildings"], 2026)
+    empty = write(tmp_path / "empty.geojson", collection(feature({"BldgID": " "})))
+    with pytest.raises(ValueError, match="No buildings with an id"):
+        building_age_from_files(spark, inputs["properties"], inputs["points"], empty, 2026)
+
+
+def test_key_check(spark, tmp_path):
+    left = write(tmp_path / "l.geojson", collection(*[feature(p) for p in ({"gisid": " b "}, {"gisid": "", "map_lot": 7}, {"gisid": "a"}, {"gisid": "b"}, {"gisid": " "}, {"x": 1})]))
+    right = write(tmp_path / "r.geojson", collection(*[feature(p) for p in ({"BldgID": "b"}, {"BLDG_ID": "7 "}, {"buildingid": " "}, {"BldgID": 0, "BLDGID": "A"}, {})]))
+    counts, sample = key_check(read_features(spark, left), read_features(spark, right))
+    # A blank id counts for buildings only; case matters.
+    assert counts.first().asDict() == {"property_ids": 3, "building_ids": 4, "common_ids": 2}
+    assert [r.id for r in sample.collect()] == ["b", "7"]

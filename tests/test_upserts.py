@@ -1,0 +1,67 @@
+import pytest
+
+from lotline.operators.upserts import CHANGE_SCHEMA, apply_feature_diff
+from lotline.streaming.upserts import feature_updates, version_path
+
+FEATURES = "id bigint, geometry string, properties map<string,string>"
+BASE = [(i, f"g{i}", {"a": str(i), "b": "x"}) for i in range(1, 7)]
+
+
+def change(ord, op, id=None, geometry=None, properties=None, remove=None, remove_all=None):
+    return (ord, op, id, geometry, properties, remove, remove_all)
+
+
+CHANGES = [
+    change(0, "update", 1, properties={"a": "new", "c": "3"}, remove=["b", "c", "zz"]),
+    change(1, "remove", 2),
+    change(2, "remove", 3),
+    change(3, "add", 3, "again", {"n": "1"}),
+    change(4, "update", 3, geometry="moved"),
+    change(5, "add", 10, "first", {"n": "1"}),
+    change(6, "add", 10, "last", None),
+    change(7, "update", 4, "m", {"ignored": "1"}, remove_all=True),
+    change(8, "update", 5, properties={"a": "early"}),
+    change(9, "update", 5, properties={"z": "late"}),
+    change(10, "update", 77, properties={"a": "nobody"}),
+    change(11, "add", 6, "replaced", {"q": "1"}),
+]
+WANT = {
+    1: ("g1", {"a": "new", "c": "3"}),
+    3: ("moved", {"n": "1"}),
+    4: ("m", {}),
+    5: ("g5", {"a": "5", "b": "x", "z": "late"}),
+    6: ("replaced", {"q": "1"}),
+    10: ("last", None),
+}
+
+
+def result(df):
+    return {r.id: (r.geometry, r.properties) for r in df.collect()}
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_changes(spark, partitions):
+    base = spark.createDataFrame(BASE, FEATURES)
+    changes = spark.createDataFrame(list(reversed(CHANGES)), CHANGE_SCHEMA).repartition(partitions)
+    assert result(apply_feature_diff(base, changes)) == WANT
+
+
+def test_remove_all_comes_first(spark):
+    base = spark.createDataFrame(BASE, FEATURES)
+    changes = spark.createDataFrame(
+        [change(0, "add", 9, "g", {"k": "v"}), change(1, "remove_all"), change(2, "update", 1, geometry="gone")], CHANGE_SCHEMA
+    )
+    assert result(apply_feature_diff(base, changes)) == {9: ("g", {"k": "v"})}
+
+
+def test_stream_of_changes(spark, tmp_path):
+    base, table, inbox = (str(tmp_path / name) for name in ("base", "table", "inbox"))
+    spark.createDataFrame(BASE, FEATURES).write.parquet(base)
+    for part in (CHANGES[:5], CHANGES[5:]):
+        spark.createDataFrame(part, CHANGE_SCHEMA).coalesce(1).write.mode("append").json(inbox, ignoreNullFields=False)
+    stream = spark.readStream.schema(CHANGE_SCHEMA).option("maxFilesPerTrigger", 1).json(inbox)
+    query = feature_updates(stream, base, table, str(tmp_path / "progress")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert query.exception() is None
+    # Applying in two steps gives the same, as no change of the second undoes one of the first.
+    assert result(spark.read.parquet(version_path(table, 1))) == WANT
