@@ -67,14 +67,10 @@ def escape_html(text: Column) -> Column:
 
 
 def display_value(value: Column, kind: str = "string") -> Column:
-    """Escaped text, or ``Unknown`` for null, blank, non-finite and non-scalar values."""
-    unknown = F.lit("Unknown")
+    """Escaped text, or ``Unknown`` for null, blank and non-finite values."""
     text = text_of(value, kind)
+    shown = trim_all(text) != ""
     if kind == "number":
         as_double = value.cast("double")
-        shown = (as_double == as_double) & ~F.isnan(as_double) & (F.abs(as_double) != F.lit(float("inf")))
-    elif kind == "variant":
-        shown = (trim_all(text) != "") & ~F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)")
-    else:
-        shown = trim_all(text) != ""
-    return F.when(shown, escape_html(text)).otherwise(unknown)
+        shown = ~F.isnan(as_double) & (F.abs(as_double) != F.lit(float("inf")))
+    return F.when(shown, escape_html(text)).otherwise("Unknown")

@@ -2,7 +2,8 @@
 
 Property bags hold strings, numbers, booleans and nulls side by side. The helpers
 below say what counts as "present" and how a value reads as text. ``kind`` names the
-static type of a column: ``string``, ``number``, ``boolean`` or ``variant``.
+static type of a column: ``string``, ``number`` or ``boolean``. Values of property bags are read
+with :mod:`lotline.operators.bags`.
 """
 
 from __future__ import annotations
@@ -35,18 +36,6 @@ def bag_has(keys: Column, key: str) -> Column:
     return F.array_contains(keys, F.lit(key))
 
 
-def variant_type(value: Column) -> Column:
-    """``string``, ``boolean``, ``number``, ``null``, ``object``; NULL when absent."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(name.isin("STRING"), "string")
-        .when(name.isin("BOOLEAN"), "boolean")
-        .when(name.isin("VOID"), "null")
-        .when(name.rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"), "number")
-        .when(name.isNotNull(), "object")
-    )
-
-
 def number_text(number: Column) -> Column:
     """Plain text of a number: no trailing ``.0`` and no exponent."""
     as_double = number.cast("double")
@@ -63,12 +52,7 @@ def text_of(value: Column, kind: str = "string") -> Column:
         return value
     if kind == "number":
         return number_text(value)
-    if kind == "boolean":
-        return value.cast("string")
-    return F.when(
-        F.schema_of_variant(value).isin("DOUBLE", "FLOAT"),
-        number_text(F.try_variant_get(value, "$", "double")),
-    ).otherwise(F.try_variant_get(value, "$", "string"))
+    return value.cast("string")
 
 
 def truthy(value: Column, kind: str = "string") -> Column:
@@ -77,16 +61,8 @@ def truthy(value: Column, kind: str = "string") -> Column:
         test = value != ""
     elif kind == "number":
         test = (value != 0) & ~F.isnan(value.cast("double"))
-    elif kind == "boolean":
-        test = value
     else:
-        kind_name = variant_type(value)
-        test = (
-            F.when(kind_name == "string", F.try_variant_get(value, "$", "string") != "")
-            .when(kind_name == "boolean", F.try_variant_get(value, "$", "boolean"))
-            .when(kind_name == "number", F.try_variant_get(value, "$", "double") != 0)
-            .otherwise(kind_name == "object")
-        )
+        test = value
     return F.coalesce(test, F.lit(False))
 
 

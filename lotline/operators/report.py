@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lotline.functions.geo import to_fixed
-from lotline.functions.values import bag_value, trim_all, variant_type
+from lotline.functions.values import trim_all
+from lotline.operators.bags import NUMBER, first_present, read_bag
 from lotline.sources.bands import UNKNOWN
 
 
@@ -41,13 +42,10 @@ def band_counts(df: DataFrame, bands: DataFrame) -> DataFrame:
 def year_coverage(df: DataFrame, bag: str = "properties") -> DataFrame:
     """Share of features whose year is a number; numeric text does not count."""
 
-    def present(key: str) -> Column:
-        # A null value gives way to the next key, just as an absent one does.
-        value = bag_value(F.col(bag), key)
-        return F.when(variant_type(value) != "null", variant_type(value))
-
-    is_number = F.coalesce(present("year_built"), present("Condition_YearBuilt")) == "number"
-    counts = df.agg(
+    rows, values = read_bag(df, ["year_built", "Condition_YearBuilt"], bag)
+    # A null value gives way to the next key, just as an absent one does.
+    is_number = first_present(*values.values()).kind == NUMBER
+    counts = rows.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(is_number).alias("with_year"),
     )

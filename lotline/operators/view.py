@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lotline.functions.text import display_value
-from lotline.functions.values import bag_value, variant_type
+from lotline.operators.bags import OBJECT, first_present, read_bag
 
 
-def _first_present(bag: str, *keys: str) -> Column:
-    values = [bag_value(F.col(bag), k) for k in keys]
-    return F.coalesce(*[F.when(variant_type(v) != "null", v) for v in values])
+# The names under which a shown value may be stored, by preference.
+SHOWN = {
+    "address": ["address", "Address"],
+    "year_built": ["year_built", "Condition_YearBuilt"],
+    "age": ["age"],
+}
 
 
 def display_card(df: DataFrame, keep: list[str], bag: str = "properties") -> DataFrame:
-    """Popup texts out of a property bag, HTML-safe; missing ones read ``Unknown``."""
-    return df.select(
-        *keep,
-        display_value(_first_present(bag, "address", "Address"), "variant").alias("address"),
-        display_value(_first_present(bag, "year_built", "Condition_YearBuilt"), "variant").alias("year_built"),
-        display_value(_first_present(bag, "age"), "variant").alias("age"),
-    )
+    """Popup texts out of a property bag, HTML-safe; missing and compound ones read ``Unknown``."""
+    rows, values = read_bag(df, [k for keys in SHOWN.values() for k in keys], bag)
+    found = {name: first_present(*[values[k] for k in keys]) for name, keys in SHOWN.items()}
+    texts = rows.select(*keep, *[F.when(v.kind != OBJECT, v.text).alias(name) for name, v in found.items()])
+    return texts.select(*keep, *[display_value(F.col(name)).alias(name) for name in SHOWN])
 
 
 def display_card_columns(df: DataFrame, keep: list[str]) -> DataFrame:

@@ -11,13 +11,14 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lotline.functions.text import normalize_id, year_of
-from lotline.functions.values import bag_value, truthy_coalesce, truthy_text
+from lotline.operators.bags import first_truthy, first_truthy_or_last, read_bag
 from lotline.operators.columns import resolve_property_keys
 from lotline.operators.matching import building_age, link_properties, representative_property
 from lotline.operators.report import band_counts, quality_report
 from lotline.session import session
 from lotline.sources.bands import DEFAULT_BANDS, Band, bands_frame, load_bands
 from lotline.sources.geojson import has_bag, read_features, require_path, write_features
+from lotline.storage import keep
 
 # The names under which ids and attributes may be stored, by preference.
 POINT_LOT_KEYS = ["ml", "ML"]
@@ -27,34 +28,34 @@ CLASS_KEYS = ["PropertyClass", "propertyclass"]
 ZONING_KEYS = ["Zoning", "zoning"]
 
 
-def _values(keys: list[str]) -> list:
-    return [bag_value(F.col("properties"), k) for k in keys]
-
-
 def properties_from(features: DataFrame, keys: dict[str, str]) -> DataFrame:
-    return features.filter(has_bag()).select(
+    wanted = [*keys.values(), *CLASS_KEYS, *ZONING_KEYS]
+    rows, bag = read_bag(features.filter(has_bag()), wanted)
+    return rows.select(
         "ord",
-        normalize_id(bag_value(F.col("properties"), keys["lot"]), "variant").alias("gis_id"),
-        truthy_text(*_values([keys["address"]]), kind="variant").alias("address"),
-        year_of(bag_value(F.col("properties"), keys["year"]), "variant").alias("year"),
-        truthy_text(*_values(CLASS_KEYS), kind="variant").alias("property_class"),
-        truthy_text(*_values(ZONING_KEYS), kind="variant").alias("zoning"),
+        normalize_id(bag[keys["lot"]].text).alias("gis_id"),
+        first_truthy(bag[keys["address"]]).alias("address"),
+        year_of(first_truthy(bag[keys["year"]])).alias("year"),
+        first_truthy(*[bag[k] for k in CLASS_KEYS]).alias("property_class"),
+        first_truthy(*[bag[k] for k in ZONING_KEYS]).alias("zoning"),
     )
 
 
 def points_from(features: DataFrame) -> DataFrame:
-    return features.filter(has_bag()).select(
+    rows, bag = read_bag(features.filter(has_bag()), [*POINT_LOT_KEYS, POINT_BUILDING_KEY])
+    return rows.select(
         "ord",
-        normalize_id(truthy_coalesce(*_values(POINT_LOT_KEYS), kind="variant"), "variant").alias("ml"),
-        normalize_id(bag_value(F.col("properties"), POINT_BUILDING_KEY), "variant").alias("bldg_id"),
+        normalize_id(first_truthy_or_last(*[bag[k] for k in POINT_LOT_KEYS])).alias("ml"),
+        normalize_id(bag[POINT_BUILDING_KEY].text).alias("bldg_id"),
     )
 
 
 def buildings_from(features: DataFrame) -> DataFrame:
-    return features.select(
+    rows, bag = read_bag(features, BUILDING_KEYS)
+    return rows.select(
         F.col("ord").alias("building_ord"),
         "geometry",
-        normalize_id(truthy_coalesce(*_values(BUILDING_KEYS), kind="variant"), "variant").alias("bldg_id"),
+        normalize_id(first_truthy_or_last(*[bag[k] for k in BUILDING_KEYS])).alias("bldg_id"),
     )
 
 
@@ -82,7 +83,11 @@ def building_age_from_files(
     bands: list[Band] = DEFAULT_BANDS,
     layout: str = "document",
 ) -> DataFrame:
-    """Read, check and link three feature collections. ``ValueError`` on unusable inputs."""
+    """Read, check and link three feature collections. ``ValueError`` on unusable inputs.
+
+    Properties and points are taken out of their bags once and kept as narrow rows. Otherwise the
+    filters on their keys would move below the parsing and parse every bag again.
+    """
     for path in (properties_path, points_path, buildings_path):
         require_path(spark, path)
     properties = read_features(spark, properties_path, layout)
@@ -90,8 +95,8 @@ def building_age_from_files(
     buildings = buildings_from(read_features(spark, buildings_path, layout))
     if buildings.filter("bldg_id <> ''").isEmpty():
         raise ValueError(f"No buildings with an id found in {buildings_path}")
-    points = points_from(read_features(spark, points_path, layout))
-    return link_buildings(properties_from(properties, keys), points, buildings, as_of_year, bands)
+    points = keep(points_from(read_features(spark, points_path, layout)))
+    return link_buildings(keep(properties_from(properties, keys)), points, buildings, as_of_year, bands)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from lotline.functions.values import bag_value, truthy_text
+from lotline.operators.bags import first_truthy, read_bag
 from lotline.operators.report import key_overlap, key_overlap_sample
 
 # The names under which each side may keep its id, by preference.
@@ -13,8 +13,8 @@ BUILDING_ID_KEYS = ["BldgID", "BLDGID", "buildingid", "BLDG_ID"]
 
 
 def _ids(features: DataFrame, keys: list[str]) -> DataFrame:
-    values = [bag_value(F.col("properties"), k) for k in keys]
-    return features.select("ord", truthy_text(*values, kind="variant").alias("id")).filter("id is not null")
+    rows, bag = read_bag(features, keys)
+    return rows.select("ord", first_truthy(*[bag[k] for k in keys]).alias("id")).filter("id is not null")
 
 
 def key_check(properties: DataFrame, buildings: DataFrame, n: int = 20) -> tuple[DataFrame, DataFrame]:

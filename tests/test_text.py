@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotline.functions.text import display_value, escape_html, is_valid_year, normalize_id, parse_year, street_number, year_of
-from lotline.functions.values import number_text, trim_all, truthy_coalesce, truthy_text
+from lotline.functions.values import number_text, trim_all, truthy_coalesce
+from lotline.operators.bags import first_truthy, first_truthy_or_last, read_bag
 
 
 def apply(spark, function, values, kind="string"):
@@ -122,6 +123,12 @@ def test_truthy_coalesce(spark, kind, rows, expected):
 def test_truthy_variants(spark):
     bags = ['{"v":0}', '{"v":"0"}', '{"v":""}', '{"v":false}', '{"v":true}', '{"v":null}', "{}", '{"v":1e3}', '{"v":17.0}']
     df = spark.createDataFrame([(i, b) for i, b in enumerate(bags)], "i int, b string")
-    value = F.variant_get(F.parse_json("b"), "$.v", "variant")
-    out = df.select("i", truthy_text(value, kind="variant").alias("o")).orderBy("i").collect()
+    rows, values = read_bag(df.select("i", F.parse_json("b").alias("properties")), ["v", "w"])
+    chosen = rows.select(
+        "i", first_truthy(values["v"]).alias("o"), first_truthy_or_last(values["w"], values["v"]).alias("last"), values["v"].kind.alias("kind")
+    )
+    out = chosen.orderBy("i").collect()
     assert [r.o for r in out] == [None, "0", None, None, "true", None, None, "1000", "17"]
+    assert [r.last for r in out] == ["0", "0", "", "false", "true", None, None, "1000", "17"]
+    kinds = ["number", "string", "string", "boolean", "boolean", None, None, "number", "number"]
+    assert [r.kind for r in out] == kinds

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lotline.functions.geo import polygons_box, round_nested
 from lotline.functions.text import normalize_id, parse_year, street_number
-from lotline.functions.values import bag_has, bag_value, truthy_coalesce, truthy_text, variant_type
+from lotline.functions.values import bag_has, truthy_coalesce
 from lotline.operators import bands as band_ops
 from lotline.operators import matching, report, view
+from lotline.operators.bags import first_truthy, read_bag
 from lotline.operators.clusters import cluster_rollup
 from lotline.operators.containment import hit_test, points_within, within_any
 from lotline.operators.nearest import nearest
@@ -197,11 +198,10 @@ def exact_case_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("ord"), F.lit(None).cast("string").alias("geometry"), bag.alias("properties_raw")
     )
-    return with_bag(raw).select(
+    rows, values = read_bag(with_bag(raw), ["Zone", "Zoning", "zoning"])
+    return rows.select(
         F.col("ord").alias("p_partkey"),
-        truthy_text(*[bag_value(F.col("properties"), k) for k in ("Zone", "Zoning", "zoning")], kind="variant").alias(
-            "zoning"
-        ),
+        first_truthy(*values.values()).alias("zoning"),
         bag_has(key_list(F.col("properties_raw")), "Zoning").alias("has_upper"),
         bag_has(key_list(F.col("properties_raw")), "Zone").alias("has_zone"),
     )
@@ -288,11 +288,11 @@ def scan_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("ord"), F.lit(None).cast("string").alias("geometry"), F.col("props").alias("properties_raw")
     )
-    value = bag_value(F.col("properties"), "k")
-    return with_bag(raw).select(
+    rows, values = read_bag(with_bag(raw), ["k"])
+    return rows.select(
         F.col("ord").alias("event_id"),
-        F.try_variant_get(value, "$", "bigint").alias("k"),
-        variant_type(value).alias("k_type"),
+        values["k"].text.cast("bigint").alias("k"),
+        values["k"].kind.alias("k_type"),
         F.array_join(key_list(F.col("properties_raw")), ",").alias("keys"),
     )
 
