@@ -78,7 +78,8 @@ def link_properties(properties: DataFrame, points: DataFrame) -> DataFrame:
 
 def keep_existing(matches: DataFrame, buildings: DataFrame) -> DataFrame:
     """Matches whose building exists; repeated building ids do not repeat matches."""
-    return matches.join(drop_blank_keys(buildings, "bldg_id").select("bldg_id"), "bldg_id", "left_semi")
+    existing = drop_blank_keys(buildings, "bldg_id").select("bldg_id").distinct()
+    return join_lookup(matches, existing, ["bldg_id"], "left_semi")
 
 
 def representative_property(matches: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from lotline.operators.matching import building_age, link_properties, representa
 from lotline.operators.report import band_counts, quality_report
 from lotline.session import session
 from lotline.sources.bands import DEFAULT_BANDS, Band, bands_frame, load_bands
-from lotline.sources.geojson import has_bag, read_features, require_path, write_features
+from lotline.sources.geojson import has_bag, read_features, read_output, require_path, write_features
 from lotline.storage import keep
 
 # The names under which ids and attributes may be stored, by preference.
@@ -106,7 +106,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("buildings")
     parser.add_argument("out")
     parser.add_argument("--bands", help="JSON array of bands (default: built in)")
-    parser.add_argument("--layout", default="document", choices=["document", "lines", "compact"])
+    parser.add_argument("--layout", default="document", choices=["document", "lines", "compact", "parquet"])
     parser.add_argument("--out-layout", default="parquet", choices=["parquet", "lines", "collection"])
     parser.add_argument("--as-of-year", type=int, default=date.today().year)
     args = parser.parse_args(argv)
@@ -119,8 +119,8 @@ def main(argv: list[str] | None = None) -> None:
         spark, args.properties, args.points, args.buildings, args.as_of_year, bands, args.layout
     )
     write_features(linked, args.out, args.out_layout)
-    # The report reads the written table when there is one, rather than linking again.
-    result = spark.read.parquet(args.out) if args.out_layout == "parquet" else linked
+    # The report reads what was written, rather than linking again.
+    result = read_output(spark, args.out, args.out_layout)
     quality_report(result).show(truncate=False)
     band_counts(result, bands_frame(spark, bands)).orderBy("band_ord").show(truncate=False)
 

@@ -3,7 +3,7 @@
 Rows have the shape ``(ord, geometry STRING, properties_raw STRING, properties VARIANT)``.
 ``ord`` orders rows as the input does; every "first" in this library is the lowest ``ord``.
 
-Three layouts can be read:
+Three text layouts can be read:
 
 ``document``  any valid collection. One JSON document cannot be split, so each file is one
               task: right for small files and for one-off ingestion into Parquet.
@@ -14,6 +14,9 @@ Three layouts can be read:
               That text is the record separator, so this splits too. It must not occur
               inside a property bag.
 
+What is used more than once is best brought into a table first (:func:`ingest_features`) and read
+with the layout ``parquet``.
+
 Duplicate keys inside one property object raise an error, since it is not clear which counts.
 """
 
@@ -35,11 +38,18 @@ def read_features(spark: SparkSession, path: str | list[str], layout: str = "doc
         features = _read_lines(spark, path)
     elif layout == "compact":
         features = _read_compact(spark, path)
+    elif layout == "parquet":
+        features = spark.read.parquet(*([path] if isinstance(path, str) else path))
     else:
-        raise ValueError(f"Unknown layout {layout!r}: expected document, lines or compact")
+        raise ValueError(f"Unknown layout {layout!r}: expected document, lines, compact or parquet")
     return with_bag(features)
 
 
+def ingest_features(spark: SparkSession, source: str | list[str], table: str, layout: str = "document") -> None:
+    """Write a feature collection as a table of ``(ord, geometry, properties_raw)``."""
+    read_features(spark, source, layout).drop("properties").write.mode("overwrite").parquet(table)
+
+
 def has_bag() -> Column:
     """Whether the feature has properties, told from the text without parsing it."""
     return F.startswith(F.ltrim("properties_raw"), F.lit("{"))
@@ -123,6 +133,11 @@ OUTPUT_PROPERTIES = [
     "join_ambiguous",
 ]
 
+OUTPUT_SCHEMA = (
+    "GISID string, Address string, Condition_YearBuilt int, PropertyClass string, Zoning string, "
+    "age int, age_band string, join_status string, join_ambiguous boolean"
+)
+
 
 def feature_json(geometry: Column, properties: list[Column]) -> Column:
     """One feature as JSON text; null members are written out."""
@@ -173,6 +188,15 @@ def _collection_lines(features: DataFrame) -> DataFrame:
     return body.unionByName(frame)
 
 
+def read_output(spark: SparkSession, path: str, layout: str = "parquet") -> DataFrame:
+    """Rows that :func:`write_features` wrote, with typed columns."""
+    if layout == "parquet":
+        return spark.read.parquet(path)
+    bag = F.from_json("properties_raw", OUTPUT_SCHEMA).alias("bag")
+    features = read_features(spark, path, "lines").select(F.col("ord").alias("building_ord"), "geometry", bag)
+    return features.select("building_ord", "geometry", "bag.*")
+
+
 # --- preconditions ------------------------------------------------------------------------
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from lotline.operators.columns import resolve_address_key, resolve_key, resolve_property_keys
 from lotline.plans.building_age import building_age_from_files, main
 from lotline.plans.key_check import key_check
-from lotline.sources.geojson import read_features, write_features
+from lotline.plans.key_check import main as key_check_main
+from lotline.sources.geojson import ingest_features, read_features, read_output, write_features
 
 SQUARE = {"type": "Polygon", "coordinates": [[[0, 0], [1.00000049, 0], [1, 1], [0, 0]]]}
 
@@ -79,6 +80,14 @@ def test_compact_splits_into_tasks_in_order(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_ingested_table(spark, tmp_path):
+    path = write(tmp_path / "a.geojson", collection(*FEATURES))
+    ingest_features(spark, path, str(tmp_path / "table"))
+    assert rows_of(read_features(spark, str(tmp_path / "table"), "parquet")) == WANT
+    with pytest.raises(ValueError, match="Unknown layout"):
+        read_features(spark, path, "shapefile")
+
+
 def test_not_a_collection(spark, tmp_path):
     for document in ({"type": "Feature"}, {"type": "FeatureCollection"}, {"features": []}):
         path = write(tmp_path / "bad.geojson", document)
@@ -187,6 +196,11 @@ def test_job_from_the_command_line(spark, inputs, tmp_path, capsys):
     assert document["features"][2]["geometry"]["coordinates"][0][0][0] == [0.0, 0.0, 10.0]
     assert document["features"][3]["geometry"] is None
 
+    written = [read_output(spark, str(tmp_path / layout), layout).drop("building_ord", "geometry") for layout in ("parquet", "collection", "lines")]
+    assert written[0].schema.simpleString() == written[1].schema.simpleString()
+    rows = [sorted(df.collect(), key=str) for df in written]
+    assert rows[0] == rows[1] == rows[2]
+
     again = read_features(spark, str(tmp_path / "collection"), "lines")
     assert rows_of(again) == rows_of(read_features(spark, str(tmp_path / "lines"), "lines"))
     assert again.count() == 6
@@ -217,10 +231,12 @@ def test_unusable_inputs(spark, inputs, tmp_path):
         building_age_from_files(spark, inputs["properties"], inputs["points"], empty, 2026)
 
 
-def test_key_check(spark, tmp_path):
+def test_key_check(spark, tmp_path, capsys):
     left = write(tmp_path / "l.geojson", collection(*[feature(p) for p in ({"gisid": " b "}, {"gisid": "", "map_lot": 7}, {"gisid": "a"}, {"gisid": "b"}, {"gisid": " "}, {"x": 1})]))
     right = write(tmp_path / "r.geojson", collection(*[feature(p) for p in ({"BldgID": "b"}, {"BLDG_ID": "7 "}, {"buildingid": " "}, {"BldgID": 0, "BLDGID": "A"}, {})]))
     counts, sample = key_check(read_features(spark, left), read_features(spark, right))
     # A blank id counts for buildings only; case matters.
     assert counts.first().asDict() == {"property_ids": 3, "building_ids": 4, "common_ids": 2}
     assert [r.id for r in sample.collect()] == ["b", "7"]
+    key_check_main([left, right])
+    assert "common_ids" in capsys.readouterr().out

@@ -151,17 +151,17 @@ ORACLE: dict[str, str] = {
     "key_overlap_sample": """SELECT CAST(l_partkey AS VARCHAR) AS id FROM (
           SELECT l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_suppkey, l_partkey) AS ord FROM lineitem)
         WHERE l_partkey IN (SELECT o_orderkey FROM orders) GROUP BY l_partkey ORDER BY min(ord) LIMIT 20""",
-    "normalized_ids": f"""WITH {_VARIANTS} SELECT p_partkey, CASE kind
+    "normalize_id": f"""WITH {_VARIANTS} SELECT p_partkey, CASE kind
           WHEN 0 THEN CAST(p_partkey AS VARCHAR)
           WHEN 2 THEN p_partkey || '.0'
           WHEN 3 THEN p_partkey || ' '
           WHEN 7 THEN upper(raw)
           ELSE upper(trim(coalesce(raw, ''), {_SPACES})) END AS id
         FROM variants""",
-    "street_numbers": f"""WITH {_VARIANTS} SELECT p_partkey, CASE
+    "street_number": f"""WITH {_VARIANTS} SELECT p_partkey, CASE
           WHEN kind IN (0, 2, 3) THEN p_partkey::DOUBLE WHEN kind = 6 THEN p_size::DOUBLE ELSE -1::DOUBLE END AS street_number
         FROM variants""",
-    "parsed_years": f"""WITH {_VARIANTS} SELECT p_partkey, CASE
+    "parse_year": f"""WITH {_VARIANTS} SELECT p_partkey, CASE
           WHEN kind = 0 THEN p_partkey
           WHEN kind = 2 THEN CAST(p_partkey || '0' AS BIGINT)
           WHEN kind = 3 THEN p_partkey
@@ -169,7 +169,7 @@ ORACLE: dict[str, str] = {
           WHEN kind = 7 THEN CAST((1580 + p_partkey % 470) || '5' AS BIGINT)
           WHEN kind = 8 THEN CAST('-' || p_size || p_partkey AS BIGINT) END AS year
         FROM variants""",
-    "truthy_choice": """WITH v AS (SELECT p_partkey,
+    "truthy_coalesce": """WITH v AS (SELECT p_partkey,
           CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN p_name END AS a,
           CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN p_type END AS b,
           CASE WHEN p_size % 5 > 1 THEN p_size WHEN p_size % 5 = 1 THEN 0 END AS m,
@@ -227,7 +227,7 @@ ORACLE: dict[str, str] = {
           CASE WHEN u.l_linenumber > 4 THEN NULL ELSE p.priority END AS priority,
           CASE WHEN u.l_linenumber = 7 THEN NULL ELSE p.line END AS line
         FROM present p LEFT JOIN updates u ON p.id = u.id""",
-    "tile_rollup_points": f"""WITH {_PLACES} SELECT 14 AS z, CAST(floor({_x('lon')} * 16384) AS INTEGER) AS x,
+    "tile_rollup": f"""WITH {_PLACES} SELECT 14 AS z, CAST(floor({_x('lon')} * 16384) AS INTEGER) AS x,
         CAST(floor({_y('lat')} * 16384) AS INTEGER) AS y, o_orderstatus, count(*) AS n_features FROM places GROUP BY ALL""",
     "tile_rollup_polygons": f"""WITH {_TARGETS}, boxes AS (SELECT c_mktsegment,
           CAST(floor({_x('(lon - reach)')} * 32768 - 0.25) AS INTEGER) AS x0,
@@ -238,10 +238,10 @@ ORACLE: dict[str, str] = {
         cells AS (SELECT c_mktsegment, x, unnest(generate_series(y0, y1)) AS y FROM cols)
         SELECT 15 AS z, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, c_mktsegment, count(*) AS n_features
         FROM cells GROUP BY ALL""",
-    "points_in_polygons": f"WITH {_PLACES}, {_TARGETS}, {_INSIDE} SELECT point_id, polygon_id FROM inside",
-    "points_in_any_polygon": f"""WITH {_PLACES}, {_TARGETS}, {_INSIDE} SELECT point_id,
+    "points_within": f"WITH {_PLACES}, {_TARGETS}, {_INSIDE} SELECT point_id, polygon_id FROM inside",
+    "within_any": f"""WITH {_PLACES}, {_TARGETS}, {_INSIDE} SELECT point_id,
         point_id IN (SELECT point_id FROM inside) AS within FROM places""",
-    "first_polygon_hit": f"""WITH {_PLACES}, {_TARGETS}, {_INSIDE}
+    "hit_test": f"""WITH {_PLACES}, {_TARGETS}, {_INSIDE}
         SELECT point_id, min(polygon_id) AS polygon_id FROM inside GROUP BY point_id""",
     "nearest_point": f"""WITH {_PLACES}, {_TARGETS},
         scaled AS (SELECT *, {_KX} AS kx, {_KY} AS ky FROM (
@@ -251,7 +251,7 @@ ORACLE: dict[str, str] = {
           FROM scaled p, targets t)
         SELECT point_id, arg_min(target_id, (d, target_id)) AS target_id, round(min(d), 3) AS metres
         FROM pairs GROUP BY point_id""",
-    "cluster_rollup_points": f"""WITH {_PLACES}, cells AS (
+    "cluster_rollup": f"""WITH {_PLACES}, cells AS (
           SELECT min(point_id) AS first_id, count(*) AS n, avg({_x('lon')}) AS x, avg({_y('lat')}) AS y FROM places
           GROUP BY floor({_x('lon')} * (512 * 65536 / 40.0::DOUBLE)), floor({_y('lat')} * (512 * 65536 / 40.0::DOUBLE)))
         SELECT n > 1 AS is_cluster, first_id, round((x - 0.5) * 360, 6) AS lon,

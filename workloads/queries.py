@@ -28,7 +28,8 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    """Register under the function's name, less the underscore that keeps it apart from an import."""
+    QUERIES[function.__name__.rstrip("_")] = function
     return function
 
 
@@ -154,12 +155,12 @@ def _variants() -> Column:
 
 
 @query
-def normalized_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+def normalize_id_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", normalize_id(_variants()).alias("id"))
 
 
 @query
-def street_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def street_number_(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = street_number(_variants())
     # Infinity is shown as -1 so that every engine prints the same.
     shown = F.when(number == float("inf"), F.lit(-1.0)).otherwise(number)
@@ -167,12 +168,12 @@ def street_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def parsed_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parse_year_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", parse_year(_variants()).alias("year"))
 
 
 @query
-def truthy_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+def truthy_coalesce_(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first present value; without one the last, be it empty or null."""
     part = table(spark, sf_dir, "part").select(
         "p_partkey",
@@ -333,7 +334,7 @@ def feature_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def tile_rollup_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tile_rollup_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return point_tile_rollup(tables.order_points(spark, sf_dir), "lon", "lat", 14, "o_orderstatus")
 
 
@@ -344,17 +345,17 @@ def tile_rollup_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def points_in_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+def points_within_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points_within(tables.order_points(spark, sf_dir), tables.customer_diamonds(spark, sf_dir))
 
 
 @query
-def points_in_any_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+def within_any_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return within_any(tables.order_points(spark, sf_dir), tables.customer_diamonds(spark, sf_dir))
 
 
 @query
-def first_polygon_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hit_test_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit_test(tables.order_points(spark, sf_dir), tables.customer_diamonds(spark, sf_dir))
 
 
@@ -365,7 +366,7 @@ def nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def cluster_rollup_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cluster_rollup_(spark: SparkSession, sf_dir: str) -> DataFrame:
     clusters = cluster_rollup(tables.order_points(spark, sf_dir), 16)
     return clusters.select(
         "is_cluster",
