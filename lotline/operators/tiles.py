@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lotline.functions.geo import Box, mercator_x, mercator_y
 
 
+# A range of more tiles than this is not left to the task that meets it.
+WIDE_RANGE = 4096
+
+
 def _tile_range(low: Column, high: Column, z: int, buffer: float) -> tuple[Column, Column]:
     size = float(2**z)
     return (
@@ -23,7 +27,7 @@ def tile_rollup(df: DataFrame, box: Box, z: int, category: str, buffer: float =
     globe, rows end at the poles.
 
     Equal tile ranges are counted before they are spread over their tiles, so that many features
-    of one place are spread once.
+    of one place are spread once. Wide ranges are spread by many tasks, column by column.
     """
     last = 2**z - 1
     x0, x1 = _tile_range(mercator_x(box.min_x), mercator_x(box.max_x), z, buffer)
@@ -41,15 +45,27 @@ def tile_rollup(df: DataFrame, box: Box, z: int, category: str, buffer: float =
         .groupBy("category", "x0", "x1", "y0", "y1")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    n_tiles = (F.col("x1") - F.col("x0") + 1).cast("bigint") * (F.col("y1") - F.col("y0") + 1)
+    wide = n_tiles > WIDE_RANGE
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = _spread_y(_spread_x(ranges.filter(~wide))).unionByName(
+        _spread_y(_spread_x(ranges.filter(wide)).repartition(tasks))
+    )
     return (
-        ranges.select("category", "n", "y0", "y1", F.explode(F.sequence("x0", "x1")).alias("x"))
-        .select("category", "n", F.pmod("x", F.lit(2**z)).alias("x"), F.explode(F.sequence("y0", "y1")).alias("y"))
-        .groupBy("x", "y", "category")
+        tiles.groupBy(F.pmod("x", F.lit(2**z)).alias("x"), "y", "category")
         .agg(F.sum("n").alias("n_features"))
         .select(F.lit(z).alias("z"), "x", "y", F.col("category").alias(category), "n_features")
     )
 
 
+def _spread_x(ranges: DataFrame) -> DataFrame:
+    return ranges.select("category", "n", "y0", "y1", F.explode(F.sequence("x0", "x1")).alias("x"))
+
+
+def _spread_y(columns: DataFrame) -> DataFrame:
+    return columns.select("category", "n", "x", F.explode(F.sequence("y0", "y1")).alias("y"))
+
+
 def point_tile_rollup(
     df: DataFrame, lon: str, lat: str, z: int, category: str, buffer: float = 0.0
 ) -> DataFrame:

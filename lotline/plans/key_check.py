@@ -13,6 +13,7 @@ from lotline.operators.bags import first_truthy, read_bag
 from lotline.operators.report import key_overlap, key_overlap_sample
 from lotline.session import session
 from lotline.sources.geojson import read_features, require_path
+from lotline.storage import keep
 
 # The names under which each side may keep its id, by preference.
 PROPERTY_ID_KEYS = ["gisid", "map_lot"]
@@ -21,7 +22,8 @@ BUILDING_ID_KEYS = ["BldgID", "BLDGID", "buildingid", "BLDG_ID"]
 
 def _ids(features: DataFrame, keys: list[str]) -> DataFrame:
     rows, bag = read_bag(features, keys)
-    return rows.select("ord", first_truthy(*[bag[k] for k in keys]).alias("id")).filter("id is not null")
+    # Kept: both reports use it, and a filter would otherwise move below the parsing.
+    return keep(rows.select("ord", first_truthy(*[bag[k] for k in keys]).alias("id"))).filter("id is not null")
 
 
 def key_check(properties: DataFrame, buildings: DataFrame, n: int = 20) -> tuple[DataFrame, DataFrame]:

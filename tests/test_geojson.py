@@ -64,7 +64,11 @@ def test_lines(spark, tmp_path):
 def test_compact(spark, tmp_path):
     features = [f for f in FEATURES if f]
     path = write(tmp_path / "c.geojson", collection(*features), separators=(",", ":"))
-    assert rows_of(read_features(spark, path, "compact")) == [w for f, w in zip(FEATURES, WANT) if f]
+    want = [w for f, w in zip(FEATURES, WANT) if f]
+    assert rows_of(read_features(spark, path, "compact")) == want
+    reordered = {"features": features, "name": "x", "type": "FeatureCollection"}
+    path = write(tmp_path / "d.geojson", reordered, separators=(",", ":"))
+    assert rows_of(read_features(spark, path, "compact")) == want
 
 
 def test_compact_splits_into_tasks_in_order(spark, tmp_path):

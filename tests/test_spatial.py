@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lotline.functions.geo import Box
 from lotline.operators import nearest as nearest_module
+from lotline.operators import tiles as tiles_module
 from lotline.operators.clusters import cluster_rollup, short_count
 from lotline.operators.containment import hit_test, points_within, within_any
 from lotline.operators.nearest import nearest
@@ -171,7 +172,7 @@ def test_nearest_against_brute_force(spark, monkeypatch, capacity):
 
 
 def test_nearest_of_one_or_none(spark):
-    points = spark.createDataFrame([(1, 0.0, 0.0), (1, 0.0, 0.0)], POINTS)
+    points = spark.createDataFrame([(1, 0.0, 0.0), (1, -0.0, -0.0)], POINTS)
     one = spark.createDataFrame([(5, 1.0, 0.0)], "target_id bigint, lon double, lat double")
     rows = nearest(points, one).collect()
     assert [r.target_id for r in rows] == [5, 5] and math.isclose(rows[0].metres, 111319.49, rel_tol=1e-6)
@@ -200,6 +201,16 @@ def test_box_tiles_with_buffer(spark):
     assert wide == {(0, 0): 1, (1, 0): 1, (0, 1): 1, (1, 1): 1}
 
 
+def test_wide_boxes_are_spread_like_narrow_ones(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(x, y, x + rng.uniform(0, 60), y + rng.uniform(0, 30), rng.choice("ab")) for x, y in ((rng.uniform(-180, 120), rng.uniform(-80, 50)) for _ in range(50))]
+    df = spark.createDataFrame(rows, "x0 double, y0 double, x1 double, y1 double, c string")
+    b = Box(*[F.col(c) for c in ("x0", "y0", "x1", "y1")])
+    narrow = sorted(tile_rollup(df, b, 5, "c").collect())
+    monkeypatch.setattr(tiles_module, "WIDE_RANGE", 3)
+    assert sorted(tile_rollup(df, b, 5, "c").collect()) == narrow
+
+
 # --- clusters -------------------------------------------------------------------------------
 
 
