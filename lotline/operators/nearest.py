@@ -25,8 +25,8 @@ CELL_CAPACITY = 32
 # Each step down splits a cell into 2**STEP x 2**STEP.
 STEP = 2
 MAX_LEVEL = 30
-# Grids up to this level have at most 4**6 = 4096 cells: safe to broadcast.
-BROADCAST_LEVEL = 6
+# Grids and places are sent to all tasks if there are no more than this, at some 100 bytes each.
+BROADCAST_ROWS = 200_000
 GRID_COLUMNS = ["ix", "iy", "n", "x0", "x1", "y0", "y1", "ry"]
 # Bounds are computed from box corners: leave room for rounding.
 SLACK = 1 + 1e-9
@@ -121,19 +121,27 @@ def _place_targets(
     return keep(places), n, *position("px", "py")
 
 
-def _grids(places: DataFrame, n: int) -> list[tuple[int, DataFrame]]:
-    """Grids from coarse to fine. The finest is at least as fine as ``n`` even places need."""
+def _grids(places: DataFrame, n: int) -> tuple[list[tuple[int, DataFrame]], int]:
+    """Grids from coarse to fine, and how many cells the finest has: none of them has more.
+
+    The finest is at least as fine as ``n`` even places need.
+    """
     even = math.log(max(n / CELL_CAPACITY, 1), 4)
     level = min(STEP * max(1, math.ceil(even / STEP)), MAX_LEVEL)
     while True:
         finest = keep(_finest_grid(places, level))
-        if level >= MAX_LEVEL or finest.agg(F.max("n")).first()[0] <= CELL_CAPACITY:
+        fullest, n_cells = finest.agg(F.max("n"), F.count(F.lit(1))).first()
+        if level >= MAX_LEVEL or fullest <= CELL_CAPACITY:
             break
         level += STEP
     grids = [(level, finest)]
     while grids[0][0] > STEP:
         grids.insert(0, (grids[0][0] - STEP, _coarser_grid(grids[0][1])))
-    return grids
+    return grids, n_cells
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def nearest(
@@ -155,7 +163,7 @@ def nearest(
             f"`{point_id}` as point_id", f"cast(null as {kind}) as target_id", "cast(null as double) as metres"
         )
     places, n, ux, uy = placed
-    grids = _grids(places, n)
+    grids, n_cells = _grids(places, n)
     finest_level = grids[-1][0]
 
     probes = (
@@ -191,11 +199,9 @@ def nearest(
     first_cells = grids[0][1].agg(F.collect_list(F.struct(*GRID_COLUMNS))).scalar()
     start = groups.withColumn("_cells", first_cells).select("*", F.inline("_cells")).drop("_cells")
     frontier = descend(start.withColumn("bound", F.lit(float("inf"))))
-    for level, grid in grids[1:]:
+    for _, grid in grids[1:]:
         cells = grid.withColumn("parent_x", F.floor(F.col("ix") / up)).withColumn("parent_y", F.floor(F.col("iy") / up))
-        if level <= BROADCAST_LEVEL:
-            cells = F.broadcast(cells)
-        frontier = descend(frontier.drop("known").join(cells, ["parent_x", "parent_y"]))
+        frontier = descend(frontier.drop("known").join(_small(cells, n_cells), ["parent_x", "parent_y"]))
 
     members = places.select(
         _cell("ux", finest_level).alias("parent_x"), _cell("uy", finest_level).alias("parent_y"), "tx", "ty", "target_id"
@@ -205,7 +211,7 @@ def nearest(
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     candidates = (
         frontier.repartition(tasks, "gx", "gy", "parent_x", "parent_y")
-        .join(members, ["parent_x", "parent_y"])
+        .join(_small(members, n), ["parent_x", "parent_y"])
         .select("gx", "gy", "known", "tx", "ty", "target_id")
     )
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lotline.operators import containment
 from lotline.operators.containment import points_within
 from lotline.operators.matching import link_properties, representative_property
 from lotline.operators.nearest import nearest
@@ -93,7 +94,16 @@ def test_hot_place_is_split(spark, small_partitions):
     assert found.count() == 20000
 
 
-def test_hot_cell_is_split(spark, small_partitions):
+def test_small_polygons_leave_points_where_they_are(spark):
+    points = spark.range(100).select(F.col("id").alias("point_id"), (F.col("id") / 50).alias("lon"), F.lit(0.5).alias("lat"))
+    square = [[[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0], [0.0, 0.0]]]]
+    polygons = spark.createDataFrame([(1, 1, square)], "polygon_id bigint, ord bigint, rings array<array<array<array<double>>>>")
+    plan = points_within(points, polygons)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning(level" not in plan
+
+
+def test_hot_cell_is_split(spark, small_partitions, monkeypatch):
+    monkeypatch.setattr(containment, "BROADCAST_BYTES", 0)
     points = spark.range(40000, numPartitions=8).select(
         F.col("id").alias("point_id"),
         F.when(F.col("id") % 2 == 0, 0.5 + F.col("id") * 1e-7).otherwise(F.col("id") % 170).alias("lon"),

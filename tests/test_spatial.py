@@ -1,10 +1,12 @@
+import json
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from lotline.functions.geo import Box
+from lotline.functions.geo import Box, polygons_of
+from lotline.operators import containment as containment_module
 from lotline.operators import nearest as nearest_module
 from lotline.operators import tiles as tiles_module
 from lotline.operators.clusters import cluster_rollup, short_count
@@ -77,7 +79,9 @@ def test_edges_corners_and_holes(spark):
     assert flags == {**{i: bool(v) for i, v in enumerate(expected.values())}, 99: False}
 
 
-def test_containment_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast_bytes", [0, containment_module.BROADCAST_BYTES])
+def test_containment_against_brute_force(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(containment_module, "BROADCAST_BYTES", broadcast_bytes)
     rng = random.Random(3)
     polygons = []
     for i in range(40):
@@ -114,6 +118,18 @@ def test_equal_point_rows_give_equal_pairs(spark):
     )
 
 
+def test_polygons_out_of_features(spark):
+    square = {"type": "Polygon", "coordinates": [box(0, 0, 2, 2), box(0.5, 0.5, 1, 1)]}
+    several = {"type": "MultiPolygon", "coordinates": [[box(5, 5, 6, 6)], [box(7, 7, 8, 8)]]}
+    other = {"type": "Point", "coordinates": [5.5, 5.5]}
+    features = [(i, g and json.dumps(g)) for i, g in enumerate((square, several, other, None))]
+    polygons = spark.createDataFrame(features, "ord bigint, geometry string").select(
+        F.col("ord").alias("polygon_id"), "ord", polygons_of(F.col("geometry")).alias("rings")
+    )
+    points = spark.createDataFrame([(0, 1.5, 1.5), (1, 0.7, 0.7), (2, 5.5, 5.5), (3, 7.5, 7.5)], POINTS)
+    assert {(r.point_id, r.polygon_id) for r in points_within(points, polygons).collect()} == {(0, 0), (2, 1), (3, 1)}
+
+
 def test_no_polygons(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0)], POINTS)
     none = spark.createDataFrame([], POLYGONS)
@@ -152,6 +168,8 @@ def places(rng, n):
 @pytest.mark.parametrize("capacity", [2, 32])
 def test_nearest_against_brute_force(spark, monkeypatch, capacity):
     monkeypatch.setattr(nearest_module, "CELL_CAPACITY", capacity)
+    if capacity == 2:
+        monkeypatch.setattr(nearest_module, "BROADCAST_ROWS", 0)
     rng = random.Random(capacity)
     points = [(i, *p) for i, p in enumerate(places(rng, 250))] + [(900, None, 1.0)]
     targets = [(i, *p) for i, p in enumerate(places(rng, 300))]
