@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,21 +10,32 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only when Spark runs on this machine alone."""
+    """The cluster's shared folder, or one below the warehouse where none is set.
+
+    Spark removes the latter when it ends.
+    """
     configured = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"Set {_SETTING} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="lotline-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+        return configured.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    folder = f"{warehouse}/kept-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder if ":" in folder.split("/")[0] else f"file://{folder}"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared folder; nothing is there yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df``: computed once, and safe when executors are lost."""
-    context = df.sparkSession.sparkContext
-    folder = shared_folder(df.sparkSession)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    """``df`` written as Parquet in the shared folder and read back.
+
+    It is computed once, its lineage ends there, and it is safe when executors are lost.
+    """
+    path = new_folder(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

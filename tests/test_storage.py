@@ -1,7 +1,8 @@
+import subprocess
+import sys
+from pathlib import Path
 from types import SimpleNamespace
 
-import pytest
-
 from lotline.session import spread
 from lotline.storage import keep, shared_folder
 
@@ -20,9 +21,19 @@ def test_the_named_folder_is_used():
     assert shared_folder(fake_session("yarn", None, "hdfs://set/by/caller")) == "hdfs://set/by/caller"
 
 
-def test_a_cluster_without_a_shared_folder_is_refused():
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_folder(fake_session("yarn"))
+def test_without_a_setting_the_folder_is_below_the_warehouse_and_spark_removes_it(tmp_path):
+    code = (
+        "from pyspark.sql import SparkSession\n"
+        "from lotline.storage import keep, shared_folder\n"
+        f"s = SparkSession.builder.master('local[1]').config('spark.sql.warehouse.dir', '{tmp_path}').getOrCreate()\n"
+        "assert keep(s.range(3)).count() == 3\n"
+        "print('FOLDER', shared_folder(s))\n"
+        "s.stop()\n"
+    )
+    root = Path(__file__).resolve().parents[1]
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert f"FOLDER file:{tmp_path}" in done.stdout.replace("file://", "file:")
+    assert list(tmp_path.iterdir()) == []
 
 
 def test_kept_rows_do_not_depend_on_their_source(spark):
