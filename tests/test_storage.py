@@ -1,3 +1,4 @@
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -31,9 +32,14 @@ def test_without_a_setting_the_folder_is_below_the_warehouse_and_spark_removes_i
         "s.stop()\n"
     )
     root = Path(__file__).resolve().parents[1]
-    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
-    assert f"FOLDER file:{tmp_path}" in done.stdout.replace("file://", "file:")
-    assert list(tmp_path.iterdir()) == []
+    (tmp_path / "conf").mkdir()
+    code = code.replace(str(tmp_path), str(tmp_path / "warehouse"))
+    environment = os.environ | {"SPARK_CONF_DIR": str(tmp_path / "conf")}
+    done = subprocess.run(
+        [sys.executable, "-c", code], cwd=root, env=environment, capture_output=True, text=True, check=True
+    )
+    assert f"FOLDER file:{tmp_path}/warehouse/kept-" in done.stdout.replace("file://", "file:")
+    assert list((tmp_path / "warehouse").iterdir()) == []
 
 
 def test_kept_rows_do_not_depend_on_their_source(spark):
