@@ -9,6 +9,7 @@ patterns take time in proportion to the text.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -119,18 +120,24 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     kept = list(base)
     if _DIGIT.search(text):
-        taken = sorted((s, e) for s, e, _ in base)
+        # Disjoint, by start: a proposal can only overlap the last one that starts before its end.
+        starts: list[int] = []
+        ends: list[int] = []
+        for start, end, _ in base:
+            if ends and start < ends[-1]:
+                ends[-1] = max(ends[-1], end)
+            else:
+                starts.append(start)
+                ends.append(end)
         for (start, end, kind), score in scored(text):
-            if score >= KEEP and not _overlaps(taken, start, end):
+            i = bisect_left(starts, end)
+            if score >= KEEP and (i == 0 or ends[i - 1] <= start):
                 kept.append((start, end, kind))
-                taken = sorted([*taken, (start, end)])
+                starts.insert(i, start)
+                ends.insert(i, end)
     return base, sorted(kept, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def _overlaps(taken: list[tuple[int, int]], start: int, end: int) -> bool:
-    return any(s < end and start < e for s, e in taken)
-
-
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
