@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import decontaminate, elias_fano, packing, pii, simhash, toxicity
+from lotline.llm import decontaminate, elias_fano, packing, pii, simhash, substring, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op4_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(_documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_documents(spark, sf_dir))
 
@@ -51,10 +56,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_elias_fano_tokens": op4_elias_fano_tokens,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents),
+        p AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS passage
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)
+        ),
+        f AS (SELECT *, row_number() OVER (PARTITION BY passage ORDER BY doc_id, i) AS k FROM p),
+        r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM f WHERE k > 1),
+        x AS (SELECT doc_id, list(i) AS gone FROM r GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+            sha256(array_to_string(CASE WHEN gone IS NULL THEN w
+                ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN x USING (doc_id)
+    """,
+}
