@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import decontaminate, elias_fano, packing, pii, simhash, substring, toxicity, warc
+from lotline.llm import decontaminate, elias_fano, outliers, packing, pii, simhash, substring, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op2_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(_documents(spark, sf_dir))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
@@ -59,6 +63,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_outliers": op2_outliers,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_elias_fano_tokens": op4_elias_fano_tokens,
     "op6_substring_dedup": op6_substring_dedup,
