@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import numpy as np
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 #: Pieces that a worker remembers, twice: those of late and those before, so that memory stays bounded.
-REMEMBERED = 500_000
-#: Characters of new pieces that are encoded in one call.
-CALL_CHARS = 200_000
+REMEMBERED = 350_000
+#: New pieces that are encoded in one call.
+CALL_WORDS = 20_000
+
+#: ASCII signs but the apostrophe, which may belong to letters after it.
+_SIGNS = ".,;:!?*&$%#|()[]{}<>/\\\"~^=+_@-"
+#: A space that no visible character follows.
+_LOOSE_SPACE = re.compile(r" (?:[\s\x1c-\x1f]|\Z)")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is visible
+    Latin-1, else the next one from U+0100 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTE_CHARACTERS = _byte_characters()
+_NEW_LINE = _BYTE_CHARACTERS[10]
 
 _encoders: dict[tuple[str, str], Encoder] = {}
 
@@ -24,9 +43,13 @@ class Known(dict):
         self[piece] = value = self.before[piece]
         return value
 
-    def next_generation(self) -> None:
-        self.before = dict(self)
-        self.clear()
+    def missing(self, pieces: Iterable[str]) -> list[str]:
+        return [p for p in pieces if p not in self and p not in self.before]
+
+    def make_room(self) -> None:
+        if len(self) > REMEMBERED:
+            self.before = dict(self)
+            self.clear()
 
 
 class Encoder:
@@ -36,77 +59,109 @@ class Encoder:
     space, so the ids of a text are those of its pieces, and a piece that occurs again is looked up.
     New pieces are encoded many at a time, with a separator between them whose single id is known.
     ``space`` tells whether a piece keeps the space before it (byte-level vocabularies) or not (those
-    that drop white space).
+    that drop white space and capitals).
     """
 
     def __init__(self, path: str, space: bool, separator: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.space, self.separator = space, separator
-        ids = self._whole(f"a{separator}{' ' if space else ''}a")
+        self.prefix, self.separator = " " if space else "", separator
+        ids = self._whole(f"a{separator}{self.prefix}a")
         self.mark = ids[1]
         if len(ids) != 3 or self._whole("a" + separator * 2 + "a").tolist().count(self.mark) > 2:
             raise ValueError(f"{separator!r} is not one id in {path}")
-        self.known = Known()
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = WhitespaceSplit()
+        self.merges_separator = (separator.strip() or separator).encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+        self.known, self.first, self.tails = Known(), Known(), Known()
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def pieces(self, text: str) -> list[str]:
+    def _parts(self, text: str) -> list[str]:
+        """The pieces, without the space that all but the first begin with."""
         parts = text.split(" ")
-        if not self.space:
+        if not self.prefix or not _LOOSE_SPACE.search(text):
             return parts
-        pieces = [parts[0]]
+        pieces = parts[:1]
         for part in parts[1:]:
             if part and not part[0].isspace():
-                pieces.append(" " + part)
+                pieces.append(part)
             else:
                 pieces[-1] += " " + part
         return pieces
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Encode pieces that are not known yet."""
+    def _learn(self, parts: Iterable[str]) -> None:
+        """Encode pieces that are not known yet.
+
+        Most are letters with signs after them, which are tokens of their own. Such letters are one
+        word to the vocabulary's merges; they skip the normalizer and the pre-tokenizer.
+        """
+        made: list[tuple[str, str, str]] = []
+        letters: set[str] = set()
+        others: list[str] = []
+        for part in parts:
+            body = part.rstrip(_SIGNS)
+            if body.isalpha() and (body.isascii() or max(body) < "Ā"):
+                tail = part[len(body) :]
+                if not self.prefix:
+                    body = body.lower()
+                letters.add(body)
+                if tail or body != part:
+                    made.append((part, body, tail))
+            else:
+                others.append(part)
+        self._learn_letters(self.known.missing(letters))
+        self._learn_others(others)
+        for tail in self.tails.missing({t for _, _, t in made}):
+            self.tails[tail] = self._whole(tail).tobytes()
+        known, tails = self.known, self.tails
+        for part, body, tail in made:
+            known[part] = known[body] + tails[tail]
+
+    def _learn_letters(self, bodies: list[str]) -> None:
+        before = " ".encode().decode("latin-1").translate(_BYTE_CHARACTERS) if self.prefix else ""
+        between = f" {self.merges_separator} {before}"
+        for start in range(0, len(bodies), CALL_WORDS):
+            part = bodies[start : start + CALL_WORDS]
+            mapped = "\n".join(part).encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+            self._learn_joined(part, self.merges, before + mapped.replace(_NEW_LINE, between))
+
+    def _learn_others(self, parts: Iterable[str]) -> None:
         plain: list[str] = []
-        size = 0
-        for piece in pieces:
-            # Inside: no white space and no separator, so that the separator stays a token of its own.
-            body = piece[1:] if self.space and piece[:1] == " " else piece
-            if body and len(body.split()) == 1 and not body[-1].isspace() and self.separator.strip() not in (body if self.separator.strip() else ()):
-                if body[0].isspace():
-                    self.known[piece] = self._whole(piece).tobytes()
-                    continue
-                plain.append(piece)
-                size += len(piece)
-                if size >= CALL_CHARS:
-                    self._learn_plain(plain)
-                    plain, size = [], 0
+        mark = self.separator.strip()
+        for part in parts:
+            # No white space inside and no separator, so that the separator stays a token of its own.
+            if part.split() == [part] and not (mark and mark in part):
+                plain.append(part)
             else:
-                self.known[piece] = self._whole(piece).tobytes() if piece else b""
-        self._learn_plain(plain)
-
-    def _learn_plain(self, plain: list[str]) -> None:
-        if not plain:
-            return
-        text = self.separator.join(plain)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                self.known[part] = self._whole(self.prefix + part).tobytes() if part else b""
+        for start in range(0, len(plain), CALL_WORDS):
+            some = plain[start : start + CALL_WORDS]
+            text = self.prefix + (self.separator + self.prefix).join(some)
+            self._learn_joined(some, self.tokenizer, text)
+
+    def _learn_joined(self, pieces: list[str], tokenizer: Tokenizer, text: str) -> None:
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(ids == self.mark)
-        if len(cuts) != len(plain) - 1:
+        if len(cuts) != len(pieces) - 1:
             raise ValueError("The separator met its neighbours")
         raw = ids.tobytes()
         starts = np.concatenate([[0], (cuts + 1) * 4]).tolist()
         ends = np.concatenate([cuts * 4, [len(raw)]]).tolist()
-        for piece, start, end in zip(plain, starts, ends, strict=True):
-            self.known[piece] = raw[start:end]
+        self.known.update({piece: raw[start:end] for piece, start, end in zip(pieces, starts, ends, strict=True)})
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        split = [self.pieces(t) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.next_generation()
-        new = set().union(*split).difference(self.known)
-        self.learn(new.difference(self.known.before))
+        split = [self._parts(t) if t else [""] for t in texts]
+        for cache in (self.known, self.first, self.tails):
+            cache.make_room()
+        firsts = [parts.pop(0) if self.prefix else "" for parts in split]
+        for piece in self.first.missing(set(firsts)):
+            self.first[piece] = self._whole(piece).tobytes() if piece else b""
+        self._learn(self.known.missing(set().union(*split)))
         get = self.known.__getitem__
-        return [b"".join(map(get, parts)) for parts in split]
+        return [self.first[first] + b"".join(map(get, parts)) for first, parts in zip(firsts, split, strict=True)]
 
 
 def encoder(path: str, kind: str) -> Encoder:
