@@ -12,8 +12,9 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotline.llm.common import ship, slices
@@ -152,6 +153,17 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[end:]])
 
 
+def mask(column: str) -> Column:
+    """A text column with all spans masked; null stays null."""
+    ship(SparkSession.active())
+
+    @F.pandas_udf("string")
+    def without(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: masked(t, find(t)[1]) if isinstance(t, str) else None)
+
+    return without(column)
+
+
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_spans, spans, masked_text``, one row per row of ``docs``.
 

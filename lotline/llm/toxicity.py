@@ -6,15 +6,16 @@ term is a run of letters and digits, ASCII letters in lower case; a feature is t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm.common import ship, slices
+from lotline.llm.common import SLICE, ship, slices
 
 #: Labelled rows that a fit uses at most, for each label value; those with the smallest hash of the id.
 FIT_ROWS = 4_000
@@ -178,6 +179,22 @@ def best_cut(expected: np.ndarray, toxic: np.ndarray) -> float:
     return float(best[1])
 
 
+def rejects(model: Severity) -> Callable[[str], Column]:
+    """A column function of a text: whether the model rejects it, as ``toxic`` of ``score``."""
+    ship(SparkSession.active())
+
+    @F.pandas_udf("boolean")
+    def rejected(texts: pd.Series) -> pd.Series:
+        found: list[bool] = []
+        for start in range(0, len(texts), SLICE):
+            some = [t if isinstance(t, str) else None for t in texts.iloc[start : start + SLICE]]
+            expected = model.grades(model.score(some)) @ np.arange(len(model.thresholds) + 1)
+            found += [bool(t) and bool(e >= model.cut) for t, e in zip(some, expected, strict=True)]
+        return pd.Series(found, dtype=bool)
+
+    return rejected
+
+
 def score(docs: DataFrame, model: Severity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, expected_severity, grade, toxic`` of every row of ``docs``, from its whole text.
 
