@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import decontaminate, elias_fano, outliers, packing, pii, simhash, substring, toxicity, warc
+from lotline.llm import decontaminate, elias_fano, licenses, outliers, packing, pii, simhash, substring, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,18 @@ def op4_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree by source, language and id: ids that end in 00 lie one level below
+    the language, those that end in 0 two levels, the others three."""
+    hundred, ten = F.expr("doc_id div 100"), F.expr("doc_id div 10")
+    folder = F.when(F.expr("doc_id % 100 = 0"), F.array()).when(F.expr("doc_id % 10 = 0"), F.array(hundred)).otherwise(F.array(hundred, ten))
+    name = F.concat_ws("/", "source", "lang", F.concat_ws("/", folder.cast("array<string>")), F.col("doc_id").cast("string"))
+    path = F.regexp_replace(name, "/+", "/")
+    files = _documents(spark, sf_dir).select(path.alias("path"), "text")
+    found = licenses.scan(files)
+    return found.withColumn("doc_id", F.regexp_extract("path", "[^/]*$", 0).cast("bigint"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.remove_repeats(_documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -66,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_outliers": op2_outliers,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_elias_fano_tokens": op4_elias_fano_tokens,
+    "op5_licenses": op5_licenses,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
@@ -74,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op5_licenses": op5_licenses,
     "op6_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents),
         p AS (
