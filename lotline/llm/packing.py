@@ -145,6 +145,7 @@ def pack(
     size: int = 2048,
     id_col: str = "doc_id",
     text_col: str = "text",
+    open_windows: int = OPEN_WINDOWS,
 ) -> DataFrame:
     """``doc_id, start, length, ids, doc_tokens, sequence_id, offset``: one row per piece of a document.
 
@@ -160,7 +161,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, kind).encode
         end = end_id.to_bytes(4, "little")
-        packer = Packer(size, TaskContext.get().partitionId() << 33)
+        packer = Packer(size, TaskContext.get().partitionId() << 33, open_windows)
         rows: list[tuple] = []
 
         def placed(found: Iterator[tuple[Piece, int, int]]) -> None:

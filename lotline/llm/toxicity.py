@@ -155,7 +155,7 @@ def train(
         parsed = graded(parsed)
     fitted = [r for i, r in enumerate(parsed) if i % HOLD_OUT]
     held = [r for i, r in enumerate(parsed) if i % HOLD_OUT == 0]
-    if len({g for _, g in fitted}) < 2:
+    if len({g > 0 for _, g in fitted}) < 2:
         return Severity({}, (0.0,), np.inf)
     weights, theta = fit(fitted)
     model = Severity(weights, tuple(float(x) for x in theta), np.inf)

@@ -1,0 +1,50 @@
+import corpus_pipeline
+from lotline.llm import decontaminate, pii, simhash, toxicity
+from lotline.storage import keep
+from tests.llm.data import documents, texts
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_on_the_driver_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels, bench = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "simhash_near_dedup", "decontamination", "pii", "packing"]
+
+    bad = {r.doc_id for r in toxicity.score(docs, toxicity.train(docs, labels)).where("toxic").collect()}
+    kept = keep(stages["toxicity"](spark, docs, SF))
+    assert kept.columns == corpus_pipeline.COLUMNS == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - bad and bad
+
+    named = simhash.near_duplicates(kept).collect()
+    single = keep(stages["simhash_near_dedup"](spark, kept, SF))
+    assert sorted(r.doc_id for r in single.collect()) == sorted({r.component_id for r in named}) and len(named) > single.count()
+
+    leaks = {r.doc_id for r in decontaminate.overlaps(single, bench).collect()}
+    clean = keep(stages["decontamination"](spark, single, SF))
+    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in single.collect()} - leaks and leaks
+
+    before = {r.doc_id: r.text for r in clean.collect()}
+    masked = keep(stages["pii"](spark, clean, SF))
+    for r in masked.collect():
+        assert r.text == pii.masked(before[r.doc_id], pii.find(before[r.doc_id])[1]) and r.n_chars == len(r.text)
+    assert any("<EMAIL>" in r.text for r in masked.collect())
+
+    pieces = stages["packing"](spark, masked, SF)
+    tokens = pieces.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert len(tokens) == masked.count() and all(r["sum(length)"] == r["max(doc_tokens)"] for r in tokens)
+    assert corpus_pipeline.run(spark, SF).count() == pieces.count()
+
+
+def test_stages_stand_odd_rows(spark, tmp_path):
+    values = texts(41, 40)
+    docs = documents(spark, values)
+    docs = docs.union(docs.limit(20)).union(docs.limit(8).selectExpr("CAST(NULL AS bigint)", "text", "lang", "source", "n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0), (None, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, values[6][:300]), (2, None), (None, "")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).collect() == []
