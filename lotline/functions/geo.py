@@ -106,11 +106,6 @@ class Box:
     max_y: Column
 
 
-def rings_box(rings: Column) -> Box:
-    """Bounding box of one polygon: its outer ring's."""
-    return _corners_box(F.get(rings, 0))
-
-
 def polygons_box(polygons: Column) -> Box:
     """Bounding box of a polygon list."""
     return _corners_box(F.flatten(F.transform(polygons, lambda rings: F.get(rings, 0))))
@@ -132,19 +127,27 @@ def ring_edges(ring: Column) -> Column:
     )
 
 
-def crosses_ray(x: Column, y: Column, edge: Column) -> Column:
-    """Whether a ray from the point towards growing x crosses the edge."""
-    straddles = (edge["y1"] > y) != (edge["y2"] > y)
-    # An edge that does not rise has no crossing; it never straddles either.
-    rise = F.nullif(edge["y2"] - edge["y1"], F.lit(0.0))
-    at = (edge["x2"] - edge["x1"]) * (y - edge["y1"]) / rise + edge["x1"]
-    return straddles & (x < at)
+def edge_side(x: Column, y: Column, edge: Column) -> Column:
+    """Twice the area of edge and point: positive with the point to the left of the edge, 0 on its line."""
+    return (edge["x2"] - edge["x1"]) * (y - edge["y1"]) - (edge["y2"] - edge["y1"]) * (x - edge["x1"])
+
+
+def ray_meets(x: Column, y: Column, edge: Column) -> Column:
+    """Whether a ray from the point towards growing x meets the edge, whose upper end does not count.
+
+    An edge that goes up is met if the point is to its left, one that goes down if it is to its right.
+    """
+    side = edge_side(x, y, edge)
+    up = (y >= edge["y1"]) & (y < edge["y2"]) & (side > 0)
+    down = (y >= edge["y2"]) & (y < edge["y1"]) & (side < 0)
+    return up | down
 
 
-def on_edge(x: Column, y: Column, edge: Column) -> Column:
-    """Whether the point lies on the edge."""
-    dx1, dy1, dx2, dy2 = x - edge["x1"], y - edge["y1"], x - edge["x2"], y - edge["y2"]
-    return (dx1 * dy2 - dx2 * dy1 == 0) & (dx1 * dx2 <= 0) & (dy1 * dy2 <= 0)
+def touches_edge(x: Column, y: Column, edge: Column) -> Column:
+    """Whether the point is on the edge: on its line and between its ends."""
+    along_x = x.between(F.least(edge["x1"], edge["x2"]), F.greatest(edge["x1"], edge["x2"]))
+    along_y = y.between(F.least(edge["y1"], edge["y2"]), F.greatest(edge["y1"], edge["y2"]))
+    return along_x & along_y & (edge_side(x, y, edge) == 0)
 
 
 def mercator_x(lon: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lotline.functions.text import FIRST_VALID_YEAR
+from lotline.operators.skew import join_lookup
 from lotline.sources.bands import DEFAULT_BANDS, MAX_INLINE_BANDS, UNKNOWN, Band
 
 # Fixed value: the colour of rows whose band has none.
@@ -58,17 +58,11 @@ def _band_case(year: Column, bands: list[Band]) -> Column:
     return result.otherwise(UNKNOWN)
 
 
-def band_by_year(bands: DataFrame, last_year: int, first_year: int = FIRST_VALID_YEAR) -> DataFrame:
-    """Valid years with their band, for band lists that are data: ``(year, age_band)``.
-
-    Valid years are a short range of integers, so a range join becomes an equi-join with at most
-    ``last_year - first_year + 1`` rows, however many bands there are.
-    """
-    low = F.greatest(F.coalesce("min_year", F.lit(first_year)), F.lit(first_year))
-    high = F.least(F.coalesce("max_year", F.lit(last_year)), F.lit(last_year))
+def band_by_year(bands: DataFrame, low: Column, high: Column) -> DataFrame:
+    """The years from ``low`` to ``high`` that a band holds, with the first such: ``(year, age_band)``."""
     key = F.coalesce(F.nullif("id", F.lit("")), F.nullif("label", F.lit("")), F.lit(UNKNOWN))
     return (
-        bands.select("band_ord", key.alias("key"), low.alias("low"), high.alias("high"))
+        bands.select("band_ord", key.alias("key"), F.coalesce("min_year", low).alias("low"), F.coalesce("max_year", high).alias("high"))
         .filter("low <= high")
         .select("band_ord", "key", F.explode(F.sequence("low", "high")).alias("year"))
         .groupBy("year")
@@ -76,11 +70,20 @@ def band_by_year(bands: DataFrame, last_year: int, first_year: int = FIRST_VALID
     )
 
 
-def band_range_join(df: DataFrame, bands: DataFrame, last_year: int, year: str = "year") -> DataFrame:
-    """``df`` with ``age_band`` by joining bands as a table; years outside every band are unknown."""
-    lookup = band_by_year(bands, last_year).withColumnRenamed("year", "_year")
-    # At most one row per valid year: a proven bound.
-    joined = df.join(F.broadcast(lookup), F.col(year) == F.col("_year"), "left").drop("_year")
+def band_range_join(df: DataFrame, bands: DataFrame, year: str = "year") -> DataFrame:
+    """``df`` with ``age_band`` by joining bands as a table of any length; the same as ``band_of_year``.
+
+    Bands only change at their bounds, so all years before the first bound are looked up as one year,
+    and so are all after the last. The range join becomes an equi-join with at most one row per year
+    between the bounds. A year that holds much of ``df`` is split if the lookup is too long to broadcast.
+    """
+    bounds = bands.select(F.explode(F.array("min_year", "max_year").cast("array<bigint>")).alias("y")).where("y IS NOT NULL")
+    low = F.coalesce(bounds.agg(F.min("y") - 1).scalar(), F.lit(0).cast("bigint"))
+    high = F.coalesce(bounds.agg(F.max("y") + 1).scalar(), F.lit(0).cast("bigint"))
+    wide = bands.withColumns({c: F.col(c).cast("bigint") for c in ("min_year", "max_year")})
+    lookup = band_by_year(wide, low, high).withColumnRenamed("year", "_year")
+    clamped = F.when(F.col(year).isNotNull(), F.least(F.greatest(F.col(year).cast("bigint"), low), high))
+    joined = join_lookup(df.withColumn("_year", clamped), lookup, ["_year"], "left").drop("_year")
     return joined.withColumn("age_band", F.coalesce("age_band", F.lit(UNKNOWN)))
 
 
@@ -97,7 +100,10 @@ def with_color(df: DataFrame, bands: DataFrame, band: str = "age_band") -> DataF
         .groupBy(F.col("id").alias("_id"))
         .agg(F.max_by("color", "band_ord").alias("color"))
     )
-    joined = df.join(_small(lookup), F.col(band) == F.col("_id"), "left").drop("_id")
+    keyed = df.withColumn("_id", F.col(band))
+    small = _small(lookup)
+    joined = join_lookup(keyed, lookup, ["_id"], "left") if small is lookup else keyed.join(small, "_id", "left")
+    joined = joined.drop("_id")
     return joined.withColumn("color", F.coalesce("color", F.lit(DEFAULT_COLOR)))
 
 

@@ -13,16 +13,6 @@ EXTENT = 512
 MIN_POINTS = 2
 
 
-def short_count(n: Column) -> Column:
-    """``950``, ``1.2k``, ``15k``."""
-    tenths = F.floor(n / 100 + F.lit(0.5)) / 10
-    return (
-        F.when(n >= 10000, F.concat(F.floor(n / 1000 + F.lit(0.5)).cast("string"), F.lit("k")))
-        .when(n >= 1000, F.concat(F.regexp_replace(tenths.cast("string"), "\\.0$", ""), F.lit("k")))
-        .otherwise(n.cast("string"))
-    )
-
-
 def cluster_rollup(
     points: DataFrame,
     z: int,
@@ -39,11 +29,13 @@ def cluster_rollup(
 
     Points are grouped by square cells of the cluster radius. Unlike a greedy merge this does not
     depend on input order and needs no neighbour search. A group of at least ``min_points`` points
-    (by weight) becomes one row at its weighted centre; points of smaller groups stay rows of their
-    own. ``reduce`` names aggregates over the cluster's points.
+    (by weight) becomes one row at its weighted centre; the rows of smaller groups stay rows of their
+    own, equal ones too. ``weight`` may be a fraction; NULL weighs nothing, and a group that weighs
+    nothing has its centre at the mean of its places. ``reduce`` names aggregates over the cluster's
+    points. ``point_count`` is ``bigint`` without a weight and ``double`` with one.
     """
     cell = F.lit(float(extent * 2**z) / radius)
-    n = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    n = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1).cast("bigint")
     placed = (
         points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
         .withColumn("_x", mercator_x(F.col(lon)))
@@ -53,44 +45,34 @@ def cluster_rollup(
         .withColumn("_cy", F.floor(F.col("_y") * cell))
     )
     extra = reduce or {}
-    groups = placed.groupBy("_cx", "_cy").agg(
-        F.count(F.lit(1)).alias("_members"),
-        F.sum("_n").alias("point_count"),
-        F.sum(F.col("_x") * F.col("_n")).alias("_sx"),
-        F.sum(F.col("_y") * F.col("_n")).alias("_sy"),
-        F.min(id).alias("first_id"),
-        *[column.alias(name) for name, column in extra.items()],
-    )
+
+    def summed(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_members"),
+            F.sum("_n").alias("point_count"),
+            F.coalesce(F.try_divide(F.sum(F.col("_x") * F.col("_n")), F.sum("_n")), F.avg("_x")).alias("_mx"),
+            F.coalesce(F.try_divide(F.sum(F.col("_y") * F.col("_n")), F.sum("_n")), F.avg("_y")).alias("_my"),
+            F.min(id).alias("first_id"),
+            *[column.alias(name) for name, column in extra.items()],
+        )
+
+    groups = summed(placed, "_cx", "_cy")
     merged = (F.col("point_count") >= min_points) & (F.col("_members") > 1)
     # A lone point is its own group whatever its weight: nothing to join back.
     alone = F.col("_members") == 1
-    x, y = F.try_divide("_sx", "point_count"), F.try_divide("_sy", "point_count")
     columns = [
-        F.when(merged, F.lit(True)).otherwise(False).alias("is_cluster"),
+        merged.alias("is_cluster"),
         "first_id",
-        inverse_mercator_lon(x).alias("lon"),
-        inverse_mercator_lat(y).alias("lat"),
+        inverse_mercator_lon(F.col("_mx")).alias("lon"),
+        inverse_mercator_lat(F.col("_my")).alias("lat"),
         "point_count",
-        short_count(F.col("point_count")).alias("point_count_abbreviated"),
         *extra,
     ]
     result = groups.filter(merged | alone).select(*columns)
-    if min_points <= 2:
+    if min_points <= 2 and weight is None:
+        # Two points are a cluster: no group with more than one stays apart.
         return result
     # The points of large groups find no partner here, but they are shuffled all the same.
-    small = groups.filter(~merged & ~alone).select("_cx", "_cy")
-    rest = (
-        join_lookup(placed, small, ["_cx", "_cy"], "left_semi")
-        .groupBy(F.col(id).alias("first_id"), "_x", "_y", "_n")
-        .agg(*[column.alias(name) for name, column in extra.items()], F.count(F.lit(1)).alias("_rows"))
-        .select(
-            F.lit(False).alias("is_cluster"),
-            "first_id",
-            inverse_mercator_lon(F.col("_x")).alias("lon"),
-            inverse_mercator_lat(F.col("_y")).alias("lat"),
-            F.col("_n").alias("point_count"),
-            short_count(F.col("_n")).alias("point_count_abbreviated"),
-            *extra,
-        )
-    )
-    return result.unionByName(rest)
+    small = groups.filter(~(merged | alone)).select("_cx", "_cy")
+    rest = join_lookup(placed, small, ["_cx", "_cy"], "left_semi").withColumn("_row", F.monotonically_increasing_id())
+    return result.unionByName(summed(rest, "_row").select(F.lit(False).alias("is_cluster"), *columns[1:]))

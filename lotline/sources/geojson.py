@@ -7,12 +7,13 @@ Three text layouts can be read:
 
 ``document``  any valid collection. One JSON document cannot be split, so each file is one
               task: right for small files and for one-off ingestion into Parquet.
-``lines``     one feature per line, bare (newline-delimited) or inside a collection with one
-              feature per line, which is what most exporters and :func:`write_features` write.
-              Splits at any size.
+``lines``     features on lines of their own, bare (newline-delimited) or inside a collection, which
+              is what most exporters and :func:`write_features` write. Several on a line, the frame
+              on the same line and a whole collection on one line are read too. Splits at line ends;
+              a feature over several lines is an error.
 ``compact``   a collection on one line whose features all start with ``{"type":"Feature",``.
               That text is the record separator, so this splits too. It must not occur
-              inside a property bag.
+              inside a property bag. Features that start otherwise are an error.
 
 What is used more than once is best brought into a table first (:func:`ingest_features`) and read
 with the layout ``parquet``.
@@ -65,7 +66,7 @@ def _read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     paths = [path] if isinstance(path, str) else path
     documents = (
         spark.read.schema(f"type string, features array<{_FEATURE}>")
-        .option("multiLine", True)
+        .options(multiLine=True, mode="FAILFAST")
         .json(paths)
         .select("*", F.col("_metadata.file_path").alias("file"))
     )
@@ -75,7 +76,7 @@ def _read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
             (F.col("type") == "FeatureCollection") & F.col("features").isNotNull(),
             F.col("features"),
         )
-        .otherwise(F.raise_error(F.concat(F.lit("Expected a GeoJSON FeatureCollection at "), "file")))
+        .otherwise(F.raise_error(F.concat(F.lit("Not a feature collection: "), "file")))
         .alias("features"),
     )
     return checked.select("file", F.posexplode("features").alias("pos", "f")).select(
@@ -95,27 +96,56 @@ def _text_ord() -> Column:
 
 
 def _parsed(records: DataFrame, text: Column) -> DataFrame:
-    features = records.select("ord", F.from_json(text, _FEATURE).alias("f"))
-    # An empty collection on one line is not a feature.
-    return features.filter(F.coalesce(F.col("f.type"), F.lit("")) != "FeatureCollection").select(
-        "ord", "f.geometry", F.col("f.properties").alias("properties_raw")
+    """The features of each record's text, a comma-separated list; whatever is not a feature is an error."""
+    entry = f"struct<type:string,geometry:string,properties:string,features:array<{_FEATURE}>>"
+    # As an array, so that text after the first value is parsed too.
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{entry}>", {"mode": "FAILFAST"})
+    entries = records.select("ord", F.posexplode(listed).alias("pos", "e"))
+    own = F.struct(F.col("e.type").alias("type"), F.col("e.geometry").alias("geometry"), F.col("e.properties").alias("properties"))
+    is_feature = F.col("e").isNull() | (F.col("e.type") == "Feature")
+    wrong = F.raise_error(F.concat(F.lit("Neither a feature nor a collection: "), F.substring(F.to_json("e"), 1, 200)))
+    features = (
+        F.when(is_feature, F.array(own))
+        .when((F.col("e.type") == "FeatureCollection") & F.col("e.features").isNotNull(), F.col("e.features"))
+        .otherwise(F.from_json(wrong.cast("string"), f"array<{_FEATURE}>"))
     )
+    rows = entries.select("ord", "pos", F.posexplode(features).alias("inner", "f"))
+    place = F.struct("ord.file", "ord.block", "ord.row", F.col("pos").alias("entry"), F.col("inner").alias("feature"))
+    return rows.select(place.alias("ord"), "f.geometry", F.col("f.properties").alias("properties_raw"))
+
+
+# A collection's start up to its first feature, on a line of its own or with what follows.
+_OPENING = r'^(\{\s*)?("(?!features")[^"]*"\s*:\s*("[^"]*"|\{[^{}]*(\{[^{}]*\}[^{}]*)*\}|[^{}\[\]",]*|\[[^\[\]]*\])\s*,\s*)*"features"\s*:\s*\['
+# Its end: the closing bracket, further members, the closing brace.
+_CLOSING = r'(^|(?<=[}l,])|(?<=[}l,]\s))\s*\]\s*(,\s*"(?!geometry"|properties"|coordinates"|bbox")[^"]*"\s*:\s*("[^"]*"|\{[^{}]*(\{[^{}]*\}[^{}]*)*\}|[^{}\[\]",]*)\s*)*\}?\s*$'
+# Lines that belong to the collection alone.
+_MEMBER = r'("type"\s*:\s*"FeatureCollection"|"(?!type"|geometry"|properties"|coordinates"|geometries"|features")[^"]*"\s*:\s*("[^"]*"|\{[^{}]*(\{[^{}]*\}[^{}]*)*\}|\[[^\[\]{}]*\]|[^{}\[\]"]*))'
+_FRAME = rf"^(\{{?\s*({_MEMBER}(\s*,\s*{_MEMBER})*)?|\[|\]?\s*\}}?)$"
 
 
 def _read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    lines = spark.read.text(path).select(_text_ord().alias("ord"), F.trim("value").alias("line"))
-    is_feature = F.col("line").rlike(r"^,?\s*(\{.*\}|null)\s*,?$")
-    return _parsed(lines.filter(is_feature), F.regexp_replace("line", r"^,\s*|\s*,$", ""))
+    """Each line holds features, separated by commas, or the collection's frame, or both, or a whole collection."""
+    lines = spark.read.text(path).select(_text_ord().alias("ord"), F.regexp_replace("value", "^[\\s\ufeff]+|\\s+$", "").alias("line"))
+    bare = F.regexp_replace("line", r"^,\s*|\s*,$", "")
+    plain = bare.rlike(r'^\{\s*"type"\s*:\s*"Feature"') & bare.endswith("}") & ~F.contains(bare, F.lit("]"))
+    # A line that is JSON as it stands is left so; else a frame may begin or end on it.
+    whole = plain | F.try_parse_json(F.concat(F.lit("["), bare, F.lit("]"))).isNotNull()
+    inner = F.regexp_replace(F.regexp_replace(bare, _OPENING, ""), _CLOSING, "")
+    framed = F.regexp_replace(inner, r"^\s*,?\s*|\s*,?\s*$", "")
+    text = F.when(whole, bare).when(bare.rlike(_FRAME), "").otherwise(framed)
+    return _parsed(lines.select("ord", text.alias("text")).filter("text <> ''"), F.col("text"))
 
 
 def _read_compact(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Every feature starts with the separator; a file with a feature that does not is refused."""
     pieces = spark.read.text(path, lineSep=_COMPACT_START).select(_text_ord().alias("ord"), "value")
+    other = F.raise_error(F.concat(F.lit(f"Features must all start with {_COMPACT_START}; use another layout for "), "ord.file"))
     # A piece is a feature without its start, then a comma or the collection's end.
-    tail = F.regexp_replace("value", r"\}\s*(,\s*|\]\s*\}?\s*)$", "}")
-    return _parsed(
-        pieces.filter(F.col("value").rlike(r'^\s*"')),
-        F.concat(F.lit(_COMPACT_START), tail),
-    )
+    tail = F.regexp_replace("value", r"\}\s*(,\s*|\]\s*(,\s*\"[^{}]*)?\}?\s*)$", "}")
+    is_piece = F.col("value").rlike(r'^\s*"')
+    is_start = ~F.col("value").rlike(r'"type"\s*:\s*"Feature"|\[\s*null')
+    text = F.when(is_piece, F.concat(F.lit(_COMPACT_START), tail)).when(is_start, "").otherwise(other.cast("string"))
+    return _parsed(pieces.select("ord", text.alias("text")).filter("text <> ''"), F.col("text"))
 
 
 # --- sink ---------------------------------------------------------------------------------
@@ -206,7 +236,7 @@ def require_path(spark: SparkSession, path: str) -> None:
         spark.read.text(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            raise ValueError(f"Missing file: {path}") from error
+            raise ValueError(f"Nothing to read at {path}") from error
         raise
 
 

@@ -9,7 +9,7 @@ from lotline.functions.geo import Box, polygons_of
 from lotline.operators import containment as containment_module
 from lotline.operators import nearest as nearest_module
 from lotline.operators import tiles as tiles_module
-from lotline.operators.clusters import cluster_rollup, short_count
+from lotline.operators.clusters import cluster_rollup
 from lotline.operators.containment import hit_test, points_within, within_any
 from lotline.operators.nearest import nearest
 from lotline.operators.tiles import point_tile_rollup, tile_rollup
@@ -248,6 +248,24 @@ def test_clusters(spark):
     assert larger == {0: (True, 5), 9: (False, 1), 10: (False, 1), 11: (False, 1)}
 
 
-def test_short_count(spark):
-    df = spark.createDataFrame([(n,) for n in (7, 999, 1000, 1250, 9999, 10000, 15500)], "n bigint")
-    assert [r.s for r in df.select(short_count(F.col("n")).alias("s")).collect()] == ["7", "999", "1k", "1.3k", "10k", "10k", "16k"]
+def test_no_cluster_row_is_lost(spark):
+    """Weights that do not reach a cluster, without weight, fractions and equal rows."""
+    rows = [(0, 1.0, 1.0, 0.0), (1, 1.0, 1.0, 1.0), (2, -9.0, 5.0, None), (3, 70.0, 5.0, 0.75), (4, 70.0, 5.0, 0.75), (4, 70.0, 5.0, 0.75)]
+    df = spark.createDataFrame(rows, "point_id bigint, lon double, lat double, w double")
+    got = sorted((r.first_id, r.is_cluster, r.point_count) for r in cluster_rollup(df, 5, weight="w").collect())
+    assert got == [(0, False, 0.0), (1, False, 1.0), (2, False, 0.0), (3, True, 2.25)]
+    copies = sorted((r.first_id, r.is_cluster) for r in cluster_rollup(df.filter("point_id = 4"), 5, min_points=3).collect())
+    assert copies == [(4, False), (4, False)]
+
+
+def test_ids_that_repeat(spark):
+    square, triangle = [[box(0.0, 0.0, 10.0, 10.0)]], [[closed([[20.0, 0.0], [30.0, 0.0], [20.0, 10.0]])]]
+    polygons = spark.createDataFrame([(7, 0, square), (7, 1, triangle)], POLYGONS)
+    points = spark.createDataFrame([(1, 8.0, 8.0), (1, 50.0, 50.0), (2, 8.0, 8.0), (2, 8.0, 8.0), (3, 21.0, 1.0), (4, None, 1.0)], POINTS)
+    pairs = sorted((r.point_id, r.polygon_id) for r in points_within(points, polygons).collect())
+    assert pairs == [(1, 7), (2, 7), (2, 7), (3, 7)]
+    flags = sorted((r.point_id, r.within) for r in within_any(points, polygons).collect())
+    assert flags == [(1, False), (1, True), (2, True), (2, True), (3, True), (4, False)]
+    assert sorted(r.point_id for r in hit_test(points, polygons).collect()) == [1, 2, 3]
+    plan = points_within(points, polygons)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan

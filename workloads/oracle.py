@@ -22,7 +22,8 @@ _LINE_ORDER = "l_orderkey, l_linenumber, l_suppkey, l_partkey, l_quantity, l_ext
 _BRIDGE = f"""
 points AS (
   SELECT CAST(l_partkey AS VARCHAR) AS ml,
-         CASE WHEN l_quantity <= 2 THEN CAST(l_orderkey AS VARCHAR) END AS bldg_id,
+         CASE WHEN l_quantity > 1 THEN CAST(CASE l_partkey % 3 WHEN 0 THEN l_partkey * 5
+           WHEN 1 THEN l_partkey * 5 + l_linenumber % 2 ELSE l_orderkey END AS VARCHAR) END AS bldg_id,
          row_number() OVER (ORDER BY {_LINE_ORDER}) AS ord
   FROM lineitem),
 lookup AS (
@@ -179,7 +180,10 @@ ORACLE: dict[str, str] = {
     "exact_case_keys": """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_type END AS zoning,
         p_partkey % 2 = 0 AS has_upper, p_partkey % 2 = 1 AS has_zone FROM part""",
     "age_band": f"WITH {_PART_YEARS} SELECT p_partkey, year, age_band FROM banded",
-    "age_band_range_join": f"WITH {_PART_YEARS} SELECT p_partkey, year, age_band FROM banded",
+    "age_band_range_join": f"""WITH {_BANDS}, years AS (SELECT p_partkey, CAST(1480 + p_partkey % 670 AS INTEGER) AS year FROM part)
+        SELECT p_partkey, year, coalesce((SELECT arg_min(b.id, b.band_ord) FROM bands b
+          WHERE (b.min_year IS NULL OR year >= b.min_year) AND (b.max_year IS NULL OR year <= b.max_year)), 'unknown') AS age_band
+        FROM years""",
     "band_dim": f"""WITH {_PART_YEARS} SELECT b.band_ord, b.id, b.label, b.color, count(p_partkey) AS n_parts
         FROM bands b LEFT JOIN banded ON age_band = b.id GROUP BY ALL""",
     "band_color": f"""WITH {_PART_YEARS}, named AS (
@@ -255,9 +259,18 @@ ORACLE: dict[str, str] = {
           SELECT min(point_id) AS first_id, count(*) AS n, avg({_x('lon')}) AS x, avg({_y('lat')}) AS y FROM places
           GROUP BY floor({_x('lon')} * (512 * 65536 / 40.0::DOUBLE)), floor({_y('lat')} * (512 * 65536 / 40.0::DOUBLE)))
         SELECT n > 1 AS is_cluster, first_id, round((x - 0.5) * 360, 6) AS lon,
-          round(360 * atan(exp((180 - y * 360) * pi() / 180)) / pi() - 90, 6) AS lat, n AS point_count,
-          CASE WHEN n >= 10000 THEN CAST(floor(n / 1000.0 + 0.5) AS INTEGER) || 'k'
-               WHEN n >= 1000 THEN replace(CAST(floor(n / 100.0 + 0.5) / 10 AS VARCHAR), '.0', '') || 'k'
-               ELSE CAST(n AS VARCHAR) END AS point_count_abbreviated
+          round(360 * atan(exp((180 - y * 360) * pi() / 180)) / pi() - 90, 6) AS lat, n AS point_count
         FROM cells""",
+    "cluster_rollup_weighted": f"""WITH {_PLACES}, doubled AS (
+          SELECT *, CASE point_id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 WHEN 2 THEN 1.5 ELSE 0.0 END::DOUBLE AS w,
+            {_x('lon')} AS mx, {_y('lat')} AS my FROM (SELECT * FROM places UNION ALL SELECT * FROM places WHERE point_id % 10 = 0)),
+        cells AS (SELECT *, count(*) OVER c AS n, sum(w) OVER c AS s FROM doubled
+          WINDOW c AS (PARTITION BY floor(mx * (512 * 65536 / 40.0::DOUBLE)), floor(my * (512 * 65536 / 40.0::DOUBLE)))),
+        rows AS (
+          SELECT true AS is_cluster, min(point_id) AS first_id, sum(mx * w) / sum(w) AS x, sum(my * w) / sum(w) AS y, sum(w) AS point_count
+          FROM cells WHERE n > 1 AND s >= 3
+          GROUP BY floor(mx * (512 * 65536 / 40.0::DOUBLE)), floor(my * (512 * 65536 / 40.0::DOUBLE))
+          UNION ALL SELECT false, point_id, mx, my, w FROM cells WHERE NOT (n > 1 AND s >= 3))
+        SELECT is_cluster, first_id, round((x - 0.5) * 360, 6) AS lon,
+          round(360 * atan(exp((180 - y * 360) * pi() / 180)) / pi() - 90, 6) AS lat, point_count FROM rows""",
 }

@@ -229,8 +229,9 @@ def age_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def age_band_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    years = _part_years(spark, sf_dir)
-    return band_ops.band_range_join(years, bands_frame(spark), AS_OF_YEAR).select("p_partkey", "year", "age_band")
+    """Years beyond both ends of the valid range too."""
+    years = tables.table(spark, sf_dir, "part").select("p_partkey", (1480 + F.col("p_partkey") % 670).cast("int").alias("year"))
+    return band_ops.band_range_join(years, bands_frame(spark)).select("p_partkey", "year", "age_band")
 
 
 @query
@@ -365,6 +366,16 @@ def nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("point_id", "target_id", F.round("metres", 3).alias("metres"))
 
 
+@query
+def cluster_rollup_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of 0, 1, 1.5 and NULL, copies of rows, and clusters from three points on."""
+    places = tables.order_points(spark, sf_dir)
+    places = places.unionByName(places.filter("point_id % 10 = 0"))
+    weight = F.expr("CASE point_id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 WHEN 2 THEN 1.5 END")
+    clusters = cluster_rollup(places.withColumn("w", weight), 16, weight="w", min_points=3)
+    return clusters.select("is_cluster", "first_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "point_count")
+
+
 @query
 def cluster_rollup_(spark: SparkSession, sf_dir: str) -> DataFrame:
     clusters = cluster_rollup(tables.order_points(spark, sf_dir), 16)
@@ -374,5 +385,4 @@ def cluster_rollup_(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("lon", 6).alias("lon"),
         F.round("lat", 6).alias("lat"),
         "point_count",
-        "point_count_abbreviated",
     )

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lotline.functions.text import normalize_id, year_of
 from lotline.functions.values import truthy_text
-from lotline.session import spread
 
 AS_OF_YEAR = 2026
 
@@ -62,9 +61,14 @@ def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line item is an address point; only those of small lots know their building."""
+    """Every line item is an address point; two in a hundred do not know their building.
+
+    A third of the map-lots has one building, a third has two, and a third as many as orders.
+    """
     order = ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice"]
-    building = F.when(F.col("l_quantity") <= 2, text("l_orderkey"))
+    own = F.col("l_partkey") * 5
+    building = F.when(F.col("l_partkey") % 3 == 0, own).when(F.col("l_partkey") % 3 == 1, own + F.col("l_linenumber") % 2)
+    building = F.when(F.col("l_quantity") > 1, building.otherwise(F.col("l_orderkey")).cast("string"))
     return table(spark, sf_dir, "lineitem").select(
         F.struct(*order).alias("ord"),
         normalize_id(text("l_partkey")).alias("ml"),
@@ -80,7 +84,7 @@ def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a place in a box of about 0.16 degrees."""
-    return spread(table(spark, sf_dir, "orders")).select(
+    return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("point_id"),
         "o_orderstatus",
         (F.lit(-71.19) + F.col("o_totalprice") * 0.000000312345679).alias("lon"),
