@@ -34,6 +34,14 @@ _NEW_LINE = _BYTE_CHARACTERS[10]
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
+def _is_latin_1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Known(dict):
     """Ids of pieces; a piece of the generation before is taken over when it is asked for."""
 
@@ -73,6 +81,7 @@ class Encoder:
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = WhitespaceSplit()
         self.merges_separator = (separator.strip() or separator).encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+        self.line_break = self._whole("\n").tobytes()
         self.known, self.first, self.tails = Known(), Known(), Known()
 
     def _whole(self, text: str) -> np.ndarray:
@@ -80,8 +89,13 @@ class Encoder:
 
     def _parts(self, text: str) -> list[str]:
         """The pieces, without the space that all but the first begin with."""
+        if not self.prefix:
+            # White space of any kind is dropped, and so are capitals; Latin-1 has one small letter for each.
+            if _is_latin_1(text):
+                text = text.lower()
+            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         parts = text.split(" ")
-        if not self.prefix or not _LOOSE_SPACE.search(text):
+        if not _LOOSE_SPACE.search(text):
             return parts
         pieces = parts[:1]
         for part in parts[1:]:
@@ -102,7 +116,7 @@ class Encoder:
         others: list[str] = []
         for part in parts:
             body = part.rstrip(_SIGNS)
-            if body.isalpha() and (body.isascii() or max(body) < "Ā"):
+            if body.isalpha() and (body.isascii() or _is_latin_1(body)):
                 tail = part[len(body) :]
                 if not self.prefix:
                     body = body.lower()
@@ -130,16 +144,30 @@ class Encoder:
     def _learn_others(self, parts: Iterable[str]) -> None:
         plain: list[str] = []
         mark = self.separator.strip()
+        broken: list[list[str]] = []
         for part in parts:
             # No white space inside and no separator, so that the separator stays a token of its own.
             if part.split() == [part] and not (mark and mark in part):
                 plain.append(part)
+            elif self.prefix and part and (lines := part.split("\n")) == part.split():
+                broken.append(lines)
             else:
                 self.known[part] = self._whole(self.prefix + part).tobytes() if part else b""
-        for start in range(0, len(plain), CALL_WORDS):
-            some = plain[start : start + CALL_WORDS]
+        # A line break between visible characters is a token by itself.
+        heads = self.known.missing({lines[0] for lines in broken}.difference(plain))
+        for start in range(0, len(plain) + len(heads), CALL_WORDS):
+            some = (plain + heads)[start : start + CALL_WORDS]
             text = self.prefix + (self.separator + self.prefix).join(some)
             self._learn_joined(some, self.tokenizer, text)
+        self._learn_first({line for lines in broken for line in lines[1:]})
+        for lines in broken:
+            parts = [self.known[lines[0]], *(self.first[line] for line in lines[1:])]
+            self.known["\n".join(lines)] = self.line_break.join(parts)
+
+    def _learn_first(self, pieces: Iterable[str]) -> None:
+        """Pieces that no space comes before."""
+        for piece in self.first.missing(pieces):
+            self.first[piece] = self._whole(piece).tobytes() if piece else b""
 
     def _learn_joined(self, pieces: list[str], tokenizer: Tokenizer, text: str) -> None:
         ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -157,8 +185,7 @@ class Encoder:
         for cache in (self.known, self.first, self.tails):
             cache.make_room()
         firsts = [parts.pop(0) if self.prefix else "" for parts in split]
-        for piece in self.first.missing(set(firsts)):
-            self.first[piece] = self._whole(piece).tobytes() if piece else b""
+        self._learn_first(set(firsts))
         self._learn(self.known.missing(set().union(*split)))
         get = self.known.__getitem__
         return [self.first[first] + b"".join(map(get, parts)) for first, parts in zip(firsts, split, strict=True)]
