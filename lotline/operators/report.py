@@ -32,11 +32,14 @@ def quality_report(df: DataFrame) -> DataFrame:
 def band_counts(df: DataFrame, bands: DataFrame) -> DataFrame:
     """Matched buildings per band: configured bands in order, also empty ones, then any others."""
     key = F.coalesce(F.nullif("id", F.lit("")), F.nullif("label", F.lit("")), F.lit(UNKNOWN))
-    configured = bands.groupBy(key.alias("age_band")).agg(F.min("band_ord").alias("band_ord"))
-    counted = df.filter("join_status = 'matched'").groupBy("age_band").agg(F.count(F.lit(1)).alias("n"))
-    return configured.join(counted, "age_band", "full").select(
-        "band_ord", "age_band", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_buildings")
+    configured = bands.select(key.alias("age_band"), "band_ord", F.lit(0).cast("bigint").alias("n"))
+    matched = df.filter("join_status = 'matched'").select(
+        "age_band", F.lit(None).cast("int").alias("band_ord"), F.lit(1).cast("bigint").alias("n")
     )
+    # Configured bands are rows that count nothing: one aggregate, combined before it is shuffled.
+    return configured.unionByName(matched).groupBy("age_band").agg(
+        F.min("band_ord").alias("band_ord"), F.sum("n").alias("n_buildings")
+    ).select("band_ord", "age_band", "n_buildings")
 
 
 def year_coverage(df: DataFrame, bag: str = "properties") -> DataFrame:

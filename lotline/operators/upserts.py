@@ -56,10 +56,8 @@ def apply_feature_diff(base: DataFrame, changes: DataFrame) -> DataFrame:
             _last("update", "geometry", "properties", "remove_properties", "remove_all_properties"),
         )
     )
-    clear = changes.filter("op = 'remove_all'").limit(1).count() > 0
-    stored = base.select("id", F.struct("geometry", "properties").alias("old"))
-    if clear:
-        stored = stored.filter(F.lit(False))
+    cleared = changes.filter("op = 'remove_all'").agg(F.count(F.lit(1))).scalar() > 0
+    stored = base.select("id", F.struct("geometry", "properties").alias("old")).filter(~cleared)
     survives = F.col("old").isNotNull() & ~F.coalesce("removed", F.lit(False))
     return (
         stored.join(per_id, "id", "full")

@@ -106,7 +106,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("buildings")
     parser.add_argument("out")
     parser.add_argument("--bands", help="JSON array of bands (default: built in)")
-    parser.add_argument("--layout", default="document", choices=["document", "lines", "compact", "parquet"])
+    parser.add_argument("--layout", default="lines", choices=["document", "lines", "compact", "parquet"])
     parser.add_argument("--out-layout", default="parquet", choices=["parquet", "lines", "collection"])
     parser.add_argument("--as-of-year", type=int, default=date.today().year)
     args = parser.parse_args(argv)

@@ -36,7 +36,7 @@ def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description="Compare property ids with building ids.")
     parser.add_argument("properties")
     parser.add_argument("buildings")
-    parser.add_argument("--layout", default="document", choices=["document", "lines", "compact", "parquet"])
+    parser.add_argument("--layout", default="lines", choices=["document", "lines", "compact", "parquet"])
     parser.add_argument("--sample", type=int, default=20)
     args = parser.parse_args(argv)
 

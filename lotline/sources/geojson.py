@@ -46,7 +46,7 @@ def read_features(spark: SparkSession, path: str | list[str], layout: str = "doc
     return with_bag(features)
 
 
-def ingest_features(spark: SparkSession, source: str | list[str], table: str, layout: str = "document") -> None:
+def ingest_features(spark: SparkSession, source: str | list[str], table: str, layout: str = "lines") -> None:
     """Write a feature collection as a table of ``(ord, geometry, properties_raw)``."""
     read_features(spark, source, layout).drop("properties").write.mode("overwrite").parquet(table)
 

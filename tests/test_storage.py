@@ -4,7 +4,6 @@ import sys
 from pathlib import Path
 from types import SimpleNamespace
 
-from lotline.session import spread
 from lotline.storage import keep, shared_folder
 
 
@@ -46,10 +45,3 @@ def test_kept_rows_do_not_depend_on_their_source(spark):
     df = keep(spark.range(10).selectExpr("id * 2 as x"))
     assert df.agg({"x": "sum"}).first()[0] == 90
     assert "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
-
-
-def test_spread(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == cores
-    many = spark.range(10, numPartitions=cores + 1)
-    assert spread(many) is many
