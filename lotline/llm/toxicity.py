@@ -6,7 +6,7 @@ term is a run of letters and digits, ASCII letters in lower case; a feature is t
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,7 +59,7 @@ class Severity:
         return np.array([sum(self.weights[t] for t in sorted(known & terms(text))) for text in texts], float)
 
 
-def fit(rows: list[tuple[set[bytes], int]]) -> tuple[dict[bytes, float], np.ndarray]:
+def fit(rows: list[tuple[Iterable[bytes], int]]) -> tuple[dict[bytes, float], np.ndarray]:
     """Weights and thresholds from rows of terms and grade 0, 1, ...; full-batch AdaGrad on the mean loss with L2."""
     y = np.array([g for _, g in rows], int)
     levels = max(int(y.max()) if len(y) else 0, 1)
@@ -103,7 +103,7 @@ def fit(rows: list[tuple[set[bytes], int]]) -> tuple[dict[bytes, float], np.ndar
     return {t: float(w[i]) for t, i in chosen.items()}, theta
 
 
-def graded(rows: list[tuple[set[bytes], int]]) -> list[tuple[set[bytes], int]]:
+def graded(rows: list[tuple[Iterable[bytes], int]]) -> list[tuple[Iterable[bytes], int]]:
     """Rows labelled 0 or 1 with grades 0, 1, 2: a toxic row is severe (2) if it has more marked terms
     than the median toxic row. A term is marked if it is ten times as frequent among toxic rows."""
     toxic, other = [f for f, g in rows if g], [f for f, g in rows if not g]
@@ -118,8 +118,8 @@ def graded(rows: list[tuple[set[bytes], int]]) -> list[tuple[set[bytes], int]]:
     marked = {
         t for t, c in counts.items() if c >= LEAST_ROWS and c * max(len(other), 1) > 10 * clean.get(t, 0) * len(toxic)
     }
-    middle = float(np.median([len(f & marked) for f in toxic])) if toxic else 0.0
-    return [(f, 0 if not g else 2 if len(f & marked) > middle else 1) for f, g in rows]
+    middle = float(np.median([sum(t in marked for t in f) for f in toxic])) if toxic else 0.0
+    return [(f, 0 if not g else 2 if sum(t in marked for t in f) > middle else 1) for f, g in rows]
 
 
 def train(
@@ -150,7 +150,13 @@ def train(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     picked = texts.join(F.broadcast(sample), "id").where(F.length("text") <= FIT_CHARS).select("id", "grade", "text")
     rows = picked.orderBy(*order, "text").limit(2 * fit_rows * len(values)).collect()
-    parsed = [(terms(r.text), r.grade) for r in rows]
+    # One object for each term of the sample, and no texts: the driver holds little.
+    one: dict[bytes, bytes] = {}
+    parsed: list[tuple[Iterable[bytes], int]] = []
+    while rows:
+        row = rows.pop()
+        parsed.append((tuple(one.setdefault(t, t) for t in sorted(terms(row.text))), row.grade))
+    parsed.reverse()
     if {g for _, g in parsed} <= {0, 1}:
         parsed = graded(parsed)
     fitted = [r for i, r in enumerate(parsed) if i % HOLD_OUT]
@@ -160,7 +166,7 @@ def train(
     weights, theta = fit(fitted)
     model = Severity(weights, tuple(float(x) for x in theta), np.inf)
     known_terms = set(weights)
-    scores = np.array([sum(weights[t] for t in sorted(known_terms & f)) for f, _ in held], float)
+    scores = np.array([sum(weights[t] for t in sorted(known_terms.intersection(f))) for f, _ in held], float)
     expected = model.grades(scores) @ np.arange(len(theta) + 1)
     return Severity(model.weights, model.thresholds, best_cut(expected, np.array([g > 0 for _, g in held])))
 
