@@ -46,6 +46,17 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-
 _NAT_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9](?:[ ()./-]{0,2}[0-9]){6,14}(?![0-9A-Za-z])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
+#: Characters of an IBAN without spaces, by country; those of other countries may end after any word.
+_IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
 Span = tuple[int, int, str]
@@ -62,6 +73,23 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Where IBANs are, by mod-97. A proposal runs on into upper-case words and numbers that follow, so it
+    is cut after a word: at its country's length if that fits, else at the last word that passes."""
+    m = _IBAN.search(text)
+    while m:
+        start, found = m.span()[0], m.group()
+        ends = [i for i in range(len(found), 14, -1) if i == len(found) or found[i] == " "]
+        plain = {i: found[:i].replace(" ", "") for i in ends}
+        known = _IBAN_LENGTHS.get(found[:2])
+        ends.sort(key=lambda i: (len(plain[i]) != known, -i))
+        end = next((i for i in ends if len(plain[i]) >= 15 and mod97(plain[i])), None)
+        if end is not None:
+            yield start, start + end
+        # What did not pass may have one in its words.
+        m = _IBAN.search(text, start + (4 if end is None else end))
+
+
 def emails(text: str) -> Iterator[Span]:
     """Leftmost matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, from one ``@`` to the next."""
     end = 0
@@ -102,16 +130,12 @@ def base_spans(text: str) -> list[Span]:
 def scored(text: str) -> Iterator[tuple[Span, float]]:
     """Proposals of the further kinds with their scores; IBANs and the others need a digit."""
     for kind, pattern in (("iban", _IBAN), ("us_ssn", _SSN), ("nat_phone", _NAT_PHONE)):
-        for m in pattern.finditer(text):
-            score = START[kind]
-            if kind == "iban":
-                if not mod97(m.group().replace(" ", "")):
-                    continue
-                score += CHECK_BONUS
-            near = text[max(0, m.start() - NEARBY) : m.end() + NEARBY].lower()
+        for start, end in ibans(text) if kind == "iban" else (m.span() for m in pattern.finditer(text)):
+            score = START[kind] + (CHECK_BONUS if kind == "iban" else 0)
+            near = text[max(0, start - NEARBY) : end + NEARBY].lower()
             if any(re.search(rf"(?<!\w){re.escape(w)}(?!\w)", near) for w in CONTEXT[kind]):
                 score += CONTEXT_BONUS
-            yield (m.start(), m.end(), kind), score
+            yield (start, end, kind), score
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:

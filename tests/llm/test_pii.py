@@ -42,6 +42,22 @@ def test_checks_and_context():
     assert pii.masked(both, [(0, 17, "phone"), (1, 21, "card")]) == "<PHONE>"
 
 
+@pytest.mark.parametrize("after", ["", " BIC COBADEFFXXX", " EUR 50", " I will", " 12 May", " A 1 B 2 C 3", ", then", " GB29NWBK60161331926819"])
+@pytest.mark.parametrize("iban", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB29NWBK60161331926819", "NO9386011117947"])
+@pytest.mark.parametrize("before", ["", "REF AB12 ", "pay "])
+def test_ibans_end_where_they_end(before, iban, after):
+    text = before + iban + after
+    spans = list(pii.ibans(text))
+    assert spans[0] == (len(before), len(before) + len(iban))
+    assert len(spans) == (2 if after == " GB29NWBK60161331926819" else 1)
+    base, found = pii.find(text)
+    # With the day after it, the digits of one pass as a card, which goes before.
+    if base:
+        assert pii.joined(base).startswith("card:") and (iban, after) == ("GB29NWBK60161331926819", " 12 May")
+    else:
+        assert [s[:2] for s in found if s[2] == "iban"] == spans and pii.masked(text, found).startswith(f"{before}<IBAN>")
+
+
 def test_long_texts_take_linear_time():
     start = time.process_time()
     for text in ("1" * 10**6, "a" * 10**6 + "@", "1." * 500_000, "+1" + " " * 10**6, "GB12" + "A1" * 500_000, "(1 " * 300_000, "a@" * 300_000):
