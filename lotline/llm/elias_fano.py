@@ -279,7 +279,7 @@ class TokensSource(DataSource):
 
 
 def encoded(
-    docs: DataFrame, vocabulary: str, kind: str = "word", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, ids`` in ascending order of the id, nulls first, in partitions of that order.
 
@@ -290,7 +290,7 @@ def encoded(
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, kind).encode
+        encode = encoder(vocabulary).encode
         for batch in slices(batches):
             ids = [raw + end for raw in encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
@@ -317,12 +317,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format(FORMAT).load(path)
 
 
-def round_trip(docs: DataFrame, vocabulary: str, kind: str = "word", end_id: int = 2, id_bytes: int = 2) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2, id_bytes: int = 2) -> DataFrame:
     """``docs`` encoded, written to a new folder below the shared one, and read back from there.
 
     An empty table gives an empty manifest and no rows. Rows that repeat are documents each; columns
     other than ``doc_id`` and ``text`` are not read.
     """
     path = new_folder(docs.sparkSession, FORMAT)
-    write(encoded(docs, vocabulary, kind, end_id), path, id_bytes)
+    write(encoded(docs, vocabulary, end_id), path, id_bytes)
     return read(docs.sparkSession, path)

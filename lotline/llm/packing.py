@@ -140,7 +140,6 @@ class Packer:
 def pack(
     docs: DataFrame,
     vocabulary: str,
-    kind: str = "byte",
     end_id: int = 1,
     size: int = 2048,
     id_col: str = "doc_id",
@@ -159,7 +158,7 @@ def pack(
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, kind).encode
+        encode = encoder(vocabulary).encode
         end = end_id.to_bytes(4, "little")
         packer = Packer(size, TaskContext.get().partitionId() << 33, open_windows)
         rows: list[tuple] = []

@@ -1,199 +1,168 @@
-"""Token ids of whole texts by the tokenizers library, from a vocabulary file whose path is a parameter."""
+"""Token ids of whole texts, equal to those of the tokenizers library, from a vocabulary file whose path is a parameter.
+
+The library spends its time on merging words that it has not met before, and a corpus never runs out of
+those. Where the file allows it, the merges are done by tiktoken instead: it takes the same vocabulary as
+ranks, since in such files a merge with a lower number has a lower id. That is checked when the file is
+read; any other file, and any text beyond what the faster way is known to read alike, goes through the
+library itself. Nothing is remembered from text to text, so the cost of a gigabyte does not depend on
+how many came before.
+"""
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterable
+import unicodedata
+from array import array
 
 import numpy as np
+import regex
+import tiktoken
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import WhitespaceSplit
-
-#: Pieces that a worker remembers, twice: those of late and those before, so that memory stays bounded.
-REMEMBERED = 350_000
-#: New pieces that are encoded in one call.
-CALL_WORDS = 20_000
-
-#: ASCII signs but the apostrophe, which may belong to letters after it.
-_SIGNS = ".,;:!?*&$%#|()[]{}<>/\\\"~^=+_@-"
-#: A space that no visible character follows.
-_LOOSE_SPACE = re.compile(r" (?:[\s\x1c-\x1f]|\Z)")
 
-
-def _byte_characters() -> dict[int, str]:
-    """The character that stands for each byte in a byte-level vocabulary: itself if it is visible
-    Latin-1, else the next one from U+0100 on."""
+#: What byte-level vocabularies split a text by.
+_BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for a text without two white spaces in a row: no looking ahead.
+_BYTE_SPLIT_SINGLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
+_TWO_SPACES = re.compile(r"\s\s")
+#: What vocabularies with word ends take as words.
+_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for Latin-1, whose classes are few.
+_LETTERS, _DIGITS, _SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+_LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_SPACES}{_LETTERS}{_DIGITS}]+")
+_WORDS = regex.compile(_WORD_SPLIT)
+#: Beyond these, the library's tables of characters may be of another age than Python's.
+_COMMON = regex.compile(r"[\x01-\x1b -ɏ̀-ͷͺ-Ϳ΄-΢Τ-ԯא-תؠ-ي٠-٩ँ-हก-ฺ‐-‧‰-⁞₠-₿←-⇿　-〿ぁ-ゖァ-ヺー-ヾ一-龥가-힣！-～\U0001f300-\U0001f5ff\U0001f600-\U0001f64f]*")
+#: Stands for the end of a word; a text that holds it goes through the library.
+_END = "\0"
+
+
+def byte_characters() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: visible Latin-1 for itself,
+    the others from U+0100 on."""
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in visible]
-    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-
-
-_BYTE_CHARACTERS = _byte_characters()
-_NEW_LINE = _BYTE_CHARACTERS[10]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
-_encoders: dict[tuple[str, str], Encoder] = {}
 
+_BYTES = byte_characters()
 
-def _is_latin_1(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
 
+def _raw(entry: str) -> bytes:
+    return bytes(map(_BYTES.__getitem__, entry))
 
-class Known(dict):
-    """Ids of pieces; a piece of the generation before is taken over when it is asked for."""
 
-    before: dict[str, bytes] = {}
+def entry_bytes(path: str) -> list[bytes]:
+    """The bytes of each id of a byte-level vocabulary; special tokens are their strings."""
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    special = {t["id"]: t["content"].encode() for t in whole["added_tokens"]}
+    plain = {i: entry for entry, i in whole["model"]["vocab"].items() if i not in special}
+    return [special[i] if i in special else _raw(plain[i]) for i in range(len(plain) + len(special))]
 
-    def __missing__(self, piece: str) -> bytes:
-        self[piece] = value = self.before[piece]
-        return value
 
-    def missing(self, pieces: Iterable[str]) -> list[str]:
-        return [p for p in pieces if p not in self and p not in self.before]
-
-    def make_room(self) -> None:
-        if len(self) > REMEMBERED:
-            self.before = dict(self)
-            self.clear()
+def _ranks(model: dict, special: set[str], suffix: str) -> dict[bytes, int] | None:
+    """The vocabulary as ranks, if lower merges have lower ids and single characters come before all merges."""
+    ranks = {}
+    for entry, i in model["vocab"].items():
+        if entry not in special:
+            word_end = bool(suffix) and entry.endswith(suffix) and entry != suffix
+            ranks[_raw(entry.removesuffix(suffix) if word_end else entry) + _END.encode() * word_end] = i
+    singles = len(ranks) - len(model["merges"])
+    for number, merge in enumerate(model["merges"]):
+        left, right = merge if isinstance(merge, list) else merge.split(" ")
+        if model["vocab"].get(left + right) != singles + number:
+            return None
+    return ranks if len(ranks) == len(model["vocab"]) - sum(s in model["vocab"] for s in special) else None
 
 
 class Encoder:
-    """Encodes texts piece by piece: a piece ends before each space that a visible character follows.
-
-    The pre-tokenizers of the vocabularies that this is meant for never join characters over such a
-    space, so the ids of a text are those of its pieces, and a piece that occurs again is looked up.
-    New pieces are encoded many at a time, with a separator between them whose single id is known.
-    ``space`` tells whether a piece keeps the space before it (byte-level vocabularies) or not (those
-    that drop white space and capitals).
-    """
+    """Encodes whole texts. With ``special``, the library's default, the strings of special tokens in a
+    text are those tokens; without, they are text."""
 
-    def __init__(self, path: str, space: bool, separator: str) -> None:
+    def __init__(self, path: str, special: bool = True) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.prefix, self.separator = " " if space else "", separator
-        ids = self._whole(f"a{separator}{self.prefix}a")
-        self.mark = ids[1]
-        if len(ids) != 3 or self._whole("a" + separator * 2 + "a").tolist().count(self.mark) > 2:
-            raise ValueError(f"{separator!r} is not one id in {path}")
-        self.merges = Tokenizer(self.tokenizer.model)
-        self.merges.pre_tokenizer = WhitespaceSplit()
-        self.merges_separator = (separator.strip() or separator).encode().decode("latin-1").translate(_BYTE_CHARACTERS)
-        self.line_break = self._whole("\n").tobytes()
-        self.known, self.first, self.tails = Known(), Known(), Known()
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _parts(self, text: str) -> list[str]:
-        """The pieces, without the space that all but the first begin with."""
-        if not self.prefix:
-            # White space of any kind is dropped, and so are capitals; Latin-1 has one small letter for each.
-            if _is_latin_1(text):
-                text = text.lower()
-            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        parts = text.split(" ")
-        if not _LOOSE_SPACE.search(text):
-            return parts
-        pieces = parts[:1]
-        for part in parts[1:]:
-            if part and not part[0].isspace():
-                pieces.append(part)
-            else:
-                pieces[-1] += " " + part
-        return pieces
-
-    def _learn(self, parts: Iterable[str]) -> None:
-        """Encode pieces that are not known yet.
-
-        Most are letters with signs after them, which are tokens of their own. Such letters are one
-        word to the vocabulary's merges; they skip the normalizer and the pre-tokenizer.
-        """
-        made: list[tuple[str, str, str]] = []
-        letters: set[str] = set()
-        others: list[str] = []
-        for part in parts:
-            body = part.rstrip(_SIGNS)
-            if body.isalpha() and (body.isascii() or _is_latin_1(body)):
-                tail = part[len(body) :]
-                if not self.prefix:
-                    body = body.lower()
-                letters.add(body)
-                if tail or body != part:
-                    made.append((part, body, tail))
-            else:
-                others.append(part)
-        self._learn_letters(self.known.missing(letters))
-        self._learn_others(others)
-        for tail in self.tails.missing({t for _, _, t in made}):
-            self.tails[tail] = self._whole(tail).tobytes()
-        known, tails = self.known, self.tails
-        for part, body, tail in made:
-            known[part] = known[body] + tails[tail]
-
-    def _learn_letters(self, bodies: list[str]) -> None:
-        before = " ".encode().decode("latin-1").translate(_BYTE_CHARACTERS) if self.prefix else ""
-        between = f" {self.merges_separator} {before}"
-        for start in range(0, len(bodies), CALL_WORDS):
-            part = bodies[start : start + CALL_WORDS]
-            mapped = "\n".join(part).encode().decode("latin-1").translate(_BYTE_CHARACTERS)
-            self._learn_joined(part, self.merges, before + mapped.replace(_NEW_LINE, between))
-
-    def _learn_others(self, parts: Iterable[str]) -> None:
-        plain: list[str] = []
-        mark = self.separator.strip()
-        broken: list[list[str]] = []
-        for part in parts:
-            # No white space inside and no separator, so that the separator stays a token of its own.
-            if part.split() == [part] and not (mark and mark in part):
-                plain.append(part)
-            elif self.prefix and part and (lines := part.split("\n")) == part.split():
-                broken.append(lines)
-            else:
-                self.known[part] = self._whole(self.prefix + part).tobytes() if part else b""
-        # A line break between visible characters is a token by itself.
-        heads = self.known.missing({lines[0] for lines in broken}.difference(plain))
-        for start in range(0, len(plain) + len(heads), CALL_WORDS):
-            some = (plain + heads)[start : start + CALL_WORDS]
-            text = self.prefix + (self.separator + self.prefix).join(some)
-            self._learn_joined(some, self.tokenizer, text)
-        self._learn_first({line for lines in broken for line in lines[1:]})
-        for lines in broken:
-            parts = [self.known[lines[0]], *(self.first[line] for line in lines[1:])]
-            self.known["\n".join(lines)] = self.line_break.join(parts)
-
-    def _learn_first(self, pieces: Iterable[str]) -> None:
-        """Pieces that no space comes before."""
-        for piece in self.first.missing(pieces):
-            self.first[piece] = self._whole(piece).tobytes() if piece else b""
-
-    def _learn_joined(self, pieces: list[str], tokenizer: Tokenizer, text: str) -> None:
-        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(ids == self.mark)
-        if len(cuts) != len(pieces) - 1:
-            raise ValueError("The separator met its neighbours")
-        raw = ids.tobytes()
-        starts = np.concatenate([[0], (cuts + 1) * 4]).tolist()
-        ends = np.concatenate([cuts * 4, [len(raw)]]).tolist()
-        self.known.update({piece: raw[start:end] for piece, start, end in zip(pieces, starts, ends, strict=True)})
+        self.tokenizer.encode_special_tokens = not special
+        with open(path, encoding="utf-8") as f:
+            whole = json.load(f)
+        added = {t["content"]: t for t in whole["added_tokens"]}
+        self.special = {s: array("I", [t["id"]]).tobytes() for s, t in added.items()} if special else {}
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        model, self.segment = whole["model"], None
+        plain = all(t["special"] and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) for t in added.values())
+        usable = plain and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        ranks = _ranks(model, set(added), model.get("end_of_word_suffix") or "") if usable and array("I").itemsize == 4 else None
+        if ranks and self._is_byte_level(whole):
+            self.full = tiktoken.Encoding("full", pat_str=_BYTE_SPLIT, mergeable_ranks=ranks, special_tokens={})
+            self.single = tiktoken.Encoding("single", pat_str=_BYTE_SPLIT_SINGLE, mergeable_ranks=ranks, special_tokens={})
+            self.segment = self._bytes_segment
+        elif ranks and self._has_word_ends(whole):
+            self.words = tiktoken.Encoding("words", pat_str=f"[^{_END}]*{_END}", mergeable_ranks=ranks, special_tokens={})
+            self.segment = self._words_segment
+
+    @staticmethod
+    def _is_byte_level(whole: dict) -> bool:
+        split = whole["pre_tokenizer"] or {}
+        return whole["normalizer"] is None and not whole["model"].get("end_of_word_suffix") and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+
+    @staticmethod
+    def _has_word_ends(whole: dict) -> bool:
+        steps = (whole["normalizer"] or {}).get("normalizers", [])
+        splits = (whole["pre_tokenizer"] or {}).get("pretokenizers", [])
+        return (
+            whole["model"].get("end_of_word_suffix") == "</w>"
+            and [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"]
+            and steps[1]["pattern"] == {"Regex": r"\s+"}
+            and steps[1]["content"] == " "
+            and [s["type"] for s in splits] == ["Split", "ByteLevel"]
+            and splits[0]["pattern"] == {"Regex": _WORD_SPLIT}
+            and (splits[0]["behavior"], splits[0]["invert"]) == ("Removed", True)
+            and not splits[1]["use_regex"]
+            and not splits[1]["add_prefix_space"]
+        )
+
+    def _bytes_segment(self, text: str) -> bytes | None:
+        use = self.full if _TWO_SPACES.search(text) else self.single
+        return array("I", use.encode_ordinary(text)).tobytes()
+
+    def _words_segment(self, text: str) -> bytes | None:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            if not _COMMON.fullmatch(text):
+                return None
+            found = _WORDS.findall(unicodedata.normalize("NFC", text).lower())
+        else:
+            if _END in text:
+                return None
+            found = _LATIN_WORDS.findall(text.lower())
+        if not found:
+            return b""
+        return array("I", self.words.encode_ordinary(_END.join(found) + _END)).tobytes()
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _one(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if self.segment is None:
+            return self._library(text)
+        parts = self.cut.split(text) if self.cut else [text]
+        ids = [self.special.get(part) or (self.segment(part) if part else b"") for part in parts]
+        return self._library(text) if None in ids else b"".join(ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        split = [self._parts(t) if t else [""] for t in texts]
-        for cache in (self.known, self.first, self.tails):
-            cache.make_room()
-        firsts = [parts.pop(0) if self.prefix else "" for parts in split]
-        self._learn_first(set(firsts))
-        self._learn(self.known.missing(set().union(*split)))
-        get = self.known.__getitem__
-        return [self.first[first] + b"".join(map(get, parts)) for first, parts in zip(firsts, split, strict=True)]
-
-
-def encoder(path: str, kind: str) -> Encoder:
-    """The encoder of this process for a vocabulary file. ``kind``: ``byte`` keeps white space, ``word`` drops it."""
-    key = (path, kind)
+        return [self._one(t) for t in texts]
+
+
+_encoders: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, special: bool = True) -> Encoder:
+    """The encoder of this process for a vocabulary file."""
+    key = (path, special)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, True, "\n") if kind == "byte" else Encoder(path, False, " ½ ")
+        _encoders[key] = Encoder(path, special)
     return _encoders[key]

@@ -1,5 +1,7 @@
-"""Piecewise encoding, the Elias-Fano files and packing, against the library and plain Python."""
+"""Token ids, the Elias-Fano files and packing, against the library and plain Python."""
 
+import functools
+import json
 import zlib
 
 import numpy as np
@@ -14,38 +16,68 @@ from lotline.llm import elias_fano, packing, queries, tokens
 from lotline.llm.elias_fano import EliasFano
 from tests.llm.data import documents, texts, with_odd_columns
 
-FILES = [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")]
+FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 ODD = [
-    "", None, " ", "  ", "a  b", "a \n b", " a", "a ", "a b", "a  b　 c", "x ½ y", "½", "1½ 2", "\x1c a\x1db \x1e", "it's we'll  's \n\n x",
-    "é éa", "Σ ΟΔΟΣ x", "日本 語です", "😀 😀😀", "a\tb\r\nc", "<|endoftext|> x", "don 't 's", "\x00 \x00a", "a\x0bb \x85 c", "ﬁ İ I ı", "A\nB\n\nC \nD\n", "w," * 50,
-]
+    "", None, " ", "  ", "a  b", "a \n b", " a", "a ", "a\u00a0b", "a\u2009 b\u3000 c", "x ½ y", "½", "1½ 2", "\x1c a\x1db \x1e", "it's we'll  's \n\n x",
+    "é e\u0301a", "Σ ΟΔΟΣ x", "日本 語です", "😀 😀😀", "a\tb\r\nc", "<|endoftext|> x", "a<|endoftext|><|endoftext|>b <|startoftext|>", "a <|endoftext |> b",
+    "don 't 's", "\x00 \x00a", "a\x0bb \x85 c", "ﬁ İ I ı", "A\nB\n\nC \nD\n", "w," * 50, "x" * 20_000, "Привет, МИР", "ÀÉ 'S", "a\u0345b",
+]
 
 
-def library(file):
+@functools.cache
+def library(file, special=True):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
-    tokenizer.encode_special_tokens = True
+    if not special:
+        tokenizer.encode_special_tokens = True
     return lambda t: tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("file,kind", FILES)
-def test_pieces_give_the_ids_of_whole_texts(file, kind, monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBERED", 50)
-    encoder = tokens.Encoder(public_tokenizers.path(file), kind == "byte", "\n" if kind == "byte" else " ½ ")
-    whole = library(file)
-    values = ODD + texts(2, 60) + ODD
-    for start in range(0, len(values), 10):
-        part = values[start : start + 10]
-        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(part)] == [whole(t) for t in part]
+@pytest.mark.parametrize("file", FILES)
+@pytest.mark.parametrize("special", [True, False])
+def test_the_ids_of_the_library(file, special):
+    encoder = tokens.encoder(public_tokenizers.path(file), special)
+    assert encoder.segment
+    whole = library(file, special)
+    values = ODD + texts(2, 60)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(values)] == [whole(t) for t in values]
 
 
-@pytest.mark.parametrize("file,kind", FILES)
-@settings(max_examples=150, deadline=None)
-@given(text=st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t'.,aB½é")), max_size=40))
-def test_pieces_of_any_text(file, kind, text):
-    encoder = tokens.encoder(public_tokenizers.path(file), kind)
+def test_special_tokens_as_the_unchanged_library_has_them():
+    for file, end in zip(FILES, (49407, 50256), strict=True):
+        ids = np.frombuffer(tokens.encoder(public_tokenizers.path(file)).encode(["hi <|endoftext|> yo"])[0], "<u4").tolist()
+        assert end in ids and ids == Tokenizer.from_file(public_tokenizers.path(file)).encode("hi <|endoftext|> yo", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("file", FILES)
+@settings(max_examples=200, deadline=None)
+@given(text=st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t'.,aB½éЯ中")), max_size=40))
+def test_any_text(file, text):
+    encoder = tokens.encoder(public_tokenizers.path(file))
     assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library(file)(text)
 
 
+def test_every_character_alone_and_among_others():
+    """The tables of characters behind the faster way are those of the library."""
+    points = [c for c in range(0, 0x30000, 7) if not 0xD800 <= c < 0xE000]
+    values = [f"a{chr(c)}b 1{chr(c)}2 .{chr(c)}{chr(c)}. {chr(c)} Z{chr(c)}" for c in points]
+    for file in FILES:
+        want = [x.ids for x in Tokenizer.from_file(public_tokenizers.path(file)).encode_batch(values, add_special_tokens=False)]
+        got = tokens.encoder(public_tokenizers.path(file)).encode(values)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+
+
+def test_a_file_of_another_order_goes_through_the_library(tmp_path):
+    whole = json.loads(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    merges = whole["model"]["merges"]
+    merges[0], merges[1] = merges[1], merges[0]
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(whole))
+    encoder = tokens.Encoder(str(path))
+    assert encoder.segment is None
+    for text in ["the thing, in there", "a  b"]:
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(-(2**61), 2**61), max_size=60), st.integers(0, 62))
 def test_elias_fano(values, shift):
