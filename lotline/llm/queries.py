@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotline.llm import decontaminate, elias_fano, licenses, outliers, packing, pii, simhash, substring, toxicity, warc
+from lotline.llm import (
+    alignment,
+    decontaminate,
+    elias_fano,
+    licenses,
+    neighbours,
+    outliers,
+    packing,
+    pii,
+    simhash,
+    substring,
+    toxicity,
+    warc,
+    whitening,
+)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +87,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(_documents(spark, sf_dir), *paths)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_outliers": op2_outliers,
@@ -84,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_whitening": op12_whitening,
+    "op13_learned_partitions": op13_learned_partitions,
 }
 
 ORACLE: dict[str, str] = {

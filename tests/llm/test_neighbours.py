@@ -1,0 +1,110 @@
+"""Learned partitions against all pairs."""
+
+import numpy as np
+import pytest
+
+from lotline.llm import neighbours, queries
+from tests.conftest import SMALL_TABLES
+
+SCHEMA = "vec_id bigint, embedding array<float>, label int"
+
+
+def clusters(seed, n, d=16, centres=12, norms=False):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((centres, d))[rng.integers(0, centres, n)] + 0.5 * rng.standard_normal((n, d))
+    if norms:
+        x *= rng.uniform(0.5, 3, (n, 1))
+    return x.astype(np.float32)
+
+
+def brute(rows, every=20, k=20):
+    """``{query id: [(vec_id, score), ...]}``, nearest first, by the definition."""
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    out = {}
+    for q in np.flatnonzero(ids % every == 0):
+        scores = (x[q] * x).sum(axis=1)
+        order = [j for j in np.lexsort((ids, -scores)) if ids[j] != ids[q]][:k]
+        out[int(ids[q])] = [(int(ids[j]), float(scores[j])) for j in order]
+    return out
+
+
+def found(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r.rank)):
+        assert r.rank == len(out.setdefault(r.query_id, [])) + 1
+        out[r.query_id].append((r.vec_id, r.score))
+    return out
+
+
+def recall(got, want):
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    return hits / sum(map(len, want.values()))
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, None if v is None else [float(c) for c in v], 0) for i, v in rows], SCHEMA)
+
+
+@pytest.mark.parametrize("norms", [False, True])
+def test_recall_and_scores(spark, monkeypatch, norms):
+    monkeypatch.setattr(neighbours, "PART_ROWS", 100)
+    monkeypatch.setattr(neighbours, "SAMPLE_ROWS", 1000)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 64)
+    rows = list(enumerate(clusters(4, 2000, norms=norms)))
+    got, want = found(neighbours.nearest(table(spark, rows))), brute(rows)
+    assert got.keys() == want.keys() and all(len(x) == 20 for x in got.values())
+    assert recall(got, want) >= 0.9
+    x = {i: np.array(v, np.float64) for i, v in rows}
+    for q, near in got.items():
+        assert near == sorted(near, key=lambda p: (-p[1], p[0]))
+        assert all(score == pytest.approx(float((x[q] * x[i]).sum()), rel=1e-13) for i, score in near)
+
+
+def test_one_part_is_exact_with_copies_and_ties(spark):
+    """More copies than neighbours, copies of queries, ties between different vectors."""
+    x = clusters(5, 150)
+    x[:4] = [[1] + [0] * 15, [0, 1] + [0] * 14, [1, 1] + [0] * 14, [-1] + [0] * 15]
+    rows = [(i, v) for i, v in enumerate(x)] + [(1000 + i, x[7]) for i in range(60)] + [(2000 + i, x[i % 4]) for i in range(0, 80)]
+    got, want = found(neighbours.nearest(table(spark, rows).repartition(7))), brute(rows)
+    assert {q: [i for i, _ in near] for q, near in got.items()} == {q: [i for i, _ in near] for q, near in want.items()}
+
+
+def test_small_parts_still_give_enough(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART_ROWS", 4)
+    monkeypatch.setattr(neighbours, "DEGREE", 2)
+    monkeypatch.setattr(neighbours, "TARGET_RECALL", 0.05)
+    rows = list(enumerate(clusters(6, 300)))
+    assert {len(x) for x in found(neighbours.nearest(table(spark, rows))).values()} == {20}
+
+
+def test_odd_rows(spark):
+    x = clusters(7, 30)
+    rows = [(i, v) for i, v in enumerate(x)]
+    odd = [(40, None), (60, [0.0] * 16), (80, [float("nan")] * 16), (100, []), (120, [1.0]), (None, x[3]), (20, x[5])]
+    df = table(spark, rows + odd + rows[:5]).union(spark.createDataFrame([(140, [None] + [1.0] * 15, 1)], SCHEMA))
+    df = df.selectExpr("*", "'odd' AS vector", "'odd' AS part", "1 AS q", "2 AS rep", "3 AS ids", "4 AS score")
+    got = neighbours.nearest(df).collect()
+    assert {r.query_id for r in got} == {0, 20}
+    assert not {r.vec_id for r in got} & {None, 40, 60, 80, 100, 120, 140}
+    # Two vectors named 20 have neighbours each, and may be each other's; a repeated row counts once.
+    assert sum(r.query_id == 20 for r in got) == 40 and sum(r.query_id == 0 for r in got) == 20
+    assert all(r.vec_id != r.query_id for r in got if r.query_id == 0)
+    for few in (df.limit(0), df.where("vec_id = 40"), df.where("vec_id = 0").limit(1)):
+        assert neighbours.nearest(few).collect() == []
+
+
+def test_parts_are_balanced_and_cut_few_edges():
+    x = clusters(8, 600, centres=6).astype(np.float64)
+    near = np.argsort(-(x @ x.T) + 1e9 * np.eye(600), axis=1)[:, :8]
+    part = neighbours.balanced_parts(near, 6)
+    sizes = np.bincount(part, minlength=6)
+    assert sizes.min() >= 95 and sizes.max() <= 105
+    assert (part[near] == part[:, None]).mean() > 0.6
+    router = neighbours.train(x, near, part, 6)
+    assert (router.first(x) == part).mean() > 0.8
+
+
+def test_query(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SMALL_TABLES}/embeddings.parquet").collect()]
+    got, want = found(queries.QUERIES["op13_learned_partitions"](spark, SMALL_TABLES)), brute(rows)
+    assert got.keys() == want.keys() and recall(got, want) >= 0.9

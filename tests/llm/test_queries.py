@@ -8,7 +8,7 @@ from tests.conftest import SMALL_TABLES
 
 def test_registered():
     names = set(__spark_entry__.queries())
-    assert {"pipeline", *QUERIES} <= names and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {"pipeline", *QUERIES} <= names and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", ORACLE)
