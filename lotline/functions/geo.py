@@ -184,11 +184,20 @@ def metres_per_degree(lat: Column) -> tuple[Column, Column]:
 
 
 def wrap_degrees(delta: Column) -> Column:
-    """Longitude difference brought into [-180, 180]."""
-    return F.when(delta < -180, delta + 360).when(delta > 180, delta - 360).otherwise(delta)
+    """Longitude difference brought into [-180, 180], by whole turns: without branches, so that it is computed once."""
+    return delta - F.lit(360.0) * F.rint(delta / 360.0)
 
 
 def planar_metres(kx: Column, ky: Column, dlon: Column, dlat: Column) -> Column:
     dx = wrap_degrees(dlon) * kx
     dy = dlat * ky
     return F.sqrt(dx * dx + dy * dy)
+
+
+def segment_metres(kx: Column, ky: Column, x: Column, y: Column, segment: Column) -> Column:
+    """Metres from a point to the nearest place of a segment ``x1, y1, x2, y2``, planar at the given scale."""
+    ux, uy = wrap_degrees(segment["x2"] - segment["x1"]) * kx, (segment["y2"] - segment["y1"]) * ky
+    vx, vy = wrap_degrees(x - segment["x1"]) * kx, (y - segment["y1"]) * ky
+    # How far along the segment; one without length has no such place, and its first end counts.
+    t = F.least(F.greatest(F.try_divide(vx * ux + vy * uy, ux * ux + uy * uy), F.lit(0.0)), F.lit(1.0))
+    return F.hypot(wrap_degrees((vx - t * ux) / kx) * kx, vy - t * uy)

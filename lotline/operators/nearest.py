@@ -1,23 +1,29 @@
-"""Exact nearest target for every point, in metres.
+"""Exact nearest target for every point, in metres: places, polygons or lines.
 
-Both sides are reduced to distinct places first, so copies cost nothing. Targets are counted in a
-grid over their extent that is fine enough for no cell to hold more than ``CELL_CAPACITY`` places,
-and in the coarser grids above it. Points are grouped by cells of the same finest grid. Groups
-descend from the whole extent to the finest cells; at each grid a group knows how far its nearest
-target can be at most, and drops cells that are farther away at least. At the end only the places
-of the remaining cells are compared with the points of the group.
+Targets are items with a box: distinct places, or the segments of polygons and lines, long ones in several
+boxes. Items are counted in the cells of grids over their extent, each grid four by four times as fine as
+the one before. Down to the grid that evenly spread items need, all cells are counted; below it only
+those that hold more than ``CELL_CAPACITY`` items, so one dense spot makes no other cell finer.
+
+Points are grouped by cell too. Groups descend from the whole extent; at each grid a group knows how far
+its nearest target can be at most, and drops cells that are farther away at least. What is left of a
+group is one row of an aggregate. At the end only the items of the remaining cells are compared with the
+points of the group.
 
 Nothing is compared with everything: a group keeps the few cells around it whatever the density.
-The result is exact, because a cell is dropped only when it cannot hold the nearest place.
+The result is exact, because a cell is dropped only when it cannot hold the nearest item.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from lotline.functions.geo import metres_per_degree, planar_metres, wrap_degrees
+from lotline.functions.geo import metres_per_degree, planar_metres, ring_edges, segment_metres, wrap_degrees
+from lotline.operators.containment import points_within
 from lotline.operators.skew import join_lookup
 from lotline.storage import keep
 
@@ -25,53 +31,85 @@ CELL_CAPACITY = 32
 # Each step down splits a cell into 2**STEP x 2**STEP.
 STEP = 2
 MAX_LEVEL = 30
-# Grids and places are sent to all tasks if there are no more than this, at some 100 bytes each.
+# Cells and items are sent to all tasks if there are no more than this, at some 100 bytes each.
 BROADCAST_ROWS = 200_000
-GRID_COLUMNS = ["ix", "iy", "n", "x0", "x1", "y0", "y1", "ry"]
 # Bounds are computed from box corners: leave room for rounding.
 SLACK = 1 + 1e-9
+SLACK_METRES = 1e-6
+CELL = ["ix", "iy"]
+# Number of items, their box, and a place on one of them.
+CONTENT = ["n", "x0", "x1", "y0", "y1", "rx", "ry"]
+GROUP = ["gl", "gx", "gy"]
+GROUP_BOX = ["gx0", "gx1", "gy0", "gy1", "kx_min", "kx_max", "ky_min", "ky_max"]
 
 
-def _cell(column: str, level: int) -> Column:
-    return F.floor(F.col(column) * float(2**level)).cast("bigint")
+def _on_grid(column: str, level: Column | int) -> Column:
+    power = F.lit(float(2**level)) if isinstance(level, int) else F.pow(F.lit(2.0), level)
+    return F.floor(F.col(column) * power).cast("bigint")
 
 
-def _finest_grid(places: DataFrame, level: int) -> DataFrame:
-    """Occupied cells: count, tight box, and one place ``(x0, ry)`` of the cell."""
-    return places.groupBy(_cell("ux", level).alias("ix"), _cell("uy", level).alias("iy")).agg(
+def _counted(items: DataFrame, levels: list[int]) -> DataFrame:
+    """``level, ix, iy`` and content of the occupied cells of some grids, in one aggregate."""
+    each = items.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    return each.groupBy("level", _on_grid("ux", F.col("level")).alias("ix"), _on_grid("uy", F.col("level")).alias("iy")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.min("tx").alias("x0"),
-        F.max("tx").alias("x1"),
-        F.min("ty").alias("y0"),
-        F.max("ty").alias("y1"),
-        F.min_by("ty", "tx").alias("ry"),
-    )
-
-
-def _coarser_grid(grid: DataFrame) -> DataFrame:
-    up = 2**STEP
-    return grid.groupBy(F.floor(F.col("ix") / up).alias("ix"), F.floor(F.col("iy") / up).alias("iy")).agg(
-        F.sum("n").alias("n"),
         F.min("x0").alias("x0"),
         F.max("x1").alias("x1"),
         F.min("y0").alias("y0"),
         F.max("y1").alias("y1"),
-        F.min_by("ry", "x0").alias("ry"),
+        F.min("rx").alias("rx"),
+        F.min_by("ry", "rx").alias("ry"),
     )
 
 
+@dataclass(frozen=True)
+class Cells:
+    """The cells of all grids. Cells of ``even`` and finer grids with at most ``CELL_CAPACITY`` items are not split."""
+
+    table: DataFrame
+    rows: int
+    even: int
+    deepest: int
+
+    def inner(self, level: str = "level", n: str = "n") -> Column:
+        return (F.col(level) < self.even) | (F.col(n) > CELL_CAPACITY) & (F.col(level) < MAX_LEVEL)
+
+    def full(self) -> DataFrame:
+        """Cells of the even grid that are split, and the finest grid below each."""
+        shift = 2.0 ** (-self.even) * F.pow(F.lit(2.0), F.col("level"))
+        up = self.table.where(F.col("level") >= self.even).where(self.inner())
+        cell = [F.floor(F.col(c) / shift).cast("bigint").alias(f"e{c[1]}") for c in CELL]
+        return up.groupBy(*cell).agg((F.max("level") + STEP).alias("depth"))
+
+
+def _cells(items: DataFrame, n: int) -> Cells:
+    even = min(STEP * max(1, math.ceil(math.log(max(n / CELL_CAPACITY, 1), 4) / STEP)), MAX_LEVEL)
+    coarse = _counted(items, list(range(STEP, even + 1, STEP)))
+    finer = list(range(even + STEP, MAX_LEVEL + 1, STEP))
+    if finer:
+        full = coarse.where((F.col("level") == even) & (F.col("n") > CELL_CAPACITY)).select(F.col("ix").alias("ex"), F.col("iy").alias("ey"))
+        crowded = items.withColumn("ex", _on_grid("ux", even)).withColumn("ey", _on_grid("uy", even)).join(full, ["ex", "ey"], "left_semi")
+        coarse = coarse.unionByName(_counted(crowded, finer))
+    table = keep(coarse)
+    rows, deepest = table.agg(F.count(F.lit(1)), F.max(F.when((F.col("n") > CELL_CAPACITY) & (F.col("level") < MAX_LEVEL), F.col("level")))).first()
+    return Cells(table, rows, even, max(even, (deepest or 0) + STEP))
+
+
 def _least_metres() -> Column:
-    """No point of the group is nearer to any place of the cell."""
+    """No point of the group is nearer to any item of the cell."""
     gx0, gx1, x0, x1 = (F.col(c) for c in ("gx0", "gx1", "x0", "x1"))
+    meets = F.lit(False)
+    for turn in (-360.0, 0.0, 360.0):  # an item over the date line goes beyond 180 degrees
+        meets = meets | ((gx0 + turn <= x1) & (x0 <= gx1 + turn))
     ends = F.least(F.abs(wrap_degrees(gx0 - x1)), F.abs(wrap_degrees(gx1 - x0)))
-    dx = F.when((gx0 <= x1) & (x0 <= gx1), F.lit(0.0)).otherwise(ends) * F.col("kx_min")
+    dx = F.when(meets, F.lit(0.0)).otherwise(ends) * F.col("kx_min")
     dy = F.greatest(F.col("y0") - F.col("gy1"), F.col("gy0") - F.col("y1"), F.lit(0.0)) * F.col("ky_min")
     return F.sqrt(dx * dx + dy * dy)
 
 
 def _most_metres() -> Column:
-    """No point of the group is farther from the cell's representative place."""
-    side = F.abs(wrap_degrees(F.col("gx0") - F.col("x0"))) + (F.col("gx1") - F.col("gx0"))
+    """No point of the group is farther from the place that stands for the cell."""
+    side = F.abs(wrap_degrees(F.col("gx0") - F.col("rx"))) + (F.col("gx1") - F.col("gx0"))
     dx = F.least(side, F.lit(180.0)) * F.col("kx_max")
     dy = F.greatest(F.abs(F.col("gy0") - F.col("ry")), F.abs(F.col("gy1") - F.col("ry"))) * F.col("ky_max")
     return F.sqrt(dx * dx + dy * dy)
@@ -79,7 +117,7 @@ def _most_metres() -> Column:
 
 def _groups(probes: DataFrame) -> DataFrame:
     """Boxes of the point groups, with the range of metres per degree within each."""
-    boxes = probes.groupBy("gx", "gy").agg(
+    boxes = probes.groupBy(*GROUP).agg(
         F.min("px").alias("gx0"), F.max("px").alias("gx1"), F.min("py").alias("gy0"), F.max("py").alias("gy1")
     )
     near_pole = F.greatest(F.abs("gy0"), F.abs("gy1"))
@@ -94,56 +132,116 @@ def _groups(probes: DataFrame) -> DataFrame:
     )
 
 
-def _place_targets(
-    targets: DataFrame, target_id: str, lon: str, lat: str
-) -> tuple[DataFrame, int, Column, Column] | None:
-    """Distinct target places with their position in the extent, how many targets there are, and
-    the position of points."""
-    located = targets.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
-    n, west, east, south, north = located.agg(
-        F.count(F.lit(1)), F.min(lon), F.max(lon), F.min(lat), F.max(lat)
-    ).first()
-    if not n:
-        return None
-    # A little more than the extent, so that the last place is inside the last cell.
-    width, height = (east - west or 1.0) * (1 + 1e-9), (north - south or 1.0) * (1 + 1e-9)
-
-    def position(x: str, y: str) -> tuple[Column, Column]:
-        return (F.col(x) - west) / width, (F.col(y) - south) / height
-
-    ux, uy = position("tx", "ty")
-    places = (
-        located.groupBy(F.col(lon).alias("tx"), F.col(lat).alias("ty"))
-        .agg(F.min(target_id).alias("target_id"))
-        .withColumn("ux", ux)
-        .withColumn("uy", uy)
-    )
-    return keep(places), n, *position("px", "py")
+def _pruned(pairs: DataFrame) -> DataFrame:
+    """Groups with the cells that may hold a nearest item, out of groups with cells: one aggregate.
 
+    ``known`` is a place on an item that is about as near as the bound, which holds for every point of the group.
+    """
+    scored = pairs.withColumn("least", _least_metres()).withColumn("most", _most_metres())
+    cells = F.collect_list(F.struct("level", *CELL, *CONTENT, "least"))
+    whole = scored.groupBy(*GROUP).agg(
+        *(F.first(c).alias(c) for c in GROUP_BOX), F.min("most").alias("bound"), F.min_by(F.struct("rx", "ry"), "most").alias("known"), cells.alias("cells")
+    )
+    near = F.filter("cells", lambda c: c["least"] <= F.col("bound") * SLACK + SLACK_METRES)
+    return whole.select(*GROUP, *GROUP_BOX, "known", F.inline(near)).drop("least")
 
-def _grids(places: DataFrame, n: int) -> tuple[list[tuple[int, DataFrame]], int]:
-    """Grids from coarse to fine, and how many cells the finest has: none of them has more.
 
-    The finest is at least as fine as ``n`` even places need.
-    """
-    even = math.log(max(n / CELL_CAPACITY, 1), 4)
-    level = min(STEP * max(1, math.ceil(even / STEP)), MAX_LEVEL)
-    while True:
-        finest = keep(_finest_grid(places, level))
-        fullest, n_cells = finest.agg(F.max("n"), F.count(F.lit(1))).first()
-        if level >= MAX_LEVEL or fullest <= CELL_CAPACITY:
-            break
-        level += STEP
-    grids = [(level, finest)]
-    while grids[0][0] > STEP:
-        grids.insert(0, (grids[0][0] - STEP, _coarser_grid(grids[0][1])))
-    return grids, n_cells
+def _frontier(groups: DataFrame, cells: Cells) -> DataFrame:
+    """Groups with the unsplit cells that may hold a nearest item."""
+    # The coarsest grid has at most 4**STEP cells: one small value that every group looks at.
+    first = cells.table.where(F.col("level") == STEP).agg(F.collect_list(F.struct("level", *CELL, *CONTENT))).scalar()
+    frontier = _pruned(groups.withColumn("_cells", first).select("*", F.inline("_cells")).drop("_cells"))
+    up = 2**STEP
+    below = cells.table.where(F.col("level") > STEP).select(
+        (F.col("level") - STEP).alias("up_level"), *(F.floor(F.col(c) / up).cast("bigint").alias(f"up_{c}") for c in CELL), F.struct("level", *CELL, *CONTENT).alias("child")
+    )
+    below = _small(below, cells.rows)
+    for _ in range(STEP, cells.deepest, STEP):
+        same = (F.col("level") == F.col("up_level")) & (F.col("ix") == F.col("up_ix")) & (F.col("iy") == F.col("up_iy"))
+        split = frontier.drop("known").join(below, same & cells.inner(), "left")
+        own = F.struct("level", *CELL, *CONTENT)
+        frontier = _pruned(split.select(*GROUP, *GROUP_BOX, F.coalesce("child", own).alias("c")).select(*GROUP, *GROUP_BOX, "c.*"))
+    return frontier
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+@dataclass(frozen=True)
+class Frame:
+    """The extent of the items, as a unit square."""
+
+    west: float
+    south: float
+    width: float
+    height: float
+
+    @classmethod
+    def of(cls, west: float, east: float, south: float, north: float) -> Frame:
+        # A little more than the extent, so that the last item is inside the last cell.
+        return cls(west, south, (east - west or 1.0) * (1 + 1e-9), (north - south or 1.0) * (1 + 1e-9))
+
+    def placed(self, df: DataFrame, x: Column, y: Column) -> DataFrame:
+        return df.withColumn("ux", (x - self.west) / self.width).withColumn("uy", (y - self.south) / self.height)
+
+
+def _best(points: DataFrame, items: DataFrame, n: int, frame: Frame, metres: Callable[..., Column]) -> DataFrame:
+    """``px, py, best``: for each of the different ``px, py`` the least ``(metres, target_id)`` over all items.
+
+    ``items`` is a written table of ``target_id``, a box, a place on the item, its position and ``shape``;
+    ``metres(kx, ky, px, py, shape)`` is the distance of a point to an item.
+    """
+    cells = _cells(items, n)
+    probes = frame.placed(points.select("px", "py").distinct(), F.col("px"), F.col("py"))
+    at_level = items.withColumn("level", F.lit(cells.even))
+    level = F.lit(cells.even)
+    if cells.deepest > cells.even:
+        full = cells.full()
+        probes = probes.withColumn("ex", _on_grid("ux", cells.even)).withColumn("ey", _on_grid("uy", cells.even))
+        probes = join_lookup(probes, full, ["ex", "ey"], "left")
+        level = F.coalesce("depth", level)
+        crowded = items.withColumn("ex", _on_grid("ux", cells.even)).withColumn("ey", _on_grid("uy", cells.even))
+        crowded = join_lookup(crowded, full, ["ex", "ey"]).withColumn("level", F.explode(F.sequence(F.lit(cells.even + STEP), F.col("depth").cast("int"), F.lit(STEP))))
+        at_level = at_level.unionByName(crowded.drop("ex", "ey", "depth"))
+    probes = probes.withColumn("gl", level.cast("int")).withColumn("gx", _on_grid("ux", F.col("gl"))).withColumn("gy", _on_grid("uy", F.col("gl")))
+    probes = probes.select("px", "py", *GROUP)
+    frontier = _frontier(_groups(probes), cells)
+    # An item has a row for each grid that may hold its cell; only the unsplit one is met.
+    members = at_level.select("level", _on_grid("ux", F.col("level")).alias("ix"), _on_grid("uy", F.col("level")).alias("iy"), "shape", "target_id")
+    # Few groups fan out to many points. Partitions are fixed, since merging small ones here would
+    # leave all that work to one task.
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    candidates = (
+        frontier.select(*GROUP, "known", "level", *CELL)
+        .repartition(tasks, *GROUP, "level", *CELL)
+        .join(_small(members, n if cells.deepest == cells.even else cells.rows + n), ["level", *CELL])
+        .select(*GROUP, "known", "shape", "target_id")
+    )
+    kx, ky = metres_per_degree(F.col("py"))
+    known = planar_metres(F.col("kx"), F.col("ky"), F.col("px") - F.col("known.rx"), F.col("py") - F.col("known.ry"))
+    return (
+        probes.withColumn("kx", kx)
+        .withColumn("ky", ky)
+        .join(candidates, GROUP)
+        .withColumn("metres", metres(F.col("kx"), F.col("ky"), F.col("px"), F.col("py"), F.col("shape")))
+        # Most candidates are farther than the known place and never reach the aggregate.
+        .filter(F.col("metres") <= known + SLACK_METRES)
+        .groupBy("px", "py")
+        .agg(F.min(F.struct("metres", "target_id")).alias("best"))
+    )
+
+
+def _located(points: DataFrame, point_id: str, lon: str, lat: str) -> DataFrame:
+    return points.select(F.col(point_id).alias("point_id"), F.col(lon).alias("px"), F.col(lat).alias("py"))
+
+
+def _answered(located: DataFrame, best: DataFrame | None, kind: str) -> DataFrame:
+    if best is None:
+        return located.selectExpr("point_id", f"cast(null as {kind}) as target_id", "cast(null as double) as metres")
+    return join_lookup(located, best, ["px", "py"], "left").select("point_id", "best.target_id", "best.metres")
+
+
 def nearest(
     points: DataFrame,
     targets: DataFrame,
@@ -156,78 +254,121 @@ def nearest(
 
     Distances are planar at the point's latitude on the WGS84 ellipsoid.
     """
-    placed = _place_targets(targets, target_id, lon, lat)
-    if placed is None:
-        kind = targets.schema[target_id].dataType.simpleString()
-        return points.selectExpr(
-            f"`{point_id}` as point_id", f"cast(null as {kind}) as target_id", "cast(null as double) as metres"
-        )
-    places, n, ux, uy = placed
-    grids, n_cells = _grids(places, n)
-    finest_level = grids[-1][0]
-
-    probes = (
-        points.select(F.col(lon).alias("px"), F.col(lat).alias("py"))
-        .filter("px is not null and py is not null")
-        .distinct()
-        .withColumn("ux", ux)
-        .withColumn("uy", uy)
-        .withColumn("gx", _cell("ux", finest_level))
-        .withColumn("gy", _cell("uy", finest_level))
-        .drop("ux", "uy")
+    located, kind = _located(points, point_id, lon, lat), targets.schema[target_id].dataType.simpleString()
+    placed = targets.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
+    n, *extent = placed.agg(F.count(F.lit(1)), F.min(lon), F.max(lon), F.min(lat), F.max(lat)).first()
+    if not n:
+        return _answered(located, None, kind)
+    frame = Frame.of(*extent)
+    # Copies of a place are one item with the lowest id.
+    places = placed.groupBy(F.col(lon).alias("x0"), F.col(lat).alias("y0")).agg(F.min(target_id).alias("target_id"))
+    x, y = F.col("x0"), F.col("y0")
+    items = frame.placed(places, x, y).select("target_id", "ux", "uy", "x0", x.alias("x1"), "y0", y.alias("y1"), x.alias("rx"), y.alias("ry"), F.struct(x.alias("x"), y.alias("y")).alias("shape"))
+    usable = located.filter("px is not null and py is not null")
+    best = _best(usable, keep(items), n, frame, lambda kx, ky, px, py, shape: planar_metres(kx, ky, px - shape["x"], py - shape["y"]))
+    return _answered(located, best, kind)
+
+
+def _segment_items(segments: DataFrame) -> tuple[DataFrame, int, Frame] | None:
+    """Items out of ``target_id, x1, y1, x2, y2``; a long segment has several boxes, four times as many as segments in all."""
+    # The shorter way round the earth.
+    turned = segments.withColumn("x2", F.col("x1") + wrap_degrees(F.col("x2") - F.col("x1")))
+    long_side = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    n, total, west, east, south, north = turned.agg(
+        F.count(F.lit(1)),
+        F.sum(long_side),
+        F.min(F.least("x1", "x2")),
+        F.max(F.greatest("x1", "x2")),
+        F.min(F.least("y1", "y2")),
+        F.max(F.greatest("y1", "y2")),
+    ).first()
+    if not n:
+        return None
+    frame = Frame.of(west, east, south, north)
+    # About the side of a cell of evenly spread items, and not so short that there are too many.
+    piece = max(max(frame.width, frame.height) / math.sqrt(max(n / CELL_CAPACITY, 1)), total / (3 * n), 1e-12)
+    pieces = turned.withColumn("pieces", F.ceil(long_side / piece).cast("int")).withColumn("pieces", F.greatest("pieces", F.lit(1)))
+    each = pieces.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+
+    def along(a: str, b: str, k: Column) -> Column:
+        inner = F.col(a) + (F.col(b) - F.col(a)) * (k / F.col("pieces"))
+        return F.when(k == F.col("pieces"), F.col(b)).otherwise(inner)
+
+    for name, k in (("f", F.col("k")), ("t", F.col("k") + 1)):
+        each = each.withColumn(f"{name}x", along("x1", "x2", k)).withColumn(f"{name}y", along("y1", "y2", k))
+    boxed = frame.placed(each, (F.col("fx") + F.col("tx")) / 2, (F.col("fy") + F.col("ty")) / 2)
+    items = boxed.select(
+        "target_id",
+        "ux",
+        "uy",
+        F.least("fx", "tx").alias("x0"),
+        F.greatest("fx", "tx").alias("x1"),
+        F.least("fy", "ty").alias("y0"),
+        F.greatest("fy", "ty").alias("y1"),
+        F.col("fx").alias("rx"),
+        F.col("fy").alias("ry"),
+        F.struct("x1", "y1", "x2", "y2").alias("shape"),
     )
-    groups = _groups(probes)
-    group_columns = groups.columns
-    by_group = Window.partitionBy("gx", "gy")
-    up = 2**STEP
+    return items, 4 * n, frame
 
-    def descend(pairs: DataFrame) -> DataFrame:
-        """Groups with the cells that may hold a nearest place, out of groups with cells.
 
-        The bound holds for every point of the group; "known" is a place that is about as near.
-        """
-        return (
-            pairs.withColumn("least", _least_metres())
-            .withColumn("most", _most_metres() * SLACK)
-            .withColumn("bound", F.min(F.least("most", "bound")).over(by_group))
-            .withColumn("known", F.min_by(F.struct("x0", "ry"), "most").over(by_group))
-            .filter("least <= bound")
-            .select(*group_columns, F.col("ix").alias("parent_x"), F.col("iy").alias("parent_y"), "bound", "known")
-        )
+def _segments(geometries: DataFrame, target_id: str, lines: Column) -> DataFrame:
+    """``target_id, x1, y1, x2, y2`` of lists of points, each different segment of a target once."""
+    each = geometries.select(F.col(target_id).alias("target_id"), F.explode(lines).alias("line")).select("target_id", F.inline(ring_edges(F.col("line"))))
+    whole = each.filter("x1 is not null and y1 is not null and x2 is not null and y2 is not null")
+    return whole.groupBy("x1", "y1", "x2", "y2").agg(F.min("target_id").alias("target_id"))
 
-    # The coarsest grid has at most 4**STEP cells: one small value that every group looks at.
-    first_cells = grids[0][1].agg(F.collect_list(F.struct(*GRID_COLUMNS))).scalar()
-    start = groups.withColumn("_cells", first_cells).select("*", F.inline("_cells")).drop("_cells")
-    frontier = descend(start.withColumn("bound", F.lit(float("inf"))))
-    for _, grid in grids[1:]:
-        cells = grid.withColumn("parent_x", F.floor(F.col("ix") / up)).withColumn("parent_y", F.floor(F.col("iy") / up))
-        frontier = descend(frontier.drop("known").join(_small(cells, n_cells), ["parent_x", "parent_y"]))
-
-    members = places.select(
-        _cell("ux", finest_level).alias("parent_x"), _cell("uy", finest_level).alias("parent_y"), "tx", "ty", "target_id"
-    )
-    # Few groups fan out to many points. Partitions are fixed, since merging small ones here would
-    # leave all that work to one task.
-    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    candidates = (
-        frontier.repartition(tasks, "gx", "gy", "parent_x", "parent_y")
-        .join(_small(members, n), ["parent_x", "parent_y"])
-        .select("gx", "gy", "known", "tx", "ty", "target_id")
-    )
 
-    def metres_to(x: Column, y: Column) -> Column:
-        return planar_metres(F.col("kx"), F.col("ky"), F.col("px") - x, F.col("py") - y)
+def _nearest_segment(located: DataFrame, segments: DataFrame) -> DataFrame | None:
+    found = _segment_items(segments)
+    if found is None:
+        return None
+    items, n, frame = found
+    usable = located.filter("px is not null and py is not null")
+    return _best(usable, keep(items), n, frame, lambda kx, ky, px, py, shape: segment_metres(kx, ky, px, py, shape))
 
-    kx, ky = metres_per_degree(F.col("py"))
-    best = (
-        probes.withColumn("kx", kx)
-        .withColumn("ky", ky)
-        .join(candidates, ["gx", "gy"])
-        .withColumn("metres", metres_to(F.col("tx"), F.col("ty")))
-        # Most candidates are farther than the known place and never reach the aggregate.
-        .filter(F.col("metres") <= metres_to(F.col("known.x0"), F.col("known.ry")))
-        .groupBy("px", "py")
-        .agg(F.min(F.struct("metres", "target_id")).alias("best"))
-    )
-    located = points.select(F.col(point_id).alias("point_id"), F.col(lon).alias("px"), F.col(lat).alias("py"))
-    return join_lookup(located, best, ["px", "py"], "left").select("point_id", "best.target_id", "best.metres")
+
+def nearest_line(
+    points: DataFrame,
+    lines: DataFrame,
+    point_id: str = "point_id",
+    line_id: str = "line_id",
+    paths: str = "paths",
+    lon: str = "lon",
+    lat: str = "lat",
+) -> DataFrame:
+    """``(point_id, target_id, metres)``: the line nearest to every point; equal distances go to the lowest id.
+
+    ``paths`` is a list of lines, each a list of ``[lon, lat]`` points; a part goes the shorter way round
+    the earth. Distances are planar at the point's latitude on the WGS84 ellipsoid.
+    """
+    located = _located(points, point_id, lon, lat)
+    best = _nearest_segment(located, _segments(lines, line_id, F.col(paths)))
+    return _answered(located, best, lines.schema[line_id].dataType.simpleString())
+
+
+def nearest_polygon(
+    points: DataFrame,
+    polygons: DataFrame,
+    point_id: str = "point_id",
+    polygon_id: str = "polygon_id",
+    rings: str = "rings",
+    lon: str = "lon",
+    lat: str = "lat",
+) -> DataFrame:
+    """``(point_id, target_id, metres)``: the polygon nearest to every point, 0 metres inside one.
+
+    ``rings`` is a list of polygons, each a list of closed rings of ``[lon, lat]`` points. A point in a
+    hole is as far as the ring of the hole. Equal distances, so several polygons around a point too, go
+    to the lowest id. Distances are planar at the point's latitude on the WGS84 ellipsoid.
+    """
+    located, kind = _located(points, point_id, lon, lat), polygons.schema[polygon_id].dataType.simpleString()
+    outlines = F.flatten(F.filter(rings, lambda part: part.isNotNull()))
+    best = _nearest_segment(located, _segments(polygons, polygon_id, outlines))
+    if best is None:
+        return _answered(located, None, kind)
+    places = located.select("px", "py").distinct().withColumn("place", F.struct("px", "py"))
+    held = points_within(places, polygons, "place", "px", "py", polygon_id, rings)
+    inside = held.groupBy("point_id").agg(F.min("polygon_id").alias("target_id"))
+    zero = inside.select("point_id.px", "point_id.py", F.struct(F.lit(0.0).alias("metres"), "target_id").alias("best"))
+    return _answered(located, best.unionByName(zero).groupBy("px", "py").agg(F.min("best").alias("best")), kind)

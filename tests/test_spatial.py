@@ -11,7 +11,7 @@ from lotline.operators import nearest as nearest_module
 from lotline.operators import tiles as tiles_module
 from lotline.operators.clusters import cluster_rollup
 from lotline.operators.containment import hit_test, points_within, within_any
-from lotline.operators.nearest import nearest
+from lotline.operators.nearest import nearest, nearest_line, nearest_polygon
 from lotline.operators.tiles import point_tile_rollup, tile_rollup
 
 POINTS = "point_id bigint, lon double, lat double"
@@ -197,6 +197,120 @@ def test_nearest_of_one_or_none(spark):
     assert [r.target_id for r in nearest(points, one.limit(0)).collect()] == [None, None]
 
 
+def to_segment(px, py, a, b):
+    """By trying places along the segment ever closer to the best one; another method than the library's."""
+    x2 = a[0] + (b[0] - a[0] + 540) % 360 - 180
+    low, high = 0.0, 1.0
+    for _ in range(100):
+        m, n = low + (high - low) / 3, high - (high - low) / 3
+        if unwrapped(px, py, a[0] + (x2 - a[0]) * m, a[1] + (b[1] - a[1]) * m, a[0]) <= unwrapped(px, py, a[0] + (x2 - a[0]) * n, a[1] + (b[1] - a[1]) * n, a[0]):
+            high = n
+        else:
+            low = m
+    t = (low + high) / 2
+    return min(metres(px, py, a[0] + (x2 - a[0]) * s, a[1] + (b[1] - a[1]) * s) for s in (0.0, t, 1.0))
+
+
+def unwrapped(px, py, tx, ty, start):
+    """Metres, with the point on the side of the earth that is nearer to the segment's start."""
+    f = 1 / 298.257223563
+    e2, c = f * (2 - f), math.cos(math.radians(py))
+    w2 = 1 / (1 - e2 * (1 - c * c))
+    step = math.radians(1) * 6378137.0
+    dlon = (px - start + 540) % 360 - 180 - (tx - start)
+    return math.hypot(dlon * step * math.sqrt(w2) * c, (py - ty) * step * math.sqrt(w2) * w2 * (1 - e2))
+
+
+def outlines(rng, n):
+    """Polygons of very different sizes with holes and parts; some are copies."""
+    out = []
+    for i in range(n):
+        cx, cy, r = rng.choice([(rng.uniform(-160, 160), rng.uniform(-70, 70), 10 ** rng.uniform(-3, 1)), (10 + rng.gauss(0, 0.01), 50 + rng.gauss(0, 0.01), 10 ** rng.uniform(-4, -2))])
+        part = [star(rng, cx, cy, r, rng.randint(3, 9)), star(rng, cx, cy, r * 0.2, 4)]
+        out.append((i, 0, [part, [star(rng, cx + 4 * r, cy, r, 5)]] if i % 4 == 0 else [part]))
+    return [*out, (n, 0, out[1][2]), (n + 1, 0, None), (n + 2, 0, [])]
+
+
+@pytest.mark.parametrize("capacity", [2, 32])
+def test_nearest_polygon_against_brute_force(spark, monkeypatch, capacity):
+    monkeypatch.setattr(nearest_module, "CELL_CAPACITY", capacity)
+    if capacity == 2:
+        monkeypatch.setattr(nearest_module, "BROADCAST_ROWS", 0)
+    rng = random.Random(capacity)
+    polygons = outlines(rng, 40)
+    points = [(i, *p) for i, p in enumerate(places(rng, 120))]
+    for _, _, parts in polygons[:20]:  # corners, and places near the middle
+        x, y = parts[0][0][0]
+        points += [(len(points), x, y), (len(points) + 1, sum(p[0] for p in parts[0][0][:-1]) / (len(parts[0][0]) - 1), y + 1e-6)]
+    points.append((900, None, 1.0))
+    found = nearest_polygon(spark.createDataFrame(points, POINTS), spark.createDataFrame(polygons, POLYGONS)).collect()
+    assert len(found) == len(points)
+    got = {r.point_id: r for r in found}
+    assert got[900].target_id is None and got[900].metres is None
+    zeros = 0
+    for point, x, y in points[:-1]:
+        distances = {}
+        for g, _, parts in polygons[:-2]:
+            if any(winding_inside(x, y, rings) for rings in parts):
+                distances[g] = 0.0
+            else:
+                distances[g] = min(to_segment(x, y, a, b) for rings in parts for ring in rings for a, b in zip(ring, ring[1:]))
+        best = min(distances.values())
+        zeros += best == 0
+        assert math.isclose(got[point].metres, best, rel_tol=1e-7, abs_tol=1e-5)
+        assert math.isclose(distances[got[point].target_id], best, rel_tol=1e-7, abs_tol=1e-5)
+        # Of copies, and of polygons around a point, the lowest id.
+        assert best > 1e-5 or got[point].target_id <= min(g for g, d in distances.items() if d == best)
+    assert zeros > 5
+
+
+def test_nearest_line_over_the_date_line_and_long_ones(spark):
+    lines = [
+        (3, [[[179.0, 10.0], [-179.0, 12.0]]]),
+        (4, [[[-50.0, -20.0], [60.0, -21.0], [60.0, -40.0]], [[0.0, 40.0], [0.0, 41.0]]]),
+        (2, [[[0.0, 40.0], [0.0, 41.0]]]),
+        (9, [[[5.0, 5.0]]]),
+        (8, [[[7.0, 7.0], [7.0, 7.0]]]),
+        (7, None),
+    ]
+    rng = random.Random(4)
+    points = [(i, rng.uniform(-180, 180), rng.uniform(-60, 60)) for i in range(150)] + [(500, -180.0, 11.0), (501, 180.0, 11.0), (502, 0.0, 40.5), (503, 7.1, 7.1)]
+    found = nearest_line(spark.createDataFrame(points, POINTS), spark.createDataFrame(lines, "line_id bigint, paths array<array<array<double>>>"))
+    got = {r.point_id: r for r in found.collect()}
+    assert (got[500].target_id, got[501].target_id, got[502].target_id, got[503].target_id) == (3, 3, 2, 8)
+    assert got[500].metres == pytest.approx(0, abs=1e-6) and got[502].metres == 0
+    for i, x, y in points:
+        best = min(to_segment(x, y, a, b) for _, paths in lines for path in paths or [] for a, b in zip(path, path[1:]))
+        assert math.isclose(got[i].metres, best, rel_tol=1e-7, abs_tol=1e-5)
+
+
+def test_nearest_of_no_polygons_or_lines(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0)], POINTS)
+    assert [tuple(r) for r in nearest_polygon(points, spark.createDataFrame([(1, 1, None)], POLYGONS)).collect()] == [(1, None, None)]
+    none = spark.createDataFrame([], "line_id string, paths array<array<array<double>>>")
+    assert [tuple(r) for r in nearest_line(points, none).collect()] == [(1, None, None)]
+
+
+def test_a_dense_spot_and_a_far_one_make_two_tables_and_no_window(spark, monkeypatch):
+    """Cells are split where they are full, below one grid for all, in one pass over the items."""
+    rng = random.Random(9)
+    spot = [(i, 10 + rng.gauss(0, 1e-6), 50 + rng.gauss(0, 1e-6)) for i in range(400)]
+    targets = [*spot, *((1000 + i, rng.uniform(-170, 170), rng.uniform(-80, 80)) for i in range(30)), (5000, -179.0, -89.0)]
+    points = [(i, 10 + rng.gauss(0, 2e-6), 50 + rng.gauss(0, 2e-6)) for i in range(100)] + [(200 + i, rng.uniform(-180, 180), rng.uniform(-85, 85)) for i in range(50)]
+    kept, keep = [], nearest_module.keep
+    monkeypatch.setattr(nearest_module, "keep", lambda df: kept.append(keep(df)) or kept[-1])
+    found = nearest(spark.createDataFrame(points, POINTS), spark.createDataFrame(targets, "target_id bigint, lon double, lat double"))
+    got = {r.point_id: r for r in found.collect()}
+    for i, x, y in points:
+        assert math.isclose(got[i].metres, min(metres(x, y, *t[1:]) for t in targets), rel_tol=1e-9, abs_tol=1e-6)
+    assert len(kept) == 2 and "Window" not in found._jdf.queryExecution().toString()
+    cells = kept[1]
+    even = cells.agg(F.min("level"), F.max("level")).first()
+    assert even[0] == 2 and even[1] > 16
+    # Below the grid for all there are cells around the dense spot only, not around the far one.
+    assert cells.where("level = 2 AND x0 < -170").count() and cells.where("level > 2 AND x0 < -170").isEmpty()
+
+
 # --- tiles ----------------------------------------------------------------------------------
 
 

@@ -123,6 +123,20 @@ def _x(lon: str) -> str:
 _KX = "pi() / 180 * 6378137.0 * sqrt(1 / (1 - e2 * (1 - c * c))) * c"
 _KY = "pi() / 180 * 6378137.0 * sqrt(1 / (1 - e2 * (1 - c * c))) * (1 / (1 - e2 * (1 - c * c))) * (1 - e2)"
 
+_SCALED = f"""
+scaled AS (SELECT *, {_KX} AS kx, {_KY} AS ky FROM (
+  SELECT *, cos(lat * (pi() / 180)) AS c, 1 / 298.257223563::DOUBLE * (2 - 1 / 298.257223563::DOUBLE) AS e2 FROM places))
+"""
+
+# Of every point and edge (target_id, ax, ay, bx, by) the distance, by the foot of the perpendicular.
+_TO_EDGES = """
+feet AS (
+  SELECT point_id, target_id, vx, vy, ux, uy, greatest(0, least(1, (vx * ux + vy * uy) / (ux * ux + uy * uy))) AS t
+  FROM (SELECT point_id, target_id, (lon - ax) * kx AS vx, (lat - ay) * ky AS vy, (bx - ax) * kx AS ux, (by_ - ay) * ky AS uy
+        FROM scaled, edges)),
+apart AS (SELECT point_id, target_id, sqrt((vx - t * ux) * (vx - t * ux) + (vy - t * uy) * (vy - t * uy)) AS d FROM feet)
+"""
+
 ORACLE: dict[str, str] = {
     "building_age": f"WITH {_BRIDGE} SELECT * FROM ages",
     "point_lookup": f"WITH {_BRIDGE} SELECT ml, n_points, bldg_id, ambiguous FROM lookup",
@@ -255,6 +269,24 @@ ORACLE: dict[str, str] = {
           FROM scaled p, targets t)
         SELECT point_id, arg_min(target_id, (d, target_id)) AS target_id, round(min(d), 3) AS metres
         FROM pairs GROUP BY point_id""",
+    "nearest_polygon": f"""WITH {_PLACES}, {_TARGETS}, {_INSIDE}, {_SCALED},
+        edges AS (
+          SELECT target_id, lon - reach AS ax, lat AS ay, lon AS bx, lat - reach AS by_ FROM targets UNION ALL
+          SELECT target_id, lon, lat - reach, lon + reach, lat FROM targets UNION ALL
+          SELECT target_id, lon + reach, lat, lon, lat + reach FROM targets UNION ALL
+          SELECT target_id, lon, lat + reach, lon - reach, lat FROM targets),
+        {_TO_EDGES},
+        every AS (SELECT * FROM apart UNION ALL SELECT point_id, polygon_id, 0.0 FROM inside)
+        SELECT point_id, arg_min(target_id, (d, target_id)) AS target_id, round(min(d), 3) AS metres
+        FROM every GROUP BY point_id""",
+    "nearest_line": f"""WITH {_PLACES}, {_TARGETS}, {_SCALED},
+        bends AS (SELECT *, (target_id % 13) * 0.0001::DOUBLE AS bend FROM targets),
+        edges AS (
+          SELECT target_id, lon AS ax, lat AS ay, lon + reach AS bx, lat + reach / 4 AS by_ FROM bends UNION ALL
+          SELECT target_id, lon + reach, lat + reach / 4, lon + reach + bend, lat - bend FROM bends),
+        {_TO_EDGES}
+        SELECT point_id, arg_min(target_id, (d, target_id)) AS target_id, round(min(d), 3) AS metres
+        FROM apart GROUP BY point_id""",
     "cluster_rollup": f"""WITH {_PLACES}, cells AS (
           SELECT min(point_id) AS first_id, count(*) AS n, avg({_x('lon')}) AS x, avg({_y('lat')}) AS y FROM places
           GROUP BY floor({_x('lon')} * (512 * 65536 / 40.0::DOUBLE)), floor({_y('lat')} * (512 * 65536 / 40.0::DOUBLE)))

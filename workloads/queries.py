@@ -14,7 +14,7 @@ from lotline.operators import matching, report, view
 from lotline.operators.bags import first_truthy, read_bag
 from lotline.operators.clusters import cluster_rollup
 from lotline.operators.containment import hit_test, points_within, within_any
-from lotline.operators.nearest import nearest
+from lotline.operators.nearest import nearest, nearest_line, nearest_polygon
 from lotline.operators.tiles import point_tile_rollup, tile_rollup
 from lotline.operators.upserts import apply_feature_diff
 from lotline.plans.building_age import link_buildings
@@ -366,6 +366,20 @@ def nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("point_id", "target_id", F.round("metres", 3).alias("metres"))
 
 
+@query
+def nearest_polygon_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diamond nearest to every order; many lie inside several."""
+    found = nearest_polygon(tables.order_points(spark, sf_dir), tables.customer_diamonds(spark, sf_dir))
+    return found.select("point_id", "target_id", F.round("metres", 3).alias("metres"))
+
+
+@query
+def nearest_line_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer's path nearest to every order."""
+    found = nearest_line(tables.order_points(spark, sf_dir), tables.customer_paths(spark, sf_dir))
+    return found.select("point_id", "target_id", F.round("metres", 3).alias("metres"))
+
+
 @query
 def cluster_rollup_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of 0, 1, 1.5 and NULL, copies of rows, and clusters from three points on."""

@@ -116,6 +116,16 @@ def customer_diamonds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customer_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path of two parts at every customer: eastward and up by its reach, then by as much as the key says."""
+    x, y, r = F.col("lon"), F.col("lat"), F.col("reach")
+    bend = (F.col("target_id") % 13) * 0.0001
+    corners = [(x, y), (x + r, y + r / 4), (x + r + bend, y - bend)]
+    return customer_places(spark, sf_dir).select(
+        F.col("target_id").alias("line_id"), F.array(F.array(*[F.array(cx, cy) for cx, cy in corners])).alias("paths")
+    )
+
+
 def feature_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item as a change of its order, or of a new feature with a negative id."""
     line = table(spark, sf_dir, "lineitem")
