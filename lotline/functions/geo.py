@@ -150,6 +150,16 @@ def touches_edge(x: Column, y: Column, edge: Column) -> Column:
     return along_x & along_y & (edge_side(x, y, edge) == 0)
 
 
+def edges_cross(a: Column, b: Column) -> Column:
+    """Whether two edges cross at a place that is an end of neither: each has its ends on both sides of the other."""
+
+    def parted(by: Column, edge: Column) -> Column:
+        first, last = (F.signum(edge_side(edge[x], edge[y], by)) for x, y in (("x1", "y1"), ("x2", "y2")))
+        return first * last < 0
+
+    return parted(a, b) & parted(b, a)
+
+
 def mercator_x(lon: Column) -> Column:
     """Longitude on the unit square."""
     return lon / 360 + 0.5

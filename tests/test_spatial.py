@@ -10,7 +10,7 @@ from lotline.operators import containment as containment_module
 from lotline.operators import nearest as nearest_module
 from lotline.operators import tiles as tiles_module
 from lotline.operators.clusters import cluster_rollup
-from lotline.operators.containment import hit_test, points_within, within_any
+from lotline.operators.containment import hit_test, lines_within, points_within, within_any
 from lotline.operators.nearest import nearest, nearest_line, nearest_polygon
 from lotline.operators.tiles import point_tile_rollup, tile_rollup
 
@@ -137,6 +137,89 @@ def test_no_polygons(spark):
     assert [r.within for r in within_any(points, none).collect()] == [False]
 
 
+LINES = "line_id bigint, paths array<array<array<double>>>"
+
+
+def crossing(a, b, c, d):
+    """Whether two edges meet within both, by solving for the place; another method than the library's."""
+    rx, ry, sx, sy = b[0] - a[0], b[1] - a[1], d[0] - c[0], d[1] - c[1]
+    det = rx * sy - ry * sx
+    if det == 0:
+        return False
+    t = ((c[0] - a[0]) * sy - (c[1] - a[1]) * sx) / det
+    u = ((c[0] - a[0]) * ry - (c[1] - a[1]) * rx) / det
+    return 0 < t < 1 and 0 < u < 1
+
+
+def brute_lines_within(lines, polygons):
+    out = []
+    for line, paths in lines:
+        used = [p for p in paths or [] if p]
+        for polygon, _, parts in polygons:
+            fits = lambda path, rings: all(winding_inside(x, y, rings) for x, y in path) and not any(
+                crossing(a, b, c, d) for a, b in zip(path, path[1:]) for ring in rings for c, d in zip(ring, ring[1:])
+            )
+            if used and all(any(fits(path, rings) for rings in parts or []) for path in used):
+                out.append((line, polygon))
+    return sorted(out)
+
+
+def test_lines_touching_crossing_and_in_holes(spark):
+    notched = [[closed([[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [2.0, 1.0], [0.0, 4.0]]), box(0.5, 0.2, 1.0, 0.4)], [box(10.0, 0.0, 12.0, 2.0)]]
+    polygons = [(1, 1, notched), (2, 2, [[box(-1.0, -1.0, 13.0, 5.0)]]), (3, 3, None), (2, 4, [[box(-1.0, -1.0, 13.0, 5.0)]])]
+    paths = {
+        1: [[[0.5, 2.0], [0.6, 0.6], [3.4, 0.6]]],  # below the notch
+        2: [[[0.5, 2.5], [3.5, 2.5]]],  # across it, with both ends inside
+        3: [[[1.0, 1.0], [3.0, 1.0]]],  # touches the notch's corner
+        4: [[[0.2, 0.3], [1.5, 0.3]]],  # across the hole
+        5: [[[0.0, 1.0], [1.0, 1.0]]],  # begins on an edge
+        6: [[[0.7, 0.3], [0.8, 0.3]]],  # in the hole
+        7: [[[10.5, 0.5], [11.5, 1.5]], [[0.5, 1.0], [1.0, 1.0]]],  # in two parts
+        8: [[[3.5, 0.5], [10.5, 0.5]]],  # from one part to another
+        9: [[[1.5, 0.5]], []],  # one point
+        10: [[]],
+        11: None,
+        12: [[[1.0, 1.0], [None, 1.0]]],
+    }
+    lines = list(paths.items())
+    got = lines_within(spark.createDataFrame([*lines, lines[0]], LINES), spark.createDataFrame(polygons, POLYGONS)).collect()
+    inside = {1: [1, 2], 2: [2], 3: [1, 2], 4: [2], 5: [2], 6: [2], 7: [1, 2], 8: [2], 9: [1, 2]}
+    want = [(i, g) for i, found in inside.items() for g in found for _ in range((2 if g == 2 else 1) * (2 if i == 1 else 1))]
+    assert sorted((r.line_id, r.polygon_id) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("broadcast_bytes", [0, containment_module.BROADCAST_BYTES])
+def test_lines_within_against_brute_force(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(containment_module, "BROADCAST_BYTES", broadcast_bytes)
+    rng = random.Random(12)
+    polygons = [p for p in outlines(rng, 30) if p[2]]
+    lines = []
+    for i in range(300):
+        ring = rng.choice(polygons)[2][0][0]
+        cx, cy = sum(p[0] for p in ring[:-1]) / (len(ring) - 1), sum(p[1] for p in ring[:-1]) / (len(ring) - 1)
+        r = max(abs(p[0] - cx) for p in ring) * 10 ** rng.uniform(-1.5, 0)
+        lines.append((i, [[[cx + rng.gauss(0, r), cy + rng.gauss(0, r)] for _ in range(rng.randint(1, 4))] for _ in range(rng.choice([1, 1, 2]))]))
+    want = brute_lines_within(lines, polygons)
+    vertices = {(i, g) for i, paths in lines for g, _, parts in polygons if all(any(winding_inside(x, y, rings) for rings in parts) for p in paths for x, y in p)}
+    assert len(want) > 40 and vertices - set(want)
+    got = lines_within(spark.createDataFrame(lines, LINES), spark.createDataFrame(polygons, POLYGONS))
+    assert sorted((r.line_id, r.polygon_id) for r in got.collect()) == want
+
+
+def test_covers_carry_few_edges(spark):
+    """A polygon of many edges: inner cells have none, the others a small part of them, and no result changes."""
+    n = 3000
+    ring = closed([[10 + (1 + 0.05 * math.sin(40 * a)) * math.cos(a), 50 + (1 + 0.05 * math.sin(40 * a)) * math.sin(a)] for a in (2 * math.pi * k / n for k in range(n))])
+    polygons = spark.createDataFrame([(1, 1, [[ring]])], POLYGONS)
+    cells = containment_module.cover(polygons, "polygon_id", "rings", "ord").cells
+    most, inner, edges = cells.agg(F.max(F.size(F.flatten("parts"))), F.count_if("inner"), F.count_if(~F.col("inner"))).first()
+    assert most < n / 5 and inner > edges / 4 and cells.where("inner and parts is not null").isEmpty()
+    rng = random.Random(1)
+    points = [(i, 10 + rng.uniform(-1.2, 1.2), 50 + rng.uniform(-1.2, 1.2)) for i in range(400)]
+    got = {r.point_id for r in points_within(spark.createDataFrame(points, POINTS), polygons).collect()}
+    assert got == {i for i, x, y in points if winding_inside(x, y, [ring])}
+
+
 # --- nearest --------------------------------------------------------------------------------
 
 

@@ -259,6 +259,26 @@ ORACLE: dict[str, str] = {
     "points_within": f"WITH {_PLACES}, {_TARGETS}, {_INSIDE} SELECT point_id, polygon_id FROM inside",
     "within_any": f"""WITH {_PLACES}, {_TARGETS}, {_INSIDE} SELECT point_id,
         point_id IN (SELECT point_id FROM inside) AS within FROM places""",
+    "lines_within": f"""WITH {_PLACES}, {_TARGETS},
+        sized AS (SELECT *, (point_id % 7 + 1) * 0.0001::DOUBLE AS s FROM places),
+        lines AS (SELECT point_id AS line_id, lon, lat,
+          [{{'x': lon, 'y': lat}}, {{'x': lon + s, 'y': lat - s / 8}}, {{'x': lon + s / 2, 'y': lat - s}}] AS v FROM sized),
+        darts AS (SELECT target_id AS polygon_id, lon, lat, reach, [
+          {{'ax': lon - reach, 'ay': lat - reach, 'bx': lon, 'b_y': lat - reach / 4}},
+          {{'ax': lon, 'ay': lat - reach / 4, 'bx': lon + reach, 'b_y': lat - reach}},
+          {{'ax': lon + reach, 'ay': lat - reach, 'bx': lon, 'b_y': lat + reach}},
+          {{'ax': lon, 'ay': lat + reach, 'bx': lon - reach, 'b_y': lat - reach}}] AS e FROM targets),
+        near AS (SELECT line_id, polygon_id, v, e FROM lines l JOIN darts d
+          ON l.lon > d.lon - reach AND l.lon < d.lon + reach AND l.lat > d.lat - reach AND l.lat < d.lat + reach),
+        held AS (SELECT * FROM near WHERE len(list_filter(v, lambda p: len(list_filter(e, lambda g:
+            (p.y >= g.ay AND p.y < g.b_y AND (g.bx - g.ax) * (p.y - g.ay) - (g.b_y - g.ay) * (p.x - g.ax) > 0)
+            OR (p.y >= g.b_y AND p.y < g.ay AND (g.bx - g.ax) * (p.y - g.ay) - (g.b_y - g.ay) * (p.x - g.ax) < 0))) % 2 = 1)) = 3),
+        sides AS (SELECT line_id, polygon_id, unnest(e) AS g, v FROM held),
+        steps AS (SELECT line_id, polygon_id, g, unnest([{{'p': v[1], 'q': v[2]}}, {{'p': v[2], 'q': v[3]}}]) AS w FROM sides),
+        crossed AS (SELECT DISTINCT line_id, polygon_id FROM steps WHERE
+          sign((g.bx - g.ax) * (w.p.y - g.ay) - (g.b_y - g.ay) * (w.p.x - g.ax)) * sign((g.bx - g.ax) * (w.q.y - g.ay) - (g.b_y - g.ay) * (w.q.x - g.ax)) < 0
+          AND sign((w.q.x - w.p.x) * (g.ay - w.p.y) - (w.q.y - w.p.y) * (g.ax - w.p.x)) * sign((w.q.x - w.p.x) * (g.b_y - w.p.y) - (w.q.y - w.p.y) * (g.bx - w.p.x)) < 0)
+        SELECT line_id, polygon_id FROM held ANTI JOIN crossed USING (line_id, polygon_id)""",
     "hit_test": f"""WITH {_PLACES}, {_TARGETS}, {_INSIDE}
         SELECT point_id, min(polygon_id) AS polygon_id FROM inside GROUP BY point_id""",
     "nearest_point": f"""WITH {_PLACES}, {_TARGETS},

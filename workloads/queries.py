@@ -13,7 +13,7 @@ from lotline.operators import bands as band_ops
 from lotline.operators import matching, report, view
 from lotline.operators.bags import first_truthy, read_bag
 from lotline.operators.clusters import cluster_rollup
-from lotline.operators.containment import hit_test, points_within, within_any
+from lotline.operators.containment import hit_test, lines_within, points_within, within_any
 from lotline.operators.nearest import nearest, nearest_line, nearest_polygon
 from lotline.operators.tiles import point_tile_rollup, tile_rollup
 from lotline.operators.upserts import apply_feature_diff
@@ -355,6 +355,12 @@ def within_any_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return within_any(tables.order_points(spark, sf_dir), tables.customer_diamonds(spark, sf_dir))
 
 
+@query
+def lines_within_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of the orders inside polygons that are not convex, so that a path may leave between its corners."""
+    return lines_within(tables.order_paths(spark, sf_dir), tables.customer_darts(spark, sf_dir))
+
+
 @query
 def hit_test_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit_test(tables.order_points(spark, sf_dir), tables.customer_diamonds(spark, sf_dir))

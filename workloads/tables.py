@@ -116,6 +116,24 @@ def customer_diamonds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customer_darts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An arrow head upwards around every customer, with a notch from below."""
+    x, y, r = F.col("lon"), F.col("lat"), F.col("reach")
+    corners = [(x - r, y - r), (x, y - r / 4), (x + r, y - r), (x, y + r), (x - r, y - r)]
+    return customer_places(spark, sf_dir).select(
+        F.col("target_id").alias("polygon_id"), F.array(F.array(F.array(*[F.array(cx, cy) for cx, cy in corners]))).alias("rings")
+    )
+
+
+def order_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path from every order to the right and back below it; its length goes by the key."""
+    x, y, size = F.col("lon"), F.col("lat"), (F.col("point_id") % 7 + 1) * 0.0001
+    corners = [(x, y), (x + size, y - size / 8), (x + size / 2, y - size)]
+    return order_points(spark, sf_dir).select(
+        F.col("point_id").alias("line_id"), F.array(F.array(*[F.array(cx, cy) for cx, cy in corners])).alias("paths")
+    )
+
+
 def customer_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A path of two parts at every customer: eastward and up by its reach, then by as much as the key says."""
     x, y, r = F.col("lon"), F.col("lat"), F.col("reach")
