@@ -70,6 +70,14 @@ def band_by_year(bands: DataFrame, low: Column, high: Column) -> DataFrame:
     )
 
 
+def bands_of_years(bands: DataFrame, first: int, last: int) -> list[Band]:
+    """Bands of one year each that class the years from ``first`` to ``last`` as ``bands`` does, however many those are."""
+    low, high = F.lit(first), F.lit(last)
+    within = bands.withColumns({"min_year": F.greatest(F.coalesce("min_year", low), low), "max_year": F.least(F.coalesce("max_year", high), high)})
+    # One row for each year at most.
+    return [Band(r.age_band, None, r.year, r.year, None) for r in sorted(band_by_year(within, low, high).collect(), key=lambda r: r.year)]
+
+
 def band_range_join(df: DataFrame, bands: DataFrame, year: str = "year") -> DataFrame:
     """``df`` with ``age_band`` by joining bands as a table of any length; the same as ``band_of_year``.
 

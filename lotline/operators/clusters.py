@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lotline.functions.geo import inverse_mercator_lat, inverse_mercator_lon, mercator_x, mercator_y
 from lotline.operators.skew import join_lookup
+from lotline.storage import keep
 
 # Cluster radius in pixels, tile extent in pixels, smallest cluster.
 RADIUS = 40
@@ -74,5 +75,10 @@ def cluster_rollup(
         return result
     # The points of large groups find no partner here, but they are shuffled all the same.
     small = groups.filter(~(merged | alone)).select("_cx", "_cy")
-    rest = join_lookup(placed, small, ["_cx", "_cy"], "left_semi").withColumn("_row", F.monotonically_increasing_id())
-    return result.unionByName(summed(rest, "_row").select(F.lit(False).alias("is_cluster"), *columns[1:]))
+    rest = join_lookup(placed, small, ["_cx", "_cy"], "left_semi")
+    if extra:
+        # Rows are numbered in a written table: numbers of rows that are computed again would differ.
+        rest = summed(keep(rest.withColumn("_row", F.monotonically_increasing_id())), "_row")
+    else:
+        rest = rest.select(F.col("_n").alias("point_count"), F.col("_x").alias("_mx"), F.col("_y").alias("_my"), F.col(id).alias("first_id"))
+    return result.unionByName(rest.select(F.lit(False).alias("is_cluster"), *columns[1:]))

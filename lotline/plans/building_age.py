@@ -10,13 +10,14 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lotline.functions.text import normalize_id, year_of
+from lotline.functions.text import FIRST_VALID_YEAR, normalize_id, year_of
 from lotline.operators.bags import first_truthy, first_truthy_or_last, read_bag
+from lotline.operators.bands import bands_of_years
 from lotline.operators.columns import resolve_property_keys
 from lotline.operators.matching import building_age, link_properties, representative_property
 from lotline.operators.report import band_counts, quality_report
 from lotline.session import session
-from lotline.sources.bands import DEFAULT_BANDS, Band, bands_frame, load_bands
+from lotline.sources.bands import DEFAULT_BANDS, Band, bands_frame, load_bands, read_bands
 from lotline.sources.geojson import has_bag, read_features, read_output, require_path, write_features
 from lotline.storage import keep
 
@@ -81,7 +82,7 @@ def building_age_from_files(
     buildings_path: str,
     as_of_year: int,
     bands: list[Band] = DEFAULT_BANDS,
-    layout: str = "document",
+    layout: str = "lines",
 ) -> DataFrame:
     """Read, check and link three feature collections. ``ValueError`` on unusable inputs.
 
@@ -114,7 +115,10 @@ def main(argv: list[str] | None = None) -> None:
     spark = session()
     if args.bands:
         require_path(spark, args.bands)
+    every = read_bands(spark, args.bands) if args.bands else bands_frame(spark)
     bands = load_bands(spark, args.bands) if args.bands else DEFAULT_BANDS
+    if bands is None:
+        bands = bands_of_years(every, FIRST_VALID_YEAR, args.as_of_year)
     linked = building_age_from_files(
         spark, args.properties, args.points, args.buildings, args.as_of_year, bands, args.layout
     )
@@ -122,7 +126,7 @@ def main(argv: list[str] | None = None) -> None:
     # The report reads what was written, rather than linking again.
     result = read_output(spark, args.out, args.out_layout)
     quality_report(result).show(truncate=False)
-    band_counts(result, bands_frame(spark, bands)).orderBy("band_ord").show(truncate=False)
+    band_counts(result, every).orderBy("band_ord").show(truncate=False)
 
 
 if __name__ == "__main__":

@@ -77,11 +77,11 @@ def read_bands(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def load_bands(spark: SparkSession, path: str) -> list[Band]:
-    """Bands as configuration. A longer list stays a DataFrame: use :func:`read_bands`."""
+def load_bands(spark: SparkSession, path: str) -> list[Band] | None:
+    """Bands as configuration; None for a longer list, which stays a DataFrame: see :func:`read_bands`."""
     rows = read_bands(spark, path).orderBy("band_ord").limit(MAX_INLINE_BANDS + 1).collect()
-    if len(rows) > MAX_INLINE_BANDS:
-        raise ValueError(f"More than {MAX_INLINE_BANDS} bands at {path}: use read_bands and band_by_year")
     if not rows:
         raise ValueError(f"Expected a JSON array of bands at {path}")
+    if len(rows) > MAX_INLINE_BANDS:
+        return None
     return [Band(r.id, r.label, r.min_year, r.max_year, r.color, r.is_unknown) for r in rows]

@@ -231,13 +231,20 @@ def read_output(spark: SparkSession, path: str, layout: str = "parquet") -> Data
 
 
 def require_path(spark: SparkSession, path: str) -> None:
-    """Raise ``ValueError`` when there is nothing at ``path``. Reads no rows."""
+    """Raise ``ValueError`` when there is nothing at ``path``, or only empty files. Reads no rows.
+
+    An empty file is no collection, not even an empty one; read by lines it would pass for no features.
+    """
     try:
         spark.read.text(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise ValueError(f"Nothing to read at {path}") from error
         raise
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not any(files.getContentSummary(found.getPath()).getLength() for found in files.globStatus(pattern)):
+        raise ValueError(f"Only empty files at {path}")
 
 
 def key_list(properties_raw: Column) -> Column:

@@ -10,20 +10,23 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one below the warehouse where none is set.
+    """A folder of this application in the cluster's shared folder, or in the warehouse where none is set.
 
-    Spark removes the latter when it ends.
+    Spark removes it with all that is in it when the application ends. A warehouse on one machine's disk
+    will do in local mode only: executors elsewhere would not see it.
     """
     configured = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    folder = f"{warehouse}/kept-{spark.sparkContext.applicationId}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(path)
-    files.deleteOnExit(path)
-    return folder if ":" in folder.split("/")[0] else f"file://{folder}"
+    base = (configured or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    folder = f"{base}/kept-{spark.sparkContext.applicationId}"
+    files = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not configured and files.getUri().getScheme() == "file" and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"Set {_SETTING} to a folder that all executors share; {base} is on one machine's disk")
+    if not files.exists(hadoop(folder)):
+        files.mkdirs(hadoop(folder))
+        files.deleteOnExit(hadoop(folder))
+    # Named in full, for readers that are not Spark's.
+    return str(files.makeQualified(hadoop(folder)).toString()).replace("file:/", "file:///", 1).replace("file:////", "file:///", 1)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -89,9 +89,15 @@ def test_read_bands(spark, tmp_path):
     assert [r.id for r in ops.legend(read_bands(spark, str(path))).collect()] == [b.id for b in DEFAULT_BANDS]
 
 
-def test_too_many_bands_stay_a_table(spark, tmp_path):
+def test_very_many_bands_stay_a_table_and_class_years_the_same(spark, tmp_path):
     path = tmp_path / "bands.json"
-    path.write_text(json.dumps([{"id": str(i)} for i in range(MAX_INLINE_BANDS + 1)]))
-    with pytest.raises(ValueError, match="More than"):
-        load_bands(spark, str(path))
-    assert read_bands(spark, str(path)).count() == MAX_INLINE_BANDS + 1
+    entries = [{"id": str(i), "minYear": 1500 + i // 2, "maxYear": 1500 + i // 2 + i % 7} for i in range(MAX_INLINE_BANDS + 50)] + [{"id": "rest"}]
+    path.write_text(json.dumps(entries))
+    assert load_bands(spark, str(path)) is None
+    every = read_bands(spark, str(path))
+    assert every.count() == len(entries)
+    folded = ops.bands_of_years(every, 1600, 2026)
+    listed = [Band(e["id"], None, e.get("minYear"), e.get("maxYear"), None) for e in entries]
+    years = spark.range(1600, 2027).select(F.col("id").alias("year"))
+    rows = years.select("year", ops.band_of_year(F.col("year"), folded).alias("a"), ops.band_of_year(F.col("year"), listed).alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and len({r.a for r in rows}) > 300

@@ -275,6 +275,24 @@ def test_unusable_inputs(spark, inputs, tmp_path):
         building_age_from_files(spark, inputs["properties"], inputs["points"], empty, 2026)
 
 
+@pytest.mark.parametrize("which", ["properties", "points", "buildings"])
+def test_empty_files_are_no_collections(spark, inputs, tmp_path, which):
+    (tmp_path / "none").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "none" / f"{name}.geojson").write_text("")
+    for path in (tmp_path / "none" / "a.geojson", tmp_path / "none"):
+        with pytest.raises(ValueError, match="Only empty files"):
+            building_age_from_files(spark, *({**inputs, which: str(path)}[k] for k in ("properties", "points", "buildings")), 2026)
+
+
+def test_command_with_very_many_bands(spark, inputs, tmp_path, capsys):
+    bands = tmp_path / "bands.json"
+    bands.write_text(json.dumps([{"id": f"y{1000 + i}", "minYear": 1000 + i, "maxYear": 1000 + i} for i in range(1100)]))
+    main([inputs["properties"], inputs["points"], inputs["buildings"], str(tmp_path / "o"), "--as-of-year", "2026", "--bands", str(bands)])
+    rows = read_output(spark, str(tmp_path / "o")).collect()
+    assert {r.age_band for r in rows if r.join_status == "matched"} == {f"y{r.Condition_YearBuilt}" for r in rows if r.join_status == "matched"} != set()
+
+
 def test_key_check(spark, tmp_path, capsys):
     left = write(tmp_path / "l.geojson", collection(*[feature(p) for p in ({"gisid": " b "}, {"gisid": "", "map_lot": 7}, {"gisid": "a"}, {"gisid": "b"}, {"gisid": " "}, {"x": 1})]))
     right = write(tmp_path / "r.geojson", collection(*[feature(p) for p in ({"BldgID": "b"}, {"BLDG_ID": "7 "}, {"buildingid": " "}, {"BldgID": 0, "BLDGID": "A"}, {})]))

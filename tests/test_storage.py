@@ -4,21 +4,46 @@ import sys
 from pathlib import Path
 from types import SimpleNamespace
 
+import pytest
+
 from lotline.storage import keep, shared_folder
 
 
-def fake_session(master, setting=None, folder=None):
+def session_like(spark, master, setting=None, folder=None, warehouse=None):
+    values = {"spark.checkpoint.dir": setting, "spark.sql.warehouse.dir": warehouse}
     return SimpleNamespace(
-        conf=SimpleNamespace(get=lambda key, default: setting),
-        sparkContext=SimpleNamespace(
-            master=master, getCheckpointDir=lambda: folder, setCheckpointDir=lambda path: None
-        ),
+        conf=SimpleNamespace(get=lambda key, default=None: values[key]),
+        sparkContext=SimpleNamespace(master=master, applicationId="app-7", getCheckpointDir=lambda: folder),
+        _jvm=spark._jvm,
+        _jsc=spark._jsc,
     )
 
 
-def test_the_named_folder_is_used():
-    assert shared_folder(fake_session("spark://host:7077", "hdfs://shared/checkpoints")) == "hdfs://shared/checkpoints"
-    assert shared_folder(fake_session("yarn", None, "hdfs://set/by/caller")) == "hdfs://set/by/caller"
+def test_the_named_folder_is_used(spark, tmp_path):
+    for setting, folder in ((f"file://{tmp_path}/a", None), (None, f"file:{tmp_path}/a")):
+        assert shared_folder(session_like(spark, "spark://host:7077", setting, folder)) == f"file://{tmp_path}/a/kept-app-7"
+    assert (tmp_path / "a" / "kept-app-7").is_dir()
+
+
+def test_one_machines_disk_is_refused_on_a_cluster(spark, tmp_path):
+    for warehouse in (f"{tmp_path}/w", f"file:{tmp_path}/w"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session_like(spark, "spark://host:7077", warehouse=warehouse))
+        assert shared_folder(session_like(spark, "local[2]", warehouse=warehouse)) == f"file://{tmp_path}/w/kept-app-7"
+
+
+def test_nothing_is_left_in_the_named_folder(tmp_path):
+    code = (
+        "from pyspark.sql import SparkSession\n"
+        "from lotline.storage import keep, new_folder\n"
+        f"s = SparkSession.builder.master('local[1]').config('spark.checkpoint.dir', 'file://{tmp_path}/shared').getOrCreate()\n"
+        "assert keep(s.range(3)).count() == 3\n"
+        "s.range(2).write.parquet(new_folder(s, 'other'))\n"
+        "s.stop()\n"
+    )
+    root = Path(__file__).resolve().parents[1]
+    subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert [p for p in (tmp_path / "shared").rglob("*") if p.is_file()] == []
 
 
 def test_without_a_setting_the_folder_is_below_the_warehouse_and_spark_removes_it(tmp_path):

@@ -139,6 +139,8 @@ apart AS (SELECT point_id, target_id, sqrt((vx - t * ux) * (vx - t * ux) + (vy -
 
 ORACLE: dict[str, str] = {
     "building_age": f"WITH {_BRIDGE} SELECT * FROM ages",
+    "linked_from_files": f"WITH {_BRIDGE} SELECT * FROM ages",
+    "written_and_read": f"WITH {_BRIDGE} SELECT * FROM ages",
     "point_lookup": f"WITH {_BRIDGE} SELECT ml, n_points, bldg_id, ambiguous FROM lookup",
     "building_semi": f"""WITH {_BRIDGE} SELECT gis_id, bldg_id, ambiguous FROM matches
         WHERE bldg_id IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders)""",

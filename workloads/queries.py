@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,9 +18,10 @@ from lotline.operators.containment import hit_test, lines_within, points_within,
 from lotline.operators.nearest import nearest, nearest_line, nearest_polygon
 from lotline.operators.tiles import point_tile_rollup, tile_rollup
 from lotline.operators.upserts import apply_feature_diff
-from lotline.plans.building_age import link_buildings
-from lotline.sources.bands import bands_frame
-from lotline.sources.geojson import key_list, output_features, with_bag
+from lotline.plans.building_age import building_age_from_files, link_buildings
+from lotline.sources.bands import DEFAULT_BANDS, bands_frame, load_bands
+from lotline.sources.geojson import key_list, output_features, read_output, with_bag, write_features
+from lotline.storage import new_folder
 from workloads import tables
 from workloads.tables import AS_OF_YEAR, table, text
 
@@ -299,6 +301,32 @@ def scan_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def linked_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job from feature collections on disk: checks, columns by the first bag, a list of bands, linking."""
+    folder = new_folder(spark, "collections")
+    for name, features in tables.collections(spark, sf_dir).items():
+        features.write.text(f"{folder}/{name}")
+    entries = [{"id": b.id, "label": b.label, "minYear": b.min_year, "maxYear": b.max_year, "color": b.color} for b in DEFAULT_BANDS]
+    spark.createDataFrame([(json.dumps(entries),)], "value string").coalesce(1).write.text(f"{folder}/bands")
+    paths = (f"{folder}/{name}" for name in ("properties", "points", "buildings"))
+    linked = building_age_from_files(spark, *paths, AS_OF_YEAR, load_bands(spark, f"{folder}/bands"))
+    key = F.get_json_object("geometry", "$.coordinates[0]").cast("bigint")
+    return linked.withColumn("building_ord", key).drop("geometry")
+
+
+@query
+def written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classified buildings written as features on lines and read back with their types."""
+    places = tables.buildings(spark, sf_dir).withColumn(
+        "geometry", F.format_string('{"type":"Point","coordinates":[%d,0.5]}', "building_ord")
+    )
+    folder = new_folder(spark, "features")
+    write_features(_linked(spark, sf_dir, places), folder, "lines")
+    key = F.get_json_object("geometry", "$.coordinates[0]").cast("double").cast("bigint")
+    return read_output(spark, folder, "lines").withColumn("building_ord", key).drop("geometry")
+
+
 @query
 def round_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as lines of 32 coordinates."""

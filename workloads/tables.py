@@ -76,6 +76,38 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def collections(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The three inputs as features on lines, with the keys and loose values that such files have."""
+    line = table(spark, sf_dir, "lineitem")
+    own = F.col("l_partkey") * 5
+    building = F.when(F.col("l_partkey") % 3 == 0, own).when(F.col("l_partkey") % 3 == 1, own + F.col("l_linenumber") % 2)
+    building = F.when(F.col("l_quantity") > 1, building.otherwise(F.col("l_orderkey")))
+    order = ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice"]
+
+    def features(rows: DataFrame, bag: Column, *ord: str, geometry: Column | None = None) -> DataFrame:
+        place = F.lit("null") if geometry is None else geometry
+        text = F.concat(F.lit('{"type":"Feature","geometry":'), place, F.lit(',"properties":'), F.to_json(bag), F.lit("}"))
+        # Lines in the order that counts, over several files.
+        return rows.orderBy(*ord).select(text.alias("value"))
+
+    part = table(spark, sf_dir, "part")
+    lot = F.when(F.col("p_partkey") % 2 == 0, F.concat(text("p_partkey"), F.lit(".0"))).otherwise(text("p_partkey"))
+    property_bag = F.struct(
+        lot.alias("Map_Lot"),
+        raw_address().alias("dedupe_selected"),
+        F.lit("elsewhere").alias("Full_Addr"),
+        raw_year().alias("Condition_YearBuilt"),
+        F.col("p_type").alias("propertyclass"),
+        F.col("p_brand").alias("Zoning"),
+    )
+    place = F.format_string('{"type":"Point","coordinates":[%d,0]}', "o_orderkey")
+    return {
+        "properties": features(part, property_bag, "p_partkey"),
+        "points": features(line, F.struct(F.col("l_partkey").alias("ML"), building.alias("BldgID")), *order),
+        "buildings": features(table(spark, sf_dir, "orders"), F.struct(text("o_orderkey").alias("BLDGID")), "o_orderkey", geometry=place),
+    }
+
+
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("building_ord"), normalize_id(text("o_orderkey")).alias("bldg_id")
