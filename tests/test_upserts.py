@@ -1,7 +1,11 @@
 import pytest
 
-from lotline.operators.upserts import CHANGE_SCHEMA, apply_feature_diff
-from lotline.streaming.upserts import feature_updates, version_path
+from pyspark.sql import functions as F
+
+from lotline.operators.report import year_coverage
+from lotline.operators.upserts import CHANGE_SCHEMA, apply_feature_diff, change_schema
+from lotline.streaming import upserts as stream_module
+from lotline.streaming.upserts import BucketTable, feature_updates
 
 FEATURES = "id bigint, geometry string, properties map<string,string>"
 BASE = [(i, f"g{i}", {"a": str(i), "b": "x"}) for i in range(1, 7)]
@@ -54,14 +58,104 @@ def test_remove_all_comes_first(spark):
     assert result(apply_feature_diff(base, changes)) == {9: ("g", {"k": "v"})}
 
 
+def typed(spark, rows, columns, schema):
+    """Rows with JSON texts in some columns as VARIANT."""
+    df = spark.createDataFrame(rows, schema)
+    return df.withColumns({c: F.parse_json(c) for c in columns})
+
+
+def test_typed_bags_and_text_ids(spark):
+    """Numbers, booleans, nulls and nested members stay what they are; ids are texts."""
+    base = typed(
+        spark,
+        [("a", "g", '{"year_built": 1890, "n": 1.5, "flag": true, "none": null, "in": {"x": [1, "2"]}}'), ("b", "g", '{"year_built": "1890"}'), ("c", "g", None), ("d", "g", "{}")],
+        ["properties"],
+        "id string, geometry string, properties string",
+    )
+    changes = typed(
+        spark,
+        [
+            (0, "update", "a", None, '{"n": 2, "new": false, "deep": {"k": null}}', ["flag", "absent"], None),
+            (1, "update", "b", None, '{"year_built": 1900}', None, None),
+            (2, "update", "c", None, '{"q": "1"}', None, None),
+            (3, "add", "e", "h", '{"year_built": 7e2}', None, None),
+            (4, "update", "d", None, '{"lost": 1}', None, True),
+        ],
+        ["properties"],
+        change_schema("string", "string"),
+    )
+    now = apply_feature_diff(base, changes)
+    assert now.schema["properties"].dataType.simpleString() == "variant" and now.schema["id"].dataType.simpleString() == "string"
+    got = {r.id: r.p for r in now.select("id", F.to_json("properties").alias("p")).collect()}
+    assert got == {
+        "a": '{"deep":{"k":null},"in":{"x":[1,"2"]},"n":2,"new":false,"none":null,"year_built":1890}',
+        "b": '{"year_built":1900}',
+        "c": '{"q":"1"}',
+        "d": "{}",
+        "e": '{"year_built":700.0}' if "700.0" in got["e"] else '{"year_built":700}',
+    }
+    # A number in a text does not count as a year, before and after edits of other members.
+    coverage = lambda df: year_coverage(df.withColumn("ord", F.lit(1))).first()
+    others = typed(spark, [(0, "update", "a", None, '{"z": 1}', ["n"], None), (1, "update", "b", None, '{"z": "1"}', None, None)], ["properties"], change_schema("string", "string"))
+    assert coverage(base) == coverage(apply_feature_diff(base, others)) != coverage(now)
+
+
+def test_bags_of_other_types_are_refused(spark):
+    base = spark.createDataFrame([(1, "g", "{}")], "id bigint, geometry string, properties string")
+    with pytest.raises(ValueError, match="VARIANT or a map"):
+        apply_feature_diff(base, spark.createDataFrame(CHANGES, CHANGE_SCHEMA))
+
+
 def test_stream_of_changes(spark, tmp_path):
-    base, table, inbox = (str(tmp_path / name) for name in ("base", "table", "inbox"))
-    spark.createDataFrame(BASE, FEATURES).write.parquet(base)
+    folder, inbox = str(tmp_path / "table"), str(tmp_path / "inbox")
+    table = BucketTable(spark, folder)
+    table.create(spark.createDataFrame(BASE, FEATURES), 16)
     for part in (CHANGES[:5], CHANGES[5:]):
         spark.createDataFrame(part, CHANGE_SCHEMA).coalesce(1).write.mode("append").json(inbox, ignoreNullFields=False)
     stream = spark.readStream.schema(CHANGE_SCHEMA).option("maxFilesPerTrigger", 1).json(inbox)
-    query = feature_updates(stream, base, table, str(tmp_path / "progress")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query = feature_updates(stream, folder, str(tmp_path / "progress")).trigger(availableNow=True).start()
+    query.awaitTermination(240)
     assert query.exception() is None
     # Applying in two steps gives the same, as no change of the second undoes one of the first.
-    assert result(spark.read.parquet(version_path(table, 1))) == WANT
+    assert result(table.read()) == WANT
+
+
+def data_files(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.glob("data/*/bucket=*/*.parquet")}
+
+
+def test_batches_rewrite_the_buckets_they_touch(spark, tmp_path):
+    folder = tmp_path / "table"
+    table = BucketTable(spark, str(folder))
+    table.create(spark.createDataFrame([(i, f"g{i}", {"a": "x"}) for i in range(400)], FEATURES), 16)
+    before = data_files(folder)
+    assert len(before) == 16
+    one = spark.createDataFrame([change(0, "update", 7, properties={"a": "y"}), change(1, "add", 1000, "new", {})], CHANGE_SCHEMA)
+    rewritten = table.apply(one, 0)
+    after = data_files(folder)
+    assert 1 <= len(rewritten) <= 2
+    # The other buckets' files are those of before; new ones are as many as buckets were touched.
+    assert {f: t for f, t in after.items() if f in before} == before and len(after) == 16 + len(rewritten)
+    now = result(table.read())
+    assert len(now) == 401 and now[7] == ("g7", {"a": "y"}) and now[8] == ("g8", {"a": "x"}) and result(table.read(0))[7] == ("g7", {"a": "x"})
+
+    # Again, as after a failure: the same.
+    assert table.apply(one, 0) == rewritten and result(table.read()) == now
+    # A batch without changes writes nothing.
+    assert table.apply(one.limit(0), 1) == [] and table.versions() == [0, 1]
+    assert table.apply(spark.createDataFrame([change(0, "remove", None), change(1, "update", 5000)], CHANGE_SCHEMA), 2) != []
+
+    # A third version: what only the first one named is gone.
+    assert table.versions() == [1, 3]
+    touched = {k for k, v in table.manifest(1).written.items() if v == 1}
+    assert not any((folder / "data" / "000000000000" / f"bucket={k}").exists() for k in touched)
+    assert result(table.read()) == now
+
+    # Everything goes, and what is added in the same batch stays.
+    assert table.apply(spark.createDataFrame([change(0, "remove_all"), change(1, "add", 3, "only", {})], CHANGE_SCHEMA), 5) == list(range(16))
+    assert result(table.read()) == {3: ("only", {})}
+    table.apply(spark.createDataFrame([change(0, "remove", 3)], CHANGE_SCHEMA), 6)
+    assert result(table.read()) == {} and len(data_files(folder)) == 1
+    with pytest.raises(ValueError, match="There is a table"):
+        table.create(spark.createDataFrame(BASE, FEATURES))
+    assert stream_module.KEPT_VERSIONS == 2

@@ -247,6 +247,24 @@ ORACLE: dict[str, str] = {
           CASE WHEN u.l_linenumber > 4 THEN NULL ELSE p.priority END AS priority,
           CASE WHEN u.l_linenumber = 7 THEN NULL ELSE p.line END AS line
         FROM present p LEFT JOIN updates u ON p.id = u.id""",
+    "feature_diff_typed": f"""WITH
+        changes AS (SELECT *, row_number() OVER (ORDER BY {_LINE_ORDER}) AS ord,
+          'o' || CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN -1 - l_orderkey ELSE l_orderkey END AS id FROM lineitem),
+        removed AS (SELECT DISTINCT id FROM changes WHERE l_returnflag = 'R'),
+        added AS (SELECT * FROM changes WHERE l_returnflag = 'A'
+          QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord DESC) = 1),
+        updates AS (SELECT * FROM changes WHERE l_returnflag = 'N'
+          QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord DESC) = 1),
+        present AS (
+          SELECT id, l_quantity AS total, true AS paid, NULL AS priority FROM added
+          UNION ALL
+          SELECT 'o' || o_orderkey, o_totalprice, o_custkey % 2 = 0, o_orderpriority FROM orders
+          WHERE 'o' || o_orderkey NOT IN (SELECT id FROM removed) AND 'o' || o_orderkey NOT IN (SELECT id FROM added))
+        SELECT p.id, CASE WHEN u.id IS NULL THEN p.total WHEN u.l_linenumber = 7 THEN NULL ELSE u.l_suppkey END AS total,
+          CASE WHEN u.id IS NULL THEN 'DOUBLE' WHEN u.l_linenumber = 7 THEN NULL ELSE 'BIGINT' END AS total_type,
+          CASE WHEN u.l_linenumber = 7 THEN NULL ELSE p.paid END AS paid,
+          CASE WHEN u.l_linenumber > 4 THEN NULL ELSE p.priority END AS priority
+        FROM present p LEFT JOIN updates u ON p.id = u.id""",
     "tile_rollup": f"""WITH {_PLACES} SELECT 14 AS z, CAST(floor({_x('lon')} * 16384) AS INTEGER) AS x,
         CAST(floor({_y('lat')} * 16384) AS INTEGER) AS y, o_orderstatus, count(*) AS n_features FROM places GROUP BY ALL""",
     "tile_rollup_polygons": f"""WITH {_TARGETS}, boxes AS (SELECT c_mktsegment,

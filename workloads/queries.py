@@ -359,6 +359,20 @@ def feature_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def feature_diff_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same changes to open bags with numbers and booleans, under ids that are texts."""
+    base, changes = tables.typed_features(spark, sf_dir), tables.typed_changes(spark, sf_dir)
+    total = F.expr("try_variant_get(properties, '$.total', 'variant')")
+    return apply_feature_diff(base, changes).select(
+        "id",
+        total.cast("double").alias("total"),
+        F.schema_of_variant(total).alias("total_type"),
+        F.try_variant_get("properties", "$.paid", "boolean").alias("paid"),
+        F.try_variant_get("properties", "$.priority", "string").alias("priority"),
+    )
+
+
 # --- places -------------------------------------------------------------------------------
 
 

@@ -203,3 +203,17 @@ def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("customer "), text("o_custkey")).alias("geometry"),
         F.create_map(F.lit("status"), "o_orderstatus", F.lit("priority"), "o_orderpriority").alias("properties"),
     )
+
+
+def typed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bag = F.struct(F.col("o_totalprice").alias("total"), (F.col("o_custkey") % 2 == 0).alias("paid"), F.col("o_orderpriority").alias("priority"))
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("o"), text("o_orderkey")).alias("id"), F.lit(None).cast("string").alias("geometry"), F.to_variant_object(bag).alias("properties")
+    )
+
+
+def typed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = F.to_variant_object(F.struct(F.col("ord.l_quantity").alias("total"), F.lit(True).alias("paid")))
+    updated = F.to_variant_object(F.struct(F.col("ord.l_suppkey").alias("total")))
+    changes = feature_changes(spark, sf_dir).withColumn("properties", F.when(F.col("op") == "add", added).otherwise(updated))
+    return changes.withColumn("id", F.concat(F.lit("o"), F.col("id").cast("string")))
