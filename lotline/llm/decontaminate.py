@@ -18,10 +18,13 @@ from lotline.operators.skew import join_lookup
 WINDOW = 13
 SUBSTITUTED = 2
 MASKS = ((0, 1, 3, 4, 5, 6), (0, 1, 2, 4, 7, 8))
-#: Words of 64 bits in the table that most training hashes are turned away by; its size is fixed.
-TABLE_WORDS = 1 << 14
-#: Test hashes are broadcast up to this many rows (24 bytes each).
-BROADCAST_ROWS = 1_000_000
+#: The table that most training hashes are turned away by has so many bits for each test hash, two of them set,
+#: in words of 64 bits: a power of two between these bounds (at most 2 MB). Past the upper one more hashes go on to the join.
+TABLE_BITS = 32
+LEAST_TABLE_WORDS, MOST_TABLE_WORDS = 1 << 14, 1 << 18
+#: Test hashes with the words around them are broadcast up to this size.
+BROADCAST_BYTES = 64 << 20
+SEED_BYTES = 120 + 8 * (2 * WINDOW - 1)
 
 _PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&`~_^=+/\\-"
 _SPACES = "\t\n\x0b\x0c\r"
@@ -65,37 +68,45 @@ def _seeds(items: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
     return parts
 
 
-def _probes(seed: Column) -> list[tuple[Column, Column]]:
+def table_words(seeds: int) -> int:
+    """How many words of 64 bits the table for so many seeds has."""
+    wanted = max(seeds * TABLE_BITS // 64, 1)
+    return min(max(1 << (wanted - 1).bit_length(), LEAST_TABLE_WORDS), MOST_TABLE_WORDS)
+
+
+def _probes(seed: Column, words: int) -> list[tuple[Column, Column]]:
     """Two places in the table: word and bit."""
-    word = F.lit(TABLE_WORDS - 1).cast("bigint")
+    last = F.lit(words - 1).cast("bigint")
     return [
-        (F.shiftrightunsigned(seed, s).bitwiseAND(word).cast("int"), F.shiftrightunsigned(seed, s + 16).bitwiseAND(F.lit(63)).cast("int"))
-        for s in (0, 24)
+        (F.shiftrightunsigned(seed, s).bitwiseAND(last).cast("int"), F.shiftrightunsigned(seed, s + 24).bitwiseAND(F.lit(63)).cast("int"))
+        for s in (0, 32)
     ]
 
 
-def _table(seeds: DataFrame) -> Column:
-    """A bit table of the seeds as a constant array of ``TABLE_WORDS`` numbers, whatever their count.
+def _table(seeds: DataFrame, words: int) -> Column:
+    """A bit table of the seeds as a constant array of ``words`` numbers.
 
     Subqueries are not allowed inside ``filter``, so these numbers pass the driver.
     """
     spark = seeds.sparkSession
-    places = F.explode(F.array(*[F.struct(w.alias("word"), b.alias("bit")) for w, b in _probes(F.col("seed"))]))
+    places = F.explode(F.array(*[F.struct(w.alias("word"), b.alias("bit")) for w, b in _probes(F.col("seed"), words)]))
     set_bits = seeds.select(places.alias("p")).select("p.word", F.expr("shiftleft(1L, p.bit)").alias("bits"))
-    none = spark.range(TABLE_WORDS).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("bigint").alias("bits"))
-    rows = set_bits.union(none).groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
-    numbers = [str(r.bits) for r in sorted(rows)]
+    numbers = ["0"] * words
+    for r in set_bits.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
+        numbers[r.word] = str(r.bits)
     return F.split(F.lit(",".join(numbers)), ",").cast("array<bigint>")
 
 
-def _may_be(seed: Column, table: Column) -> Column:
-    (w1, b1), (w2, b2) = _probes(seed)
+def _may_be(seed: Column, table: Column, words: int) -> Column:
+    (w1, b1), (w2, b2) = _probes(seed, words)
     return (F.bit_get(F.get(table, w1), b1) == 1) & (F.bit_get(F.get(table, w2), b2) == 1)
 
 
-def _hits(h: Column, k: int, mask: tuple[int, ...], table: Column) -> Column:
-    passed = F.filter(_places(h, mask), lambda i: _may_be(_seed(h, i, mask), table))
-    return F.transform(passed, lambda i: F.struct(F.lit(k).alias("mask"), i.alias("p")))
+def _hits(h: Column, k: int, mask: tuple[int, ...], table: Column, words: int) -> Column:
+    """The places whose seed the table has. Seeds are an array of their own, so that each is hashed once."""
+    seeds = F.transform(_places(h, mask), lambda i: _seed(h, i, mask))
+    marked = F.transform(seeds, lambda seed, i: F.when(_may_be(seed, table, words), F.struct(F.lit(k).alias("mask"), i.alias("p"), seed.alias("seed"))))
+    return F.filter(marked, lambda hit: hit.isNotNull())
 
 
 def _around(h: Column, i: Column) -> Column:
@@ -111,61 +122,59 @@ def overlaps(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """``doc_id, item_id, doc_start, item_start, n_equal, n_words``: one row per document and test item that overlap.
+    """``doc_id, item_id, doc_start, item_start, n_equal, n_words, item_ids``: one row per document and test item that overlap.
 
     The overlap given is the first of those with the most equal words among the stretches of ``n_words`` words
     around the seeds: ``WINDOW``, or the item's length if that is less. Positions count words from 0.
-    Test items with the same words are one item, named by the smallest id. Null and empty texts have no
+    Test items with the same words are one item, named by the smallest id; ``item_ids`` has all their ids. Null and empty texts have no
     word and never overlap; rows of ``docs`` that share an id count as one document, a null id stays
     null. Empty tables give no rows; other columns are not read.
     """
     items = (
         benchmark.select(F.col(item_id_col).cast("bigint").alias("item_id"), word_hashes(F.col(item_text_col).cast("string")).alias("h"))
         .groupBy("h")
-        .agg(F.min("item_id").alias("item_id"))
+        .agg(F.min("item_id").alias("item_id"), F.sort_array(F.collect_set("item_id")).alias("item_ids"))
         .where(F.size("h") > 0)
     )
+    named = items.select(F.xxhash64("h").alias("content"), "item_id", "item_ids")
     lengths = [r.n for r in items.select(F.size("h").alias("n")).where(F.col("n") < WINDOW).distinct().collect()]
     masks = [*MASKS, *short_masks(lengths)]
     seeds = _seeds(items.withColumn("item_id", F.struct("item_id", F.xxhash64("h").alias("content"))), masks)
-    table = _table(seeds)
+    n_seeds = seeds.count()
+    n_words = table_words(n_seeds)
+    table = _table(seeds, n_words)
     words = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), word_hashes(F.col(text_col).cast("string")).alias("h"))
     h = F.col("h")
-    hits = F.concat(*[_hits(h, k, mask, table) for k, mask in enumerate(masks)])
+    hits = F.concat(*[_hits(h, k, mask, table, n_words) for k, mask in enumerate(masks)])
     found = words.select("doc_id", "h", F.explode(hits).alias("hit"))
-    seed_of = F.lit(None).cast("bigint")
-    for k, mask in enumerate(masks):
-        seed_of = F.when(F.col("hit.mask") == k, _seed(h, F.col("hit.p"), mask)).otherwise(seed_of)
-    found = found.select(
-        "doc_id", F.col("hit.mask").alias("mask"), seed_of.alias("seed"), F.col("hit.p").alias("p"), _around(h, F.col("hit.p")).alias("near")
-    )
+    found = found.select("doc_id", "hit.mask", "hit.seed", "hit.p", _around(h, F.col("hit.p")).alias("near"))
     full = items.select(F.struct("item_id", F.xxhash64("h").alias("content")).alias("item_id"), "h")
     of_item = join_lookup(seeds, full, ["item_id"]).select(
         "mask", "seed", "item_id", "q", F.size("h").alias("item_words"), _around(h, F.col("q")).alias("item_near")
     )
-    if seeds.count() <= BROADCAST_ROWS:
+    if n_seeds * SEED_BYTES <= BROADCAST_BYTES:
         of_item = F.broadcast(of_item)
     met = found.join(of_item, ["mask", "seed"])
     best = _best_stretch(F.col("near"), F.col("item_near"), F.col("item_words"))
     verified = met.select(
         "doc_id",
         F.col("item_id.item_id").alias("item_id"),
+        F.col("item_id.content").alias("content"),
         best.alias("b"),
         (F.col("p") - (WINDOW - 1) + best["at"]).alias("doc_start"),
         (F.col("q") - (WINDOW - 1) + best["at"]).alias("item_start"),
     ).where("b IS NOT NULL")
     first = F.max_by(F.struct("doc_start", "item_start", "b"), F.struct("b.equal", -F.col("doc_start"), -F.col("item_start")))
-    return (
-        verified.groupBy("doc_id", "item_id")
-        .agg(first.alias("f"))
-        .select(
-            "doc_id",
-            "item_id",
-            F.col("f.doc_start").alias("doc_start"),
-            F.col("f.item_start").alias("item_start"),
-            F.col("f.b.equal").alias("n_equal"),
-            F.col("f.b.n").alias("n_words"),
-        )
+    each = verified.groupBy("doc_id", "item_id", "content").agg(first.alias("f"))
+    # An item without an id has its content as a name; both sides of the join are short.
+    return join_lookup(each, named.select("content", "item_ids"), ["content"]).select(
+        "doc_id",
+        "item_id",
+        F.col("f.doc_start").alias("doc_start"),
+        F.col("f.item_start").alias("item_start"),
+        F.col("f.b.equal").alias("n_equal"),
+        F.col("f.b.n").alias("n_words"),
+        "item_ids",
     )
 
 

@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from lotline.llm import decontaminate
 from tests.llm.data import documents, texts, with_odd_columns
 
@@ -59,6 +61,7 @@ def test_overlaps(spark):
     want = brute(dict(enumerate(values)), {k: t for k, t in tests.items() if k != 7})
     assert {(r.doc_id, r.item_id): r.n_equal for r in got} == want and len(got) == len(want)
     assert len(want) > 40
+    assert all(r.item_ids == ([6, 7] if r.item_id == 6 else [r.item_id]) for r in got)
     for r in got:
         a, b = plain(values[r.doc_id]), plain(tests[r.item_id])
         pairs = zip(a[r.doc_start : r.doc_start + r.n_words], b[r.item_start : r.item_start + r.n_words], strict=True)
@@ -68,7 +71,7 @@ def test_overlaps(spark):
 def test_large_benchmarks_are_not_broadcast(spark, monkeypatch):
     docs, bench = documents(spark, texts(9, 30)), spark.createDataFrame([(1, texts(9, 30)[6][:200])], "item_id bigint, text string")
     small = sorted(map(tuple, decontaminate.overlaps(docs, bench).collect()))
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, decontaminate.overlaps(docs, bench).collect())) == small != []
 
 
@@ -80,3 +83,24 @@ def test_empty_tables_and_native(spark):
     assert [r.doc_id for r in found.collect()] == [None]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_benchmark_of_200_000_seeds(spark):
+    """The table grows with the seeds: few places of random words get past it, and all planted ones are found."""
+    rng = random.Random(3)
+    items = [[f"{rng.randrange(10**6)}" for _ in range(60)] for _ in range(2000)]
+    n = sum(len(item) - mask[-1] for item in items for mask in decontaminate.MASKS)
+    assert n > 200_000 and decontaminate.table_words(n) > decontaminate.LEAST_TABLE_WORDS
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id bigint, text string")
+    values = [" ".join(f"{rng.randrange(10**6)}" for _ in range(400)) for _ in range(60)] + [" ".join(["x", *items[k][10:30], "y"]) for k in range(40)]
+    docs = documents(spark, values)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench).collect()}
+    assert got == {(60 + k, k) for k in range(40)}
+
+    held = bench.select(decontaminate.word_hashes(bench.text).alias("h"), "item_id")
+    words = decontaminate.table_words(n)
+    table = decontaminate._table(decontaminate._seeds(held, list(decontaminate.MASKS)), words)
+    hashes = docs.where("doc_id < 60").select(decontaminate.word_hashes(docs.text).alias("h"))
+    passed = hashes.selectExpr("h").select(*[F.size(decontaminate._hits(F.col("h"), k, m, table, words)).alias(f"n{k}") for k, m in enumerate(decontaminate.MASKS)])
+    assert passed.agg(F.sum("n0") + F.sum("n1")).first()[0] < 0.02 * 60 * 2 * 395
+    assert decontaminate.table_words(10**9) == decontaminate.MOST_TABLE_WORDS
