@@ -60,3 +60,41 @@ def test_odd_rows_and_no_labels(spark):
     assert toxicity.train(docs, docs.selectExpr("doc_id", "1 AS toxic")).cut == np.inf
     strict = toxicity.Severity({b"ka": 9.0}, (0.0,), 0.0)
     assert [r.toxic for r in toxicity.score(docs.limit(3).union(docs.limit(4).subtract(docs.limit(3))), strict).orderBy("doc_id").collect()] == [False, False, True, True]
+
+
+def test_many_label_values_are_all_used(spark):
+    """Labels 0 to 24, with words that mark those from 8 and from 16 on; ids and labels that repeat."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(2500):
+        grade = i % 25
+        words = [f"w{rng.randrange(200)}" for _ in range(20)] + ["flimz"] * (grade >= 8) + ["grobk"] * (grade >= 16)
+        rows.append((i, " ".join(words), grade))
+    docs = spark.createDataFrame([r[:2] for r in rows] * 2, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, g) for i, _, g in rows] * 3, "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels, fit_rows=50)
+    assert {b"flimz", b"grobk"} <= set(model.weights) and 10 < len(model.thresholds) < toxicity.MOST_GRADES
+    expected = model.grades(model.score(["w1", "w1 flimz", "w1 flimz grobk"])) @ np.arange(len(model.thresholds) + 1)
+    assert expected[0] + 2 < expected[1] < expected[2] - 2
+
+
+def test_long_texts_are_not_fitted_and_ties_at_the_limit(spark):
+    """Of labelled rows beyond the limit those with the smallest hash count, whatever their order."""
+    rows = corpus(3, 400)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000, "grobk " * 20_000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, g) for i, _, g in rows] + [(1000, 0)], "doc_id bigint, toxic int")
+    one, two = (toxicity.train(docs.repartition(n), labels.repartition(n), fit_rows=60) for n in (1, 4))
+    assert one == two and set(one.weights) & {b.encode() for b in BAD}
+    long_only = spark.createDataFrame([(1000, 1), (1, 0)], "doc_id bigint, toxic int")
+    assert toxicity.train(docs, long_only).cut == np.inf
+
+
+def test_rows_stand_for_what_was_counted():
+    """The cut with few rows of a frequent label equals that with all of them."""
+    expected, toxic = np.array([0.1, 0.2, 0.6, 0.5, 0.9, 1.5]), np.array([False, False, False, True, True, True])
+    counts = np.array([10, 10, 10, 1, 1, 1])
+    assert toxicity.best_cut(expected, toxic, counts) == toxicity.best_cut(np.repeat(expected, counts), np.repeat(toxic, counts)) != toxicity.best_cut(expected, toxic)
+    rows = [({b"a"}, 1)] * 30 + [(set(), 0)] * 30 + [({b"a"}, 0)] * 2
+    weights, theta = toxicity.fit(rows, [1] * 30 + [5] * 30 + [1] * 2)
+    same, other = toxicity.fit(rows[:30] + [(set(), 0)] * 150 + rows[60:])
+    assert weights.keys() == same.keys() and abs(weights[b"a"] - same[b"a"]) < 0.2 and np.abs(theta - other).max() < 0.2
