@@ -1,10 +1,13 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant per language and source.
 
-Each document has a vector of transformed statistics. In each group the estimate starts from medians
-and absolute deviations, and concentration steps follow: the ``H_SHARE`` of the rows that are nearest
-by the estimate give the next mean and covariance. A last step takes all rows within the 97.5 %
-quantile. A document is rejected if its squared Mahalanobis distance is above the ``CUTOFF`` quantile
-of chi-square. Everything is counted over all rows: a step counts rows and moments by group and bin of
+Each document has a vector of transformed statistics. In each group there are several starts: medians
+with absolute deviations, mean and covariance of all rows, and those of the half that is nearest to the
+medians. Concentration steps follow from each: the ``H_SHARE`` of the rows that are nearest by the
+estimate give the next mean and covariance. Of the starts the one whose covariance has the smallest
+determinant stays. A last step takes all rows within the 97.5 % quantile. A document is rejected if its
+squared Mahalanobis distance is above the ``CUTOFF`` quantile of chi-square.
+
+Everything is counted over all rows: a step counts rows and moments by group, start and bin of
 distance, so no group has to fit anywhere, and takes the nearest bins. Statistics are whole numbers, so
 moments are exact and do not depend on the order of rows.
 """
@@ -33,11 +36,13 @@ H_SHARE = 0.75
 STEPS = 4
 REWEIGHT = 0.975
 CUTOFF = 0.9999
-#: Groups with fewer rows are pooled by language; a pool with fewer has no estimate and keeps its rows.
+#: Groups with fewer rows are judged by all rows of their language, and if those are fewer too, by all rows;
+#: a table with fewer has no estimate and keeps its rows.
 LEAST_ROWS = 50
-#: The statistics and a standard deviation that is added to each, so that a statistic which is the
-#: same in nearly all rows does not reject the rest.
-FLOORS = {"length": 0.1, "word_length": 0.08, "symbols": 0.5, "dup_lines": 0.5, "repeats": 0.7}
+#: The statistics and a standard deviation that is added to each, so that a statistic which is the same in
+#: nearly all rows does not reject the rest for a single event (a sign, a line, a repeated window), and yet
+#: one of them alone can reject: symbols from 7 in 100 words on, lines from 7, repeated words from 13.
+FLOORS = {"length": 0.1, "word_length": 0.08, "symbols": 0.4, "dup_lines": 0.4, "repeats": 0.5}
 #: Statistics are kept in steps of 1 / _UNIT; distances in bins, so many to a factor of e.
 _UNIT = 1024
 _BINS = 64
@@ -157,47 +162,79 @@ def _start(rows: DataFrame) -> DataFrame:
 
 
 def _estimated(moments: DataFrame, factor: float) -> DataFrame:
-    """``g, n, m, w`` from sums of the chosen rows."""
+    """``g, start, n, m, w, size`` from sums of the chosen rows; ``size`` is the logarithm of the determinant."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
-            sums = np.array(batch.column(3).to_pylist(), float).reshape(-1, _P)
-            products = np.array(batch.column(4).to_pylist(), float).reshape(-1, len(_PAIRS))
+            k = batch.column(3).to_numpy(zero_copy_only=False).astype(float)
+            sums = np.array(batch.column(4).to_pylist(), float).reshape(-1, _P)
+            products = np.array(batch.column(5).to_pylist(), float).reshape(-1, len(_PAIRS))
             mean = sums / k[:, None]
             cov = np.zeros((len(k), _P, _P))
             for at, (i, j) in enumerate(_PAIRS):
                 cov[:, i, j] = cov[:, j, i] = (products[:, at] / k - mean[:, i] * mean[:, j]) * factor / _UNIT**2
             cov += np.diag(np.square(list(FLOORS.values())))
             inverse = np.linalg.inv(cov)
+            size = np.linalg.slogdet(cov)[1]
             upper = np.array([[m[i, j] for i, j in _PAIRS] for m in inverse]).reshape(-1, len(_PAIRS))
             columns = [pa.array((mean / _UNIT).tolist(), pa.list_(pa.float64())), pa.array(upper.tolist(), pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["g", "n", "m", "w"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, pa.array(size)], ["g", "start", "n", "m", "w", "size"])
 
     sums = F.array(*[f"s{i}" for i in range(_P)])
     products = F.array(*[f"p{k}" for k in range(len(_PAIRS))])
-    chosen = moments.select("g", "n", "k", sums.alias("sums"), products.alias("products"))
-    return chosen.mapInArrow(run, "g string, n bigint, m array<double>, w array<double>")
+    chosen = moments.select("g", "start", "n", "k", sums.alias("sums"), products.alias("products"))
+    return chosen.mapInArrow(run, "g string, start int, n bigint, m array<double>, w array<double>, size double")
 
 
-def _step(rows: DataFrame, now: DataFrame) -> DataFrame:
-    """One concentration step: an estimate from the nearest rows by the one before."""
-    near = join_lookup(rows, now, ["g"]).withColumn("bin", F.floor(F.log1p(_distance()) * _BINS).cast("int"))
+def _totals() -> list[Column]:
     totals = [F.sum(x).alias(f"s{i}") for i, x in enumerate(_X)]
-    totals += [F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"p{k}") for k, (i, j) in enumerate(_PAIRS)]
-    binned = near.groupBy("g", "bin").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("k"), *totals)
-    before = F.sum("k").over(Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    nearest = binned.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < F.ceil(F.col("n") * H_SHARE))
+    return totals + [F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"p{k}") for k, (i, j) in enumerate(_PAIRS)]
+
+
+def _step(rows: DataFrame, now: DataFrame, share: float = H_SHARE) -> DataFrame:
+    """One concentration step of each start: an estimate from the nearest rows by the one before."""
+    near = join_lookup(rows, now, ["g"]).withColumn("bin", F.floor(F.log1p(_distance()) * _BINS).cast("int"))
+    binned = near.groupBy("g", "start", "bin").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("k"), *_totals())
+    before = F.sum("k").over(Window.partitionBy("g", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    nearest = binned.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < F.ceil(F.col("n") * share))
     summed = [F.sum(c).alias(c) for c in ("k", *[f"s{i}" for i in range(_P)], *[f"p{k}" for k in range(len(_PAIRS))])]
-    return _estimated(nearest.groupBy("g").agg(F.first("n").alias("n"), *summed), _consistency(H_SHARE))
+    return _estimated(nearest.groupBy("g", "start").agg(F.first("n").alias("n"), *summed), _consistency(share))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Several first estimates of each group of at least ``LEAST_ROWS`` rows, told apart by ``start``."""
+    columns = ["g", "start", "n", "m", "w"]
+    medians = keep(_start(rows).where(F.col("n") >= LEAST_ROWS).withColumn("start", F.lit(0)).select(columns))
+    large = join_lookup(rows, medians.select("g", "n"), ["g"])
+    plain = _estimated(large.groupBy("g").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("k"), *_totals()).withColumn("start", F.lit(1)), 1.0)
+    half = _step(rows, medians, 0.5).withColumn("start", F.lit(2))
+    return keep(medians.union(plain.select(columns)).union(half.select(columns)))
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """``g, n, m, w, size``: of each group of ``g, x0, x1, ...`` the concentrated start with the smallest determinant."""
+    now = _starts(rows)
+    for _ in range(STEPS):
+        now = _step(rows, now).drop("size") if _ < STEPS - 1 else _step(rows, now)
+    best = now.groupBy("g").agg(F.min_by(F.struct("n", "m", "w", "size"), F.struct("size", "start")).alias("b"))
+    return best.select("g", "b.*")
 
 
 def _reweighted(rows: DataFrame, now: DataFrame) -> DataFrame:
-    totals = [F.sum(x).alias(f"s{i}") for i, x in enumerate(_X)]
-    totals += [F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"p{k}") for k, (i, j) in enumerate(_PAIRS)]
-    near = join_lookup(rows, now, ["g"]).where(_distance() <= chi2_quantile(REWEIGHT, _P))
-    moments = near.groupBy("g").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("k"), *totals)
-    return _estimated(moments, _consistency(REWEIGHT))
+    near = join_lookup(rows, now.drop("size"), ["g"]).where(_distance() <= chi2_quantile(REWEIGHT, _P))
+    moments = near.groupBy("g").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("k"), *_totals())
+    return _estimated(moments.withColumn("start", F.lit(0)), _consistency(REWEIGHT))
+
+
+def _pooled(good: DataFrame) -> DataFrame:
+    """``g, key, keys``: by which estimate a group is judged, and to which its rows contribute."""
+    sizes = good.groupBy("g", "pool").agg(F.count(F.lit(1)).alias("size"))
+    pools = keep(sizes.groupBy("pool").agg(F.sum("size").alias("pool_size"), F.min("size").alias("least")))
+    all_needed = not pools.where((F.col("least") < LEAST_ROWS) & (F.col("pool_size") < LEAST_ROWS)).isEmpty()
+    large, pool_large = F.col("size") >= LEAST_ROWS, F.col("pool_size") >= LEAST_ROWS
+    keys = F.array(F.when(large, F.col("g")), F.when(pool_large & (F.col("least") < LEAST_ROWS), F.col("pool")), F.lit("" if all_needed else None))
+    key = F.when(large, F.col("g")).when(pool_large, F.col("pool")).otherwise("")
+    return join_lookup(sizes, pools, ["pool"]).select("g", key.alias("key"), F.array_compact(keys).alias("keys"))
 
 
 def judge(
@@ -206,8 +243,8 @@ def judge(
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept``.
 
     One row per row of ``docs``. Rows that fail the base rules are not kept and take no part in the
-    estimates; their ``distance`` is null, as is that of rows whose group has no estimate, which are
-    kept. A null text has no word. Null languages and sources are groups like any other, a null id
+    estimates; their ``distance`` is null, as is that of all rows of a table with too few for an estimate,
+    which are kept. A null text has no word. Null languages and sources are groups like any other, a null id
     stays null, rows that repeat count each. Empty tables give no rows; other columns are not read.
     """
     raw = measured(docs, id_col, text_col, lang_col, source_col)
@@ -215,17 +252,11 @@ def judge(
     base = keep(raw.withColumn("base_failed", failed))
     key = F.to_json(F.struct("lang", "source"))
     good = base.where("NOT base_failed").select("doc_id", key.alias("g"), F.to_json(F.struct("lang")).alias("pool"), *_counts())
-    sizes = good.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-    grouped = F.when(F.col("size") >= LEAST_ROWS, F.col("g")).otherwise(F.col("pool"))
-    rows = join_lookup(good, sizes, ["g"]).select(grouped.alias("g"), *[v.alias(x) for x, v in _vector().items()])
+    groups = keep(_pooled(good))
+    rows = join_lookup(good, groups.select("g", "keys"), ["g"]).select(F.explode("keys").alias("g"), *[v.alias(x) for x, v in _vector().items()])
     rows = keep(rows)
-    now = _start(rows).where(F.col("n") >= LEAST_ROWS)
-    for _ in range(STEPS):
-        now = _step(rows, now)
-    final = keep(_reweighted(rows, now))
-    used = join_lookup(base.withColumn("g", key), sizes, ["g"], "left").withColumn(
-        "g", F.when(F.col("size") >= LEAST_ROWS, F.col("g")).otherwise(F.to_json(F.struct("lang")))
-    )
+    final = keep(_reweighted(rows, estimates(rows)))
+    used = join_lookup(base.withColumn("g", key), groups.select("g", "key"), ["g"], "left").drop("g").withColumnRenamed("key", "g")
     measured_rows = join_lookup(used.withColumns(_vector()), final.select("g", "m", "w"), ["g"], "left")
     distance = F.when(~F.col("base_failed"), _distance())
     near = F.coalesce(F.col("distance") <= chi2_quantile(CUTOFF, _P), F.lit(True))
