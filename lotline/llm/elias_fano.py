@@ -2,7 +2,8 @@
 
 A non-decreasing sequence of ``n`` numbers up to ``u`` takes about ``2 + log2(u / n)`` bits a number: the
 low bits as they are, the high bits in unary as a bit map. ``select`` finds a number by a sampled bit
-position and a count of bits from there, so no table of 64-bit offsets is kept.
+position and a count of bits from there, and a range of numbers from the bits that it covers, so no
+table of 64-bit offsets is kept, neither on disk nor by readers.
 
 The Spark data source ``tokens_ef`` writes one file per task and reads them back. Files go to the
 folder by way of a name of their own; the manifest, written when all tasks are done, names those that
@@ -14,6 +15,7 @@ from __future__ import annotations
 import json
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -41,6 +43,8 @@ MAGIC = b"TOKENSEF"
 SAMPLE = 512
 #: Bytes of ids that are read at a time.
 READ_BYTES = 8 << 20
+#: Documents whose boundaries are read at a time.
+READ_DOCUMENTS = 16_384
 _CHUNK = 1 << 16
 
 
@@ -87,6 +91,24 @@ class EliasFano:
         high = byte * 8 + bit - i
         return self.first + (high << self.low_bits | self._low(i))
 
+    def select_range(self, i: int, j: int) -> np.ndarray:
+        """Numbers ``i`` to ``j - 1``: bits are read from the sampled one before ``i`` to the one after ``j``, no others."""
+        i, j = max(i, 0), min(j, self.n)
+        if i >= j:
+            return np.zeros(0, np.int64)
+        first, after = i // SAMPLE, (j - 1) // SAMPLE + 1
+        position = int(self.samples[first])
+        end = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        bits = np.unpackbits(np.frombuffer(self.high, np.uint8, end - position // 8, position // 8))
+        bits[: position % 8] = 0
+        ones = np.flatnonzero(bits)[i - first * SAMPLE : j - first * SAMPLE] + position // 8 * 8
+        high = (ones - np.arange(i, j)).astype(np.uint64) << np.uint64(self.low_bits)
+        start, stop = i * self.low_bits, j * self.low_bits
+        low = np.unpackbits(np.frombuffer(self.low[start // 8 : (stop + 7) // 8], np.uint8))[start % 8 : start % 8 + stop - start]
+        full = np.zeros((j - i, 64), np.uint8)
+        full[:, 64 - self.low_bits :] = low.reshape(j - i, self.low_bits)
+        return (high | np.packbits(full, axis=1).view(">u8").ravel().astype(np.uint64)).astype(np.int64) + self.first
+
     def _low(self, i: int) -> int:
         start, end = i * self.low_bits, (i + 1) * self.low_bits
         word = int.from_bytes(self.low[start // 8 : (end + 7) // 8], "big")
@@ -156,7 +178,8 @@ class TokensWriter(DataSourceArrowWriter):
         files.create_dir(root, recursive=True)
         task = TaskContext.get().partitionId()
         name = f"part-{task:06d}-{uuid.uuid4().hex}.tok"
-        ids, ends, nulls, total = [], [], 0, 0
+        # Eight bytes a document, until the file is whole.
+        ids, ends, nulls, total = array("q"), array("q"), 0, 0
         kind = np.dtype(f"<u{self.id_bytes}")
         with files.open_output_stream(f"{root}/{name}") as out:
             for batch in iterator:
@@ -236,21 +259,22 @@ def boundaries(f: pa.NativeFile) -> tuple[dict, EliasFano, EliasFano]:
 def read_file(f: pa.NativeFile, start: int = 0) -> Iterator[pa.RecordBatch]:
     """``doc_id, start, n_tokens, ids`` of one file's documents; ``start`` is what comes before the file."""
     head, ids, ends = boundaries(f)
-    width = head["id_bytes"]
-    doc_ids = [None] * head["null_ids"] + ids.values().tolist()
-    stops = ends.values()
-    k = 0
-    while k < len(stops):
-        at = int(stops[k - 1]) if k else 0
-        until = max(k + 1, int(np.searchsorted(stops, at + READ_BYTES // width, "right")))
+    width, nulls = head["id_bytes"], head["null_ids"]
+    k = at = 0
+    while k < ends.n:
+        # The boundaries of a bounded number of documents, and of those as many as READ_BYTES hold.
+        stops = ends.select_range(k, k + READ_DOCUMENTS)
+        stops = stops[: max(1, int(np.searchsorted(stops, at + READ_BYTES // width, "right")))]
+        until = k + len(stops)
         f.seek(at * width)
-        values = np.frombuffer(f.read((int(stops[until - 1]) - at) * width), f"<u{width}").astype("<u4")
-        cuts = np.concatenate([[at], stops[k:until]])
+        values = np.frombuffer(f.read((int(stops[-1]) - at) * width), f"<u{width}").astype("<u4")
+        cuts = np.concatenate([[at], stops])
         offsets = pa.py_buffer(((cuts - at) * 4).astype("<i8").tobytes())
-        binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), until - k, [None, offsets, pa.py_buffer(values.tobytes())])
-        columns = [pa.array(doc_ids[k:until], pa.int64()), pa.array(start + cuts[:-1]), pa.array(np.diff(cuts)), binary.cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids"])
-        k = until
+        binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(stops), [None, offsets, pa.py_buffer(values.tobytes())])
+        without = min(max(nulls - k, 0), len(stops))
+        doc_ids = pa.concat_arrays([pa.nulls(without, pa.int64()), pa.array(ids.select_range(k - nulls, until - nulls))])
+        yield pa.RecordBatch.from_arrays([doc_ids, pa.array(start + cuts[:-1]), pa.array(np.diff(cuts)), binary.cast(pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+        k, at = until, int(stops[-1])
 
 
 def document(f: pa.NativeFile, i: int) -> np.ndarray:

@@ -85,6 +85,7 @@ def test_elias_fano(values, shift):
     code = EliasFano.from_bytes(EliasFano.of(np.array(values, np.int64)).to_bytes())
     assert code.values().tolist() == values
     assert [code.select(i) for i in range(len(values))] == values
+    assert all(code.select_range(i, j).tolist() == values[max(i, 0) : j] for i in range(-2, len(values) + 1, 3) for j in range(i, len(values) + 3, 5) if j >= 0)
 
 
 def test_elias_fano_is_small_and_selects_far():
@@ -93,6 +94,8 @@ def test_elias_fano_is_small_and_selects_far():
     assert len(code.to_bytes()) * 8 / len(values) < 2 + np.log2(150) + 0.5
     assert [code.select(i) for i in range(0, 200_000, 997)] == values[::997].tolist()
     assert (code.values() == values).all()
+    for i, j in ((0, 200_000), (511, 513), (512, 1024), (1000, 1000), (777, 90_001), (199_990, 200_000)):
+        assert (code.select_range(i, j) == values[i:j]).all()
     with pytest.raises(IndexError):
         code.select(200_000)
     with pytest.raises(ValueError, match="decrease"):
@@ -130,6 +133,11 @@ def test_one_document_by_select(tmp_path, monkeypatch):
     message = writer.write(iter([pa.RecordBatch.from_arrays([pa.array([1, 2, 4, 9]), pa.array(raw, pa.binary())], ["doc_id", "ids"])]))
     f = pa.BufferReader((tmp_path / message.name).read_bytes())
     assert [elias_fano.document(f, i).tolist() for i in range(4)] == ids
+    # Readers go by ranges: they never unpack a whole sequence.
+    monkeypatch.setattr(EliasFano, "values", lambda self: pytest.fail("the whole sequence"))
+    for documents_at_once in (2, 3):
+        monkeypatch.setattr(elias_fano, "READ_DOCUMENTS", documents_at_once)
+        assert [x.as_py() for b in elias_fano.read_file(f, 100) for x in b.column(0)] == [1, 2, 4, 9]
     monkeypatch.setattr(elias_fano, "READ_BYTES", 64)
     batches = list(elias_fano.read_file(f, 100))
     assert len(batches) > 1 and [x.as_py() for b in batches for x in b.column(3)] == raw
