@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lotline.functions.geo import Box, mercator_x, mercator_y
 
 
-# A range of more tiles than this is not left to the task that meets it.
-WIDE_RANGE = 4096
-
-
 def _tile_range(low: Column, high: Column, z: int, buffer: float) -> tuple[Column, Column]:
     size = float(2**z)
     return (
@@ -26,8 +22,10 @@ def tile_rollup(df: DataFrame, box: Box, z: int, category: str, buffer: float =
     counts in every tile its box meets, widened by ``buffer`` tile widths. Columns wrap around the
     globe, rows end at the poles.
 
-    Equal tile ranges are counted before they are spread over their tiles, so that many features
-    of one place are spread once. Wide ranges are spread by many tasks, column by column.
+    Equal tile ranges are counted first, so that many features of one place are one range. A range is not
+    spread over its tiles: in each row of tiles it adds at its first column and takes away after its
+    last, and the running sum along the row is the count of every tile up to the next change. A row has
+    as many changes as columns at most, whatever the number of features.
     """
     last = 2**z - 1
     x0, x1 = _tile_range(mercator_x(box.min_x), mercator_x(box.max_x), z, buffer)
@@ -45,12 +43,12 @@ def tile_rollup(df: DataFrame, box: Box, z: int, category: str, buffer: float =
         .groupBy("category", "x0", "x1", "y0", "y1")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    n_tiles = (F.col("x1") - F.col("x0") + 1).cast("bigint") * (F.col("y1") - F.col("y0") + 1)
-    wide = n_tiles > WIDE_RANGE
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiles = _spread_y(_spread_x(ranges.filter(~wide))).unionByName(
-        _spread_y(_spread_x(ranges.filter(wide)).repartition(tasks))
-    )
+    rows = ranges.select("category", "x0", "x1", "n", F.explode(F.sequence("y0", "y1")).alias("y"))
+    ends = F.array(F.struct(F.col("x0").alias("x"), F.col("n").alias("d")), F.struct((F.col("x1") + 1).alias("x"), (-F.col("n")).alias("d")))
+    changes = rows.select("category", "y", F.inline(ends)).groupBy("category", "y", "x").agg(F.sum("d").alias("d")).filter("d <> 0")
+    along = Window.partitionBy("category", "y").orderBy("x")
+    runs = changes.select("category", "y", "x", F.sum("d").over(along).alias("n"), F.lead("x").over(along).alias("next")).filter("n > 0")
+    tiles = runs.select("category", "y", "n", F.explode(F.sequence("x", F.col("next") - 1)).alias("x"))
     return (
         tiles.groupBy(F.pmod("x", F.lit(2**z)).alias("x"), "y", "category")
         .agg(F.sum("n").alias("n_features"))
@@ -58,14 +56,6 @@ def tile_rollup(df: DataFrame, box: Box, z: int, category: str, buffer: float =
     )
 
 
-def _spread_x(ranges: DataFrame) -> DataFrame:
-    return ranges.select("category", "n", "y0", "y1", F.explode(F.sequence("x0", "x1")).alias("x"))
-
-
-def _spread_y(columns: DataFrame) -> DataFrame:
-    return columns.select("category", "n", "x", F.explode(F.sequence("y0", "y1")).alias("y"))
-
-
 def point_tile_rollup(
     df: DataFrame, lon: str, lat: str, z: int, category: str, buffer: float = 0.0
 ) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lotline.functions.geo import Box, polygons_of
 from lotline.operators import containment as containment_module
 from lotline.operators import nearest as nearest_module
-from lotline.operators import tiles as tiles_module
 from lotline.operators.clusters import cluster_rollup
 from lotline.operators.containment import hit_test, lines_within, points_within, within_any
 from lotline.operators.nearest import nearest, nearest_line, nearest_polygon
@@ -416,14 +415,27 @@ def test_box_tiles_with_buffer(spark):
     assert wide == {(0, 0): 1, (1, 0): 1, (0, 1): 1, (1, 1): 1}
 
 
-def test_wide_boxes_are_spread_like_narrow_ones(spark, monkeypatch):
+def test_boxes_against_brute_force(spark):
+    """Narrow and wide boxes, copies, boxes over the date line by a buffer, and a category that is null."""
     rng = random.Random(5)
-    rows = [(x, y, x + rng.uniform(0, 60), y + rng.uniform(0, 30), rng.choice("ab")) for x, y in ((rng.uniform(-180, 120), rng.uniform(-80, 50)) for _ in range(50))]
+    rows = [(x, y, x + rng.uniform(0, 60), y + rng.uniform(0, 30), rng.choice(["a", "b", None])) for x, y in ((rng.uniform(-180, 120), rng.uniform(-80, 50)) for _ in range(60))]
+    rows += rows[:20] + [(-180.0, -85.0, 180.0, 85.0, "a"), (179.9, 1.0, 180.0, 2.0, "b")]
     df = spark.createDataFrame(rows, "x0 double, y0 double, x1 double, y1 double, c string")
     b = Box(*[F.col(c) for c in ("x0", "y0", "x1", "y1")])
-    narrow = sorted(tile_rollup(df, b, 5, "c").collect())
-    monkeypatch.setattr(tiles_module, "WIDE_RANGE", 3)
-    assert sorted(tile_rollup(df, b, 5, "c").collect()) == narrow
+    for z, buffer in ((5, 0.0), (5, 0.3), (2, 0.25)):
+        size, want = 2**z, {}
+        tile_y = lambda lat: 0.5 - 0.25 * math.log((1 + math.sin(math.radians(lat))) / (1 - math.sin(math.radians(lat)))) / math.pi
+        for x0, y0, x1, y1, c in rows:
+            first, last = (math.floor((v / 360 + 0.5) * size + s * buffer) for v, s in ((x0, -1), (x1, 1)))
+            top, bottom = (math.floor(tile_y(v) * size + s * buffer) for v, s in ((y1, -1), (y0, 1)))
+            for x in range(first, min(last, first + size - 1) + 1):
+                for y in range(max(top, 0), min(bottom, size - 1) + 1):
+                    want[x % size, y, c] = want.get((x % size, y, c), 0) + 1
+        got = tile_rollup(df, b, z, "c", buffer)
+        assert {(r.x, r.y, r.c): r.n_features for r in got.collect()} == want
+    # One scan of the features, and as many rows before the last step as ranges have rows of tiles.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
 
 
 # --- clusters -------------------------------------------------------------------------------
