@@ -185,15 +185,16 @@ def train(sample: np.ndarray, near: np.ndarray, part: np.ndarray, parts: int) ->
 def entries(rows: DataFrame, keep_ids: int) -> DataFrame:
     """``rep, vector, ids`` of the different vectors of ``vec_id, vector``: ``rep`` is the smallest id, ``ids`` the ``keep_ids`` smallest."""
     firsts = rows.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.max("vec_id").alias("last"))
-    copied = firsts.where("last > rep").select("vector", "rep")
-    ids = join_lookup(rows, copied, ["vector"]).select("rep", "vec_id").distinct()
+    # An id may have several vectors, so vectors get a number of their own, in a written table.
+    firsts = keep(firsts.withColumn("key", F.monotonically_increasing_id()))
+    ids = join_lookup(rows, firsts.where("last > rep").select("vector", "key"), ["vector"]).select("key", "vec_id").distinct()
     share = F.pmod(F.xxhash64("vec_id"), F.lit(_SHARES))
     # The smallest within a share, then the smallest of all shares: no task gets all copies of a vector.
-    for keys in (["rep", "share"], ["rep"]):
+    for keys in (["key", "share"], ["key"]):
         ids = ids.withColumn("share", share).withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id")))
-        ids = ids.where(F.col("k") <= keep_ids).select("rep", "vec_id")
-    lists = ids.groupBy("rep").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    return firsts.join(lists, "rep", "left").select("rep", "vector", F.coalesce("ids", F.array("rep")).alias("ids"))
+        ids = ids.where(F.col("k") <= keep_ids).select("key", "vec_id")
+    lists = ids.groupBy("key").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    return firsts.join(lists, "key", "left").select("rep", "vector", F.coalesce("ids", F.array("rep")).alias("ids"))
 
 
 def build(rows: DataFrame, width: int, keep_ids: int) -> Index | None:
@@ -301,9 +302,9 @@ def search(index: Index, queries: DataFrame, k: int, parts: int | None = None) -
     ``parts`` is how many parts each query is compared with; measured if it is not given.
     """
     spark, width, router = queries.sparkSession, index.width, index.router
-    distinct = keep(queries.groupBy("vector").agg(F.min("query_id").alias("q")))
+    distinct = keep(queries.select("vector").distinct().withColumn("q", F.monotonically_increasing_id()))
     if parts is None:
-        some = distinct.orderBy(F.xxhash64("q"), "q").limit(MEASURED_QUERIES).collect()
+        some = distinct.orderBy(F.xxhash64("vector")).limit(MEASURED_QUERIES).collect()
         parts = parts_to_search(index, np.array([r.vector for r in some]).reshape(-1, width), k)
     block_rows = max(64, min(BLOCK_ROWS, BLOCK_BYTES // (8 * width)))
     wanted, sample = k + 1, spark.sparkContext.broadcast(index.sample)

@@ -93,6 +93,18 @@ def test_odd_rows(spark):
         assert neighbours.nearest(few).collect() == []
 
 
+def test_vectors_that_share_ids_stay_apart(spark):
+    """Two vectors of one id, both with copies: each has its own copies and its own neighbours."""
+    x = clusters(9, 40)
+    rows = [(i, v) for i, v in enumerate(x)] + [(60, x[1]), (60, x[2]), (61, x[1]), (62, x[2]), (63, x[2])]
+    got = neighbours.nearest(table(spark, rows)).collect()
+    values = {(i, float((np.float64(v) * np.float64(w)).sum())) for i, v in rows for w in (x[1], x[2])}
+    for w in (x[1], x[2]):
+        near = sorted(((float((np.float64(v) * np.float64(w)).sum()), i) for i, v in rows if not (i == 60 and (v == w).all())), key=lambda p: (-p[0], p[1]))[:20]
+        assert set((i, s) for s, i in near) <= {(r.vec_id, r.score) for r in got if r.query_id == 60} <= values
+    assert sum(r.query_id == 60 for r in got) == 40
+
+
 def test_parts_are_balanced_and_cut_few_edges():
     x = clusters(8, 600, centres=6).astype(np.float64)
     near = np.argsort(-(x @ x.T) + 1e9 * np.eye(600), axis=1)[:, :8]
