@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotline.operators.skew import join_lookup
+from lotline.storage import keep
 
 LEAST_COSINE = 0.8
 #: A file whose whole text is so similar to a template is a licence file, as is one with such a name that has a licence.
@@ -184,6 +185,11 @@ def _has(text: Column, words: list[str]) -> Column:
     return F.coalesce(F.lower(text), F.lit("")).rlike("(?<![a-z0-9])(" + "|".join(words) + ")(?![a-z0-9])")
 
 
+def _among(text: Column, words: list[str]) -> Column:
+    """The same for whole texts: to split a long text is less work than to try each of its places."""
+    return F.arrays_overlap(terms(text), F.array(*map(F.lit, words)))
+
+
 def _runs(files: DataFrame, heavy: list[str], heavy_whole: list[str], longest: int) -> DataFrame:
     """``path, run, whole``: the runs of the files' texts that have a heavy term."""
     lines = F.split("text", "\n")
@@ -195,11 +201,11 @@ def _runs(files: DataFrame, heavy: list[str], heavy_whole: list[str], longest: i
         F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: _has(F.array_join(F.slice(lines, i, RUN_LINES), "\n"), heavy)),
         lambda i: F.transform(F.sequence(F.lit(1), F.lit(RUN_LINES)), lambda n: F.array_join(F.slice(lines, i, n), "\n")),
     )
-    some = files.where(_has(F.col("text"), heavy)).select(
+    some = files.where(_among(F.col("text"), heavy)).select(
         "path", F.explode(F.array_distinct(F.concat(F.array(header), paragraphs, F.flatten(few)))).alias("run"), F.lit(False).alias("whole")
     )
     short = F.size(terms(F.col("text"))) <= longest * LONGEST
-    whole = files.where(_has(F.col("text"), heavy_whole)).where(short).select("path", F.col("text").alias("run"), F.lit(True).alias("whole"))
+    whole = files.where(short & _among(F.col("text"), heavy_whole)).select("path", F.col("text").alias("run"), F.lit(True).alias("whole"))
     return some.where(_has(F.col("run"), heavy)).unionByName(whole)
 
 
@@ -213,7 +219,8 @@ def declared(files: DataFrame, templates: tuple[tuple[str, str], ...], least: fl
     if not heavy:
         return spark.createDataFrame([], "path string, license string, similarity double, whole boolean")
     runs = _runs(files, heavy, heavy_whole, max(len(_template_terms(text)) for _, text in templates))
-    keyed = runs.select("path", "whole", "run", F.sha2("run", 256).alias("key"))
+    # Written once: files are cut into runs a single time.
+    keyed = keep(runs.select("path", "whole", "run", F.sha2("run", 256).alias("key")))
     # Equal runs of many files are scored once.
     once = keyed.groupBy("key").agg(F.any_value("run").alias("run"))
     weights = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))  # as long as the templates
