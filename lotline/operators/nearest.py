@@ -1,6 +1,11 @@
 """Exact nearest target for every point, in metres: places, polygons or lines.
 
-Targets are items with a box: distinct places, or the segments of polygons and lines, long ones in several
+Targets are spans, places or segments, and each is in all cells of one grid that it touches. The spans of a
+point's own cell tell how far the nearest one can be at most; then the point meets the spans of the cells
+that are not farther than that. A point goes to the cells and nothing is multiplied before it is compared,
+so what is shuffled grows with the points and the spans, however dense they are.
+
+Points far from all spans, and all points where some cell is much fuller than others, go another way. There targets are items with a box: distinct places, or the segments of polygons and lines, long ones in several
 boxes. Items are counted in the cells of grids over their extent, each grid four by four times as fine as
 the one before. Down to the grid that evenly spread items need, all cells are counted; below it only
 those that hold more than ``CELL_CAPACITY`` items, so one dense spot makes no other cell finer.
@@ -23,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lotline.functions.geo import metres_per_degree, planar_metres, ring_edges, segment_metres, wrap_degrees
-from lotline.operators.containment import points_within
+from lotline.operators.containment import first_holding
 from lotline.operators.skew import join_lookup
 from lotline.storage import keep
 
@@ -33,6 +38,15 @@ STEP = 2
 MAX_LEVEL = 30
 # Cells and items are sent to all tasks if there are no more than this, at some 100 bytes each.
 BROADCAST_ROWS = 200_000
+# A span has so many cells on average at most, and a cell so many spans at least.
+SPREAD, OCCUPANCY = 8, 4
+FINEST_GRID = 20
+# With a cell of more spans than this, and than so many times the average, all points descend.
+HEAVY_SPANS, HEAVY_TIMES = 256, 16
+# A point that would have to look at more cells is left to the descent as well.
+MOST_VISITS = 4096
+# Rounding of a place on a span, as a share of a cell: cells that near count as touched.
+CELL_MARGIN = 1e-6
 # Bounds are computed from box corners: leave room for rounding.
 SLACK = 1 + 1e-9
 SLACK_METRES = 1e-6
@@ -186,7 +200,7 @@ class Frame:
         return df.withColumn("ux", (x - self.west) / self.width).withColumn("uy", (y - self.south) / self.height)
 
 
-def _best(points: DataFrame, items: DataFrame, n: int, frame: Frame, metres: Callable[..., Column]) -> DataFrame:
+def _descended(points: DataFrame, items: DataFrame, n: int, frame: Frame, metres: Callable[..., Column]) -> DataFrame:
     """``px, py, best``: for each of the different ``px, py`` the least ``(metres, target_id)`` over all items.
 
     ``items`` is a written table of ``target_id``, a box, a place on the item, its position and ``shape``;
@@ -232,6 +246,123 @@ def _best(points: DataFrame, items: DataFrame, n: int, frame: Frame, metres: Cal
     )
 
 
+@dataclass(frozen=True)
+class Grid:
+    """One grid over a frame, of ``2**level`` by ``2**level`` cells."""
+
+    frame: Frame
+    level: int
+
+    @classmethod
+    def of(cls, frame: Frame, n: int, length: float) -> Grid:
+        """The finest grid in which ``n`` spans, together as long as ``length`` frames, have not too many cells."""
+
+        def fits(level: int) -> bool:
+            rows = n + 2**level * length
+            return rows <= SPREAD * n and OCCUPANCY * 4**level <= rows
+
+        return cls(frame, max((k for k in range(FINEST_GRID + 1) if fits(k)), default=0))
+
+    @property
+    def side(self) -> float:
+        return float(2**self.level)
+
+    def x(self, lon: Column) -> Column:
+        return (lon - self.frame.west) / self.frame.width * self.side
+
+    def y(self, lat: Column) -> Column:
+        return (lat - self.frame.south) / self.frame.height * self.side
+
+    def cell(self, place: Column) -> Column:
+        """The number of the row or column of cells, or of the nearest one."""
+        return F.floor(F.least(F.greatest(place, F.lit(0.0)), F.lit(self.side - 1))).cast("bigint")
+
+    def registered(self, spans: DataFrame) -> DataFrame:
+        """``ix, iy, target_id, shape``: each span in all cells that it touches, once in each."""
+        x1, x2, y1, y2 = self.x(F.col("ax")), self.x(F.col("bx")), self.y(F.col("ay")), self.y(F.col("by"))
+        placed = spans.select("target_id", "shape", x1.alias("gx1"), x2.alias("gx2"), y1.alias("gy1"), y2.alias("gy2"))
+        x1, x2, y1, y2 = (F.col(c) for c in ("gx1", "gx2", "gy1", "gy2"))
+        first, last = (self.cell(end) for end in (F.least(y1, y2) - CELL_MARGIN, F.greatest(y1, y2) + CELL_MARGIN))
+        rows = placed.withColumn("iy", F.explode(F.sequence(first, last)))
+
+        def at(y: Column) -> Column:
+            t = F.least(F.greatest(F.try_divide(y - y1, y2 - y1), F.lit(0.0)), F.lit(1.0))
+            return F.when(t.isNull(), x1).otherwise(x1 + (x2 - x1) * t)
+
+        low, high = at(F.col("iy") - CELL_MARGIN), at(F.col("iy") + 1 + CELL_MARGIN)
+        # A flat span has no place at a height of its own: both its ends count.
+        high = F.when(y1 == y2, x2).otherwise(high)
+        columns = F.sequence(self.cell(F.least(low, high) - CELL_MARGIN), self.cell(F.greatest(low, high) + CELL_MARGIN))
+        return rows.withColumn("ix", F.explode(columns)).select(*CELL, "target_id", "shape")
+
+
+def _visits(bounds: DataFrame, grid: Grid) -> tuple[DataFrame, Column]:
+    """``px, py, kx, ky, bound, ix, iy``: the cells that may hold a span within the bound, and whether a point has too many."""
+    frame, reach = grid.frame, F.col("bound") * SLACK + SLACK_METRES
+
+    def span(at: Column, by: Column) -> tuple[Column, Column]:
+        # Beyond the frame on either side there are no cells: an empty range.
+        low, high = at - by - CELL_MARGIN, at + by + CELL_MARGIN
+        out = (high < -CELL_MARGIN) | (low > grid.side)
+        return F.when(~out, grid.cell(low)), F.when(~out, grid.cell(high))
+
+    by_x = reach / F.col("kx") / frame.width * grid.side
+    by_y = reach / F.col("ky") / frame.height * grid.side
+    y_first, y_last = span(grid.y(F.col("py")), by_y)
+    columns = [(turn, *span(grid.x(F.col("px") + turn), by_x)) for turn in (-360.0, 0.0, 360.0)]
+    most = F.greatest(*[F.coalesce(last - first + 1, F.lit(0)) for _, first, last in columns])
+    wide = most * F.coalesce(y_last - y_first + 1, F.lit(0)) > MOST_VISITS
+    turns = F.array(*[F.struct((F.col("px") + turn).alias("tx"), first.alias("first"), last.alias("last")) for turn, first, last in columns])
+    each = bounds.filter(~wide).select("px", "py", "kx", "ky", "bound", y_first.alias("y_first"), y_last.alias("y_last"), F.inline(turns))
+    # There is nothing to look at in an empty range.
+    each = each.filter("first is not null and y_first is not null")
+    cells = each.withColumn("ix", F.explode(F.sequence("first", "last"))).withColumn("iy", F.explode(F.sequence("y_first", "y_last")))
+
+    def apart(at: Column, cell: str) -> Column:
+        return F.greatest(F.col(cell) - CELL_MARGIN - at, at - F.col(cell) - 1 - CELL_MARGIN, F.lit(0.0))
+
+    dx = apart(grid.x(F.col("tx")), "ix") / grid.side * frame.width * F.col("kx")
+    dy = apart(grid.y(F.col("py")), "iy") / grid.side * frame.height * F.col("ky")
+    near = cells.filter(F.sqrt(dx * dx + dy * dy) <= reach)
+    return near.select("px", "py", "kx", "ky", "bound", *CELL), wide
+
+
+def _best(points: DataFrame, spans: DataFrame, n: int, length: float, frame: Frame, items: Callable[[], tuple[DataFrame, int]], metres: Callable[..., Column]) -> DataFrame:
+    """``px, py, best``: for each of the different ``px, py`` the least ``(metres, target_id)`` over all targets.
+
+    ``spans`` is a written table of ``target_id``, two ends ``ax, ay, bx, by`` and ``shape``;
+    ``metres(kx, ky, px, py, shape)`` is the distance of a point to one. ``items`` gives the targets as
+    ``_descended`` takes them, and how many.
+    """
+    grid = Grid.of(frame, n, length)
+    light = grid.registered(spans)
+    counts = light.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.any_value("shape").alias("shape"))
+    average, most = counts.agg(F.avg("n"), F.max("n")).first()
+    if most > max(HEAVY_SPANS, HEAVY_TIMES * average):
+        return _descended(points, *items(), frame, metres)
+    kx, ky = metres_per_degree(F.col("py"))
+    places = points.select("px", "py").distinct().select("px", "py", kx.alias("kx"), ky.alias("ky"))
+    probes = places.withColumn("ix", grid.cell(grid.x(F.col("px")))).withColumn("iy", grid.cell(grid.y(F.col("py"))))
+    away = metres(F.col("kx"), F.col("ky"), F.col("px"), F.col("py"), F.col("shape"))
+    # Grouped by the cells too: the rows of a point are in one task already.
+    own = keep(probes.join(light, CELL, "left").withColumn("metres", away).groupBy(*CELL, "px", "py", "kx", "ky").agg(F.min("metres").alias("bound")))
+    # Without a span there, some span of the smallest wider cell that has one; up to the whole frame.
+    ups = F.explode(F.sequence(F.lit(1), F.lit(max(grid.level, 1))))
+    wider = [F.expr(f"shiftright({c}, up)").alias(c) for c in CELL]
+    above = counts.withColumn("up", ups).groupBy("up", *wider).agg(F.any_value("shape").alias("shape"))
+    empty = own.filter("bound is null").withColumn("up", ups).select("up", *wider, "px", "py", "kx", "ky")
+    looked = empty.join(above, ["up", *CELL]).withColumn("metres", away).groupBy("px", "py", "kx", "ky").agg(F.min("metres").alias("bound"))
+    bounds = own.filter("bound is not null").drop(*CELL).unionByName(looked)
+    visits, left = _visits(bounds, grid)
+    rest = bounds.filter(left).select("px", "py")
+    # Most spans are farther than the bound and never reach the aggregate.
+    met = visits.join(light, CELL).withColumn("metres", away).filter("metres <= bound")
+    found = met.groupBy("px", "py").agg(F.min(F.struct("metres", "target_id")).alias("best"))
+    if rest.isEmpty():
+        return found
+    return found.unionByName(_descended(rest, *items(), frame, metres))
+
+
 def _located(points: DataFrame, point_id: str, lon: str, lat: str) -> DataFrame:
     return points.select(F.col(point_id).alias("point_id"), F.col(lon).alias("px"), F.col(lat).alias("py"))
 
@@ -263,28 +394,17 @@ def nearest(
     # Copies of a place are one item with the lowest id.
     places = placed.groupBy(F.col(lon).alias("x0"), F.col(lat).alias("y0")).agg(F.min(target_id).alias("target_id"))
     x, y = F.col("x0"), F.col("y0")
-    items = frame.placed(places, x, y).select("target_id", "ux", "uy", "x0", x.alias("x1"), "y0", y.alias("y1"), x.alias("rx"), y.alias("ry"), F.struct(x.alias("x"), y.alias("y")).alias("shape"))
+    items = keep(frame.placed(places, x, y).select("target_id", "ux", "uy", "x0", x.alias("x1"), "y0", y.alias("y1"), x.alias("rx"), y.alias("ry"), F.struct(x.alias("x"), y.alias("y")).alias("shape")))
+    spans = items.select("target_id", x.alias("ax"), y.alias("ay"), x.alias("bx"), y.alias("by"), "shape")
     usable = located.filter("px is not null and py is not null")
-    best = _best(usable, keep(items), n, frame, lambda kx, ky, px, py, shape: planar_metres(kx, ky, px - shape["x"], py - shape["y"]))
+    best = _best(usable, spans, n, 0.0, frame, lambda: (items, n), lambda kx, ky, px, py, shape: planar_metres(kx, ky, px - shape["x"], py - shape["y"]))
     return _answered(located, best, kind)
 
 
-def _segment_items(segments: DataFrame) -> tuple[DataFrame, int, Frame] | None:
-    """Items out of ``target_id, x1, y1, x2, y2``; a long segment has several boxes, four times as many as segments in all."""
-    # The shorter way round the earth.
-    turned = segments.withColumn("x2", F.col("x1") + wrap_degrees(F.col("x2") - F.col("x1")))
+def _pieces(spans: DataFrame, n: int, total: float, frame: Frame) -> tuple[DataFrame, int]:
+    """Items out of spans; a long one has several boxes, four times as many as spans in all."""
+    turned = spans.select("target_id", F.col("ax").alias("x1"), F.col("ay").alias("y1"), F.col("bx").alias("x2"), F.col("by").alias("y2"), "shape")
     long_side = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
-    n, total, west, east, south, north = turned.agg(
-        F.count(F.lit(1)),
-        F.sum(long_side),
-        F.min(F.least("x1", "x2")),
-        F.max(F.greatest("x1", "x2")),
-        F.min(F.least("y1", "y2")),
-        F.max(F.greatest("y1", "y2")),
-    ).first()
-    if not n:
-        return None
-    frame = Frame.of(west, east, south, north)
     # About the side of a cell of evenly spread items, and not so short that there are too many.
     piece = max(max(frame.width, frame.height) / math.sqrt(max(n / CELL_CAPACITY, 1)), total / (3 * n), 1e-12)
     pieces = turned.withColumn("pieces", F.ceil(long_side / piece).cast("int")).withColumn("pieces", F.greatest("pieces", F.lit(1)))
@@ -307,9 +427,9 @@ def _segment_items(segments: DataFrame) -> tuple[DataFrame, int, Frame] | None:
         F.greatest("fy", "ty").alias("y1"),
         F.col("fx").alias("rx"),
         F.col("fy").alias("ry"),
-        F.struct("x1", "y1", "x2", "y2").alias("shape"),
+        "shape",
     )
-    return items, 4 * n, frame
+    return keep(items), 4 * n
 
 
 def _segments(geometries: DataFrame, target_id: str, lines: Column) -> DataFrame:
@@ -320,12 +440,27 @@ def _segments(geometries: DataFrame, target_id: str, lines: Column) -> DataFrame
 
 
 def _nearest_segment(located: DataFrame, segments: DataFrame) -> DataFrame | None:
-    found = _segment_items(segments)
-    if found is None:
+    # The shorter way round the earth.
+    turned = F.col("x1") + wrap_degrees(F.col("x2") - F.col("x1"))
+    ends = segments.select("target_id", F.col("x1").alias("ax"), F.col("y1").alias("ay"), turned.alias("bx"), F.col("y2").alias("by"))
+    spans = keep(ends.withColumn("shape", F.struct(F.col("ax").alias("x1"), F.col("ay").alias("y1"), F.col("bx").alias("x2"), F.col("by").alias("y2"))))
+    dx, dy = F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))
+    n, total, wide, high, west, east, south, north = spans.agg(
+        F.count(F.lit(1)),
+        F.sum(F.greatest(dx, dy)),
+        F.sum(dx),
+        F.sum(dy),
+        F.min(F.least("ax", "bx")),
+        F.max(F.greatest("ax", "bx")),
+        F.min(F.least("ay", "by")),
+        F.max(F.greatest("ay", "by")),
+    ).first()
+    if not n:
         return None
-    items, n, frame = found
+    frame = Frame.of(west, east, south, north)
     usable = located.filter("px is not null and py is not null")
-    return _best(usable, keep(items), n, frame, lambda kx, ky, px, py, shape: segment_metres(kx, ky, px, py, shape))
+    length = wide / frame.width + high / frame.height
+    return _best(usable, spans, n, length, frame, lambda: _pieces(spans, n, total, frame), segment_metres)
 
 
 def nearest_line(
@@ -364,11 +499,20 @@ def nearest_polygon(
     """
     located, kind = _located(points, point_id, lon, lat), polygons.schema[polygon_id].dataType.simpleString()
     outlines = F.flatten(F.filter(rings, lambda part: part.isNotNull()))
-    best = _nearest_segment(located, _segments(polygons, polygon_id, outlines))
-    if best is None:
-        return _answered(located, None, kind)
+    segments = _segments(polygons, polygon_id, outlines)
     places = located.select("px", "py").distinct().withColumn("place", F.struct("px", "py"))
-    held = points_within(places, polygons, "place", "px", "py", polygon_id, rings)
-    inside = held.groupBy("point_id").agg(F.min("polygon_id").alias("target_id"))
-    zero = inside.select("point_id.px", "point_id.py", F.struct(F.lit(0.0).alias("metres"), "target_id").alias("best"))
-    return _answered(located, best.unionByName(zero).groupBy("px", "py").agg(F.min("best").alias("best")), kind)
+    # At no distance: inside, or on an edge. Without an id comes last.
+    first = F.struct(F.col(polygon_id).isNull(), F.col(polygon_id))
+    at = first_holding(places, polygons, "place", "px", "py", polygon_id, rings, first, _at_edge)
+    zero = keep(at.select("px", "py", F.struct(F.lit(0.0).alias("metres"), F.col("polygon_id").alias("target_id")).alias("best")))
+    # Only the others have a nearest edge to look for.
+    best = _nearest_segment(places.select("px", "py").join(zero, ["px", "py"], "left_anti"), segments)
+    return _answered(located, zero if best is None else best.unionByName(zero), kind)
+
+
+def _at_edge(x: Column, y: Column, edge: Column) -> Column:
+    """Whether the distance from a point to an edge is zero; the box settles almost all that are not."""
+    near_x = x.between(F.least(edge["x1"], edge["x2"]) - 1e-9, F.greatest(edge["x1"], edge["x2"]) + 1e-9)
+    near_y = y.between(F.least(edge["y1"], edge["y2"]) - 1e-9, F.greatest(edge["y1"], edge["y2"]) + 1e-9)
+    kx, ky = metres_per_degree(y)
+    return near_x & near_y & (segment_metres(kx, ky, x, y, edge) == 0)

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lotline.functions import geo
 from lotline.functions.geo import Box, polygons_of
 from lotline.operators import containment as containment_module
 from lotline.operators import nearest as nearest_module
@@ -478,3 +479,65 @@ def test_ids_that_repeat(spark):
     assert sorted(r.point_id for r in hit_test(points, polygons).collect()) == [1, 2, 3]
     plan = points_within(points, polygons)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
+
+
+def test_plain_lines_are_decided_in_the_row_of_the_pair(spark):
+    """Lines and polygons by the hundred: no pair is grouped or joined again, so no pair is shuffled."""
+    square = lambda x, y, r: [[[[x - r, y - r], [x + r, y - r], [x + r, y + r], [x - r, y + r], [x - r, y - r]]]]
+    polygons = [(i, square(10 + i * 0.01, 20.0, 0.5)) for i in range(100)]
+    lines = [(i, [[[10 + i * 0.01, 20.0], [10.02 + i * 0.01, 20.01]]]) for i in range(100)]
+    lines += [(100, [[[10.0, 20.0], None]]), (101, [[[10.0, 20.0]]])]
+    a = spark.createDataFrame(lines, "line_id long, paths array<array<array<double>>>")
+    b = spark.createDataFrame(polygons, "polygon_id long, rings array<array<array<array<double>>>>")
+    got = lines_within(a, b)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "sha2" not in plan and plan.count("Join") == 1
+    want = set()
+    for i, [path] in lines[:100] + lines[101:]:
+        for j, [[ring]] in polygons:
+            if all(ring[0][0] < x < ring[1][0] and ring[0][1] < y < ring[2][1] for x, y in path):
+                want.add((i, j))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_dense_lines_need_no_descent(spark, monkeypatch):
+    """Points inside, in gaps and far outside of lines that overlap many times."""
+
+    def descended(*_):
+        raise AssertionError("descended")
+
+    monkeypatch.setattr(nearest_module, "_descended", descended)
+    rng = random.Random(3)
+    lines = []
+    for i in range(600):
+        x, y = rng.uniform(0, 1), rng.uniform(0, 1)
+        if not (0.4 < x < 0.6 and 0.4 < y < 0.6):
+            lines.append((i, [[[x, y], [x + rng.uniform(-0.1, 0.1), y + rng.uniform(-0.1, 0.1)]]]))
+    points = [(i, rng.uniform(-0.3, 1.3), rng.uniform(-0.3, 1.3)) for i in range(300)]
+    a = spark.createDataFrame(points, "point_id long, lon double, lat double")
+    b = spark.createDataFrame(lines, "line_id long, paths array<array<array<double>>>")
+    got = {r.point_id: (r.target_id, r.metres) for r in nearest_module.nearest_line(a, b).collect()}
+    edges = spark.createDataFrame([(i, (*p, *q)) for i, [[p, q]] in lines], "target_id long, e struct<x1:double,y1:double,x2:double,y2:double>")
+    kx, ky = geo.metres_per_degree(F.col("lat"))
+    apart = a.crossJoin(edges).withColumn("metres", geo.segment_metres(kx, ky, F.col("lon"), F.col("lat"), F.col("e")))
+    best = apart.groupBy("point_id").agg(F.min(F.struct("metres", "target_id")).alias("b"))
+    want = {r.point_id: (r.b.target_id, r.b.metres) for r in best.collect()}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1], rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_points_in_polygons_have_no_edge_to_look_for(spark, monkeypatch):
+    """Edges are looked up for points at some distance only; on an edge of a lower id is nearer than inside a higher one."""
+    looked = []
+    search = nearest_module._nearest_segment
+    monkeypatch.setattr(nearest_module, "_nearest_segment", lambda located, segments: looked.append(located.count()) or search(located, segments))
+    square = lambda x, y, r: [[[[x - r, y - r], [x + r, y - r], [x + r, y + r], [x - r, y + r], [x - r, y - r]]]]
+    polygons = [(1, square(0.0, 0.0, 1.0)), (2, square(1.0, 0.0, 0.5)), (None, square(8.0, 0.0, 1.0))]
+    points = [(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 1.25, 0.0), (4, 3.0, 0.0), (5, 8.0, 0.0)]
+    a = spark.createDataFrame(points, "point_id long, lon double, lat double")
+    b = spark.createDataFrame(polygons, "polygon_id long, rings array<array<array<array<double>>>>")
+    got = {r.point_id: (r.target_id, r.metres == 0) for r in nearest_module.nearest_polygon(a, b).collect()}
+    assert got == {1: (1, True), 2: (1, True), 3: (2, True), 4: (2, False), 5: (None, True)}
+    assert looked == [1]
