@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from lotline.llm import decontaminate, near_copies, pii, queries, toxicity  # noqa: E402
+from lotline.llm import decontaminate, near_copies, pii, queries, simhash, toxicity  # noqa: E402
 from lotline.storage import keep  # noqa: E402
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,13 +31,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one whose id names the group.
 
-    Near copies have a Jaccard similarity of at least 0.8 by five words, directly or over others.
-    Rows that repeat an id and a text count as one document.
+    Groups are those of SimHash fingerprints, as ``op3_simhash_near_dedup`` links them, and those of a
+    Jaccard similarity of at least 0.8 by five words, directly or over others; a document stays if it
+    names its group in both. Rows that repeat an id and a text count as one document.
     """
-    found = near_copies.near_copies(docs)
-    chosen = found.where(found.doc_id.eqNullSafe(found.component_id)).select("doc_id").distinct()
-    same = docs.doc_id.eqNullSafe(chosen.doc_id)
-    return docs.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(COLUMNS)
+    kept = docs
+    for found in (simhash.near_duplicates(docs), near_copies.near_copies(docs)):
+        chosen = found.where(found.doc_id.eqNullSafe(found.component_id)).select("doc_id").distinct()
+        kept = kept.join(chosen, kept.doc_id.eqNullSafe(chosen.doc_id), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]).select(COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

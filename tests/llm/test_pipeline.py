@@ -1,5 +1,5 @@
 import corpus_pipeline
-from lotline.llm import decontaminate, pii, toxicity
+from lotline.llm import decontaminate, pii, simhash, toxicity
 from lotline.storage import keep
 from tests.llm.data import documents, texts
 from tests.llm.test_near_copies import brute_components
@@ -50,3 +50,16 @@ def test_stages_stand_odd_rows(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).collect() == []
+
+
+def test_near_copies_by_fingerprint_go_too(spark):
+    """Texts that fingerprints link and shingle sets do not: one line many times, and ends of their own."""
+    line = " ".join(f"common{i}" for i in range(13))
+    values = [" ".join([line] * 60 + [f"own{k}x{i}" for i in range(10)]) for k in range(3)] + ["another text altogether, linked to none"]
+    docs = documents(spark, values)
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    assert len(brute_components([t for _, t in rows])[0]) == 4
+    fingerprints = [simhash.fingerprint(t) for _, t in rows]
+    assert all((fingerprints[0] ^ f).bit_count() <= 2 for f in fingerprints[1:3])
+    kept = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == [rows[0][0], rows[3][0]]
