@@ -123,17 +123,37 @@ _MEMBER = r'("type"\s*:\s*"FeatureCollection"|"(?!type"|geometry"|properties"|co
 _FRAME = rf"^(\{{?\s*({_MEMBER}(\s*,\s*{_MEMBER})*)?|\[|\]?\s*\}}?)$"
 
 
+# How a feature on a line of its own starts, as most writers put it.
+_FEATURE_STARTS = ('{"type":"Feature"', '{"type": "Feature"')
+
+
 def _read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Each line holds features, separated by commas, or the collection's frame, or both, or a whole collection."""
-    lines = spark.read.text(path).select(_text_ord().alias("ord"), F.regexp_replace("value", "^[\\s\ufeff]+|\\s+$", "").alias("line"))
-    bare = F.regexp_replace("line", r"^,\s*|\s*,$", "")
-    plain = bare.rlike(r'^\{\s*"type"\s*:\s*"Feature"') & bare.endswith("}") & ~F.contains(bare, F.lit("]"))
-    # A line that is JSON as it stands is left so; else a frame may begin or end on it.
-    whole = plain | F.try_parse_json(F.concat(F.lit("["), bare, F.lit("]"))).isNotNull()
-    inner = F.regexp_replace(F.regexp_replace(bare, _OPENING, ""), _CLOSING, "")
-    framed = F.regexp_replace(inner, r"^\s*,?\s*|\s*,?\s*$", "")
-    text = F.when(whole, bare).when(bare.rlike(_FRAME), "").otherwise(framed)
-    return _parsed(lines.select("ord", text.alias("text")).filter("text <> ''"), F.col("text"))
+    value = F.col("value")
+    starts = F.startswith(value, F.lit(_FEATURE_STARTS[0])) | F.startswith(value, F.lit(_FEATURE_STARTS[1]))
+    ends, ends_by_comma = F.endswith(value, F.lit("}")), F.endswith(value, F.lit("},"))
+    # Neither a collection's start nor its end can be on such a line, so that there is nothing to take off.
+    unframed = ~F.contains(value, F.lit("]")) | ~(F.contains(value, F.lit('"features"')) | value.rlike(r"[}l,]\s*\]"))
+    plain = starts & (ends | ends_by_comma) & unframed
+    own = F.when(ends, value).otherwise(F.left(value, F.length(value) - F.lit(1)))
+    # No filter on empty texts: it would compute them twice, and they have no features to explode.
+    text = F.when(plain, own).otherwise(_without_frame(value))
+    return _parsed(spark.read.text(path).select(_text_ord().alias("ord"), text.alias("text")), F.col("text"))
+
+
+def _without_frame(value: Column) -> Column:
+    """A line without what it has of the collection's frame."""
+
+    def unframed(bare: Column) -> Column:
+        # A line that is JSON as it stands is left so; else a frame may begin or end on it.
+        whole = F.try_parse_json(F.concat(F.lit("["), bare, F.lit("]"))).isNotNull()
+        inner = F.regexp_replace(F.regexp_replace(bare, _OPENING, ""), _CLOSING, "")
+        framed = F.regexp_replace(inner, r"^\s*,?\s*|\s*,?\s*$", "")
+        return F.when(whole, bare).when(bare.rlike(_FRAME), "").otherwise(framed)
+
+    line = F.regexp_replace(value, "^[\\s\ufeff]+|\\s+$", "")
+    # As an array's only element, so that it is computed once.
+    return F.get(F.transform(F.array(F.regexp_replace(line, r"^,\s*|\s*,$", "")), unframed), F.lit(0))
 
 
 def _read_compact(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -198,13 +218,14 @@ def write_features(df: DataFrame, path: str, layout: str = "parquet", ord: str =
     if layout == "parquet":
         round_geometry(df).write.mode("overwrite").parquet(path)
         return
-    features = output_features(df, ord)
-    if layout == "collection":
-        features = _collection_lines(features)
-    elif layout != "lines":
+    if layout == "lines":
+        # Sorted as columns: a sort looks at its rows twice, and the texts are then made once.
+        output_features(df.orderBy(ord), ord).select("feature").write.mode("overwrite").text(path)
+        return
+    if layout != "collection":
         raise ValueError(f"Unknown layout {layout!r}: expected parquet, lines or collection")
-    sort_keys = ["section", "ord"] if layout == "collection" else ["ord"]
-    features.orderBy(*sort_keys).select("feature").write.mode("overwrite").text(path)
+    features = _collection_lines(output_features(df, ord))
+    features.orderBy("section", "ord").select("feature").write.mode("overwrite").text(path)
 
 
 def _collection_lines(features: DataFrame) -> DataFrame:

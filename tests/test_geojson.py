@@ -7,6 +7,7 @@ from lotline.operators.columns import resolve_address_key, resolve_key, resolve_
 from lotline.plans.building_age import building_age_from_files, main
 from lotline.plans.key_check import key_check
 from lotline.plans.key_check import main as key_check_main
+from lotline.sources import geojson
 from lotline.sources.geojson import ingest_features, read_features, read_output, write_features
 
 SQUARE = {"type": "Polygon", "coordinates": [[[0, 0], [1.00000049, 0], [1, 1], [0, 0]]]}
@@ -108,6 +109,44 @@ def test_lines_in_any_frame(spark, tmp_path, frame, some):
     assert rows_of(read_features(spark, str(path), "lines")) == want
 
 
+LINES = [
+    *['{"type":"Feature","geometry":null,"properties":{"a":1}}' + end for end in ("", ",", " ", " ,", "\t, ")],
+    '{"type": "Feature","geometry":{"type":"Point","coordinates":[1,0.5]},"properties":{"a":[[1],["x"]]}},',
+    '{"type":"Feature","geometry":null,"properties":{"features":[1],"t":"]}"}}',
+    '{"type":"Feature","geometry":null,"properties":{"u":[{"b":1} ],"v":[null]}}',
+    '{"type":"Feature","geometry":null,"properties":{"é":"],"}},{"type":"Feature","geometry":null,"properties":{"n":[2]}}',
+    '{"type":"Feature","geometry":{"type":"Point","coordinates":[3]},"properties":{"last":true}}]}',
+]
+
+
+def test_lines_of_features_with_arrays(spark, tmp_path):
+    path = tmp_path / "f.jsonl"
+    path.write_text("\n".join(LINES), encoding="utf-8")
+    want = [f for line in LINES for f in json.loads("[" + line.removesuffix("]}").strip().removesuffix(",") + "]")]
+    assert rows_of(read_features(spark, str(path), "lines")) == [(f["geometry"], f["properties"]) for f in want]
+
+
+def test_lines_are_told_apart_once(spark, tmp_path):
+    path = tmp_path / "f.jsonl"
+    path.write_text("\n".join(LINES), encoding="utf-8")
+    plan = read_features(spark, str(path), "lines").select("geometry")._jdf.queryExecution().executedPlan().toString()
+    # One test whether a line is JSON, and that only for lines that may hold a part of the frame.
+    assert plan.count("parseJson") == 1
+
+
+def test_written_texts_are_made_after_the_sort(spark, tmp_path, monkeypatch):
+    sorted_columns = []
+    plain = geojson.output_features
+    monkeypatch.setattr(geojson, "output_features", lambda df, *a: sorted_columns.append((df._jdf.queryExecution().analyzed().toString(), df.columns)) or plain(df, *a))
+    df = spark.createDataFrame([(2, "b"), (1, "a")], "building_ord int, GISID string").withColumn("geometry", F.lit('{"type":"Point","coordinates":[0.12345678,1]}'))
+    for c in geojson.OUTPUT_PROPERTIES[1:]:
+        df = df.withColumn(c, F.lit(None).cast("string"))
+    write_features(df, str(tmp_path / "out"), "lines")
+    assert sorted_columns[0][0].startswith("Sort") and "GISID" in sorted_columns[0][1]
+    texts = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))).splitlines()
+    assert [(json.loads(t)["properties"]["GISID"], json.loads(t)["geometry"]["coordinates"]) for t in texts] == [("a", [0.123457, 1.0]), ("b", [0.123457, 1.0])]
+
+
 @pytest.mark.parametrize("layout", ["document", "lines", "compact"])
 def test_what_cannot_be_read_is_an_error(spark, tmp_path, layout):
     good = [feature({"n": i}) for i in range(3)]
