@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import Column, DataFrame, SparkSession  # noqa: E402
 
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -20,6 +20,12 @@ from lotline.llm import decontaminate, near_copies, pii, queries, simhash, toxic
 from lotline.storage import keep  # noqa: E402
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: An id without nulls, so that it can be joined and grouped by: 0 and true for a null.
+KEY = ["_id", "_no_id"]
+
+
+def _key(column: str) -> list[Column]:
+    return [F.coalesce(column, F.lit(0).cast("bigint")).alias(KEY[0]), F.isnull(column).alias(KEY[1])]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,16 +41,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Jaccard similarity of at least 0.8 by five words, directly or over others; a document stays if it
     names its group in both. Rows that repeat an id and a text count as one document.
     """
-    kept = docs
+    ids = None
     for found in (simhash.near_duplicates(docs), near_copies.near_copies(docs)):
-        chosen = found.where(found.doc_id.eqNullSafe(found.component_id)).select("doc_id").distinct()
-        kept = kept.join(chosen, kept.doc_id.eqNullSafe(chosen.doc_id), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).select(COLUMNS)
+        chosen = found.where(found.doc_id.eqNullSafe(found.component_id)).select(*_key("doc_id")).distinct()
+        ids = chosen if ids is None else ids.join(chosen, KEY, "left_semi")
+    # Whole texts are shuffled once, by columns that the groups of repeated rows have too.
+    kept = docs.select("*", *_key("doc_id")).join(keep(ids), KEY, "left_semi")
+    return kept.dropDuplicates([*KEY, "text"]).select(COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item."""
-    found = decontaminate.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    # Kept, so that its size is known: texts are not shuffled to be told apart by a short list of ids.
+    found = keep(decontaminate.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct())
     return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_anti").select(COLUMNS)
 
 

@@ -31,7 +31,7 @@ LEAST_SIMILARITY = 0.8
 BANDS = 16
 ROWS = 5
 #: Hashes that the minima are taken of at a time.
-_CHUNK = 16_384
+_CHUNK = 1_024
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _random = np.random.Generator(np.random.PCG64(42))

@@ -63,3 +63,24 @@ def test_near_copies_by_fingerprint_go_too(spark):
     assert all((fingerprints[0] ^ f).bit_count() <= 2 for f in fingerprints[1:3])
     kept = corpus_pipeline.near_dedup(spark, docs, SF)
     assert sorted(r.doc_id for r in kept.collect()) == [rows[0][0], rows[3][0]]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_shuffled_once_at_most(spark, tmp_path):
+    values = texts(7, 12)
+    docs = documents(spark, values)
+    docs = keep(docs.union(docs.limit(5)).union(docs.limit(3).selectExpr("CAST(NULL AS bigint)", "text", "lang", "source", "n_chars")))
+    spark.createDataFrame([(1, values[6][:300]), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        single = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+        # The texts and the ids that stay, by the same columns; rows that repeat are then in one place.
+        assert _plan(single).count("Exchange hashpartitioning") == 2
+        assert single.count() == single.select("doc_id", "text").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "Exchange hashpartitioning" not in _plan(corpus_pipeline.decontaminated(spark, docs, str(tmp_path)))
