@@ -83,18 +83,19 @@ def _probes(seed: Column, words: int) -> list[tuple[Column, Column]]:
     ]
 
 
-def _table(seeds: DataFrame, words: int) -> Column:
-    """A bit table of the seeds as a constant array of ``words`` numbers.
-
-    Subqueries are not allowed inside ``filter``, so these numbers pass the driver.
-    """
-    spark = seeds.sparkSession
+def _bits(seeds: DataFrame, words: int) -> DataFrame:
+    """A bit table of the seeds: one row with an array ``bits`` of ``words`` numbers."""
     places = F.explode(F.array(*[F.struct(w.alias("word"), b.alias("bit")) for w, b in _probes(F.col("seed"), words)]))
     set_bits = seeds.select(places.alias("p")).select("p.word", F.expr("shiftleft(1L, p.bit)").alias("bits"))
-    numbers = ["0"] * words
-    for r in set_bits.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
-        numbers[r.word] = str(r.bits)
-    return F.split(F.lit(",".join(numbers)), ",").cast("array<bigint>")
+    every = seeds.sparkSession.range(words).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("bigint").alias("bits"))
+    numbers = set_bits.union(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return numbers.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("t")).select("t.bits")
+
+
+def _table(seeds: DataFrame, words: int) -> Column:
+    """The bit table as a constant, for short ones: the plan's text has it at each place of use."""
+    numbers = _bits(seeds, words).first().bits
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
 
 
 def _may_be(seed: Column, table: Column, words: int) -> Column:
@@ -142,15 +143,25 @@ def overlaps(
     seeds = _seeds(items.withColumn("item_id", F.struct("item_id", F.xxhash64("h").alias("content"))), masks)
     n_seeds = seeds.count()
     n_words = table_words(n_seeds)
-    table = _table(seeds, n_words)
+    # A subquery. A constant would be written out with the plan, and again with each update of it as it runs,
+    # which fills the driver's memory.
+    table = _bits(seeds, n_words).scalar()
     words = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), word_hashes(F.col(text_col).cast("string")).alias("h"))
-    h = F.col("h")
-    hits = F.concat(*[_hits(h, k, mask, table, n_words) for k, mask in enumerate(masks)])
-    found = words.select("doc_id", "h", F.explode(hits).alias("hit"))
-    found = found.select("doc_id", "hit.mask", "hit.seed", "hit.p", _around(h, F.col("hit.p")).alias("near"))
+
+    def hits(h: Column, table: Column) -> Column:
+        """With the words around each."""
+        of_masks = F.concat(*[_hits(h, k, mask, table, n_words) for k, mask in enumerate(masks)])
+        return F.transform(of_masks, lambda hit: F.struct(hit["mask"], hit["seed"], hit["p"], _around(h, hit["p"]).alias("near")))
+
+    # A subquery may not stand in ``transform``, so the table is a column first. Both columns are used once, as an
+    # array's only element, and so Spark puts what they are in their place: no row carries the table.
+    in_both = F.transform(F.array("table"), lambda table: F.get(F.transform(F.array("h"), lambda h: hits(h, table)), F.lit(0)))
+    marked = words.withColumn("table", table).select("doc_id", F.get(in_both, F.lit(0)).alias("hits"))
+    # Not the bare column, for which Spark would add a filter that finds the hits a second time.
+    found = marked.select("doc_id", F.inline(F.array_compact("hits")))
     full = items.select(F.struct("item_id", F.xxhash64("h").alias("content")).alias("item_id"), "h")
     of_item = join_lookup(seeds, full, ["item_id"]).select(
-        "mask", "seed", "item_id", "q", F.size("h").alias("item_words"), _around(h, F.col("q")).alias("item_near")
+        "mask", "seed", "item_id", "q", F.size("h").alias("item_words"), _around(F.col("h"), F.col("q")).alias("item_near")
     )
     if n_seeds * SEED_BYTES <= BROADCAST_BYTES:
         of_item = F.broadcast(of_item)

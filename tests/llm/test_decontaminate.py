@@ -104,3 +104,14 @@ def test_a_benchmark_of_200_000_seeds(spark):
     passed = hashes.selectExpr("h").select(*[F.size(decontaminate._hits(F.col("h"), k, m, table, words)).alias(f"n{k}") for k, m in enumerate(decontaminate.MASKS)])
     assert passed.agg(F.sum("n0") + F.sum("n1")).first()[0] < 0.02 * 60 * 2 * 395
     assert decontaminate.table_words(10**9) == decontaminate.MOST_TABLE_WORDS
+
+
+def test_plans_do_not_spell_out_the_table(spark):
+    """Each of Spark's updates of a running plan has its text; the table of 16,384 numbers was in it many times."""
+    docs, bench = documents(spark, texts(9, 30)), spark.createDataFrame([(k, t) for k, t in enumerate(texts(9, 30))], "item_id bigint, text string")
+    found = decontaminate.overlaps(docs, bench)
+    assert len(found._jdf.queryExecution().toString()) < 500_000
+    # The subquery is where the table is used; no row of a document carries it.
+    plan = found._jdf.queryExecution().optimizedPlan()
+    assert "scalar-subquery" in plan.toString() and " AS table#" not in plan.toString()
+    assert found.count() > 0
