@@ -35,20 +35,27 @@ def read_bag(df: DataFrame, keys: list[str], bag: str = "properties") -> tuple[D
     """``df`` with helper columns, and the values of the given keys (case-sensitive)."""
     names = {key: f"_bag{i}" for i, key in enumerate(dict.fromkeys(keys))}
     values = df.withColumns({f"{n}_value": bag_value(F.col(bag), key) for key, n in names.items()})
-    typed = values.withColumns(
-        {f"{n}_type": F.schema_of_variant(f"{n}_value") for n in names.values()}
-        | {f"{n}_raw": F.try_variant_get(f"{n}_value", "$", "string") for n in names.values()}
-    ).drop(*[f"{n}_value" for n in names.values()])
-    described = typed.withColumns(
+    typed = values.withColumns({f"{n}_type": F.schema_of_variant(f"{n}_value") for n in names.values()})
+    read = typed.withColumns({f"{n}_raw": _raw(F.col(f"{n}_type"), F.col(f"{n}_value")) for n in names.values()})
+    # Numbers have a step of their own: written out at each use they make code too long to be compiled.
+    numbered = read.drop(*[f"{n}_value" for n in names.values()]).withColumns(
+        {f"{n}_number": _float(F.col(f"{n}_type"), F.col(f"{n}_raw")) for n in names.values()}
+    )
+    described = numbered.withColumns(
         {f"{n}_kind": _kind(F.col(f"{n}_type")) for n in names.values()}
-        | {f"{n}_text": _text(F.col(f"{n}_type"), F.col(f"{n}_raw")) for n in names.values()}
-    ).drop(*[f"{n}_{part}" for n in names.values() for part in ("type", "raw")])
+        | {f"{n}_text": _text(F.col(f"{n}_number"), F.col(f"{n}_raw")) for n in names.values()}
+    ).drop(*[f"{n}_{part}" for n in names.values() for part in ("type", "raw", "number")])
     return described, {
         key: BagValue(F.col(f"{n}_kind"), F.col(f"{n}_text"), _truthy(F.col(f"{n}_kind"), F.col(f"{n}_text")))
         for key, n in names.items()
     }
 
 
+def _raw(type_name: Column, value: Column) -> Column:
+    # Whole numbers come out of a VARIANT as they are; its cast to text sets up a conversion for every value.
+    return F.when(type_name == "BIGINT", value.try_cast("bigint").cast("string")).otherwise(value.try_cast("string"))
+
+
 def _kind(type_name: Column) -> Column:
     return (
         F.when(type_name == "STRING", "string")
@@ -58,9 +65,13 @@ def _kind(type_name: Column) -> Column:
     )
 
 
-def _text(type_name: Column, raw: Column) -> Column:
+def _float(type_name: Column, raw: Column) -> Column:
+    return F.when(type_name.isin("DOUBLE", "FLOAT"), raw.try_cast("double"))
+
+
+def _text(number: Column, raw: Column) -> Column:
     # Only floating-point numbers are written in another way.
-    return F.when(type_name.isin("DOUBLE", "FLOAT"), number_text(raw.try_cast("double"))).otherwise(raw)
+    return F.when(number.isNotNull(), number_text(number)).otherwise(raw)
 
 
 def _truthy(kind: Column, text: Column) -> Column:

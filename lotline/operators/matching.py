@@ -70,9 +70,33 @@ def link_properties(properties: DataFrame, points: DataFrame) -> DataFrame:
     The lookup has one row per map-lot, so this never fans out. Points without a building id
     cannot contribute and are dropped before the shuffle.
     """
-    lookup = point_lookup(drop_blank_keys(points, "bldg_id")).select(
-        F.col("ml").alias("gis_id"), "bldg_id", "ambiguous"
+    return link_to_lots(properties, point_lookup(drop_blank_keys(points, "bldg_id")))
+
+
+def building_lookup(points: DataFrame) -> DataFrame:
+    """One row per map-lot that has a building: :func:`point_lookup` of the points with a building id, less the count.
+
+    Nothing is filtered below the aggregate, so that points just taken out of their bags are not taken out twice:
+    a filter on a computed id moves below its computation and computes it once more. Blank ids are left out of
+    what is aggregated, and the groups without a building after it.
+    """
+    bldg, lot = F.when(F.col("bldg_id") != "", F.col("bldg_id")), F.when(F.col("ml") != "", F.col("ml"))
+    has_both = bldg.isNotNull() & lot.isNotNull()
+    return (
+        points.groupBy("ml")
+        .agg(
+            F.min_by(bldg, F.when(has_both, F.col("ord"))).alias("bldg_id"),
+            F.min(F.when(has_both, bldg)).alias("_least"),
+            F.max(F.when(has_both, bldg)).alias("_greatest"),
+        )
+        .filter("_least IS NOT NULL")
+        .select("ml", "bldg_id", (F.col("_least") != F.col("_greatest")).alias("ambiguous"))
     )
+
+
+def link_to_lots(properties: DataFrame, lots: DataFrame) -> DataFrame:
+    """Properties with the building of their map-lot; ``lots`` has one row per lot, ``ml, bldg_id, ambiguous``."""
+    lookup = lots.select(F.col("ml").alias("gis_id"), "bldg_id", "ambiguous")
     return join_lookup(drop_blank_keys(properties, "gis_id"), lookup, ["gis_id"])
 
 

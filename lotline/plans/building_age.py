@@ -14,7 +14,7 @@ from lotline.functions.text import FIRST_VALID_YEAR, normalize_id, year_of
 from lotline.operators.bags import first_truthy, first_truthy_or_last, read_bag
 from lotline.operators.bands import bands_of_years
 from lotline.operators.columns import resolve_property_keys
-from lotline.operators.matching import building_age, link_properties, representative_property
+from lotline.operators.matching import building_age, building_lookup, link_properties, link_to_lots, representative_property
 from lotline.operators.report import band_counts, quality_report
 from lotline.session import session
 from lotline.sources.bands import DEFAULT_BANDS, Band, bands_frame, load_bands, read_bands
@@ -86,8 +86,9 @@ def building_age_from_files(
 ) -> DataFrame:
     """Read, check and link three feature collections. ``ValueError`` on unusable inputs.
 
-    Properties and points are taken out of their bags once and kept as narrow rows. Otherwise the
-    filters on their keys would move below the parsing and parse every bag again.
+    Properties are taken out of their bags once and kept as narrow rows, points are combined per map-lot as
+    they are read, and the lots are kept. Otherwise the filters on their keys would move below the parsing and
+    parse every bag again.
     """
     for path in (properties_path, points_path, buildings_path):
         require_path(spark, path)
@@ -96,8 +97,9 @@ def building_age_from_files(
     buildings = buildings_from(read_features(spark, buildings_path, layout))
     if buildings.filter("bldg_id <> ''").isEmpty():
         raise ValueError(f"No buildings with an id found in {buildings_path}")
-    points = keep(points_from(read_features(spark, points_path, layout)))
-    return link_buildings(keep(properties_from(properties, keys)), points, buildings, as_of_year, bands)
+    lots = keep(building_lookup(points_from(read_features(spark, points_path, layout))))
+    matches = link_to_lots(keep(properties_from(properties, keys)), lots)
+    return building_age(buildings, representative_property(matches), as_of_year, bands)
 
 
 def main(argv: list[str] | None = None) -> None:

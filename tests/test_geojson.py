@@ -3,7 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lotline.operators.bags import read_bag
 from lotline.operators.columns import resolve_address_key, resolve_key, resolve_property_keys
+from lotline.plans import building_age as building_age_plan
 from lotline.plans.building_age import building_age_from_files, main
 from lotline.plans.key_check import key_check
 from lotline.plans.key_check import main as key_check_main
@@ -260,6 +262,25 @@ def test_job(spark, inputs):
     assert (rows[2].GISID, rows[2].PropertyClass, rows[2].join_ambiguous) == ("22", "C", False)
 
 
+def test_job_keeps_lots_and_not_points(spark, inputs, monkeypatch):
+    kept = []
+    monkeypatch.setattr(building_age_plan, "keep", lambda df: kept.append(df) or df)
+    building_age_from_files(spark, inputs["properties"], inputs["points"], inputs["buildings"], 2026)
+    lots = next(df for df in kept if "ml" in df.columns)
+    assert {r.ml: (r.bldg_id, r.ambiguous) for r in lots.collect()} == {"1-1": ("B2", True), "22": ("5", False)}
+
+
+def test_texts_of_numbers_in_a_bag(spark):
+    given = ["0", "-0", "7", "-9223372036854775808", "9223372036854775807", "9223372036854775808", "1.50", "1.0", "1e3", "1.5e-7", "-0.0", "1e400", '"7"', "true", "null", "[1]"]
+    bags = spark.createDataFrame([(i, '{"a":' + g + "}") for i, g in enumerate(given)], "ord int, raw string").withColumn("properties", F.try_parse_json("raw"))
+    rows, bag = read_bag(bags, ["a", "A"])
+    got = rows.orderBy("ord").select(bag["a"].kind, bag["a"].text, bag["A"].text).collect()
+    old = bags.select("ord", F.try_variant_get("properties", "$.a", "string").alias("t")).orderBy("ord").collect()
+    assert [r[1] for i, r in enumerate(got) if i not in (8, 9, 10, 11)] == [r.t for i, r in enumerate(old) if i not in (8, 9, 10, 11)]
+    assert [got[i][1] for i in (8, 9)] == ["1000", "0.00000015"]
+    assert [r[0] for r in got[:4]] == ["number"] * 4 and all(r[2] is None for r in got)
+
+
 def test_job_from_the_command_line(spark, inputs, tmp_path, capsys):
     for layout in ("parquet", "collection", "lines"):
         out = str(tmp_path / layout)

@@ -3,7 +3,15 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lotline.operators.matching import keep_existing, link_properties, lowest_address, point_lookup, representative_property
+from lotline.operators.matching import (
+    building_lookup,
+    drop_blank_keys,
+    keep_existing,
+    link_properties,
+    lowest_address,
+    point_lookup,
+    representative_property,
+)
 from lotline.plans.building_age import link_buildings
 
 PROPERTIES = "ord bigint, gis_id string, address string, year bigint, property_class string, zoning string"
@@ -35,6 +43,20 @@ def test_first_known_building_wins_and_several_are_ambiguous(spark):
     }
 
 
+def test_lots_with_a_building_are_those_of_the_points_with_one(spark):
+    odd = [(0, "", "B9"), (1, "", ""), (2, None, "B1"), (3, "L", None), (4, "L", ""), (5, "L", "B2"), (6, "L", "B1"), (6, "L", "B1")]
+    odd += [(7, "M", "B3"), (8, "M", "B3"), (9, "N", ""), (10, "O", None), (None, "P", "B4"), (11, "P", "B5"), (None, "Q", "B6")]
+    random.seed(3)
+    many = [(i, random.choice(["", "a", "b", "c", "d"]), random.choice(["", "x", "y", None])) for i in range(60)]
+    points = spark.createDataFrame(odd + many, POINTS).repartition(3)
+    want = point_lookup(drop_blank_keys(points, "bldg_id")).drop("n_points")
+    got = building_lookup(points)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    # Ids that are computed are computed once: no filter moves below the aggregate.
+    below = building_lookup(points.withColumn("ml", F.concat("ml", F.lit("!"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in below[below.index("Aggregate") :]
+
+
 def test_address_that_differs_in_white_space(spark):
     properties = [(0, "L", "9 z", 1900, "a", None), (1, "L", "12 main ", 1910, "b", None), (2, "L", "12 main", 1920, "c", None)]
     properties[0] = (0, "L", "99 z", 1900, "a", None)
