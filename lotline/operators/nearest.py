@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lotline.functions.geo import metres_per_degree, planar_metres, ring_edges, segment_metres, wrap_degrees
+from lotline.functions.geo import edge_side, metres_per_degree, planar_metres, ring_edges, segment_metres, wrap_degrees
 from lotline.operators.containment import first_holding
 from lotline.operators.skew import join_lookup
 from lotline.storage import keep
@@ -503,16 +503,26 @@ def nearest_polygon(
     places = located.select("px", "py").distinct().withColumn("place", F.struct("px", "py"))
     # At no distance: inside, or on an edge. Without an id comes last.
     first = F.struct(F.col(polygon_id).isNull(), F.col(polygon_id))
-    at = first_holding(places, polygons, "place", "px", "py", polygon_id, rings, first, _at_edge)
+    at = first_holding(places, polygons, "place", "px", "py", polygon_id, rings, first, (_near_edge, _at_edge))
     zero = keep(at.select("px", "py", F.struct(F.lit(0.0).alias("metres"), F.col("polygon_id").alias("target_id")).alias("best")))
     # Only the others have a nearest edge to look for.
     best = _nearest_segment(places.select("px", "py").join(zero, ["px", "py"], "left_anti"), segments)
     return _answered(located, zero if best is None else best.unionByName(zero), kind)
 
 
+def _near_edge(x: Column, y: Column, edge: Column) -> Column:
+    """Whether a point is next to an edge, as far as a short test can tell."""
+
+    def near(v: Column, a: Column, b: Column) -> Column:
+        return ((v + 1e-9 >= a) | (v + 1e-9 >= b)) & ((v - 1e-9 <= a) | (v - 1e-9 <= b))
+
+    # The box of a slanted edge is wide: off its line is off the edge, unless that goes over the date line.
+    dx, dy = F.abs(edge["x2"] - edge["x1"]), F.abs(edge["y2"] - edge["y1"])
+    on_line = (F.abs(edge_side(x, y, edge)) <= (dx + dy) * 1e-9) | (dx > 180)
+    return near(x, edge["x1"], edge["x2"]) & near(y, edge["y1"], edge["y2"]) & on_line
+
+
 def _at_edge(x: Column, y: Column, edge: Column) -> Column:
-    """Whether the distance from a point to an edge is zero; the box settles almost all that are not."""
-    near_x = x.between(F.least(edge["x1"], edge["x2"]) - 1e-9, F.greatest(edge["x1"], edge["x2"]) + 1e-9)
-    near_y = y.between(F.least(edge["y1"], edge["y2"]) - 1e-9, F.greatest(edge["y1"], edge["y2"]) + 1e-9)
+    """Whether the distance from a point to an edge is zero."""
     kx, ky = metres_per_degree(y)
-    return near_x & near_y & (segment_metres(kx, ky, x, y, edge) == 0)
+    return segment_metres(kx, ky, x, y, edge) == 0
