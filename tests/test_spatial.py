@@ -541,3 +541,49 @@ def test_points_in_polygons_have_no_edge_to_look_for(spark, monkeypatch):
     got = {r.point_id: (r.target_id, r.metres == 0) for r in nearest_module.nearest_polygon(a, b).collect()}
     assert got == {1: (1, True), 2: (1, True), 3: (2, True), 4: (2, False), 5: (None, True)}
     assert looked == [1]
+
+
+def joins(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "Build" in line or "SortMergeJoin" in line]
+
+
+def test_pairs_of_few_corners_are_joined_without_lambdas(spark):
+    """The loop of the join is compiled: the lists of other polygons and lines are looked at in steps after it, or in joins of their own."""
+    diamond = lambda x, y, r: [[closed([[x - r, y], [x, y - r], [x + r, y], [x, y + r]])]]
+    polygons = spark.createDataFrame([(i, i, diamond(i * 0.1, 0.0, 0.3)) for i in range(30)], POLYGONS)
+    points = spark.createDataFrame([(i, i * 0.05, 0.01) for i in range(60)], POINTS)
+    lines = spark.createDataFrame([(i, [[[i * 0.1, 0.0], [i * 0.1 + 0.05, 0.05], [i * 0.1, 0.1]]]) for i in range(30)], LINES)
+    for found in (points_within(points, polygons), lines_within(lines, polygons), hit_test(points, polygons)):
+        assert joins(found) and not any("lambda" in line for line in joins(found))
+    want = {(p, g) for p in range(60) for g in range(30) if abs(p * 0.05 - g * 0.1) + 0.01 < 0.3}
+    assert {(r.point_id, r.polygon_id) for r in points_within(points, polygons).collect()} == want
+    firsts = {p: min(g for q, g in want if q == p) for p, _ in want}
+    assert {r.point_id: r.polygon_id for r in hit_test(points, polygons).collect()} == firsts
+
+
+def test_few_corners_flat_edges_and_more_corners_together(spark):
+    """Boxes, whose edges are flat, a triangle, one corner only, and a ring of more corners, on and beside the borders of cells."""
+    polygons = [(1, 1, [[box(0.0, 0.0, 4.0, 4.0)]]), (2, 2, [[closed([[0.0, 0.0], [8.0, 0.0], [0.0, 8.0]])]]), (3, 3, [[[[1.0, 1.0]]]]), (4, 4, [[star(random.Random(2), 3.0, 3.0, 2.0, 9)]]), (None, 5, [[box(2.0, 2.0, 3.0, 3.0)]])]
+    points = [(i, x / 8, y / 8) for i, (x, y) in enumerate((x, y) for x in range(-2, 40, 3) for y in range(-2, 40, 3))]
+    want = sorted((p, g or -1) for p, x, y in points for g, _, parts in polygons if strictly(x, y, parts[0][0]))
+    got = points_within(spark.createDataFrame(points, POINTS), spark.createDataFrame(polygons, POLYGONS)).collect()
+    assert sorted((r.point_id, r.polygon_id or -1) for r in got) == want
+
+
+def strictly(x, y, ring):
+    on = any((bx - ax) * (y - ay) == (by - ay) * (x - ax) and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by) for (ax, ay), (bx, by) in zip(ring, ring[1:]))
+    return len(ring) > 1 and not on and winding_inside(x, y, [ring])
+
+
+def test_next_to_an_edge_is_on_its_line(spark):
+    """The box of a slanted edge is not next to the edge, so that no distance is taken there."""
+    edge = {"x1": F.lit(0.0), "y1": F.lit(0.0), "x2": F.lit(1.0), "y2": F.lit(1.0)}
+    rows = spark.createDataFrame([(0.5, 0.5), (0.5, 0.75), (1.0, 1.0), (1.1, 1.1), (0.25, 0.25 + 1e-10)], "x double, y double")
+    assert [r.near for r in rows.select(nearest_module._near_edge(F.col("x"), F.col("y"), edge).alias("near")).collect()] == [True, False, True, False, True]
+
+
+def test_dense_spans_have_a_finer_grid():
+    """Lines that overlap a great many times: a cell has a few hundred, not a thousand."""
+    n, length = 10_800_000, 216_000
+    grid = nearest_module.Grid.of(nearest_module.Frame.of(0.0, 1.0, 0.0, 1.0), n, length)
+    assert (n + 2**grid.level * length) / 4**grid.level < 256
