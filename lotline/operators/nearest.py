@@ -39,8 +39,10 @@ MAX_LEVEL = 30
 # Cells and items are sent to all tasks if there are no more than this, at some 100 bytes each.
 BROADCAST_ROWS = 200_000
 # A span has so many cells on average at most, and a cell so many spans at least.
-SPREAD, OCCUPANCY = 8, 4
+SPREAD, OCCUPANCY = 24, 4
 FINEST_GRID = 20
+# The first bound is the distance to one span that begins near, in a grid of cells so many steps of two smaller.
+FINER = 2
 # With a cell of more spans than this, and than so many times the average, all points descend.
 HEAVY_SPANS, HEAVY_TIMES = 256, 16
 # A point that would have to look at more cells is left to the descent as well.
@@ -51,6 +53,7 @@ CELL_MARGIN = 1e-6
 SLACK = 1 + 1e-9
 SLACK_METRES = 1e-6
 CELL = ["ix", "iy"]
+ENDS = ["ax", "ay", "bx", "by"]
 # Number of items, their box, and a place on one of them.
 CONTENT = ["n", "x0", "x1", "y0", "y1", "rx", "ry"]
 GROUP = ["gl", "gx", "gy"]
@@ -278,9 +281,9 @@ class Grid:
         return F.floor(F.least(F.greatest(place, F.lit(0.0)), F.lit(self.side - 1))).cast("bigint")
 
     def registered(self, spans: DataFrame) -> DataFrame:
-        """``ix, iy, target_id, shape``: each span in all cells that it touches, once in each."""
+        """``ix, iy, target_id, ax, ay, bx, by``: each span in all cells that it touches, once in each."""
         x1, x2, y1, y2 = self.x(F.col("ax")), self.x(F.col("bx")), self.y(F.col("ay")), self.y(F.col("by"))
-        placed = spans.select("target_id", "shape", x1.alias("gx1"), x2.alias("gx2"), y1.alias("gy1"), y2.alias("gy2"))
+        placed = spans.select("target_id", *ENDS, x1.alias("gx1"), x2.alias("gx2"), y1.alias("gy1"), y2.alias("gy2"))
         x1, x2, y1, y2 = (F.col(c) for c in ("gx1", "gx2", "gy1", "gy2"))
         first, last = (self.cell(end) for end in (F.least(y1, y2) - CELL_MARGIN, F.greatest(y1, y2) + CELL_MARGIN))
         rows = placed.withColumn("iy", F.explode(F.sequence(first, last)))
@@ -293,7 +296,17 @@ class Grid:
         # A flat span has no place at a height of its own: both its ends count.
         high = F.when(y1 == y2, x2).otherwise(high)
         columns = F.sequence(self.cell(F.least(low, high) - CELL_MARGIN), self.cell(F.greatest(low, high) + CELL_MARGIN))
-        return rows.withColumn("ix", F.explode(columns)).select(*CELL, "target_id", "shape")
+        return rows.withColumn("ix", F.explode(columns)).select(*CELL, "target_id", *ENDS)
+
+    def begun(self, spans: DataFrame) -> DataFrame:
+        """``ix, iy, ax, ay, bx, by``: one of the spans that begin in a cell."""
+        at = spans.select(self.cell(self.x(F.col("ax"))).alias("ix"), self.cell(self.y(F.col("ay"))).alias("iy"), *ENDS)
+        return _any_span(at, *CELL)
+
+
+def _any_span(spans: DataFrame, *keys: str) -> DataFrame:
+    # Values of one row, not of several: each of these takes the first row that it sees, and there are no nulls.
+    return spans.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ENDS])
 
 
 def _visits(bounds: DataFrame, grid: Grid) -> tuple[DataFrame, Column]:
@@ -336,27 +349,35 @@ def _best(points: DataFrame, spans: DataFrame, n: int, length: float, frame: Fra
     """
     grid = Grid.of(frame, n, length)
     light = grid.registered(spans)
-    counts = light.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.any_value("shape").alias("shape"))
-    average, most = counts.agg(F.avg("n"), F.max("n")).first()
+    average, most = light.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).agg(F.avg("n"), F.max("n")).first()
     if most > max(HEAVY_SPANS, HEAVY_TIMES * average):
         return _descended(points, *items(), frame, metres)
     kx, ky = metres_per_degree(F.col("py"))
     places = points.select("px", "py").distinct().select("px", "py", kx.alias("kx"), ky.alias("ky"))
-    probes = places.withColumn("ix", grid.cell(grid.x(F.col("px")))).withColumn("iy", grid.cell(grid.y(F.col("py"))))
-    away = metres(F.col("kx"), F.col("ky"), F.col("px"), F.col("py"), F.col("shape"))
-    # Grouped by the cells too: the rows of a point are in one task already.
-    own = keep(probes.join(light, CELL, "left").withColumn("metres", away).groupBy(*CELL, "px", "py", "kx", "ky").agg(F.min("metres").alias("bound")))
+    # Of spans and of places alike, by number: an end is a place.
+    ax, ay, bx, by = (F.col(c) for c in ENDS)
+    away = metres(F.col("kx"), F.col("ky"), F.col("px"), F.col("py"), {"x1": ax, "y1": ay, "x2": bx, "y2": by, "x": ax, "y": ay})
+    place = ["px", "py", "kx", "ky"]
+    fine = Grid(frame, grid.level + FINER)
+    begun = fine.begun(spans)
+    probes = places.withColumn("ix", fine.cell(fine.x(F.col("px")))).withColumn("iy", fine.cell(fine.y(F.col("py"))))
+    near = keep(probes.join(begun, CELL, "left").select(*place, *CELL, away.alias("bound")))
     # Without a span there, some span of the smallest wider cell that has one; up to the whole frame.
-    ups = F.explode(F.sequence(F.lit(1), F.lit(max(grid.level, 1))))
+    ups = F.explode(F.sequence(F.lit(1), F.lit(fine.level)))
     wider = [F.expr(f"shiftright({c}, up)").alias(c) for c in CELL]
-    above = counts.withColumn("up", ups).groupBy("up", *wider).agg(F.any_value("shape").alias("shape"))
-    empty = own.filter("bound is null").withColumn("up", ups).select("up", *wider, "px", "py", "kx", "ky")
-    looked = empty.join(above, ["up", *CELL]).withColumn("metres", away).groupBy("px", "py", "kx", "ky").agg(F.min("metres").alias("bound"))
-    bounds = own.filter("bound is not null").drop(*CELL).unionByName(looked)
+    above = _any_span(begun.withColumn("up", ups).select("up", *wider, *ENDS), "up", *CELL)
+    empty = near.filter("bound is null").withColumn("up", ups).select("up", *wider, *place)
+    looked = empty.join(above, ["up", *CELL]).groupBy(*place).agg(F.min(away).alias("bound"))
+    rough = near.filter("bound is not null").select(*place, "bound").unionByName(looked)
+    # The spans of a point's own cell; most are farther than that one and never reach the aggregate.
+    own = rough.withColumn("ix", grid.cell(grid.x(F.col("px")))).withColumn("iy", grid.cell(grid.y(F.col("py"))))
+    closer = own.join(light.hint("merge"), CELL).withColumn("metres", away).filter("metres <= bound").select(*place, F.col("metres").alias("bound"))
+    bounds = keep(closer.unionByName(rough).groupBy(*place).agg(F.min("bound").alias("bound")))
     visits, left = _visits(bounds, grid)
     rest = bounds.filter(left).select("px", "py")
     # Most spans are farther than the bound and never reach the aggregate.
-    met = visits.join(light, CELL).withColumn("metres", away).filter("metres <= bound")
+    # Sorted: Spark takes the points for few, before they are multiplied by cells.
+    met = visits.join(light.hint("merge"), CELL).withColumn("metres", away).filter("metres <= bound")
     found = met.groupBy("px", "py").agg(F.min(F.struct("metres", "target_id")).alias("best"))
     if rest.isEmpty():
         return found
