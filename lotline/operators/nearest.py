@@ -47,6 +47,8 @@ FINER = 2
 HEAVY_SPANS, HEAVY_TIMES = 256, 16
 # A point that would have to look at more cells is left to the descent as well.
 MOST_VISITS = 4096
+# One that would look at more than so many looks at one span in each first.
+FAR_VISITS = 9
 # Rounding of a place on a span, as a share of a cell: cells that near count as touched.
 CELL_MARGIN = 1e-6
 # Bounds are computed from box corners: leave room for rounding.
@@ -310,7 +312,10 @@ def _any_span(spans: DataFrame, *keys: str) -> DataFrame:
 
 
 def _visits(bounds: DataFrame, grid: Grid) -> tuple[DataFrame, Column]:
-    """``px, py, kx, ky, bound, ix, iy``: the cells that may hold a span within the bound, and whether a point has too many."""
+    """``px, py, kx, ky, bound, ix, iy``: the cells that may hold a span within the bound, and how many a point has at most.
+
+    Points that have too many are left out.
+    """
     frame, reach = grid.frame, F.col("bound") * SLACK + SLACK_METRES
 
     def span(at: Column, by: Column) -> tuple[Column, Column]:
@@ -324,9 +329,9 @@ def _visits(bounds: DataFrame, grid: Grid) -> tuple[DataFrame, Column]:
     y_first, y_last = span(grid.y(F.col("py")), by_y)
     columns = [(turn, *span(grid.x(F.col("px") + turn), by_x)) for turn in (-360.0, 0.0, 360.0)]
     most = F.greatest(*[F.coalesce(last - first + 1, F.lit(0)) for _, first, last in columns])
-    wide = most * F.coalesce(y_last - y_first + 1, F.lit(0)) > MOST_VISITS
+    number = most * F.coalesce(y_last - y_first + 1, F.lit(0))
     turns = F.array(*[F.struct((F.col("px") + turn).alias("tx"), first.alias("first"), last.alias("last")) for turn, first, last in columns])
-    each = bounds.filter(~wide).select("px", "py", "kx", "ky", "bound", y_first.alias("y_first"), y_last.alias("y_last"), F.inline(turns))
+    each = bounds.filter(number <= MOST_VISITS).select("px", "py", "kx", "ky", "bound", y_first.alias("y_first"), y_last.alias("y_last"), F.inline(turns))
     # There is nothing to look at in an empty range.
     each = each.filter("first is not null and y_first is not null")
     cells = each.withColumn("ix", F.explode(F.sequence("first", "last"))).withColumn("iy", F.explode(F.sequence("y_first", "y_last")))
@@ -337,7 +342,7 @@ def _visits(bounds: DataFrame, grid: Grid) -> tuple[DataFrame, Column]:
     dx = apart(grid.x(F.col("tx")), "ix") / grid.side * frame.width * F.col("kx")
     dy = apart(grid.y(F.col("py")), "iy") / grid.side * frame.height * F.col("ky")
     near = cells.filter(F.sqrt(dx * dx + dy * dy) <= reach)
-    return near.select("px", "py", "kx", "ky", "bound", *CELL), wide
+    return near.select("px", "py", "kx", "ky", "bound", *CELL), number
 
 
 def _best(points: DataFrame, spans: DataFrame, n: int, length: float, frame: Frame, items: Callable[[], tuple[DataFrame, int]], metres: Callable[..., Column]) -> DataFrame:
@@ -373,8 +378,16 @@ def _best(points: DataFrame, spans: DataFrame, n: int, length: float, frame: Fra
     own = rough.withColumn("ix", grid.cell(grid.x(F.col("px")))).withColumn("iy", grid.cell(grid.y(F.col("py"))))
     closer = own.join(light.hint("merge"), CELL).withColumn("metres", away).filter("metres <= bound").select(*place, F.col("metres").alias("bound"))
     bounds = keep(closer.unionByName(rough).groupBy(*place).agg(F.min("bound").alias("bound")))
-    visits, left = _visits(bounds, grid)
-    rest = bounds.filter(left).select("px", "py")
+    _, number = _visits(bounds, grid)
+    far = bounds.filter((number > FAR_VISITS) & (number <= MOST_VISITS))
+    if not far.isEmpty():
+        # Beside the spans one looks along them: one span of each of those cells tells how near the nearest is.
+        looked, _ = _visits(far, grid)
+        nearer = looked.select(*place, *CELL).join(_any_span(light, *CELL).hint("merge"), CELL).select(*place, away.alias("bound")).unionByName(far)
+        nearer = nearer.groupBy(*place).agg(F.min("bound").alias("bound"))
+        bounds = keep(bounds.filter((number <= FAR_VISITS) | (number > MOST_VISITS)).unionByName(nearer))
+    visits, number = _visits(bounds, grid)
+    rest = bounds.filter(number > MOST_VISITS).select("px", "py")
     # Most spans are farther than the bound and never reach the aggregate.
     # Sorted: Spark takes the points for few, before they are multiplied by cells.
     met = visits.join(light.hint("merge"), CELL).withColumn("metres", away).filter("metres <= bound")
